@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module; the SQL, where there is any, is the module's ORACLE_SQL.
 _QUERIES = {
     "op1_decontamination": "decontamination",
+    "op3_packing": "packing",
+    "op4_quality_rules": "quality_rules",
     "op9_sharding": "sharding",
 }
 
