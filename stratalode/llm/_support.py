@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text is worked on in pieces of about this many bytes, which keeps arrays in cache and memory bounded.
@@ -158,3 +159,43 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def ints(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
+
+
+#: Stands for a null doc_id inside an operator; such rows rank last.
+NO_ID = (1 << 63) - 1
+
+
+def with_ids(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id as a long that is never null, and the named columns."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), *columns)
+
+
+def without_ids(df: DataFrame) -> DataFrame:
+    """Undo with_ids."""
+    return df.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def to_runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first, count) of the runs of consecutive places of one document."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    if not len(doc):
+        return doc, at, at
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)]))
+    last = np.append(new[1:], len(doc)) - 1
+    return doc[new], at[new], at[last] - at[new] + 1
+
+
+def union_of(spans: list[dict] | None, width: int) -> list[tuple[int, int]]:
+    """Runs (first, n) of windows as merged stretches [a, b) of what those windows cover."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((s["first"], s["first"] + s["n"] - 1 + width) for s in spans or ()):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
