@@ -12,6 +12,7 @@ _QUERIES = {
     "op1_decontamination": "decontamination",
     "op3_packing": "packing",
     "op4_quality_rules": "quality_rules",
+    "op5_suffix_dedup": "suffix_dedup",
     "op6_substring_dedup": "substring_dedup",
     "op9_sharding": "sharding",
 }
