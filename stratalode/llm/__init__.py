@@ -14,6 +14,7 @@ _QUERIES = {
     "op4_quality_rules": "quality_rules",
     "op5_suffix_dedup": "suffix_dedup",
     "op6_substring_dedup": "substring_dedup",
+    "op7_near_dedup": "near_dedup",
     "op9_sharding": "sharding",
 }
 
