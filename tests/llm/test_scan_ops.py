@@ -84,7 +84,7 @@ def _check_pieces(pieces, texts, length):
 
 
 def test_packing_round_trip(spark, stored, rows):
-    texts = {r["doc_id"]: r["text"] for r in rows} | {9001: "tab\there \x1c odd space <|endoftext|> it's", 9002: "Don't  stop\n\n now \n"}
+    texts = {r["doc_id"]: r["text"] for r in rows} | {9001: "tab\there \x1c odd space <|endoftext|> it's", 9002: "Don't  stop\n\n now \n \t 12ab \u00a0 caf\u00e9 \u4e2d\u6587 \U0001f600 e\u0301 it\u2019s ***||"}
     more = spark.createDataFrame([(9001, texts[9001], "en", "src9"), (9002, texts[9002], "de", None)], "doc_id long, text string, lang string, source string")
     docs = stored.select("doc_id", "text", "lang", "source").union(more)
     pieces = packing.pack(docs, length=256)
@@ -161,3 +161,14 @@ def test_communication_matrix():
     assert 495 < np.mean(big) < 505
     first = np.mean([sharding.communication_matrix([6, 6], [4, 8], s)[0, 0] for s in range(400)])
     assert 1.85 < first < 2.15
+
+
+def test_both_engines_give_the_same_ids():
+    import random
+
+    enc, rng = packing.encoder(packing.default_tokenizer()), random.Random(4)
+    assert enc.fast is not None
+    letters = "abcXYZ éÉßñ 019 '.,;:!?#*$%&|<>()[]-_\"\n\t\r  \u2013\u2019\u20ac½²ªº×÷"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 120))) for _ in range(3000)]
+    want = [np.array(enc.model.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert enc.encode(texts) == want
