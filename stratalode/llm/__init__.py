@@ -15,7 +15,9 @@ _QUERIES = {
     "op5_suffix_dedup": "suffix_dedup",
     "op6_substring_dedup": "substring_dedup",
     "op7_near_dedup": "near_dedup",
+    "op8_chat_formatting": "chat_formatting",
     "op9_sharding": "sharding",
+    "op10_html_extraction": "html_extraction",
 }
 
 
