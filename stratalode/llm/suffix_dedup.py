@@ -39,6 +39,8 @@ _PLACE_BITS = 22
 FLUSH_BYTES = 16 << 20
 FLUSH_HOT = 2_000_000
 BUCKET_BYTES = 12 << 20
+#: Bytes of a new batch of the index.
+BATCH_BYTES = 4 << 20
 
 
 def _coefficients(seed: int, n: int) -> np.ndarray:
@@ -55,15 +57,30 @@ def _grams(buf: np.ndarray) -> np.ndarray:
     return g
 
 
-def _over(grams: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """A hash of the n bytes at each place, from the grams at every eighth byte and the last one."""
-    steps = [*range(0, n - _GRAM + 1, _GRAM)]
-    if steps[-1] != n - _GRAM:
-        steps.append(n - _GRAM)
-    out = np.zeros(len(at), U64)
-    for step, c in zip(steps, _coefficients(seed, len(steps)), strict=True):
-        out += grams[at + step] * c
-    return mix(out)
+def _over(grams: np.ndarray, at: np.ndarray, n: int, *seeds: int, block: int = 1) -> list[np.ndarray]:
+    """Hashes, one a seed, of the n bytes at each place, from values over `block` grams each at every block and the last."""
+    size = _GRAM * block
+    steps = [*range(0, n - size + 1, size)]
+    if steps[-1] != n - size:
+        steps.append(n - size)
+    out = [np.zeros(len(at), U64) for _ in seeds]
+    coefficients = [_coefficients(seed, len(steps)) for seed in seeds]
+    for k, step in enumerate(steps):
+        here = grams[at + step]
+        for x, c in zip(out, coefficients, strict=True):
+            x += here * c[k]
+    return [mix(x) for x in out]
+
+
+def _strings(grams: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """Two hashes of the width bytes at each place; wide strings go by mixed values of five grams, made once a position."""
+    if width < 5 * _GRAM:
+        return _over(grams, at, width, 2, 3)
+    m = len(grams) - 4 * _GRAM
+    wide = grams[:m].copy()
+    for j, c in zip(range(1, 5), _coefficients(4, 4), strict=True):
+        wide += grams[j * _GRAM : m + j * _GRAM] * c
+    return _over(mix(wide), at, width, 2, 3, block=5)
 
 
 def _least(grams: np.ndarray, m: int, reach: int) -> np.ndarray:
@@ -93,7 +110,7 @@ def _stretches(buf: np.ndarray, off: np.ndarray, width: int, context: int):
         grams = _grams(part)
         anchor = _least(grams, m, width - context + 1)[at]
         new = np.diff(anchor, prepend=-1) != 0
-        yield lo, part, grams, at, anchor, _over(grams, anchor[new], context, 1), new
+        yield lo, part, grams, at, anchor, _over(grams, anchor[new], context, 1)[0], new
 
 
 def _keys_of(width: int, context: int):
@@ -203,7 +220,7 @@ def _sender(repeats, width: int, context: int, buckets: int):
                 warm = at[(maybe & hot)[group]]
                 if len(warm):
                     doc = np.searchsorted(off, warm + lo, "right") - 1
-                    out.add_hot(_over(grams, warm, width, 2), _over(grams, warm, width, 3), ids[doc], warm + lo - off[doc])
+                    out.add_hot(*_strings(grams, warm, width), ids[doc], warm + lo - off[doc])
                 if out.full():
                     yield from out.send()
         yield from out.send()
@@ -212,43 +229,55 @@ def _sender(repeats, width: int, context: int, buckets: int):
 
 
 class SuffixLevels:
-    """Suffix arrays of geometrically growing sizes; add() returns nothing, matched[i] tells whether suffix i has an equal."""
+    """Suffix arrays of geometrically growing sizes; matched[i] tells whether suffix i has an equal among those added."""
 
     def __init__(self, total: int):
         self.matched = np.zeros(total, bool)
-        self.levels: list[np.ndarray] = []  # sorted rows of (order, confirmation, suffix); order: two first bytes, fingerprint
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (order, confirmation, suffix), sorted
 
     @staticmethod
-    def _sorted(level: np.ndarray) -> np.ndarray:
-        return level[np.lexsort((level["confirm"], level["order"]))]
-
-    @staticmethod
-    def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a["order"] == b["order"]) & (a["confirm"] == b["confirm"])
-
-    def add(self, head: np.ndarray, fingerprint: np.ndarray, confirm: np.ndarray, suffix: np.ndarray) -> None:
-        new = np.empty(len(head), [("order", U64), ("confirm", U64), ("suffix", np.int64)])
-        new["order"] = (head >> U64(48) << U64(48)) | (fingerprint >> U64(16))
-        new["confirm"], new["suffix"] = confirm, suffix
-        new = self._scan(self._sorted(new))
-        while self.levels and len(self.levels[-1]) <= 2 * len(new):
-            new = self._scan(self._sorted(np.concatenate([self.levels.pop(), new])))
-        # the remaining, larger levels are scanned by searching, not rebuilt
-        for level in self.levels:
-            lo = np.minimum(np.searchsorted(level["order"], new["order"]), len(level) - 1)
-            hit = self._same(level[lo], new)
-            self.matched[new["suffix"][hit]] = True
-            self.matched[level["suffix"][lo[hit]]] = True
-        self.levels.append(new)
-
-    def _scan(self, level: np.ndarray) -> np.ndarray:
-        """Mark neighbours that are equal; keep one suffix of each string, as more add nothing."""
-        if not len(level):
-            return level
-        same = self._same(level[1:], level[:-1])
-        self.matched[level["suffix"][1:][same]] = True
-        self.matched[level["suffix"][:-1][same]] = True
-        return level[np.concatenate([[True], ~same])]
+    def order(head: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
+        """Suffixes sort by their first byte, then by a fingerprint of the whole width."""
+        return (head.astype(U64) << U64(56)) | (fingerprint >> U64(8))
+
+    def add(self, order: np.ndarray, confirm: np.ndarray, suffix: np.ndarray) -> None:
+        new = self._sorted(order, confirm, suffix)
+        while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
+            new = self._sorted(*(np.concatenate(x) for x in zip(self.levels.pop(), new, strict=True)))
+        for level in self.levels:  # larger ones are scanned, not rebuilt
+            at = np.minimum(np.searchsorted(level[0], new[0]), len(level[0]) - 1)
+            hit = np.flatnonzero((level[0][at] == new[0]) & (level[1][at] == new[1]))
+            self.matched[new[2][hit]] = True
+            self.matched[level[2][at[hit]]] = True
+        if len(new[0]):
+            self.levels.append(new)
+
+    def _sorted(self, order: np.ndarray, confirm: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sort, mark neighbours that are equal and keep one suffix of each string, as more add nothing."""
+        at = np.argsort(order)
+        by = order[at]
+        if ((by[1:] == by[:-1]) & (confirm[at][1:] != confirm[at][:-1])).any():
+            at = np.lexsort((confirm, order))
+        order, confirm, suffix = order[at], confirm[at], suffix[at]
+        same = (order[1:] == order[:-1]) & (confirm[1:] == confirm[:-1])
+        self.matched[suffix[1:][same]] = True
+        self.matched[suffix[:-1][same]] = True
+        one = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
+        return order[one], confirm[one], suffix[one]
+
+
+def _batches(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(strings of each stretch, bytes) of the rows that tasks sent, joined to batches of about BATCH_BYTES."""
+    counts, bodies, size = [], [], 0
+    for own, body in zip(table.column("n"), table.column("body"), strict=True):
+        counts.append(np.frombuffer(own.as_py(), np.int64))
+        bodies.append(body.as_py())
+        size += len(bodies[-1])
+        if size > BATCH_BYTES:
+            yield np.concatenate(counts), np.frombuffer(b"".join(bodies), np.uint8)
+            counts, bodies, size = [], [], 0
+    if size:
+        yield np.concatenate(counts), np.frombuffer(b"".join(bodies), np.uint8)
 
 
 def _matcher(width: int):
@@ -257,22 +286,18 @@ def _matcher(width: int):
         out = [[joined(c, np.int64) for c in ("done_doc", "done_first", "done_n")]]
         h1, h2, doc, at = (joined(c, k) for c, k in (("h1", U64), ("h2", U64), ("hot_doc", np.int64), ("hot_at", np.int64)))
         index = SuffixLevels(len(h1))
-        index.add(np.zeros(len(h1), U64), h1, h2, np.arange(len(h1)))
+        index.add(h1, h2, np.arange(len(h1)))
         found = index.matched & (doc != _SETTLED)
         out.append(to_runs(doc[found], at[found]))
         doc, start, n = (joined(c, np.int64) for c in ("doc", "start", "n"))
         ends = np.cumsum(n)
         index, done = SuffixLevels(int(n.sum())), 0
-        for own, body in zip(table.column("n"), table.column("body"), strict=True):  # one batch of each task's flush
-            count, raw = np.frombuffer(own.as_py(), np.int64), np.frombuffer(body.as_py(), np.uint8)
-            if not len(count):
-                continue
+        for count, raw in _batches(table):
             size = count + width - 1
-            base = np.repeat(np.cumsum(size) - size, count)
             inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            places, grams = base + inner, _grams(raw)
-            head = np.ndarray(len(raw) - _GRAM + 1, ">u8", raw, strides=(1,))[places].astype(U64)
-            index.add(head, _over(grams, places, width, 2), _over(grams, places, width, 3), np.arange(done, done + len(places)))
+            places = np.repeat(np.cumsum(size) - size, count) + inner
+            fingerprint, confirm = _strings(_grams(raw), places, width)
+            index.add(index.order(raw[places], fingerprint), confirm, np.arange(done, done + len(places)))
             done += len(places)
         if done:
             owner = np.searchsorted(ends, np.arange(done), "right")
