@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module; the SQL, where there is any, is the module's ORACLE_SQL.
 _QUERIES = {
     "op1_decontamination": "decontamination",
+    "op2_quality_classifier": "quality_classifier",
     "op3_packing": "packing",
     "op4_quality_rules": "quality_rules",
     "op5_suffix_dedup": "suffix_dedup",
@@ -22,7 +23,10 @@ _QUERIES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(import_module(f"stratalode.llm.{module}"), name) for name, module in _QUERIES.items()}
+    import corpus_pipeline
+
+    found = {name: getattr(import_module(f"stratalode.llm.{module}"), name) for name, module in _QUERIES.items()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -199,3 +199,15 @@ def union_of(spans: list[dict] | None, width: int) -> list[tuple[int, int]]:
         else:
             out.append((a, b))
     return out
+
+
+def recounted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where there is one, as the length of the text now."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def same_row(left: str, right: str) -> Column:
+    """doc_ids are equal, or both null."""
+    return F.coalesce(F.col(left).cast("long"), F.lit(NO_ID)) == F.coalesce(F.col(right).cast("long"), F.lit(NO_ID))

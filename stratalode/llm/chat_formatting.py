@@ -63,9 +63,9 @@ e AS (SELECT s.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN s
       FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 h AS (SELECT *, CASE WHEN role = 'user' THEN '<|im_start|>user name=' || speaker || chr(10) ELSE '<|im_start|>' || role || chr(10) END AS head FROM e),
 r AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM h),
-o AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r)
-SELECT conv_id, perspective, turn, role, speaker, rendered, CAST(at AS BIGINT) AS char_start,
-  CASE WHEN role = 'assistant' THEN CAST(at + length(head) AS BIGINT) END AS mask_start,
-  CASE WHEN role = 'assistant' THEN CAST(at + length(rendered) - 1 AS BIGINT) END AS mask_end
+o AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM r)
+SELECT conv_id, perspective, turn, role, speaker, rendered, CAST(place AS BIGINT) AS char_start,
+  CASE WHEN role = 'assistant' THEN CAST(place + length(head) AS BIGINT) END AS mask_start,
+  CASE WHEN role = 'assistant' THEN CAST(place + length(rendered) - 1 AS BIGINT) END AS mask_end
 FROM o
 """
