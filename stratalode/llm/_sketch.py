@@ -26,8 +26,8 @@ FLUSH = 4_000_000
 
 
 def bits_for(keys: int) -> int:
-    """Counters for about `keys` occurrences: two a key in each row, within bounds that keep memory bounded."""
-    return int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(2, 2 * keys))))))
+    """Counters for about `keys` occurrences: four a key in each row at least, within bounds that keep memory bounded."""
+    return int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(2, 4 * keys))))))
 
 
 def cells(keys: np.ndarray, bits: int) -> list[np.ndarray]:
