@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from stratalode.plans import catalog
 
-def _overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.groupBy("lang", "source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+MODULES = ("text",)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"agg_corpus_overview": _overview}
-ORACLE: dict[str, str] = {"agg_corpus_overview": "SELECT lang, source, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang, source"}
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"stratalode.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    _load()
+    return {name: lambda spark, sf_dir, f=f: f(catalog.Tables(spark, sf_dir)) for name, f in catalog.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    _load()
+    return dict(catalog.SQL)
