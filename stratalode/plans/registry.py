@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalode.plans import catalog
 
-MODULES = ("text",)
+MODULES = ("text", "quality")
 
 
 def _load() -> None:
