@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalode.plans import catalog
 
-MODULES = ("text", "quality")
+MODULES = ("text", "quality", "listings", "sensors")
 
 
 def _load() -> None:
