@@ -107,10 +107,10 @@ def list_misc(t: Tables) -> DataFrame:
     return t("orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
 
 
-@query("detail_bundle", "SELECT o_orderkey, c_name, o_totalprice, count(*) AS lines, list(l_partkey ORDER BY l_linenumber, l_partkey) AS parts, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3")
+@query("detail_bundle", "SELECT o_orderkey, c_name, o_totalprice, count(*) AS lines, list(l_partkey ORDER BY l_linenumber, l_partkey) AS parts, CAST(sum(CAST(round(l_extendedprice * (1 - l_discount), 4) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3")
 def detail_bundle(t: Tables) -> DataFrame:
     parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])  # lines of one order
-    lines = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), parts.alias("parts"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"))
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), parts.alias("parts"), F.sum(F.expr("CAST(round(l_extendedprice * (1 - l_discount), 4) AS DECIMAL(18, 4))")).cast("double").alias("revenue"))
     joined = t("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.select("o_orderkey", "c_name", "o_totalprice", "lines", "parts", "revenue")
 

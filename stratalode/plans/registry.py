@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalode.plans import catalog
 
-MODULES = ("text", "quality", "listings", "sensors")
+MODULES = ("text", "quality", "listings", "sensors", "retrieval")
 
 
 def _load() -> None:
