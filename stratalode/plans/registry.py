@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalode.plans import catalog
 
-MODULES = ("text", "quality", "listings", "sensors", "retrieval", "graph", "knowledge", "chunks", "context")
+MODULES = ("text", "quality", "listings", "sensors", "retrieval", "graph", "knowledge", "chunks", "context", "evaluation", "storage")
 
 
 def _load() -> None:
