@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalode.functions import text as T
@@ -31,15 +31,21 @@ def top_count(text: Column) -> Column:
     return F.aggregate(found, start, step, lambda s: s["top"])
 
 
-def validate(text: Column, role: Column, section: Column, document_class: Column, heading_only: Column, assets: Column, confidence: Column) -> list[Column]:
-    """[reasons, quality_score, status] of a chunk."""
-    text = T.strip(text)
-    size, n = F.length(text), T.words(text)
-    visual = (assets > 0) & (confidence >= 0.75)
-    punctuated = text.rlike("[.!?;:]")
+def measured(df: DataFrame, text: str) -> DataFrame:
+    """df with the measures of a text that several rules use, each made once."""
+    c = F.col("__t")
+    return df.withColumn("__t", T.strip(F.col(text))).withColumns(
+        {"__size": F.length(c), "__n": T.words(c), "__noise": noise(c), "__top": top_count(c), "__punct": c.rlike("[.!?;:]"), "__marker": c.rlike("(?i)^\\[\\[page\\s+[0-9]+\\]\\]\\s*[0-9]*$")}
+    )
+
+
+def validate(df: DataFrame, text: str, role: Column, section: Column, document_class: Column, heading_only: Column, assets: Column, confidence: Column) -> DataFrame:
+    """df with reasons, quality_score and status of the chunk in column `text`."""
+    df = measured(df.withColumns({"__role": role, "__section": section, "__class": document_class, "__heading": heading_only, "__visual": (assets > 0) & (confidence >= 0.75)}), text)
+    role, section, size, n = F.col("__role"), F.col("__section"), F.col("__size"), F.col("__n")
+    visual, punctuated = F.col("__visual"), F.col("__punct")
     short_body = (role == "body") & n.between(3, 10) & (size >= 32) & punctuated
     coherent = (role == "body") & (n >= 25) & (size >= 180) & punctuated
-    marker = text.rlike("(?i)^\\[\\[page\\s+[0-9]+\\]\\]\\s*[0-9]*$")
     none = F.lit(None).cast("struct<reason:string,delta:double>")
     rule = lambda reason, delta: F.struct((reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"), F.lit(delta).alias("delta"))
     few = (
@@ -54,22 +60,24 @@ def validate(text: Column, role: Column, section: Column, document_class: Column
         .otherwise(none)
     )
     rules = F.array(
-        F.when(marker, rule("page_marker_fragment", 0.85)).otherwise(none),
+        F.when(F.col("__marker"), rule("page_marker_fragment", 0.85)).otherwise(none),
         few,
         short,
         F.when(size > LONG, rule("too_long", 0.15)).otherwise(none),
-        F.when(noise(text) > NOISE_LIMIT, rule("ocr_noise", 0.45)).otherwise(none),
-        F.when((n >= 20) & (top_count(text) / F.greatest(n, F.lit(1)) > TOP_SHARE), rule("repetitive", 0.2)).when(n == 0, rule("no_words", 0.5)).otherwise(none),
+        F.when(F.col("__noise") > NOISE_LIMIT, rule("ocr_noise", 0.45)).otherwise(none),
+        F.when((n >= 20) & (F.col("__top") / F.greatest(n, F.lit(1)) > TOP_SHARE), rule("repetitive", 0.2)).when(n == 0, rule("no_words", 0.5)).otherwise(none),
         F.when(section.isNull(), F.when(~coherent & ~visual, rule("missing_section", 0.1)).when(visual, rule("missing_section", 0.0)).otherwise(rule("missing_section", 0.02))).otherwise(none),
         F.when(role.isin(*T.NON_BODY), rule(role, 0.55)).otherwise(none),
-        F.when(heading_only, rule("heading_only", 0.4)).otherwise(none),
-        F.when(~document_class.isin(*KNOWN_CLASSES), rule("unknown_document_class", 0.05)).otherwise(none),
+        F.when(F.col("__heading"), rule("heading_only", 0.4)).otherwise(none),
+        F.when(~F.col("__class").isin(*KNOWN_CLASSES), rule("unknown_document_class", 0.05)).otherwise(none),
     )
-    hit = F.array_compact(rules)
-    reasons = F.array_distinct(F.transform(hit, lambda r: r["reason"]))
-    score = F.aggregate(F.transform(hit, lambda r: r["delta"]), F.lit(1.0), lambda s, d: s - d)
-    quality = F.greatest(F.lit(0.0), F.round(score, 4))
-    return [reasons, quality, short_body, n, size, score]
+    df = df.withColumn("__hit", F.array_compact(rules))
+    reasons = F.array_distinct(F.transform("__hit", lambda r: r["reason"]))
+    score = F.aggregate(F.transform("__hit", lambda r: r["delta"]), F.lit(1.0), lambda s, d: s - d)
+    df = df.withColumns({"__r": reasons, "__score": score, "__short": short_body})
+    verdict = status(F.col("__r"), F.col("__score"), F.col("__short"), n, size)
+    df = df.withColumns({"reasons": F.when(F.size("__r") == 0, F.array(F.lit("ok"))).otherwise(F.col("__r")), "quality_score": F.greatest(F.lit(0.0), F.round("__score", 4)), "status": verdict})
+    return df.drop(*(c for c in df.columns if c.startswith("__")))
 
 
 def status(reasons: Column, score: Column, short_body: Column, n: Column, size: Column) -> Column:

@@ -1,14 +1,15 @@
 """Structural parsing and chunk assembly. Blocks are rows (doc_id, pos, page, line); one document is one group.
 
 Section paths are window functions: a heading at a level holds until a heading of the same or a lower level number. Packing
-is a fold, as each flush depends on the size gathered since the last one, and runs per document in Arrow batches.
+is a fold, as each flush depends on the size gathered since the last one, and streams over documents in Arrow batches.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,38 +59,64 @@ _CHUNK = "doc_id long, chunk_index int, chunk_id string, page_start int, page_en
 _NON_BODY = set(T.NON_BODY)
 
 
-def _fold(rows: pd.DataFrame, target: int, least: int) -> pd.DataFrame:
-    out, pending = [], []
+def fold(units_: list[dict], target: int = TARGET, least: int = LEAST) -> list[dict]:
+    """The chunks of one document's units, in order."""
+    out: list[dict] = []
+    pending: list[dict] = []
 
     def flush() -> None:
-        text = "\n\n".join(u.text for u in pending).strip()
+        text = "\n\n".join(u["text"] for u in pending).strip()
         if text:
             first, last = pending[0], pending[-1]
-            roles = sorted({x for u in pending for x in u.types})
-            key = hashlib.sha256(f"{first.doc_id}|{first.char_start}|{last.char_end}|{text}".encode()).hexdigest()[:16]
-            path = list(last.section_path) or list(first.section_path)
-            out.append((first.doc_id, len(out), f"{first.doc_id}:c{len(out):04d}:{key}", first.page, last.page, path, first.char_start, last.char_end, text, roles, len(pending)))
+            key = hashlib.sha256(f"{first['doc_id']}|{first['char_start']}|{last['char_end']}|{text}".encode()).hexdigest()[:16]
+            out.append(
+                {
+                    "doc_id": first["doc_id"], "chunk_index": len(out), "chunk_id": f"{first['doc_id']}:c{len(out):04d}:{key}", "page_start": first["page"], "page_end": last["page"],
+                    "section_path": last["section_path"] or first["section_path"], "char_start": first["char_start"], "char_end": last["char_end"], "text": text,
+                    "roles": sorted({x for u in pending for x in u["types"]}), "units": len(pending),
+                }
+            )
         pending.clear()
 
     size = 0
-    for u in rows.sort_values("pos").itertuples(index=False):
+    for u in units_:
         if pending:
             last = pending[-1]
-            apart = len(last.section_path) and len(u.section_path) and list(last.section_path) != list(u.section_path)
-            flips = (last.block_type in _NON_BODY) != (u.block_type in _NON_BODY)
-            paged = u.page not in {p.page for p in pending} and size >= FORCE
-            if (size + len(u.text) > target and size >= least) or paged or apart or flips:
+            apart = last["section_path"] and u["section_path"] and last["section_path"] != u["section_path"]
+            flips = (last["block_type"] in _NON_BODY) != (u["block_type"] in _NON_BODY)
+            paged = size >= FORCE and u["page"] not in {p["page"] for p in pending}
+            if (size + len(u["text"]) > target and size >= least) or paged or apart or flips:
                 flush()
                 size = 0
         pending.append(u)
-        size += len(u.text)
+        size += len(u["text"])
     flush()
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _CHUNK.split(", ")])
+    return out
+
+
+_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("chunk_id", pa.string()), ("page_start", pa.int32()), ("page_end", pa.int32()), ("section_path", pa.list_(pa.string())), ("char_start", pa.int64()), ("char_end", pa.int64()), ("text", pa.string()), ("roles", pa.list_(pa.string())), ("units", pa.int32())]
+)
 
 
 def chunked(units_: DataFrame, target: int = TARGET, least: int = LEAST) -> DataFrame:
-    """Chunks of each document with deterministic ids."""
-    return units_.groupBy("doc_id").applyInPandas(lambda rows: _fold(rows, target, least), _CHUNK)
+    """Chunks of each document with deterministic ids: one pass over the units sorted by document and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[dict] = []
+        for batch in batches:
+            made: list[dict] = []
+            for u in batch.to_pylist():
+                if now and now[-1]["doc_id"] != u["doc_id"]:
+                    made += fold(now, target, least)
+                    now = []
+                now.append(u)
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema=_SCHEMA)
+        if now:
+            yield pa.RecordBatch.from_pylist(fold(now, target, least), schema=_SCHEMA)
+
+    return units_.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(run, _CHUNK)
 
 
 def linked(chunks: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ DISTANCE, LEXICAL, SECTION, TITLE, PHRASE = 1.0, 0.25, 0.10, 0.14, 0.22
 DIVERSITY = 0.22
 LIMIT = 24
 QUERY_BLOCK = 2048
+TERM_BLOCK = 256
 
 
 def terms(c: Column) -> Column:
@@ -27,28 +28,74 @@ def dummy_vector(c: Column, dimensions: int = 16) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int") / F.lit(255.0) * 2 - 1)
 
 
-def lexical(docs: DataFrame, queries: DataFrame, fields: dict[str, tuple[str, float]], limit: int = LIMIT) -> DataFrame:
+def lexical(docs: DataFrame, queries: DataFrame, fields: dict[str, tuple[str, float]], limit: int = LIMIT, block: int = TERM_BLOCK) -> DataFrame:
     """(query_id, doc_id, lexical_score, lexical_rank): each of a query's first 8 terms adds its field's weight where found.
 
-    fields: column -> (contains | prefix, weight). Every document is tested once against the set of distinct terms; only
-    terms that it holds become rows, and those are joined to the queries that ask for them.
+    fields: column -> (contains | prefix, weight). The stated queries go to the tasks in blocks of bounded size; one
+    automaton of a block's distinct terms reads each text once, and only each task's own best rows leave it.
     """
-    asked = queries.select("query_id", F.explode(F.slice(terms(F.col("q")), 1, 8)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("c"))
-    one = asked.agg(F.collect_set("term").alias("__terms"))  # of the stated query set
-    low = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in fields}
-    tests = docs.select("doc_id", *(x.alias(f"__{c}") for c, x in low.items())).crossJoin(F.broadcast(one))
-
-    def worth(x: Column) -> Column:
-        total = F.lit(0.0)
-        for c, (kind, weight) in fields.items():
-            found = F.startswith(F.col(f"__{c}"), x) if kind == "prefix" else F.contains(F.col(f"__{c}"), x)
-            total = total + F.when(found, F.lit(float(weight))).otherwise(F.lit(0.0))
-        return total
-
-    held = tests.select("doc_id", F.explode(F.filter(F.transform("__terms", lambda x: F.struct(x.alias("term"), worth(x).alias("w"))), lambda s: s["w"] > 0)).alias("s"))
-    scored = held.select("doc_id", "s.term", "s.w").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("c")).alias("lexical_score"))
+    spark, out = docs.sparkSession, None
+    blocks = max(1, -(-queries.count() // block))
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.slice(terms(F.col("q")), 1, 8).alias("terms")).collect()
+        known = spark.sparkContext.broadcast([(r[0], list(r[1])) for r in part])
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in fields))
+        one = source.mapInArrow(_lexical_scanner(known, list(fields.values()), limit), "query_id long, doc_id long, lexical_score double")
+        out = one if out is None else out.union(one)
     w = Window.partitionBy("query_id").orderBy(F.desc("lexical_score"), "doc_id")
-    return scored.withColumn("lexical_rank", F.row_number().over(w)).where(F.col("lexical_rank") <= limit)
+    return out.withColumn("lexical_rank", F.row_number().over(w)).where(F.col("lexical_rank") <= limit)
+
+
+def _lexical_scanner(known, fields: list[tuple[str, float]], limit: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        asked = known.value
+        names = sorted({x for _, ts in asked for x in ts})
+        place = {x: k for k, x in enumerate(names)}
+        counts = np.zeros((len(names), len(asked)))
+        for j, (_, ts) in enumerate(asked):
+            for x in ts:
+                counts[place[x], j] += 1
+        if not names:
+            return
+        machine = ahocorasick.Automaton()
+        for x, k in place.items():
+            machine.add_word(x, (k, len(x)))
+        machine.make_automaton()
+        caches: list[dict] = [{} for _ in fields]
+
+        def worth(value: str | None, field: int) -> np.ndarray | float:
+            kind, weight = fields[field]
+            cache, small = caches[field], value is not None and len(value) <= 32
+            if not value:
+                return 0.0
+            if small and value in cache:
+                return cache[value]
+            found = {k for end, (k, n) in machine.iter(value.lower()) if kind != "prefix" or end + 1 == n}
+            score = weight * counts[sorted(found)].sum(axis=0) if found else 0.0
+            if small and len(cache) < 4096:
+                cache[value] = score
+            return score
+
+        ids = np.array([q for q, _ in asked], np.int64)
+        best_s, best_d = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for lo in range(0, batch.num_rows, 1024):
+                rows = range(lo, min(lo + 1024, batch.num_rows))
+                scores = np.zeros((len(ids), len(rows)))
+                for k, r in enumerate(rows):
+                    for f in range(len(fields)):
+                        scores[:, k] += worth(columns[f + 1][r], f)
+                docs = np.array(columns[0][lo : lo + len(rows)], np.int64)
+                best_s, best_d = np.concatenate([best_s, scores], axis=1), np.concatenate([best_d, np.broadcast_to(docs, scores.shape)], axis=1)
+                order = np.lexsort((best_d, -best_s), axis=1)[:, :limit]
+                best_s, best_d = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_d, order, 1)
+        q, k = np.nonzero(best_s > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_d[q, k]), pa.array(best_s[q, k])], ["query_id", "doc_id", "lexical_score"])
+
+    return scan
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:

@@ -18,11 +18,8 @@ def validated(t: Tables) -> DataFrame:
     c = F.col("text")
     role = F.when(T.any_of(F.lower(c), ("copyright",)), "front_matter").when(T.looks_contents(c), "contents").when(T.looks_index(c), "back_matter").otherwise("body")
     kind = F.expr("CASE lang WHEN 'en' THEN 'article' WHEN 'fr' THEN 'manual' WHEN 'de' THEN 'book' ELSE 'unknown' END")
-    d = t("documents").where("text IS NOT NULL").withColumns({"role": role, "section": T.leading_section(c), "kind": kind, "heading_only": T.is_heading(c)})
-    reasons, quality, short_body, n, size, score = Q.validate(c, F.col("role"), F.col("section"), F.col("kind"), F.col("heading_only"), F.lit(0), F.lit(0.0))
-    made = d.select("doc_id", "source", "lang", "text", reasons.alias("r"), quality.alias("quality_score"), short_body.alias("short_body"), n.alias("n"), size.alias("size"), score.alias("score"))
-    verdict = Q.status(F.col("r"), F.col("score"), F.col("short_body"), F.col("n"), F.col("size"))
-    return made.select("doc_id", "source", "lang", "text", F.when(F.size("r") == 0, F.array(F.lit("ok"))).otherwise(F.col("r")).alias("reasons"), "quality_score", verdict.alias("status"))
+    d = t("documents").where("text IS NOT NULL").select("doc_id", "source", "lang", "text")
+    return Q.validate(d, "text", role, T.leading_section(c), kind, T.is_heading(c), F.lit(0), F.lit(0.0))
 
 
 _LINE = "SELECT doc_id, source, lang, text, text AS line, 1 AS page FROM documents WHERE text IS NOT NULL"

@@ -34,22 +34,21 @@ def test_is_heading(spark, line, want):
 
 
 def validate(spark, text, role="body", section="s", kind="book", heading=False, assets=0, confidence=0.0):
-    reasons, score, short, n, size, raw = quality.validate(*(F.lit(x) for x in (text, role, section, kind, heading, assets, confidence)))
-    r = spark.range(1).select(reasons.alias("r"), score.alias("q"), short.alias("s"), n.alias("n"), size.alias("z"), raw.alias("w"))
-    return r.select("r", "q", quality.status(F.col("r"), F.col("w"), F.col("s"), F.col("n"), F.col("z")).alias("status")).first()
+    df = spark.createDataFrame([(text,)], "text string")
+    return quality.validate(df, "text", *(F.lit(x) for x in (role, section, kind, heading, assets, confidence))).first()
 
 
 def test_validate(spark):
     prose = "One two three four five six seven. " * 2 + "Words that differ from each other make this text longer, and it reads as prose does; so it should pass."
-    assert validate(spark, prose).status == "accepted" and list(validate(spark, prose).r) == []
-    assert validate(spark, "Jxqv.").status == "rejected" and "too_few_words" in validate(spark, "Jxqv.").r
+    assert validate(spark, prose).status == "accepted" and list(validate(spark, prose).reasons) == ['ok']
+    assert validate(spark, "Jxqv.").status == "rejected" and "too_few_words" in validate(spark, "Jxqv.").reasons
     assert validate(spark, "[[Page 7]] 3").status == "rejected"
     assert validate(spark, prose, role="front_matter").status == "review"
     assert validate(spark, prose, heading=True).status == "rejected"
-    assert validate(spark, "word " * 40).r[-1] == "repetitive"
-    assert "visual_context" in validate(spark, "A figure that shows a wonderful machinery, assembled.", assets=1, confidence=0.9).r
-    assert "unknown_document_class" in validate(spark, prose, kind="?").r
-    assert list(validate(spark, "#### $$$$ %%%% ^^^^ &&&& ****").r)[-1:] == ["no_words"] or validate(spark, "#### $$$$ ^^^^ &&&& ****").status == "rejected"
+    assert validate(spark, "word " * 40).reasons[-1] == "repetitive"
+    assert "visual_context" in validate(spark, "A figure that shows a wonderful machinery, assembled.", assets=1, confidence=0.9).reasons
+    assert "unknown_document_class" in validate(spark, prose, kind="?").reasons
+    assert list(validate(spark, "#### $$$$ %%%% ^^^^ &&&& ****").reasons)[-1:] == ["no_words"] or validate(spark, "#### $$$$ ^^^^ &&&& ****").status == "rejected"
 
 
 def blocks_of(spark, lines):
@@ -68,11 +67,11 @@ def test_section_paths_and_units(spark):
 
 
 def test_packing_fold():
-    rows = pd.DataFrame({"doc_id": 1, "pos": range(6), "page": [1, 1, 1, 2, 2, 2], "block_type": "paragraph", "section_path": [[]] * 6, "text": ["x" * 350] * 6, "char_start": range(6), "char_end": range(6), "types": [["paragraph"]] * 6})
-    out = chunks._fold(rows, 900, 300)
-    assert [len(t.split("\n\n")) for t in out.text] == [2, 2, 2] and out.page_start.tolist() == [1, 1, 2]
-    forced = chunks._fold(rows.assign(text=["x" * 600] * 6), 5000, 300)
-    assert [len(t.split("\n\n")) for t in forced.text] == [3, 3]  # a new page ends a chunk of 500 characters or more
+    rows = [{"doc_id": 1, "pos": k, "page": 1 + k // 3, "block_type": "paragraph", "section_path": [], "text": "x" * 350, "char_start": k, "char_end": k, "types": ["paragraph"]} for k in range(6)]
+    out = chunks.fold(rows, 900, 300)
+    assert [len(c["text"].split("\n\n")) for c in out] == [2, 2, 2] and [c["page_start"] for c in out] == [1, 1, 2]
+    forced = chunks.fold([r | {"text": "x" * 600} for r in rows], 5000, 300)
+    assert [len(c["text"].split("\n\n")) for c in forced] == [3, 3]  # a new page ends a chunk of 500 characters or more
 
 
 def test_synopsis_takes_unused_sentences():
