@@ -4,7 +4,7 @@ Texts are lower-cased in A-Z and cut into words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\
 of fewer words is one window) goes into a sorted hash set. Document windows are hashed in bulk, looked up and verified
 word by word; hit spans are then reported, cut out, or used to drop documents.
 
-Defined cases: null and empty texts have no words and are never hit; an item without words gives no window; repeated
+Defined cases: null and empty texts have no words and are never hit; doc_id is a key, null for one row at most; an item without words gives no window; repeated
 items count one by one; an empty table on either side gives no hits; columns other than the named ones pass through
 `remove` untouched. Memory: the set is broadcast in blocks of at most `block_bytes` of item text, so a larger benchmark
 takes more passes, each merged per document; only documents that are hit reach that merge.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalode.llm._support import buffer_of, ints, pieces, runs, window_hashes, words_of
+from stratalode.llm._support import buffer_of, ints, pieces, runs, window_hashes, with_ids, without_ids, words_of
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -135,7 +135,7 @@ def _merge(spans: list) -> list:
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, word spans and byte spans hit (merged, end exclusive) and the items with a window in the document."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = with_ids(docs, "text")
     found = None
     for k, count in _blocks(benchmark, block_bytes):
         part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k)
@@ -155,7 +155,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int
     found = find_hits(docs, benchmark, n, block_bytes)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return without_ids(found).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def _cutter(grams, names: list[str], share: float):

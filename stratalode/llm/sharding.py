@@ -7,7 +7,7 @@ whole shard and slots stay gapless.
 
 Law: `rows`; shard sizes differ by one at most. Defined cases: null text counts as empty (size 1, text_crc32 0);
 equal rows are rows of their own; fewer rows than shards leave the last shards empty; an empty table gives no rows; all
-other columns pass through. The matrix has at most `max_cells` cells; beyond it blocks grow instead.
+other columns pass through, but for ones named shard or slot, which are replaced. The matrix has at most `max_cells` cells; beyond it blocks grow instead.
 """
 
 from __future__ import annotations
@@ -99,6 +99,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20240229, b
 
     The input's partitions must come out alike when read again (a Parquet scan does); a difference raises an error.
     """
+    df = df.drop("shard", "slot")
     spark = df.sparkSession
     counted = dict((r[0], r[1]) for r in df.groupBy(F.spark_partition_id().alias("pid")).count().collect())
     pids = sorted(counted)

@@ -181,7 +181,8 @@ def _cutter(n: int):
                         last = int(s[b]) if b < len(s) else len(raw)
                     texts[k] = b"".join([*out, raw[last:]]).decode("utf-8", "replace")
             columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([c for c, name in zip(columns, names, strict=True) if not name.startswith("__")], [x for x in names if not x.startswith("__")])
+            last = names.index("__spans")
+            yield pa.RecordBatch.from_arrays(columns[:last], names[:last])
 
     return run
 

@@ -172,3 +172,14 @@ def test_both_engines_give_the_same_ids():
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 120))) for _ in range(3000)]
     want = [np.array(enc.model.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
     assert enc.encode(texts) == want
+
+
+def test_null_ids_and_clashing_columns(spark, stored, benchmark):
+    from stratalode.llm import near_dedup, substring_dedup, suffix_dedup
+
+    odd = stored.unionByName(stored.limit(1).withColumn("doc_id", packing.F.lit(None).cast("long"))).selectExpr("*", "1 AS shard", "2 AS slot", "3 AS __x", "4 AS spans")
+    n = odd.count()
+    assert decontamination.report(odd, benchmark).where("doc_id IS NULL").count() == 1
+    for out in (sharding.shuffle_into_shards(odd), packing.pack(odd).select("doc_id").distinct(), quality_rules.judge(odd), near_dedup.report(odd), substring_dedup.report(odd), suffix_dedup.report(odd), substring_dedup.remove(odd), suffix_dedup.remove(odd), decontamination.remove(odd, benchmark, drop_share=1.0)):
+        assert out.count() == n
+    assert near_dedup.keep_one(odd).columns == odd.columns and sharding.shuffle_into_shards(odd).columns.count("shard") == 1
