@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalode.operators import graph as G
+from stratalode.operators import linking as L
+from stratalode.operators.context import STOPWORDS
 from stratalode.plans.catalog import Tables, query
 
 _A = "a AS (SELECT l_orderkey * 10 + l_linenumber AS assertion_id, 's' || l_suppkey AS subject, 'p' || l_partkey AS object, l_returnflag AS predicate, round(1 - l_discount, 4) AS confidence, l_orderkey AS document FROM lineitem)"
@@ -89,31 +91,47 @@ def kg_quality(t: Tables) -> DataFrame:
     return t("lineitem").groupBy(F.col("l_returnflag").alias("predicate")).agg(n.alias("assertions"), d.alias("chunks"), F.round(F.try_divide(n, d), 4).alias("per_chunk"))
 
 
-@query("link_range_join", "SELECT o.o_orderkey, l.l_linenumber, o.o_orderdate FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND l.l_shipdate BETWEEN o.o_orderdate AND o.o_orderdate + INTERVAL 30 DAY")
-def link_range_join(t: Tables) -> DataFrame:
-    joined = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return joined.where("l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAYS").select("o_orderkey", "l_linenumber", "o_orderdate")
+_STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
+
+
+def _tokens(c: str) -> str:
+    return rf"list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 4 AND x NOT IN {_STOP}))"
+
 
+PAIRS = """WITH pairs AS (SELECT a.conv_id AS "group", a.turn AS chunk_id, b.turn AS asset_id, a.text, b.text AS label FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.role = 'assistant' AND b.role = 'user')"""
+LINKS = f"""{PAIRS}, tk AS (SELECT *, {_tokens('label')} AS a, list_sort(list_intersect({_tokens('label')}, {_tokens('text')}))[1:8] AS shared FROM pairs),
+sh AS (SELECT *, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE CAST(len(shared) AS DOUBLE) / least(len(a), {L.TOKENS}) END, 4) AS share FROM tk),
+links AS (SELECT *, CASE WHEN share >= {L.LEAST_SHARE}::DOUBLE THEN round(least({L.TOP}::DOUBLE, {L.BASE}::DOUBLE + share), 4) END AS confidence FROM sh)"""
+BEST = f"""{LINKS}, nb AS (SELECT *, max(confidence) OVER (PARTITION BY "group", asset_id) AS top FROM links WHERE confidence >= {L.LEAST_CONFIDENCE}::DOUBLE),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY "group", asset_id ORDER BY confidence DESC, share DESC, chunk_id) AS INTEGER) AS place FROM nb WHERE top - confidence <= {L.NEAR_BEST}::DOUBLE), best AS (SELECT * FROM rk WHERE place <= {L.PER_ASSET})"""
 
-_LINK = "least(0.95, 0.64 + l_tax * 4)"
+
+def pairs(t: Tables) -> DataFrame:
+    """Assistant turns as chunks over the pages around them, user turns as the assets of those pages."""
+    c = t("conversations")
+    chunks = c.where("role = 'assistant'").select(F.col("conv_id").alias("group"), F.col("turn").alias("chunk_id"), (F.col("turn") - 1).alias("page_start"), (F.col("turn") + 1).alias("page_end"), "text")
+    assets = c.where("role = 'user'").select(F.col("conv_id").alias("group"), F.col("turn").alias("asset_id"), F.col("turn").alias("page"), F.col("text").alias("label"))
+    return L.on_pages(chunks, assets)
+
+
+@query("link_range_join", f'{PAIRS} SELECT "group", chunk_id, asset_id FROM pairs')
+def link_range_join(t: Tables) -> DataFrame:
+    return pairs(t).select("group", "chunk_id", "asset_id")
 
 
-@query("link_score", f"SELECT l_orderkey, l_linenumber, CASE WHEN l_tax >= 0.04 THEN round({_LINK}, 4) ELSE 0.0 END AS confidence FROM lineitem")
+@query("link_score", f'{LINKS} SELECT "group", chunk_id, asset_id, shared, share, confidence FROM links')
 def link_score(t: Tables) -> DataFrame:
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_tax") >= 0.04, F.round(F.least(F.lit(0.95), 0.64 + F.col("l_tax") * 4), 4)).otherwise(0.0).alias("confidence"))
+    return L.scored(pairs(t)).select("group", "chunk_id", "asset_id", "shared", "share", "confidence")
 
 
-@query("link_topk", f"WITH c AS (SELECT l_partkey, l_orderkey, l_linenumber, round({_LINK}, 4) AS confidence FROM lineitem), k AS (SELECT *, max(confidence) OVER (PARTITION BY l_partkey) AS best FROM c WHERE confidence >= 0.68), r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY confidence DESC, l_orderkey, l_linenumber) AS rn FROM k WHERE best - confidence <= 0.08) SELECT l_partkey, l_orderkey, l_linenumber, confidence FROM r WHERE rn <= 2")
+@query("link_topk", f'{BEST} SELECT "group", chunk_id, asset_id, confidence, place FROM best')
 def link_topk(t: Tables) -> DataFrame:
-    c = t("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.round(F.least(F.lit(0.95), 0.64 + F.col("l_tax") * 4), 4).alias("confidence")).where("confidence >= 0.68")
-    best = c.groupBy("l_partkey").agg(F.max("confidence").alias("best"))
-    near = c.join(best, "l_partkey").where("best - confidence <= 0.08")
-    return G.top_per_group(near, ["l_partkey"], [F.desc("confidence"), "l_orderkey", "l_linenumber"], 2).select("l_partkey", "l_orderkey", "l_linenumber", "confidence")
+    return L.best(L.scored(pairs(t))).select("group", "chunk_id", "asset_id", "confidence", "place")
 
 
-@query("link_rollup", "SELECT l_orderkey, count(DISTINCT l_partkey) AS assets, list_sort(list(DISTINCT l_returnflag)) AS types, max(round(1 - l_discount, 4)) AS best FROM lineitem GROUP BY 1")
+@query("link_rollup", f'{BEST} SELECT "group", chunk_id, list_sort(list_distinct(list(asset_id))) AS assets, count(DISTINCT asset_id) AS n_assets, max(confidence) AS best FROM best GROUP BY 1, 2')
 def link_rollup(t: Tables) -> DataFrame:
-    return t("lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("assets"), F.array_sort(F.collect_set("l_returnflag")).alias("types"), F.max(F.round(1 - F.col("l_discount"), 4)).alias("best"))
+    return L.rollup(L.best(L.scored(pairs(t))))
 
 
 @query("asset_indexable", "SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) >= 24 OR contains(lower(url), 'id=') AS indexable FROM pages")
