@@ -117,9 +117,11 @@ def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     start = middle.join(spread, "g").select("g", "n", *(f"m{i}" for i in range(P)), *((F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + TOLERANCE[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)))
     fit = materialise(start, "mcd-start")
     for _ in range(steps):
-        far = _distance(vectors.join(fit.drop("n"), "g"))
-        limit = far.groupBy("g").agg(F.percentile_approx("d2", H, ACCURACY).alias("limit"))
-        inner = far.join(limit, "g").where(F.col("d2") <= F.col("limit"))
+        fit = fit.drop("n")
+        limit = _distance(vectors.join(fit, "g")).groupBy("g").agg(F.percentile_approx("d2", H, ACCURACY).alias("limit"))
+        # written, so that the planner knows how small it is and no row of the vectors is shuffled by its group
+        limited = materialise(fit.join(limit, "g"), "mcd-limit")
+        inner = _distance(vectors.join(limited, "g")).where(F.col("d2") <= F.col("limit"))
         fit = materialise(_factor(_moments(inner), CONSISTENCY), "mcd-step")
     return fit.drop("n").join(size, "g")
 
