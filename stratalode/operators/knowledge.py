@@ -74,3 +74,67 @@ def load_turtle(spark: SparkSession, text: str) -> DataFrame:
         if line.endswith("."):
             subject = None
     return spark.createDataFrame(rows or [], "subject string, predicate string, object string")
+
+
+def _closed(classes_: DataFrame) -> DataFrame:
+    return ancestors(classes_).unionByName(classes_.select("name", F.col("name").alias("ancestor"))).distinct()
+
+
+def _joined(entities: DataFrame, relations: DataFrame, evidence: DataFrame, classes_: DataFrame, predicates: DataFrame) -> DataFrame:
+    """relations with what their rules need: predicate's kind, domain and range, endpoint types, type checks, evidence."""
+    ends = entities.select("chunk_id", "candidate_id", "type")
+    side = lambda k: ends.select("chunk_id", F.col("candidate_id").alias(k), F.col("type").alias(f"{k}_type"))
+    known = _closed(classes_)
+    fits = lambda k, bound: known.select(F.col("name").alias(f"{k}_type"), F.col("ancestor").alias(bound), F.lit(True).alias(f"{k}_fits"))
+    r = relations.join(predicates.withColumnRenamed("name", "predicate"), "predicate", "left")
+    r = r.join(side("subject"), ["chunk_id", "subject"], "left").join(side("object"), ["chunk_id", "object"], "left")
+    r = r.join(fits("subject", "dom"), ["subject_type", "dom"], "left").join(fits("object", "ran"), ["object_type", "ran"], "left")
+    return r.join(evidence.select("chunk_id", "relation_id", F.lit(True).alias("shown")).distinct(), ["chunk_id", "relation_id"], "left")
+
+
+def _entity_errors() -> list[Column]:
+    say = lambda test, name: F.when(test, F.concat(F.lit(f"{name}:"), F.col("candidate_id")))
+    return [
+        say(F.col("known").isNull(), "invalid_type"), say(F.coalesce(F.trim("name"), F.lit("")) == "", "missing_name"),
+        say(F.coalesce("mentions", F.lit(0)) == 0, "missing_mentions"), say(F.coalesce("confidence", F.lit(0.0)) < LEAST_CONFIDENCE, "low_confidence"),
+    ]
+
+
+def _relation_errors() -> list[Column]:
+    say = lambda test, *parts: F.when(test, F.concat_ws(":", *(F.lit(p) if k == 0 else F.col(p) for k, p in enumerate(parts))))
+    kind, data, entity = F.col("kind"), F.col("kind") == "data", F.col("kind") == "object"
+    return [
+        say(kind.isNull(), "unknown_predicate", "relation_id", "predicate"),
+        say(F.coalesce("confidence", F.lit(0.0)) < LEAST_CONFIDENCE, "low_confidence", "relation_id"),
+        say(F.col("subject_type").isNull(), "missing_subject", "relation_id"),
+        say(F.col("subject_type").isNotNull() & F.col("dom").isNotNull() & F.col("subject_fits").isNull(), "invalid_subject_type", "relation_id", "subject_type", "dom"),
+        say(entity & F.col("object_type").isNull(), "missing_object", "relation_id"),
+        say(entity & F.col("object_type").isNotNull() & F.col("ran").isNotNull() & F.col("object_fits").isNull(), "invalid_object_type", "relation_id", "object_type", "ran"),
+        say(data & F.col("literal").isNull(), "missing_literal", "relation_id"),
+        say(data & (F.col("ran") == "decimal") & F.col("literal").isNotNull() & F.col("literal").try_cast("double").isNull(), "invalid_decimal", "relation_id", "literal"),
+        say(F.col("shown").isNull(), "missing_evidence", "relation_id"),
+    ]
+
+
+def _marked_entities(entities: DataFrame, classes_: DataFrame) -> DataFrame:
+    types = classes_.select(F.col("name").alias("type"), F.lit(True).alias("known"))
+    return entities.join(types, "type", "left").withColumn("errors", F.array_compact(F.array(*_entity_errors())))
+
+
+def validate(entities: DataFrame, relations: DataFrame, evidence: DataFrame, classes_: DataFrame, predicates: DataFrame) -> DataFrame:
+    """(chunk_id, error) for every broken rule.
+
+    entities: chunk_id, candidate_id, type, name, mentions, confidence; relations: chunk_id, relation_id, subject, predicate,
+    object, literal, confidence; evidence: chunk_id, relation_id; predicates: name, kind (object or data), dom, ran.
+    """
+    a = _marked_entities(entities, classes_).select("chunk_id", F.explode("errors").alias("error"))
+    b = _joined(entities, relations, evidence, classes_, predicates).select("chunk_id", F.explode(F.array_compact(F.array(*_relation_errors()))).alias("error"))
+    return a.unionByName(b)
+
+
+def prune(entities: DataFrame, relations: DataFrame, evidence: DataFrame, classes_: DataFrame, predicates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, relations and evidence without what breaks a rule, and without what that leaves alone."""
+    good = _marked_entities(entities, classes_).where(F.size("errors") == 0).select(*entities.columns)
+    kept = _joined(good, relations, evidence, classes_, predicates).where(F.size(F.array_compact(F.array(*_relation_errors()))) == 0).select(*relations.columns)
+    ends = kept.select("chunk_id", F.explode(F.array("subject", "object")).alias("candidate_id")).distinct()
+    return good.join(ends, ["chunk_id", "candidate_id"], "left_semi"), kept, evidence.join(kept.select("chunk_id", "relation_id"), ["chunk_id", "relation_id"], "left_semi")

@@ -173,7 +173,7 @@ def count_filtered(t: Tables) -> DataFrame:
 
 @query("place_list", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def place_list(t: Tables) -> DataFrame:
-    return t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
 
 
 @query("job_create", "SELECT o_custkey, count(*) AS active, max(o_orderkey) AS newest FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey HAVING count(*) > 1")

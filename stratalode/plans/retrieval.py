@@ -302,7 +302,7 @@ def link_support(t: Tables) -> DataFrame:
 @query("fetch_by_ids", "WITH i AS (SELECT item_id, CAST(row_number() OVER (ORDER BY item_id DESC) - 1 AS INTEGER) AS pos FROM benchmark) SELECT pos, doc_id, source FROM i JOIN documents ON doc_id = item_id")
 def fetch_by_ids(t: Tables) -> DataFrame:
     ids = t("benchmark").agg(F.sort_array(F.collect_list("item_id"), asc=False).alias("ids")).select(F.posexplode("ids").alias("pos", "doc_id"))
-    return t("documents").join(F.broadcast(ids), "doc_id").select("pos", "doc_id", "source")
+    return t("documents").join(ids, "doc_id").select("pos", "doc_id", "source")
 
 
 @query("fetch_links", "SELECT l_orderkey, l_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size >= 40")

@@ -48,11 +48,11 @@ def ts_window_rollup(t: Tables) -> DataFrame:
     return t("events").groupBy(F.window("ts", "1 hour").start.alias("bucket"), F.col("event_type").alias("metric_name")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
 
 
-@query("ts_topology", "SELECT c_custkey, c_name AS sensor_name, coalesce(nullif(n_name, ''), 'unknown') AS hive_name, coalesce(nullif(r_name, ''), 'unknown') AS place_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+@query("ts_topology", "SELECT c_custkey, c_name AS sensor_name, coalesce(nullif(n_name, ''), 'unknown') AS group_name, coalesce(nullif(r_name, ''), 'unknown') AS place_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def ts_topology(t: Tables) -> DataFrame:
     joined = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     name = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown"))
-    return joined.select("c_custkey", F.col("c_name").alias("sensor_name"), name("n_name").alias("hive_name"), name("r_name").alias("place_name"))
+    return joined.select("c_custkey", F.col("c_name").alias("sensor_name"), name("n_name").alias("group_name"), name("r_name").alias("place_name"))
 
 
 @query("ts_dim_upsert", "SELECT user_id AS sensor_id, arg_max(event_type, event_id) AS last_metric, arg_max(value, event_id) AS last_value, count(*) AS writes FROM events GROUP BY 1")
@@ -60,10 +60,10 @@ def ts_dim_upsert(t: Tables) -> DataFrame:
     return t("events").groupBy(F.col("user_id").alias("sensor_id")).agg(F.max_by("event_type", "event_id").alias("last_metric"), F.max_by("value", "event_id").alias("last_value"), F.count("*").alias("writes"))
 
 
-@query("ts_enforce", "SELECT s_suppkey, s_nationkey, n_regionkey, CASE WHEN n_regionkey IS NULL THEN 'missing_hive' WHEN n_regionkey <> s_nationkey % 5 THEN 'place_mismatch' ELSE 'ok' END AS verdict FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+@query("ts_enforce", "SELECT s_suppkey, s_nationkey, n_regionkey, CASE WHEN n_regionkey IS NULL THEN 'missing_parent' WHEN n_regionkey <> s_nationkey % 5 THEN 'place_mismatch' ELSE 'ok' END AS verdict FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def ts_enforce(t: Tables) -> DataFrame:
     joined = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return joined.select("s_suppkey", "s_nationkey", "n_regionkey", F.when(F.col("n_regionkey").isNull(), "missing_hive").when(F.col("n_regionkey") != F.col("s_nationkey") % 5, "place_mismatch").otherwise("ok").alias("verdict"))
+    return joined.select("s_suppkey", "s_nationkey", "n_regionkey", F.when(F.col("n_regionkey").isNull(), "missing_parent").when(F.col("n_regionkey") != F.col("s_nationkey") % 5, "place_mismatch").otherwise("ok").alias("verdict"))
 
 
 @query("ts_propagate", "SELECT s_suppkey, n_name || '/' || s_name AS full_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")

@@ -22,13 +22,13 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("line", "want"),
-    [("Preface.Thisshorttreatise JohnDoe 12Bees", "Preface. Thisshorttreatise John Doe 12 Bees"), ("so­ft  ﬁne ﬂow", "soft fine flow"), ("ABCde (x)y a(b", "AB Cde (x) y a (b"), ("  a\x00b ", "ab")],
+    [("Chapter.Somewords MaryStone 12Cats", "Chapter. Somewords Mary Stone 12 Cats"), ("so­ft  ﬁne ﬂow", "soft fine flow"), ("ABCde (x)y a(b", "AB Cde (x) y a (b"), ("  a\x00b ", "ab")],
 )
 def test_normalize_line(spark, line, want):
     assert one(spark, T.normalize_line(F.lit(line))) == want
 
 
-@pytest.mark.parametrize(("line", "want"), [("INTRODUCTION", True), ("The Life Of Things", True), ("This is a plain sentence that ends here.", False), ("J", False), ("Chapter 12 Of It", False), ("S. Harbison, Capt.", False)])
+@pytest.mark.parametrize(("line", "want"), [("INTRODUCTION", True), ("The Life Of Things", True), ("This is a plain sentence that ends here.", False), ("J", False), ("Chapter 12 Of It", False), ("T. Morland, Esq.", False)])
 def test_is_heading(spark, line, want):
     assert one(spark, T.is_heading(F.lit(line))) is want
 
@@ -41,7 +41,7 @@ def validate(spark, text, role="body", section="s", kind="book", heading=False,
 def test_validate(spark):
     prose = "One two three four five six seven. " * 2 + "Words that differ from each other make this text longer, and it reads as prose does; so it should pass."
     assert validate(spark, prose).status == "accepted" and list(validate(spark, prose).reasons) == ['ok']
-    assert validate(spark, "Jxqv.").status == "rejected" and "too_few_words" in validate(spark, "Jxqv.").reasons
+    assert validate(spark, "Kzpw.").status == "rejected" and "too_few_words" in validate(spark, "Kzpw.").reasons
     assert validate(spark, "[[Page 7]] 3").status == "rejected"
     assert validate(spark, prose, role="front_matter").status == "review"
     assert validate(spark, prose, heading=True).status == "rejected"
@@ -106,8 +106,8 @@ def test_self_loops_count_once(spark):
 def test_ontology(spark):
     cyclic = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("D", None)], "name string, parent string")
     assert {(r.name, r.ancestor) for r in knowledge.ancestors(cyclic).collect()} >= {("A", "C"), ("A", "A"), ("B", "A")}
-    ttl = '@prefix ex: <http://x/> .\nex:Bee a ex:Class ;\n  ex:label "Bee"@en ;\n  ex:subClassOf ex:Insect .\nex:Insect a ex:Class .'
-    assert {tuple(r) for r in knowledge.load_turtle(spark, ttl).collect()} == {("Bee", "type", "Class"), ("Bee", "label", "Bee"), ("Bee", "subClassOf", "Insect"), ("Insect", "type", "Class")}
+    ttl = '@prefix ex: <http://x/> .\nex:Cat a ex:Class ;\n  ex:label "Cat"@en ;\n  ex:subClassOf ex:Animal .\nex:Animal a ex:Class .'
+    assert {tuple(r) for r in knowledge.load_turtle(spark, ttl).collect()} == {("Cat", "type", "Class"), ("Cat", "label", "Cat"), ("Cat", "subClassOf", "Animal"), ("Animal", "type", "Class")}
 
 
 def test_merge_replace_delete(spark):
@@ -192,3 +192,34 @@ def test_stream_rate_limit(spark, tmp_path):
     rows = [(1, datetime.datetime(2024, 1, 1, 0, 0, s)) for s in (0, 1, 2, 11, 12)]
     s = stream_of(spark, tmp_path, rows, "key long, ts timestamp")
     assert [(r.allowed, r.refused) for r in run(streaming.rate_limit(s, 2, 10), "limited", "update").collect()] == [(4, 1)]
+
+
+def test_knowledge_rules(spark):
+    classes = spark.createDataFrame([("Animal", None), ("Cat", "Animal"), ("Food", None)], "name string, parent string")
+    predicates = spark.createDataFrame([("eats", "object", "Animal", "Food"), ("weighs", "data", "Animal", "decimal")], "name string, kind string, dom string, ran string")
+    entities = spark.createDataFrame(
+        [("k", "e1", "Cat", "Tom", 1, 0.9), ("k", "e2", "Food", "fish", 1, 0.9), ("k", "e3", "Rock", "", 0, 0.5), ("k", "e4", "Food", "alone", 1, 0.9)],
+        "chunk_id string, candidate_id string, type string, name string, mentions int, confidence double",
+    )
+    relations = spark.createDataFrame(
+        [("k", "r1", "e1", "eats", "e2", None, 0.9), ("k", "r2", "e2", "eats", "e1", None, 0.9), ("k", "r3", "e1", "weighs", None, "4.5", 0.9), ("k", "r4", "e1", "weighs", None, "heavy", 0.6), ("k", "r5", "e9", "sings", None, None, 0.9)],
+        "chunk_id string, relation_id string, subject string, predicate string, object string, literal string, confidence double",
+    )
+    evidence = spark.createDataFrame([("k", r) for r in ("r1", "r2", "r3", "r4")], "chunk_id string, relation_id string")
+    errors = {r.error for r in knowledge.validate(entities, relations, evidence, classes, predicates).collect()}
+    assert errors == {
+        "invalid_type:e3", "missing_name:e3", "missing_mentions:e3", "low_confidence:e3", "invalid_subject_type:r2:Food:Animal", "invalid_object_type:r2:Cat:Food",
+        "low_confidence:r4", "invalid_decimal:r4:heavy", "unknown_predicate:r5:sings", "missing_subject:r5", "missing_evidence:r5",
+    }
+    e, r, v = knowledge.prune(entities, relations, evidence, classes, predicates)
+    assert {x.candidate_id for x in e.collect()} == {"e1", "e2"} and {x.relation_id for x in r.collect()} == {"r1", "r3"} and v.count() == 2
+
+
+def test_links(spark):
+    from stratalode.operators import linking
+
+    chunks_ = spark.createDataFrame([(1, 1, 1, 2, "yellow river bridge under repair"), (1, 2, 2, 3, "nothing alike here")], "group long, chunk_id long, page_start long, page_end long, text string")
+    assets = spark.createDataFrame([(1, 7, 2, "River bridge"), (1, 8, 9, "elsewhere")], "group long, asset_id long, page long, label string")
+    links = linking.scored(linking.on_pages(chunks_, assets))
+    assert {(r.chunk_id, r.share, r.confidence) for r in links.collect()} == {(1, 1.0, 0.95), (2, 0.0, None)}
+    assert [(r.chunk_id, r.assets, r.best) for r in linking.rollup(linking.best(links)).collect()] == [(1, [7], 0.95)]
