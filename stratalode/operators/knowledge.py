@@ -46,10 +46,13 @@ def normal(c: Column) -> Column:
 
 
 def tag(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(doc_id, name, alias, place): whole-word aliases; texts are tokenised once and joined on the word."""
+    """(doc_id, name, alias, place): whole-word aliases; texts are tokenised once and only aliases are grouped.
+
+    The ontology is a constant of this module, so its broadcast doesn't grow with the data.
+    """
     words = docs.select("doc_id", F.posexplode(F.split(normal(F.col("text")), " ")).alias("place", "alias"))
-    first = words.groupBy("doc_id", "alias").agg(F.min("place").alias("place"))
-    return first.join(F.broadcast(aliases(spark).where("NOT contains(alias, ' ')")), "alias").select("doc_id", "name", "alias", "place")
+    known = words.join(F.broadcast(aliases(spark).where("NOT contains(alias, ' ')")), "alias")
+    return known.groupBy("doc_id", "name", "alias").agg(F.min("place").alias("place"))
 
 
 def entity_key(kind: Column, name: Column) -> Column:

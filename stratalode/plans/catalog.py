@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[["Tables"], DataFrame]
+#: Tables of long texts.
+TEXTS = ("documents", "pages")
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -18,7 +20,12 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """The table; one of texts in fewer splits than there are cores is dealt out, as its rows are costly to work on."""
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in TEXTS and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
