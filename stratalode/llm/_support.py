@@ -26,9 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends, lost executors lose nothing."""
+def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: lineage ends, lost executors lose nothing.
+
+    files: for small tables, how many to write, so that their size on disk is their rows' and not that of many footers.
+    """
     spark = df.sparkSession
+    df = df.repartition(files) if files else df
     path = f"{shared_dir(spark)}/stratalode/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -111,18 +111,18 @@ def _moments(rows: DataFrame) -> DataFrame:
 def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     """vectors (g, x0..): per group g, its rows, the robust centre and the Cholesky factor of the robust scatter."""
     middle = vectors.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(f"x{i}", 0.5, ACCURACY).alias(f"m{i}") for i in range(P)))
-    middle = materialise(middle, "mcd-median")
+    middle = materialise(middle, "mcd-median", files=2)
     spread = vectors.join(middle, "g").groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, ACCURACY).alias(f"a{i}") for i in range(P)))
     size = middle.select("g", F.col("n").alias("rows"))
     start = middle.join(spread, "g").select("g", "n", *(f"m{i}" for i in range(P)), *((F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + TOLERANCE[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)))
-    fit = materialise(start, "mcd-start")
+    fit = materialise(start, "mcd-start", files=2)
     for _ in range(steps):
         fit = fit.drop("n")
         limit = _distance(vectors.join(fit, "g")).groupBy("g").agg(F.percentile_approx("d2", H, ACCURACY).alias("limit"))
         # written, so that the planner knows how small it is and no row of the vectors is shuffled by its group
-        limited = materialise(fit.join(limit, "g"), "mcd-limit")
+        limited = materialise(fit.join(limit, "g"), "mcd-limit", files=2)
         inner = _distance(vectors.join(limited, "g")).where(F.col("d2") <= F.col("limit"))
-        fit = materialise(_factor(_moments(inner), CONSISTENCY), "mcd-step")
+        fit = materialise(_factor(_moments(inner), CONSISTENCY), "mcd-step", files=2)
     return fit.drop("n").join(size, "g")
 
 
@@ -134,7 +134,7 @@ def judge(docs: DataFrame, steps: int = STEPS, min_rows: int = MIN_ROWS, cutoff:
     levels = [F.concat_ws("\x01", "__lang", "__source"), F.col("__lang"), F.lit("*")]
     levels = [F.concat(F.lit(f"{k}:"), level) for k, level in enumerate(levels)]
     vectors = made.select(F.explode(F.array(*levels)).alias("g"), *(f"x{i}" for i in range(P)))
-    fit = materialise(estimates(vectors, steps).where(F.col("rows") >= min_rows), "mcd-fit")
+    fit = materialise(estimates(vectors, steps).where(F.col("rows") >= min_rows), "mcd-fit", files=2)
     known = fit.select(F.col("g").alias("__g"))
     for k, level in enumerate(levels):  # the finest group that is large enough
         made = made.withColumn(f"__g{k}", level).join(known.withColumnsRenamed({"__g": f"__h{k}"}), F.col(f"__g{k}") == F.col(f"__h{k}"), "left")
