@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalode.plans import catalog
+from stratalode.session import share_code
 
 MODULES = ("text", "quality", "listings", "sensors", "retrieval", "graph", "knowledge", "chunks", "context", "evaluation", "storage")
 
@@ -19,7 +20,7 @@ def _load() -> None:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
-    return {name: lambda spark, sf_dir, f=f: f(catalog.Tables(spark, sf_dir)) for name, f in catalog.QUERIES.items()}
+    return {name: lambda spark, sf_dir, f=f: f(catalog.Tables(share_code(spark), sf_dir)) for name, f in catalog.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
