@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalode.session import share_code
+
 #: Query name -> module; the SQL, where there is any, is the module's ORACLE_SQL.
 _QUERIES = {
     "op1_decontamination": "decontamination",
@@ -26,7 +28,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     found = {name: getattr(import_module(f"stratalode.llm.{module}"), name) for name, module in _QUERIES.items()}
-    return found | {"pipeline": corpus_pipeline.run}
+    found["pipeline"] = corpus_pipeline.run
+    return {name: lambda spark, sf_dir, f=f: f(share_code(spark), sf_dir) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
