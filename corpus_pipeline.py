@@ -6,34 +6,55 @@ but the last return the columns of documents: rejected documents are gone, cut t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalode.llm import decontamination, near_dedup, packing, quality_rules, substring_dedup
 from stratalode.llm._support import materialise, recounted, same_row
+from stratalode.session import share_code
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(f: Stage) -> Stage:
+    """A stage whose workers find this library."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return f(share_code(spark), docs, sf_dir)
+
+    return run
 
 
+@stage
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their group's robust ellipsoid."""
     kept = quality_rules.judge(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, same_row("doc_id", "__id"), "left_semi")
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
     return near_dedup.keep_one(docs)
 
 
+@stage
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the word windows that an earlier document has."""
     return recounted(substring_dedup.remove(docs))
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark windows; mostly hit documents are gone."""
     return recounted(decontamination.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences with the sources' proportions in every window."""
     return packing.digest(packing.pack(docs))
@@ -54,8 +75,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"stage-{name}")
     return docs
