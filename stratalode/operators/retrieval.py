@@ -30,6 +30,7 @@ def dummy_vector(c: Column, dimensions: int = 16) -> Column:
 
 def lexical(docs: DataFrame, queries: DataFrame, fields: dict[str, tuple[str, float]], limit: int = LIMIT, block: int = TERM_BLOCK) -> DataFrame:
     """(query_id, doc_id, lexical_score, lexical_rank): each of a query's first 8 terms adds its field's weight where found.
+    doc_id is a key of docs.
 
     fields: column -> (contains | prefix, weight). The stated queries go to the tasks in blocks of bounded size; one
     automaton of a block's distinct terms reads each text once, and only each task's own best rows leave it.

@@ -189,7 +189,7 @@ def ans_extractive(t: Tables) -> DataFrame:
     return top.groupBy("query_id").applyInPandas(run, "query_id long, answer string")
 
 
-@query("ans_last_resort", f"{P.RERANK}, g AS (SELECT query_id, max(rerank_score) AS best FROM ranked GROUP BY 1) SELECT item_id AS query_id, CASE WHEN best >= 0.3 THEN 0.42 ELSE 0.28 END AS confidence FROM benchmark LEFT JOIN g ON item_id = query_id")
+@query("ans_last_resort", f"{P.RERANK}, g AS (SELECT query_id, max(rerank_score) AS best FROM ranked GROUP BY 1) SELECT item_id AS query_id, CAST(CASE WHEN best >= 0.3 THEN 0.42 ELSE 0.28 END AS DOUBLE) AS confidence FROM benchmark LEFT JOIN g ON item_id = query_id")
 def ans_last_resort(t: Tables) -> DataFrame:
     g = P.ranked(t).groupBy("query_id").agg(F.max("rerank_score").alias("best"))
     return P.queries(t).select("query_id").join(g, "query_id", "left").select("query_id", F.when(F.col("best") >= 0.3, F.lit(0.42)).otherwise(F.lit(0.28)).alias("confidence"))

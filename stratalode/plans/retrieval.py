@@ -194,12 +194,12 @@ def lex_chunks(t: Tables) -> DataFrame:
 def _lex(name: str, table: str, key: str, fields: dict, limit: int = 10) -> None:
     @query(name, f"WITH {_Q}, {lex_sql('lex', fields, table, key, limit)} SELECT query_id, doc_id, lexical_score, lexical_rank FROM lex")
     def run(t: Tables) -> DataFrame:
-        return R.lexical(t(table).withColumn("doc_id", F.col(key)), queries(t), fields, limit)
+        return R.lexical(t(table).withColumn("doc_id", F.expr(key)), queries(t), fields, limit)
 
 
 _lex("lex_assets", "pages", "page_id", {"url": ("contains", 24.0), "html": ("contains", 10.0)})
 _lex("lex_doc_syn", "documents", "doc_id", {"source": ("prefix", 24.0), "text": ("contains", 9.0)})
-_lex("lex_sec_syn", "conversations", "conv_id", {"role": ("prefix", 24.0), "text": ("contains", 9.0)})
+_lex("lex_sec_syn", "conversations", "(conv_id * 100000 + turn)", {"role": ("prefix", 24.0), "text": ("contains", 9.0)})
 _lex("lex_entities", "part", "p_partkey", {"p_name": ("contains", 24.0), "p_type": ("contains", 10.0), "p_brand": ("prefix", 40.0)})
 
 
