@@ -10,6 +10,9 @@ Documents with the same multiset are one representative from the start (an aggre
 bucket each is paired with its least and its greatest member only, so no group emits its pairs. Pairs are screened by their
 signatures and then verified on the whole multisets. Verified links are closed to components by hooking each root to its
 least neighbour. Further rounds take buckets that still hold several components and pair their members with another one.
+What is then unchecked between different components of a bucket is checked by tiles: a bucket's members are dealt to tiles
+of bounded size, each pair of tiles is a group that counts all its overlaps at once and gives one link a member at most.
+So every pair that shares a band is verified or joined already.
 
 Defined cases: null and empty texts have no words; all of them have one multiset, the empty one; equal rows are copies;
 doc_id ties don't occur within a key (null ids rank last); an empty table gives no rows; other columns pass through.
@@ -33,7 +36,10 @@ BANDS, PER_BAND = 28, 4
 SIZE = BANDS * PER_BAND
 #: Share of equal signature values below which a pair isn't verified: over five standard deviations under the threshold.
 SCREEN = 0.60
+#: Passes that pair members with one of their bucket (its ends first) before the rest is checked by tiles.
 ROUNDS = 3
+#: Members of a tile, and bytes of their multisets, on average at most.
+TILE, TILE_BYTES = 1024, 16 << 20
 _UNIT = 2.0**-64
 
 
@@ -193,6 +199,68 @@ def _verifier(threshold: float):
     return run
 
 
+def overlaps(bags: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """left x right: how many elements the bags (sorted sets) at these places share; a bag's with itself don't count."""
+    n, out = len(bags), np.zeros((len(left), len(right)), np.int64)
+    owner = np.repeat(np.arange(n), [len(b) for b in bags])
+    _, element, count = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    common = (count > 1) & (count * 32 >= n)
+    number, step = np.cumsum(common) - 1, max(1024, (4 << 20) // n)
+    at = np.flatnonzero(common[element])
+    at = at[np.argsort(number[element[at]], kind="stable")]
+    column = number[element[at]]
+    for lo in range(0, int(common.sum()), step):  # elements of many bags: products of 0-1 matrices
+        part = slice(*np.searchsorted(column, [lo, lo + step]))
+        has = np.zeros((n, step), np.float32)
+        has[owner[at[part]], column[part] - lo] = 1
+        out += (has[left] @ has[right].T).astype(np.int64)
+    at = np.flatnonzero(((count > 1) & ~common)[element])
+    at = at[np.argsort(element[at], kind="stable")]
+    many = count[element[at]]
+    first = np.searchsorted(element[at], element[at])
+    row, col = np.full(n, -1), np.full(n, -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    edge = np.concatenate([[0], np.cumsum(many)])
+    lo = 0
+    while lo < len(at):  # elements of few bags: all their pairs
+        hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + (1 << 20), "right")) - 1)
+        m = many[lo:hi]
+        other = np.repeat(first[lo:hi] - (edge[lo:hi] - edge[lo]), m) + np.arange(int(m.sum()))
+        x, y = row[owner[np.repeat(at[lo:hi], m)]], col[owner[at[other]]]
+        both = (x >= 0) & (y >= 0)
+        out += np.bincount(x[both] * len(right) + y[both], minlength=out.size).reshape(out.shape)
+        lo = hi
+    return out
+
+
+def _tiler(threshold: float):
+    """Links of a pair of tiles, as (least of those linked within the group, member)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        tile, rep, root = (ints(table[c].combine_chunks()) for c in ("tile", "rep", "root"))
+        left, right = np.flatnonzero(tile == key[1].as_py()), np.flatnonzero(tile == key[2].as_py())
+        x = y = np.zeros(0, np.int64)
+        if len(left) and len(right) and (root != root[0]).any():
+            bags = [np.frombuffer(b, np.uint32) for b in table["bag"].to_pylist()]
+            size = np.array([len(b) for b in bags])
+            both = overlaps(bags, left, right)
+            near = (both >= threshold * (size[left][:, None] + size[right] - both)) & (both > 0) & (root[left][:, None] != root[right])
+            x, y = np.nonzero(near)
+            x, y = left[x], right[y]
+        order = np.argsort(rep)
+        label = np.empty(len(rep), np.int64)
+        label[order] = np.arange(len(rep))
+        while (label[x] != label[y]).any():
+            least = np.minimum(label[x], label[y])
+            np.minimum.at(label, x, least)
+            np.minimum.at(label, y, least)
+            label = label[order[label]]
+        to = rep[order[label]]
+        return pa.table({"a": to[to != rep], "b": rep[to != rep]})
+
+    return run
+
+
 def _screener(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,6 +303,17 @@ def components(edges: DataFrame, label: DataFrame | None = None) -> DataFrame:
     return label
 
 
+def _tiled(now: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all members (bucket, rep, root) of a bucket that are near and have different roots."""
+    sized = now.join(bags.select("rep", F.octet_length("bag").alias("bytes")), "rep")
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("bytes") / TILE_BYTES)).alias("tiles")
+    mixed = materialise(sized.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), tiles).where("lo < hi").select("bucket", "tiles"), "rest-buckets")
+    dealt = now.join(mixed, "bucket").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    dealt = dealt.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "root")
+    return materialise(dealt.join(bags, "rep").groupBy("bucket", "i", "j").applyInArrow(_tiler(threshold), "a long, b long").distinct(), "links")
+
+
 def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, per: int = PER_BAND, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, class_id): class_id is the least doc_id among the document's near copies; null ids stand as NO_ID."""
     source = with_ids(docs, "text")
@@ -254,14 +333,22 @@ def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, ban
         near = _with_both(pairs, sigs, "sig").mapInArrow(_screener(SCREEN), "a long, b long")
         return materialise(_with_both(near, bags, "bag").mapInArrow(_verifier(threshold), "a long, b long"), "links")
 
+    def rooted(open_: DataFrame) -> DataFrame:
+        return open_.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+
     label = components(verified(members.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("rep").alias("b"))))
+    open_ = members.where("rep <> lo AND rep <> hi").select("bucket", "rep")  # not yet paired with all of their bucket
     for k in range(1, rounds):
-        now = members.select("bucket", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        now = rooted(open_)
         mixed = materialise(now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(k))).alias("hub")).where("lo < hi").select("bucket", "hub"), "mixed-buckets")
+        now = materialise(now.join(mixed, "bucket"), "open")
         if not mixed.limit(1).count():
             break
-        pairs = now.join(mixed, "bucket").where("root <> hub.root").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
+        pairs = now.where("root <> hub.root").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
         label = components(verified(pairs), label)
+        open_ = now.where("rep <> hub.rep").select("bucket", "rep")
+    else:
+        label = components(_tiled(rooted(open_), bags, threshold), label)
     final = label.select(F.col("node").alias("rep"), "root")
     named = rep.join(final, "rep", "left").select("m1", "m2", F.coalesce("root", "rep").alias("class_id"))
     return signed.select("doc_id", "m1", "m2").join(named, ["m1", "m2"]).select("doc_id", "class_id")

@@ -61,6 +61,31 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.report(docs).collect()} == brute(rows)
 
 
+def test_star_of_copies_that_are_near_the_original_only(spark):
+    rng = random.Random(8)
+    base = [f"t{rng.randint(0, 10**6)}" for _ in range(300)]
+    rows = []
+    for k in range(401):
+        w = list(base)
+        for at in rng.sample(range(5, 295), 6) if k != 200 else ():
+            w[at] = f"e{rng.randint(0, 10**6)}"
+        rows.append({"doc_id": k, "text": " ".join(w)})
+    bags = [bag(r["text"]) for r in rows]
+    assert all(jaccard(bags[200], b) >= 0.8 for b in bags) and jaccard(bags[0], bags[400]) < 0.8
+    docs = spark.createDataFrame(pa.Table.from_pylist(rows)).repartition(4)
+    assert {r.class_id for r in near_dedup.report(docs).collect()} == {0}
+
+
+def test_overlaps():
+    rng = np.random.default_rng(1)
+    shared = np.arange(50, dtype=np.uint32)
+    bags = [np.unique(np.concatenate([shared[rng.random(50) < 0.8], rng.integers(50, 3000, k % 40).astype(np.uint32)])) for k in range(300)]
+    bags[7] = bags[7][:0]
+    left, right = np.arange(0, 120), np.arange(100, 300)
+    got = near_dedup.overlaps(bags, left, right)
+    assert all(got[x, y - 100] == len(np.intersect1d(bags[x], bags[y])) for x in left for y in right if x != y)
+
+
 def test_signature_is_unbiased_for_multisets():
     rng = random.Random(2)
     pairs = []
