@@ -7,7 +7,7 @@ word by word; hit spans are then reported, cut out, or used to drop documents.
 Defined cases: null and empty texts have no words and are never hit; doc_id is a key, null for one row at most; an item without words gives no window; repeated
 items count one by one; an empty table on either side gives no hits; columns other than the named ones pass through
 `remove` untouched. Memory: the set is broadcast in blocks of at most `block_bytes` of item text, so a larger benchmark
-takes more passes, each merged per document; only documents that are hit reach that merge.
+takes more passes, each merged per document; `remove` carries the spans beside the text and cuts once after all blocks.
 """
 
 from __future__ import annotations
@@ -158,31 +158,52 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int
     return without_ids(found).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def _cutter(grams, names: list[str], share: float):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marker(grams, names: list[str]):
+    """Adds the word spans hit, as a, b, a, b, ..., to the last column."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, at = grams.value, names.index("text")
         for batch in batches:
             buf, off = buffer_of(batch.column(at))
-            texts, keep = batch.column(at).to_pylist(), []
+            marks = batch.column(len(names)).to_pylist()
             for i, j in pieces(off):
                 part, part_off = buf[off[i] : off[j]], off[i : j + 1] - off[i]
                 starts, ends, h, doc = words_of(part, part_off, SEPARATOR, FOLD)
                 hit = np.zeros(len(starts), bool)
                 for k, size, _ in index.hits(FOLD[part], starts, ends, h, doc):
                     hit[k : k + size] = True
-                n_words, n_hit = np.bincount(doc, minlength=j - i), np.bincount(doc[hit], minlength=j - i)
-                for d in np.flatnonzero(n_hit).tolist():
-                    f = int(np.searchsorted(doc, d))
-                    a, b = runs(hit[f : f + n_words[d]])
-                    raw, out, last = part[part_off[d] : part_off[d + 1]].tobytes(), [], 0
-                    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                        out.append(raw[last : starts[f + x] - part_off[d]])
-                        last = int(ends[f + y - 1] - part_off[d])
-                    texts[i + d] = b"".join([*out, raw[last:]]).decode("utf-8", "replace")
-                keep.append(n_hit <= share * n_words)
-            mask = np.concatenate(keep) if keep else np.zeros(0, bool)
-            columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(mask))
+                first = np.searchsorted(doc, np.arange(j - i + 1))
+                for d in np.unique(doc[hit]).tolist():
+                    marks[i + d] = [*marks[i + d], *np.stack(runs(hit[first[d] : first[d + 1]]), 1).reshape(-1).tolist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, pa.list_(pa.int64()))], batch.schema.names)
+
+    return mark
+
+
+def _cutter(names: list[str], share: float):
+    """Cuts the union of the marked spans, or drops the document."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index("text")
+        for batch in batches:
+            texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
+            buf, off = buffer_of(batch.column(at))
+            for d, marks in enumerate(batch.column(len(names)).to_pylist()):
+                if not marks:
+                    continue
+                part = buf[off[d] : off[d + 1]]
+                starts, ends, _, _ = words_of(part, np.array([0, len(part)]), SEPARATOR, FOLD, hashed=False)
+                hit = np.zeros(len(starts), bool)
+                for x, y in zip(marks[::2], marks[1::2], strict=True):
+                    hit[x:y] = True
+                keep[d] = hit.sum() <= share * len(starts)
+                raw, out, last = part.tobytes(), [], 0
+                for x, y in zip(*(e.tolist() for e in runs(hit)), strict=True):
+                    out.append(raw[last : starts[x]])
+                    last = int(ends[y - 1])
+                texts[d] = b"".join([*out, raw[last:]]).decode("utf-8", "replace")
+            columns = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
     return cut
 
@@ -190,14 +211,18 @@ def _cutter(grams, names: list[str], share: float):
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the words hit; a document with more than drop_share of its words hit goes altogether.
 
-    A benchmark of several blocks is cut block by block, each on what the last one left.
+    The blocks of a benchmark mark their hits on the text as it came; the union is judged and cut once.
     """
-    schema, out = docs.schema, docs
+    marks = "__marks"
+    while marks in docs.columns:
+        marks += "_"
+    out = docs.withColumn(marks, F.array().cast("array<long>"))
+    schema = out.schema
     for k, count in _blocks(benchmark, block_bytes):
         part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k)
         grams = docs.sparkSession.sparkContext.broadcast(NgramSet([(int(r[0]), r[1]) for r in part.collect() if r[0] is not None], n))
-        out = out.mapInArrow(_cutter(grams, docs.columns, drop_share), schema)
-    return out
+        out = out.mapInArrow(_marker(grams, docs.columns), schema)
+    return out.mapInArrow(_cutter(docs.columns, drop_share), docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,22 @@ def test_decontamination_removes(spark, stored, benchmark):
     assert decontamination.remove(stored, benchmark.limit(0)).count() == stored.count()
 
 
+def test_decontamination_removes_the_same_in_blocks(spark):
+    words = [f"p{k}" for k in range(24)]
+    items = [(k, " ".join(words[9:23] if k % 2 else words[:15])) for k in range(2)]
+    items += [(k, " ".join(f"q{k}x{j}" for j in range(12))) for k in range(2, 12)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    own = " ".join(f"o{k}" for k in range(30))
+    spread = " ".join(f"{items[k][1]} s{k}a s{k}b s{k}c" for k in range(2, 12))  # 120 of 150 words, a tenth of them an item
+    halves = f"before {' '.join(items[5][1].split()[:5])} {items[6][1]} {' '.join(items[5][1].split()[5:])} {own}"
+    texts = [f"{own} {' '.join(words)} end", spread, halves, own, "", None]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, __marks long")
+    got = [{r.doc_id: r.text for r in decontamination.remove(docs, benchmark, block_bytes=b).collect()} for b in (1 << 20, 60)]
+    a, b = halves.split(items[6][1])
+    assert got[0] == {0: f"{own}  p23 end", 2: a + b, 3: own, 4: "", 5: None}
+    assert got[1] == got[0]
+
+
 def _check_pieces(pieces, texts, length):
     from tokenizers import Tokenizer
 
