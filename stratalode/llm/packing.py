@@ -10,8 +10,8 @@ the counts served before a block follow from the targets alone (deficits are car
 task replays just the blocks its documents meet. Token ids are made once and kept in the shared folder.
 
 Defined cases: null text is empty and gives the end id alone; documents and sources may repeat; a null source is a queue
-of its own; an empty table gives no pieces; other columns are ignored. More than `max_queues` sources share that many
-queues by hash, so the plan's state stays bounded.
+of its own; an empty table gives no pieces; other columns are ignored. Every source is a queue of its own, however many
+there are: beyond `max_queues` the plan keeps just what windows take (at most a window's tokens each), with equal results.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ LENGTH = 2048
 END_ID = 1
 #: Windows planned at once.
 BLOCK = 256
+#: Bytes of plans that a task keeps at most, beside the last one.
+CACHE = 128 << 20
 #: Characters whose classes every version of the two libraries' patterns agrees on.
 _PLAIN = re.compile(r"[^\t\n\r -~\u00a1-\u00ac\u00ae-\u017f\u2010-\u2027\u20ac]")
 #: Bytes that only texts may hold that need the closer look: controls, and lead bytes of characters outside U+00C0-U+017F.
@@ -133,12 +135,14 @@ def _tokeniser(path: str | None, end: int):
 class Plan:
     """What each window takes from each queue. totals: tokens of each queue; weights: target shares (any scale)."""
 
-    def __init__(self, totals: list[int], weights: list[float], length: int = LENGTH, block: int = BLOCK):
+    def __init__(self, totals: list[int], weights: list[float], length: int = LENGTH, block: int = BLOCK, sparse: bool = False):
         self.totals, self.length, self.block = totals, length, block
         self.weights = np.array(weights, float)
         self.total = sum(totals)
         self.windows = -(-self.total // length)
+        self.sparse = sparse
         self.cache: dict[int, np.ndarray] = {}
+        self.kept = 0
 
     def before(self, tokens: int) -> np.ndarray:
         """Tokens served of each queue when `tokens` are served in all: queue s has its i-th turn at (i + 1/2) / weight."""
@@ -157,37 +161,64 @@ class Plan:
             out[s] += min(int(more[s] - out[s]), tokens - int(out.sum()))
         return out
 
-    def of_block(self, b: int) -> np.ndarray:
-        """Tokens served of each queue before each window of block b and after its last: (windows + 1) x queues."""
-        if b not in self.cache:
-            if len(self.cache) > 4096:
-                self.cache.clear()
-            first, last = b * self.block, min((b + 1) * self.block, self.windows)
-            start, stop = self.before(first * self.length), self.before(last * self.length)
-            left, out = stop - start, [start]
+    def takes(self, b: int) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+        """Tokens served of each queue before block b, the queues it takes from, and what each window takes from those."""
+        first, last = b * self.block, min((b + 1) * self.block, self.windows)
+        start, stop = self.before(first * self.length), self.before(last * self.length)
+        queues = np.flatnonzero(stop > start)
+
+        def run(left: np.ndarray) -> Iterator[np.ndarray]:
             share = left / max(1, left.sum()) * self.length
-            deficit = np.zeros(len(start))
+            deficit = np.zeros(len(left))
             for k in range(first, last):
                 room = min(self.length, self.total - k * self.length)
                 deficit += share
                 take = np.minimum(np.maximum(np.floor(deficit), 0).astype(np.int64), left)
                 over = int(take.sum()) - room
-                for s in np.argsort(deficit - take, kind="stable") if over > 0 else ():
-                    cut = min(over, int(take[s]))
-                    take[s] -= cut
-                    over -= cut
-                    if not over:
-                        break
+                if over > 0:
+                    order = np.argsort(deficit - take, kind="stable")
+                    each = take[order]
+                    take[order] -= np.clip(over - (np.cumsum(each) - each), 0, each)
                 while (open_ := room - int(take.sum())) > 0:
-                    for s in np.argsort(take - deficit, kind="stable"):
-                        if open_ and take[s] < left[s]:
-                            take[s] += 1
-                            open_ -= 1
+                    order = np.argsort(take - deficit, kind="stable")
+                    take[order[take[order] < left[order]][:open_]] += 1
                 deficit -= take
                 left = left - take
-                out.append(out[-1] + take)
-            self.cache[b] = np.array(out, np.int64)
-        return self.cache[b]
+                yield take
+
+        return start, queues, run((stop - start)[queues])
+
+    def _keep(self, b: int, value: np.ndarray) -> np.ndarray:
+        if self.kept + value.nbytes > CACHE:
+            self.cache.clear()
+            self.kept = 0
+        self.cache[b] = value
+        self.kept += value.nbytes
+        return value
+
+    def of_block(self, b: int) -> np.ndarray:
+        """Tokens served of each queue before each window of block b and after its last: (windows + 1) x queues."""
+        if b in self.cache:
+            return self.cache[b]
+        start, queues, takes = self.takes(b)
+        out = [start]
+        for take in takes:
+            out.append(out[-1].copy())
+            out[-1][queues] += take
+        return self._keep(b, np.array(out, np.int64))
+
+    def turns(self, b: int) -> np.ndarray:
+        """Block b as rows of queue, window in the block, first token of the queue, offset in the window, tokens; by queue and window."""
+        if b in self.cache:
+            return self.cache[b]
+        start, queues, takes = self.takes(b)
+        served, out = start[queues], []
+        for k, take in enumerate(takes):
+            at = np.flatnonzero(take)
+            out.append(np.stack([queues[at], np.full(len(at), k), served[at], np.cumsum(take[at]) - take[at], take[at]]))
+            served = served + take
+        rows = np.concatenate(out, axis=1)
+        return self._keep(b, rows[:, np.argsort(rows[0], kind="stable")])
 
     def pieces(self, queue: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
         """(window, offset in it, offset in the document, length) of tokens [start, start + n) of a queue."""
@@ -196,6 +227,18 @@ class Plan:
             mid = (lo + hi) // 2
             lo, hi = (mid, hi) if self.start_of(mid)[queue] <= start else (lo, mid)
         at = start
+        while self.sparse and at < start + n:
+            rows = self.turns(lo)
+            i, j = np.searchsorted(rows[0], [queue, queue + 1])
+            i += max(0, int(np.searchsorted(rows[2, i:j], at, "right")) - 1)
+            for _, k, first, offset, size in rows[:, i:j].T.tolist():
+                stop = min(first + size, start + n)
+                if stop > at:
+                    yield lo * self.block + k, offset + at - first, at - start, stop - at
+                    at = stop
+                if at == start + n:
+                    break
+            lo += 1
         while at < start + n:
             served = self.of_block(lo)
             column = served[:, queue]
@@ -213,15 +256,15 @@ class Plan:
         if not hasattr(self, "starts"):
             self.starts: dict[int, np.ndarray] = {}
         if b not in self.starts:
-            if len(self.starts) > 1 << 16:
+            if len(self.starts) > max(64, (CACHE >> 4) // len(self.totals)):
                 self.starts.clear()
             self.starts[b] = self.before(b * self.block * self.length)
         return self.starts[b]
 
 
-def _packer(names: list[str], totals: list[int], weights: list[float], length: int):
+def _packer(names: list[str], totals: list[int], weights: list[float], length: int, sparse: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, number = Plan(totals, weights, length), {q: k for k, q in enumerate(names)}
+        plan, number = Plan(totals, weights, length, sparse=sparse), {q: k for k, q in enumerate(names)}
         for batch in batches:
             doc, queue, start, n, ids, width = (batch.column(k) for k in range(6))
             rows: list[tuple] = []
@@ -246,9 +289,7 @@ def pack(docs: DataFrame, length: int = LENGTH, targets: dict[str, float] | None
     """
     spark = docs.sparkSession
     source = F.coalesce(F.col("source").cast("string"), F.lit("\x00null"))
-    many = docs.agg(F.approx_count_distinct(source)).first()[0] > max_queues
-    queue = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string")) if many else source
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), F.col("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("queue"), F.col("text"))
     made = materialise(slim.mapInArrow(_tokeniser(tokenizer, end_id), "doc_id long, queue string, pid int, local long, n long, ids binary, width int"), "tokens")
     sums = made.groupBy("pid", "queue").agg(F.sum("n").alias("tokens"))
     before = sums.select("pid", "queue", F.coalesce(F.sum("tokens").over(Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -258,7 +299,7 @@ def pack(docs: DataFrame, length: int = LENGTH, targets: dict[str, float] | None
     weights = [float((targets or {}).get(q, 0.0)) if targets else float(c) for q, c in zip(names, counts, strict=True)]
     least = min([w for w in weights if w > 0], default=1.0) * 1e-3
     placed = made.join(before, ["pid", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("local")).alias("start"), "n", "ids", "width")
-    return placed.mapInArrow(_packer(names, counts, [w or least for w in weights], length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string")
+    return placed.mapInArrow(_packer(names, counts, [w or least for w in weights], length, len(names) > max_queues), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string")
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -125,6 +125,24 @@ def test_packing_plan_is_the_same_from_any_task():
     assert last.tolist() == [1, 100_000, 37_000, 5]
 
 
+def test_packing_keeps_each_of_many_sources(spark):
+    texts = {k: f"text {k} " * (40 if k % 310 else 400) for k in range(930)}
+    docs = spark.createDataFrame([(k, t, f"s{k % 310}") for k, t in texts.items()], "doc_id long, text string, source string").repartition(4)
+    pieces = packing.pack(docs)
+    got = packing.digest(pieces).collect()
+    _check_pieces(got, texts, 2048)
+    assert all(r.queue == f"s{r.doc_id % 310}" for r in got)
+    taken, total = collections.Counter(), collections.Counter()
+    for r in got:
+        taken[r.sequence_id, r.queue] += r.length
+        total[r.queue] += r.length
+    for k in range(max(r.sequence_id for r in got)):
+        assert all(abs(taken[k, q] - 2048 * n / total.total()) <= 2 for q, n in total.items())
+    assert sorted(map(tuple, packing.digest(packing.pack(docs, max_queues=1000)).collect())) == sorted(map(tuple, got))
+    first = packing.digest(packing.pack(docs, length=8, targets={"s0": 0.9})).where("sequence_id < 256 AND queue = 's0'").collect()
+    assert sum(r.length for r in first) > 0.7 * 8 * 256
+
+
 def _base(text):
     w = SPACED.findall(text or "")
     lines = [x for x in (text or "").split("\n") if SPACED.search(x)]
