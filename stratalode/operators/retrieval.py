@@ -170,18 +170,25 @@ def rerank(matches: DataFrame) -> DataFrame:
     return scored.withColumn("new_rank", F.row_number().over(w))
 
 
-def diversify(ranked: DataFrame, k: int = 8, penalty: float = DIVERSITY) -> DataFrame:
+def diversify(ranked: DataFrame, k: int = 8, penalty: float = DIVERSITY, signature: list[str] | None = None) -> DataFrame:
     """Greedy choice per query: a candidate's score less penalty times its largest likeness to what is kept; the kept list
-    is sorted again and cut to k after each, so later items may evict earlier ones. At most LIMIT * 2 candidates a query."""
+    is sorted again and cut to k after each, so later items may evict earlier ones. At most LIMIT * 2 candidates a query.
+
+    signature: columns of which a candidate that repeats an earlier choice's values is passed over once max(2, k // 2) are kept.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[float, int, int, set]] = []
+        seen: set[str] = set()
         for r in rows.sort_values("new_rank").itertuples(index=False):
+            if signature and r.signature in seen and len(kept) >= max(2, k // 2):
+                continue
+            seen.add(r.signature)
             mine = set(r.terms)
             like = max((len(mine & other) / max(1, len(mine | other)) for *_, other in kept), default=0.0)
             kept.append((round(r.rerank_score - penalty * like, 6), -int(r.new_rank), int(r.doc_id), mine))
             kept = sorted(kept, key=lambda x: (x[0], x[1]), reverse=True)[:k]
         return pd.DataFrame([(rows.query_id.iloc[0], d, s, i) for i, (s, _, d, _) in enumerate(kept, 1)], columns=["query_id", "doc_id", "score", "place"])
 
-    slim = ranked.select("query_id", "doc_id", "rerank_score", "new_rank", F.array_distinct(terms(F.col("text"))).alias("terms"))
+    slim = ranked.select("query_id", "doc_id", "rerank_score", "new_rank", F.array_distinct(terms(F.col("text"))).alias("terms"), F.to_json(F.array(*(F.col(c).cast("string") for c in signature or []))).alias("signature"))
     return slim.groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, score double, place int")

@@ -237,7 +237,8 @@ def mmr_chunks(t: Tables) -> DataFrame:
 
 @query("mmr_assets")
 def mmr_assets(t: Tables) -> DataFrame:
-    return R.diversify(ranked(t), k=6, penalty=0.18)
+    """Documents stand for assets: the source for their document, the language for their type; there are no pages."""
+    return R.diversify(ranked(t), k=6, penalty=0.18, signature=["title", "section"])
 
 
 @query("doc_allow", f"{RERANK}, g AS (SELECT query_id, title, round(sum(rerank_score), 6) AS score FROM ranked GROUP BY 1, 2), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title) AS INTEGER) AS place, max(score) OVER (PARTITION BY query_id) AS best FROM g) SELECT query_id, title, score, place FROM o WHERE place <= 4 AND best <= 1.2 * score OR place = 1")

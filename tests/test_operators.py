@@ -90,6 +90,18 @@ def test_diversity_may_evict(spark):
     assert [r.doc_id for r in got] == [1, 3]
 
 
+def test_diversity_caps_a_signature(spark):
+    rows = [(1, d, f"word{d} other{d}", 1 - d / 100, d, "a" if d < 6 else "b", "en") for d in range(1, 9)]
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, text string, rerank_score double, new_rank int, title string, section string")
+    assert [r.doc_id for r in retrieval.diversify(df, k=6, penalty=0.18, signature=["title", "section"]).orderBy("place").collect()] == [1, 2, 3, 6]
+
+
+def test_images_that_fill_the_page_are_no_assets(spark):
+    html = '<p>x</p><img src="a.png" width="95%" height="90%"><img width="40%" height="100%" src=b.png><img src="c.png" width="900" height="900">'
+    got = pages.extract(spark.createDataFrame([(7, html)], "page_id long, html string")).first()
+    assert got.images == 3 and list(got.assets) == ["7:image:00", "7:image:01"]
+
+
 def test_nearest_in_blocks_equals_one_block(spark):
     e = Tables(spark, SF)("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
     q = e.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
