@@ -5,8 +5,8 @@ positions in reach, each `width`-byte string has one anchor, its least hashed po
 anchors. A first pass sketches the anchors' CONTEXT bytes (see _sketch); strings whose anchor occurs once are unique. A
 second pass sends what is left, grouped by the anchor's key, and each group feeds its bytes batch by batch to a
 logarithmic family of suffix arrays: a new batch is sorted, merge-scanned against every level for matches of full width,
-and levels of like size merge. Suffixes are ordered by their first two bytes and then by a fingerprint of all `width`
-bytes, confirmed by a second one: past the first bytes only equality over the full width matters.
+and levels of like size merge. Suffixes are ordered by their first byte and then by a fingerprint of all `width`
+bytes, confirmed by a second one: past the first byte only equality over the full width matters.
 
 Skew: equal stretches within a task travel once. Keys the sketch calls hot, such as a passage in a third of all
 documents, don't meet in one group: their strings are dealt by the hash of the whole string, after each task has settled
