@@ -1,17 +1,20 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of tokens. A window (one sequence) credits each queue with its share of the window, serves the
-whole tokens of that credit and carries the rest, its deficit, to the next window; what rounding leaves open goes to the
-largest deficits. Windows therefore hold the target proportions to within a token while all queues last, and are full
-but for the last.
-
-Distribution: queue positions come from per-task token sums, so no task sees a whole queue. Windows are planned in blocks;
-the counts served before a block follow from the targets alone (deficits are carried across blocks in closed form), so any
-task replays just the blocks its documents meet. Token ids are made once and kept in the shared folder.
+Every source is a queue of tokens. A round is a window (one sequence): each queue is credited with its share of what the
+window needs, serves the whole tokens of its deficit (credit less what it was served) and carries the rest into the next
+window. A token is due once the deficit reaches the queue's phase, a fixed part of a token that differs between queues, lest
+equal queues have all their turns at once. So while all queues last, a window's tokens of a queue differ from its share p of
+the window by at most 1 + p * queues, commonly by one or two, and windows are full but for the last.
+
+Distribution: credits grow in proportion to a virtual time, at which queue q with weight w has its i-th turn at
+(i + phase) / w. Deficits at the start of any window are therefore known without replaying earlier ones, and any task plans
+just the blocks of windows its documents meet, with the deficits that all windows before them leave: blocks and partitions
+change nothing (tested against one sequential replay). Queue positions come from per-task token sums, so no task sees a
+whole queue, and these few rows are written, so that the planner can broadcast them instead of shuffling the tokens. A
+block's plan takes memory by its tokens, however many queues there are. Token ids are made once and kept in the shared folder.
 
 Defined cases: null text is empty and gives the end id alone; documents and sources may repeat; a null source is a queue
-of its own; an empty table gives no pieces; other columns are ignored. Every source is a queue of its own, however many
-there are: beyond `max_queues` the plan keeps just what windows take (at most a window's tokens each), with equal results.
+of its own; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import json
 import re
 import sys
 from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -31,13 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalode.llm._support import buffer_of, ints, materialise
+from stratalode.llm._support import pieces as split
 
 LENGTH = 2048
 END_ID = 1
-#: Windows planned at once.
-BLOCK = 256
-#: Bytes of plans that a task keeps at most, beside the last one.
-CACHE = 128 << 20
+#: Tokens planned at once, and rows of plans that a task keeps.
+BLOCK, KEPT = 1 << 18, 1 << 20
+#: Token ids of the pieces that a task holds before it sends them, about.
+RUN = 1 << 19
 #: Characters whose classes every version of the two libraries' patterns agrees on.
 _PLAIN = re.compile(r"[^\t\n\r -~\u00a1-\u00ac\u00ae-\u017f\u2010-\u2027\u20ac]")
 #: Bytes that only texts may hold that need the closer look: controls, and lead bytes of characters outside U+00C0-U+017F.
@@ -54,12 +58,20 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        self.path = path
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        ids = [*spec["model"]["vocab"].values()] if isinstance(spec["model"].get("vocab"), dict) else [self.model.get_vocab_size() - 1]
+        self.width = 2 if max([*ids, *(t["id"] for t in spec.get("added_tokens", []))], default=0) < 1 << 16 else 4
+        self.fast = self._ranked(spec)
+
+    @cached_property
+    def model(self):
+        """Read when the first text needs it: most tasks hold one table of the vocabulary."""
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.fast = self._ranked(json.loads(Path(path).read_text(encoding="utf-8")))
+        model = Tokenizer.from_file(self.path)
+        model.encode_special_tokens = True
+        return model
 
     @staticmethod
     def _ranked(spec: dict):
@@ -113,8 +125,8 @@ def _tokeniser(path: str | None, end: int):
         enc = encoder(path or default_tokenizer())
         tail, pid, before = np.array([end], f"<u{enc.width}").tobytes(), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in split(buffer_of(batch.column(2))[1]):
+                part = batch.slice(lo, hi - lo)
                 buf, off = buffer_of(part.column(2))
                 odd = np.zeros(part.num_rows, bool)
                 odd[np.searchsorted(off, np.flatnonzero(_ODD[buf]), "right") - 1] = True
@@ -132,174 +144,135 @@ def _tokeniser(path: str | None, end: int):
     return run
 
 
+def phases(queues: int) -> np.ndarray:
+    """Fixed, evenly spread parts of a token."""
+    return (np.arange(1, queues + 1) * 0.6180339887498949) % 1.0
+
+
 class Plan:
     """What each window takes from each queue. totals: tokens of each queue; weights: target shares (any scale)."""
 
-    def __init__(self, totals: list[int], weights: list[float], length: int = LENGTH, block: int = BLOCK, sparse: bool = False):
-        self.totals, self.length, self.block = totals, length, block
-        self.weights = np.array(weights, float)
-        self.total = sum(totals)
+    def __init__(self, totals: list[int], weights: list[float], length: int = LENGTH, block: int | None = None):
+        """block: windows planned at once."""
+        self.totals, self.weights = np.array(totals, np.int64), np.array(weights, float)
+        self.phase = phases(len(totals))
+        self.length, self.block = length, block or max(1, BLOCK // length)
+        self.total = int(self.totals.sum())
         self.windows = -(-self.total // length)
-        self.sparse = sparse
-        self.cache: dict[int, np.ndarray] = {}
-        self.kept = 0
+        self.plans: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def _turn(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Virtual time at which this token of the queue is due."""
+        return (token + self.phase[queue]) / self.weights[queue]
+
+    def served(self, time: float) -> np.ndarray:
+        """Tokens of each queue whose turn is at this time or before."""
+        every = np.arange(len(self.totals))
+        n = np.floor(np.clip(self.weights * time + 1 - self.phase, 0, self.totals)).astype(np.int64)
+        n -= (n > 0) & (self._turn(every, n - 1) > time)
+        return n + ((n < self.totals) & (self._turn(every, n) <= time))
 
     def before(self, tokens: int) -> np.ndarray:
-        """Tokens served of each queue when `tokens` are served in all: queue s has its i-th turn at (i + 1/2) / weight."""
+        """Tokens served of each queue when `tokens` are served in all; turns at the same time go in queue order."""
         if tokens >= self.total:
-            return np.array(self.totals, np.int64)
-        totals = np.array(self.totals, np.int64)
-        served = lambda v: np.minimum(totals, np.floor(self.weights * v + 0.5).astype(np.int64))
-        lo, hi = 0.0, float(max((t + 1) / w for t, w in zip(self.totals, self.weights, strict=True)))
-        for _ in range(200):
-            mid = (lo + hi) / 2
-            if mid in (lo, hi):
-                break
-            lo, hi = (mid, hi) if served(mid).sum() <= tokens else (lo, mid)
-        out, more = served(lo), served(hi)
-        for s in np.flatnonzero(more > out):  # turns at the same time go in queue order
-            out[s] += min(int(more[s] - out[s]), tokens - int(out.sum()))
-        return out
-
-    def takes(self, b: int) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
-        """Tokens served of each queue before block b, the queues it takes from, and what each window takes from those."""
-        first, last = b * self.block, min((b + 1) * self.block, self.windows)
-        start, stop = self.before(first * self.length), self.before(last * self.length)
+            return self.totals.copy()
+        lo, hi = 0.0, float(np.max((self.totals + 1) / self.weights))
+        guess = tokens / float(self.weights.sum())  # right but for rounding while no queue has run out
+        for lower, upper in ((guess * (1 - 1e-9), guess * (1 + 1e-9)), (guess, hi)):
+            lo = max(lo, lower) if self.served(lower).sum() <= tokens else lo
+            hi = min(hi, upper) if self.served(upper).sum() > tokens else hi
+        while lo < (mid := (lo + hi) / 2) < hi:
+            lo, hi = (mid, hi) if self.served(mid).sum() <= tokens else (lo, mid)
+        out, more = self.served(lo), self.served(hi)
+        over = more - out
+        room = tokens - int(out.sum()) - (np.cumsum(over) - over)
+        return out + np.clip(room, 0, over)
+
+    def of_block(self, b: int) -> tuple[np.ndarray, ...]:
+        """Block b as (queue, window, first token of the queue, offset in the window, tokens), by queue and window."""
+        if b in self.plans:
+            return self.plans[b]
+        start, stop = (self.before(x * self.block * self.length) for x in (b, b + 1))
         queues = np.flatnonzero(stop > start)
-
-        def run(left: np.ndarray) -> Iterator[np.ndarray]:
-            share = left / max(1, left.sum()) * self.length
-            deficit = np.zeros(len(left))
-            for k in range(first, last):
-                room = min(self.length, self.total - k * self.length)
-                deficit += share
-                take = np.minimum(np.maximum(np.floor(deficit), 0).astype(np.int64), left)
-                over = int(take.sum()) - room
-                if over > 0:
-                    order = np.argsort(deficit - take, kind="stable")
-                    each = take[order]
-                    take[order] -= np.clip(over - (np.cumsum(each) - each), 0, each)
-                while (open_ := room - int(take.sum())) > 0:
-                    order = np.argsort(take - deficit, kind="stable")
-                    take[order[take[order] < left[order]][:open_]] += 1
-                deficit -= take
-                left = left - take
-                yield take
-
-        return start, queues, run((stop - start)[queues])
-
-    def _keep(self, b: int, value: np.ndarray) -> np.ndarray:
-        if self.kept + value.nbytes > CACHE:
-            self.cache.clear()
-            self.kept = 0
-        self.cache[b] = value
-        self.kept += value.nbytes
-        return value
-
-    def of_block(self, b: int) -> np.ndarray:
-        """Tokens served of each queue before each window of block b and after its last: (windows + 1) x queues."""
-        if b in self.cache:
-            return self.cache[b]
-        start, queues, takes = self.takes(b)
-        out = [start]
-        for take in takes:
-            out.append(out[-1].copy())
-            out[-1][queues] += take
-        return self._keep(b, np.array(out, np.int64))
-
-    def turns(self, b: int) -> np.ndarray:
-        """Block b as rows of queue, window in the block, first token of the queue, offset in the window, tokens; by queue and window."""
-        if b in self.cache:
-            return self.cache[b]
-        start, queues, takes = self.takes(b)
-        served, out = start[queues], []
-        for k, take in enumerate(takes):
-            at = np.flatnonzero(take)
-            out.append(np.stack([queues[at], np.full(len(at), k), served[at], np.cumsum(take[at]) - take[at], take[at]]))
-            served = served + take
-        rows = np.concatenate(out, axis=1)
-        return self._keep(b, rows[:, np.argsort(rows[0], kind="stable")])
-
-    def pieces(self, queue: int, start: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(window, offset in it, offset in the document, length) of tokens [start, start + n) of a queue."""
-        lo, hi = 0, -(-self.windows // self.block)
-        while hi - lo > 1:  # the last block that starts at or before `start`
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if self.start_of(mid)[queue] <= start else (lo, mid)
-        at = start
-        while self.sparse and at < start + n:
-            rows = self.turns(lo)
-            i, j = np.searchsorted(rows[0], [queue, queue + 1])
-            i += max(0, int(np.searchsorted(rows[2, i:j], at, "right")) - 1)
-            for _, k, first, offset, size in rows[:, i:j].T.tolist():
-                stop = min(first + size, start + n)
-                if stop > at:
-                    yield lo * self.block + k, offset + at - first, at - start, stop - at
-                    at = stop
-                if at == start + n:
-                    break
-            lo += 1
+        count = (stop - start)[queues]
+        edge = np.cumsum(count) - count
+        queue = np.repeat(queues, count)
+        token = np.arange(len(queue)) - np.repeat(edge - start[queues], count)
+        window = np.empty(len(queue), np.int64)
+        window[np.argsort(self._turn(queue, token), kind="stable")] = np.arange(len(queue)) // self.length
+        new = np.flatnonzero(np.concatenate([[True], (queue[1:] != queue[:-1]) | (window[1:] != window[:-1])])) if len(queue) else np.zeros(0, np.int64)
+        size = np.diff(np.append(new, len(queue)))
+        order = np.argsort(window[new], kind="stable")
+        ahead = np.cumsum(size[order]) - size[order]
+        offset = np.empty(len(new), np.int64)
+        offset[order] = ahead % self.length  # all windows but the last are full
+        while self.plans and sum(len(x[0]) for x in self.plans.values()) + len(new) > KEPT:
+            self.plans.pop(next(iter(self.plans)))
+        self.plans[b] = queue[new], window[new] + b * self.block, token[new], offset, size
+        return self.plans[b]
+
+    def pieces(self, queue: int, start: int, n: int) -> np.ndarray:
+        """Rows (window, offset in it, first token in the document, tokens) of tokens [start, start + n) of a queue."""
+        out, at, size = [], start, self.block * self.length
+        b = int(self.served(float(self._turn(queue, start))).sum() - 1) // size
+        while b and self.before(b * size)[queue] > start:  # turns at the same time may lie before the block's start
+            b -= 1
         while at < start + n:
-            served = self.of_block(lo)
-            column = served[:, queue]
-            k = bisect_right(column, at) - 1
-            while at < start + n and k < len(column) - 1:
-                stop = min(int(column[k + 1]), start + n)
-                if stop > at:
-                    offset = int((served[k + 1, :queue] - served[k, :queue]).sum()) + at - int(column[k])
-                    yield lo * self.block + k, offset, at - start, stop - at
-                    at = stop
-                k += 1
-            lo += 1
-
-    def start_of(self, b: int) -> np.ndarray:
-        if not hasattr(self, "starts"):
-            self.starts: dict[int, np.ndarray] = {}
-        if b not in self.starts:
-            if len(self.starts) > max(64, (CACHE >> 4) // len(self.totals)):
-                self.starts.clear()
-            self.starts[b] = self.before(b * self.block * self.length)
-        return self.starts[b]
-
-
-def _packer(names: list[str], totals: list[int], weights: list[float], length: int, sparse: bool):
+            queues, window, first, offset, count = self.of_block(b)
+            i, j = np.searchsorted(queues, [queue, queue + 1])
+            lo, hi = i + max(0, int(np.searchsorted(first[i:j], at, "right")) - 1), i + int(np.searchsorted(first[i:j], start + n))
+            if hi > lo:
+                begin, end = np.maximum(first[lo:hi], at), np.minimum(first[lo:hi] + count[lo:hi], start + n)
+                some = end > begin
+                out.append(np.stack([window[lo:hi], offset[lo:hi] + begin - first[lo:hi], begin - start, end - begin])[:, some])
+                at = max(at, int(end[-1]))
+            b += 1
+        return np.concatenate(out, axis=1)
+
+
+def _packer(names: list[str], totals: list[int], weights: list[float], length: int):
+    fields = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "queue"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, number = Plan(totals, weights, length, sparse=sparse), {q: k for k, q in enumerate(names)}
+        plan, number = Plan(totals, weights, length), {q: k for k, q in enumerate(names)}
         for batch in batches:
-            doc, queue, start, n, ids, width = (batch.column(k) for k in range(6))
-            rows: list[tuple] = []
-            for d, q, s, m, raw, w in zip(doc.to_pylist(), queue.to_pylist(), ints(start).tolist(), ints(n).tolist(), ids.to_pylist(), ints(width).tolist(), strict=True):
-                wide = np.frombuffer(raw, f"<u{w}").astype("<u4")
-                for window, offset, at, size in plan.pieces(number[q], s, m):
-                    rows.append((d, at, size, wide[at : at + size].tobytes(), m, window, offset, q))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                for lo in range(0, len(rows), 20_000):
-                    columns = zip(*rows[lo : lo + 20_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "queue"])
+            queue, start, n = batch.column(1), ints(batch.column(2)), ints(batch.column(3))
+            buf, off = buffer_of(batch.column(4))
+            width = int(batch.column(5)[0].as_py()) if batch.num_rows else 4
+            for i, j in split(off, RUN * width):
+                got = [plan.pieces(number[queue[k].as_py()], int(start[k]), int(n[k])) for k in range(i, j)]
+                window, offset, at, size = np.concatenate(got, axis=1)
+                owner = np.repeat(np.arange(i, j), [x.shape[1] for x in got])
+                # pieces cover their documents in order, so their ids are the documents' ids one after another
+                ids = np.frombuffer(buf[off[i] : off[j]].tobytes(), f"<u{width}").astype("<u4")
+                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32) * np.int32(4)
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                whose = pa.array(owner)
+                columns = [batch.column(0).take(whose), pa.array(at), pa.array(size), binary, batch.column(3).take(whose), pa.array(window), pa.array(offset), queue.take(whose)]
+                yield pa.RecordBatch.from_arrays(columns, fields)
 
     return run
 
 
-def pack(docs: DataFrame, length: int = LENGTH, targets: dict[str, float] | None = None, tokenizer: str | None = None, end_id: int = END_ID, max_queues: int = 256) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, targets: dict[str, float] | None = None, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Pieces (doc_id, start, length, ids as little-endian unsigned 32-bit, doc_tokens, sequence_id, offset, queue).
 
     targets: share of each source in every window, by default the sources' own shares, so that all queues last to the
     end. Queues that run out earlier leave their share to the others.
     """
-    spark = docs.sparkSession
     source = F.coalesce(F.col("source").cast("string"), F.lit("\x00null"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("queue"), F.col("text"))
     made = materialise(slim.mapInArrow(_tokeniser(tokenizer, end_id), "doc_id long, queue string, pid int, local long, n long, ids binary, width int"), "tokens")
-    sums = made.groupBy("pid", "queue").agg(F.sum("n").alias("tokens"))
+    sums = materialise(made.groupBy("pid", "queue").agg(F.sum("n").alias("tokens")), "queue-sums", files=1)
     before = sums.select("pid", "queue", F.coalesce(F.sum("tokens").over(Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = materialise(before, "queue-bases", files=1)
     totals = {r[0]: r[1] for r in sums.groupBy("queue").agg(F.sum("tokens")).collect()}  # one row a queue
     names = sorted(totals)
     counts = [int(totals[q]) for q in names]
     weights = [float((targets or {}).get(q, 0.0)) if targets else float(c) for q, c in zip(names, counts, strict=True)]
     least = min([w for w in weights if w > 0], default=1.0) * 1e-3
     placed = made.join(before, ["pid", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("local")).alias("start"), "n", "ids", "width")
-    return placed.mapInArrow(_packer(names, counts, [w or least for w in weights], length, len(names) > max_queues), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string")
+    return placed.mapInArrow(_packer(names, counts, [w or least for w in weights], length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string")
 
 
 def digest(pieces: DataFrame) -> DataFrame:
