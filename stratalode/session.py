@@ -10,10 +10,17 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
+#: Bytes of rows handed to a Python worker at once, about; rows are texts, and ten thousand long ones would fill it.
+BATCH_BYTES = 4 << 20
+
+
 def share_code(spark: SparkSession) -> SparkSession:
-    """Workers find this library where the driver found it, whatever their working folder is."""
+    """Workers find this library where the driver found it, whatever their working folder is, and get rows in batches of bounded bytes."""
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
     return spark
