@@ -176,17 +176,16 @@ class Plan:
         """Tokens served of each queue when `tokens` are served in all; turns at the same time go in queue order."""
         if tokens >= self.total:
             return self.totals.copy()
-        lo, hi = 0.0, float(np.max((self.totals + 1) / self.weights))
-        guess = tokens / float(self.weights.sum())  # right but for rounding while no queue has run out
-        for lower, upper in ((guess * (1 - 1e-9), guess * (1 + 1e-9)), (guess, hi)):
-            lo = max(lo, lower) if self.served(lower).sum() <= tokens else lo
-            hi = min(hi, upper) if self.served(upper).sum() > tokens else hi
-        while lo < (mid := (lo + hi) / 2) < hi:
+        lo, hi, few = 0.0, float(np.max((self.totals + 1) / self.weights)), 4 * len(self.totals) + 64
+        guess, near = (x / float(self.weights.sum()) for x in (tokens, len(self.totals) + 1))
+        for time in (guess - near, guess + near):  # the time lies between these while no queue has run out
+            lo, hi = (max(lo, time), hi) if self.served(time).sum() <= tokens else (lo, min(hi, time))
+        while (more := self.served(hi)).sum() - (out := self.served(lo)).sum() > few and lo < (mid := (lo + hi) / 2) < hi:
             lo, hi = (mid, hi) if self.served(mid).sum() <= tokens else (lo, mid)
-        out, more = self.served(lo), self.served(hi)
-        over = more - out
-        room = tokens - int(out.sum()) - (np.cumsum(over) - over)
-        return out + np.clip(room, 0, over)
+        queue = np.repeat(np.arange(len(out)), more - out)
+        token = np.arange(len(queue)) - np.repeat(np.cumsum(more - out) - more, more - out)
+        first = np.argsort(self._turn(queue, token), kind="stable")[: tokens - int(out.sum())]
+        return out + np.bincount(queue[first], minlength=len(out))
 
     def of_block(self, b: int) -> tuple[np.ndarray, ...]:
         """Block b as (queue, window, first token of the queue, offset in the window, tokens), by queue and window."""
@@ -230,25 +229,44 @@ class Plan:
         return np.concatenate(out, axis=1)
 
 
+def _cut(plan: Plan, queue: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, first token in it, tokens, window, offset there) of the pieces of documents, in their order.
+
+    Documents of a queue that follow each other there are cut together.
+    """
+    order = np.lexsort((start, queue))
+    q, s, e = queue[order], start[order], start[order] + n[order]
+    new = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (s[1:] != e[:-1])]))
+    out = []
+    for i, j in zip(new.tolist(), [*new[1:].tolist(), len(order)], strict=True):
+        window, offset, at, size = plan.pieces(int(q[i]), int(s[i]), int(e[j - 1] - s[i]))
+        docs = s[i:j] - s[i]
+        edges = np.union1d(at, docs)
+        row, doc = np.searchsorted(at, edges, "right") - 1, np.searchsorted(docs, edges, "right") - 1
+        out.append((order[i:j][doc], edges - docs[doc], np.diff(np.append(edges, at[-1] + size[-1])), window[row], offset[row] + edges - at[row]))
+    joined = [np.concatenate(x) for x in zip(*out, strict=True)]
+    by = np.lexsort((joined[1], joined[0]))
+    return tuple(x[by] for x in joined)
+
+
 def _packer(names: list[str], totals: list[int], weights: list[float], length: int):
     fields = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "queue"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, number = Plan(totals, weights, length), {q: k for k, q in enumerate(names)}
         for batch in batches:
-            queue, start, n = batch.column(1), ints(batch.column(2)), ints(batch.column(3))
+            start, n = ints(batch.column(2)), ints(batch.column(3))
+            queue = np.array([number[q] for q in batch.column(1).to_pylist()], np.int64)
             buf, off = buffer_of(batch.column(4))
             width = int(batch.column(5)[0].as_py()) if batch.num_rows else 4
             for i, j in split(off, RUN * width):
-                got = [plan.pieces(number[queue[k].as_py()], int(start[k]), int(n[k])) for k in range(i, j)]
-                window, offset, at, size = np.concatenate(got, axis=1)
-                owner = np.repeat(np.arange(i, j), [x.shape[1] for x in got])
+                owner, at, size, window, offset = _cut(plan, queue[i:j], start[i:j], n[i:j])
                 # pieces cover their documents in order, so their ids are the documents' ids one after another
                 ids = np.frombuffer(buf[off[i] : off[j]].tobytes(), f"<u{width}").astype("<u4")
                 ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32) * np.int32(4)
                 binary = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
-                whose = pa.array(owner)
-                columns = [batch.column(0).take(whose), pa.array(at), pa.array(size), binary, batch.column(3).take(whose), pa.array(window), pa.array(offset), queue.take(whose)]
+                whose = pa.array(owner + i)
+                columns = [batch.column(0).take(whose), pa.array(at), pa.array(size), binary, batch.column(3).take(whose), pa.array(window), pa.array(offset), batch.column(1).take(whose)]
                 yield pa.RecordBatch.from_arrays(columns, fields)
 
     return run
