@@ -1,36 +1,48 @@
 """Robust multivariate outliers: minimum-covariance-determinant estimates per language and source. DataFrame functions only.
 
-Each document gives word and line statistics. Their transformed vector (log mean word length, symbols a character,
-repeated-line share, repeated-word share) is compared with its group's robust centre and scatter: concentration steps
-repeat "take the 75 % of rows with the least Mahalanobis distance, re-estimate" from a median/MAD start, each step one
-aggregate with map-side partial sums and one mergeable quantile sketch, so a hot group is no task of its own. The scatter
-gets a tolerance on its diagonal, as clean text has no spread in some statistics. Groups of under `min_rows` rows use the
-estimates of their language, then those of the corpus; a corpus below `min_rows` rejects nothing beyond the base rules.
-
-Defined cases: null text has no words and fails the base rules; null lang or source is a group of its own; ties in
-distance fall on the same side; an empty table gives no rows; all other columns pass through `kept_documents`.
+Each document gives word and line statistics. Their transformed vector is the log of the mean word length and the logs of
+symbols a character, repeated lines a line and repeated words a word. Clean text has none of the last three, which would
+leave a scatter without a determinant; so each count gets a part of one, uniform between 0 and 1 and fixed by a hash of the
+text (the usual jitter that makes counts continuous), and the vector has a spread of its own in all directions.
+
+Estimates follow deterministic MCD: three starts (median and MAD; correlation of tanh scores; spatial signs) take two
+concentration steps each ("take the 75 % of rows with the least Mahalanobis distance, re-estimate"), the start of the least
+determinant goes on, and a group is done once a step no longer lowers its determinant. A step is two aggregates with
+map-side partial sums: a histogram of log distances (about 1 % wide cells, so runs repeat) and the sums of the rows within.
+A hot group is no task of its own. Groups are estimated by language and source, by language, and over the corpus; each
+level is shrunk toward the next by n / (n + SHRINK), the corpus toward a fixed prior by n / (n + P + 1): small groups
+count by their size, without a switch.
+
+Defined cases: null text has no words and fails the base rules; null lang or source is a group of its own; equal texts have
+equal vectors, ties in distance fall on the same side; an empty table gives no rows; extra columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalode.llm._support import materialise
 
 SEPARATORS = " \t\n\x0b\f\r"
-#: Added to the scatter's diagonal, squared: differences of this size in a statistic say nothing.
-TOLERANCE = (0.10, 0.02, 0.10, 0.10)
-P = len(TOLERANCE)
+P = 4
 H = 0.75
 #: H / P(chi2 with P + 2 degrees <= the H quantile of chi2 with P): makes the scatter consistent at normal data.
 CONSISTENCY = 1.4863
-#: The 0.999 quantile of chi2 with P degrees of freedom.
-CUTOFF = 18.467
-STEPS = 5
-MIN_ROWS = 100
-ACCURACY = 10_000
+#: The 0.9995 quantile of chi2 with P degrees of freedom.
+CUTOFF = 19.997
+#: Rows at which a group weighs as much as the level above it.
+SHRINK = 100
+#: Deviations that a corpus of a few rows is shrunk to.
+PRIOR = (0.1, 1.0, 1.0, 1.0)
+#: A step goes on where it lowers the log of the determinant by this much.
+IMPROVES = 1e-4
+STARTS = ("_0", "_1", "_2")
+#: Cells a unit of the histograms that quantiles come from.
+CELLS = 64
 _INDEX_BITS = 31
+_JITTER_BITS = 20
 
 
 def _lines(text: Column) -> Column:
@@ -65,6 +77,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
             "__n_lines": F.size("__l").cast("long"),
             "n_repeat_words": covered,
+            "__jitter": F.xxhash64("text"),
         }
     ).drop("__w", "__l", "__s", "__c", "__g", "__p")
 
@@ -74,74 +87,132 @@ def _base_failed() -> Column:
 
 
 def _vector() -> list[Column]:
+    part = lambda i: (F.shiftrightunsigned("__jitter", i * _JITTER_BITS).bitwiseAND((1 << _JITTER_BITS) - 1) + 0.5) / (1 << _JITTER_BITS)
     chars, words = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
-    return [F.log(chars / words), F.col("n_symbols") / chars, F.col("n_dup_lines") / F.greatest("__n_lines", F.lit(1)), F.col("n_repeat_words") / words]
+    rates = (("n_symbols", "word_chars"), ("n_dup_lines", "__n_lines"), ("n_repeat_words", "n_words"))
+    return [F.log(chars / words), *(F.log((F.col(n) + part(i)) / (F.col(of) + 1)) for i, (n, of) in enumerate(rates))]
 
 
-def _distance(df: DataFrame) -> DataFrame:
-    """Adds d2 from centre m0.. and Cholesky factor l00, l10, .. by forward substitution."""
-    for i in range(P):
-        z = F.col(f"x{i}") - F.col(f"m{i}")
-        for j in range(i):
-            z = z - F.col(f"l{i}{j}") * F.col(f"__z{j}")
-        df = df.withColumn(f"__z{i}", z / F.col(f"l{i}{i}"))
-    return df.withColumn("d2", sum((F.col(f"__z{i}") * F.col(f"__z{i}") for i in range(1, P)), F.col("__z0") * F.col("__z0"))).drop(*(f"__z{i}" for i in range(P)))
+_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
-def _factor(stats: DataFrame, scale: float) -> DataFrame:
-    """g, rows, m0.., l00.. from n, sums s0.. and products p00..; scale makes the scatter consistent."""
-    out = stats.select("g", "n", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), *(F.col(f"p{i}{j}") for i in range(P) for j in range(i + 1)))
+def _distance(k: str = "") -> str:
+    """SQL: squared distance of x0.. from centre m0.. by the Cholesky factor l00, l10, .. (names end in k), by forward substitution."""
+    z: list[str] = []
     for i in range(P):
-        for j in range(i + 1):
-            c = (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * scale
-            if i == j:
-                c = F.greatest(c, F.lit(0.0)) + TOLERANCE[i] ** 2
-            for k in range(j):
-                c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(TOLERANCE[i] ** 2 / 100))) if i == j else c / F.col(f"l{j}{j}"))
-    return out.select("g", "n", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)))
-
-
-def _moments(rows: DataFrame) -> DataFrame:
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)]
-    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(P) for j in range(i + 1)]
-    return rows.groupBy("g").agg(F.count("*").alias("n"), *sums, *products)
-
-
-def estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """vectors (g, x0..): per group g, its rows, the robust centre and the Cholesky factor of the robust scatter."""
-    middle = vectors.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(f"x{i}", 0.5, ACCURACY).alias(f"m{i}") for i in range(P)))
-    middle = materialise(middle, "mcd-median", files=2)
-    spread = vectors.join(middle, "g").groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, ACCURACY).alias(f"a{i}") for i in range(P)))
-    size = middle.select("g", F.col("n").alias("rows"))
-    start = middle.join(spread, "g").select("g", "n", *(f"m{i}" for i in range(P)), *((F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + TOLERANCE[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)))
-    fit = materialise(start, "mcd-start", files=2)
-    for _ in range(steps):
-        fit = fit.drop("n")
-        limit = _distance(vectors.join(fit, "g")).groupBy("g").agg(F.percentile_approx("d2", H, ACCURACY).alias("limit"))
-        # written, so that the planner knows how small it is and no row of the vectors is shuffled by its group
-        limited = materialise(fit.join(limit, "g"), "mcd-limit", files=2)
-        inner = _distance(vectors.join(limited, "g")).where(F.col("d2") <= F.col("limit"))
-        fit = materialise(_factor(_moments(inner), CONSISTENCY), "mcd-step", files=2)
-    return fit.drop("n").join(size, "g")
-
-
-def judge(docs: DataFrame, steps: int = STEPS, min_rows: int = MIN_ROWS, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, the statistics, base_failed, kept, d2 and the group used; one row per row of docs."""
+        rest = "".join(f" - l{i}{j}{k} * {z[j]}" for j in range(i))
+        z.append(f"((x{i} - m{i}{k}{rest}) / l{i}{i}{k})")
+    return " + ".join(f"{x} * {x}" for x in z)
+
+
+def _factored(df: DataFrame, *keys: str) -> DataFrame:
+    """df with the Cholesky factor l00.. of the scatter c00.. and the log of its determinant; empty directions count as tiny."""
+    for j in range(P):
+        column = {f"l{j}{j}{k}": F.expr(f"sqrt(greatest(c{j}{j}{k}" + "".join(f" - l{j}{n}{k} * l{j}{n}{k}" for n in range(j)) + ", 1e-9D))") for k in keys}
+        df = df.withColumns(column)
+        below = {f"l{i}{j}{k}": F.expr(f"(c{i}{j}{k}" + "".join(f" - l{i}{n}{k} * l{j}{n}{k}" for n in range(j)) + f") / l{j}{j}{k}") for k in keys for i in range(j + 1, P)}
+        df = df.withColumns(below) if below else df
+    return df.withColumns({f"det{k}": F.expr(" + ".join(f"2 * ln(l{i}{i}{k})" for i in range(P))) for k in keys})
+
+
+def _fit_columns(k: str = "") -> list[str]:
+    return [*(f"m{i}{k}" for i in range(P)), *(f"c{i}{j}{k}" for i, j in _PAIRS), *(f"l{i}{j}{k}" for i, j in _PAIRS), f"det{k}"]
+
+
+def _quantile(rows: DataFrame, by: list[str], value: Column, q: float) -> DataFrame:
+    """by, n and edge: the upper edge of the cell that the q quantile of value lies in. Counts only, so any order of tasks gives the same."""
+    counts = rows.groupBy(*by, F.floor(value * CELLS).alias("cell")).count()
+    window = Window.partitionBy(*by)  # rows are cells
+    summed = counts.withColumns({"upto": F.sum("count").over(window.orderBy("cell")), "n": F.sum("count").over(window)})
+    return summed.where(F.col("upto") >= q * F.col("n")).groupBy(*by).agg(F.max("n").alias("n"), ((F.min("cell") + 1) / CELLS).alias("edge"))
+
+
+def _middle(vectors: DataFrame, name: str) -> DataFrame:
+    """g, n and the medians of x0.. as name0.."""
+    long = vectors.select("g", F.posexplode(F.array(*(f"x{i}" for i in range(P)))).alias("i", "x"))
+    found = _quantile(long, ["g", "i"], F.col("x"), 0.5).groupBy("g").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("i") == i, F.col("edge") - 0.5 / CELLS)).alias(f"{name}{i}") for i in range(P)))
+    return materialise(found, "mcd-middle", files=2)
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """g, n and the fits of the three starts."""
+    middle = _middle(vectors, "m")
+    away = vectors.join(middle.drop("n"), "g").selectExpr("g", *(f"abs(x{i} - m{i}) AS x{i}" for i in range(P)))
+    scale = middle.join(_middle(away, "a").drop("n"), "g").selectExpr("g", "n", *(f"m{i}" for i in range(P)), *(f"greatest(1.4826D * a{i}, {PRIOR[i] / CELLS}D) AS a{i}" for i in range(P)))
+    scale = materialise(scale, "mcd-scale", files=2)
+    rows = vectors.join(scale, "g").selectExpr("g", *(f"(x{i} - m{i}) / a{i} AS z{i}" for i in range(P)))
+    rows = rows.selectExpr("*", *(f"tanh(z{i}) AS h{i}" for i in range(P)), "greatest(" + " + ".join(f"z{i} * z{i}" for i in range(P)) + ", 1e-12D) AS norm")
+    sums = [*(f"avg(h{i} * h{j}) - avg(h{i}) * avg(h{j}) AS t{i}{j}" for i, j in _PAIRS), *(f"avg(z{i} * z{j} / norm) AS s{i}{j}" for i, j in _PAIRS)]
+    both = scale.join(rows.groupBy("g").agg(*map(F.expr, sums)), "g")
+    out = [f"m{i} AS m{i}{k}" for k in STARTS for i in range(P)]
+    for k, name in zip(STARTS, (None, "t", "s"), strict=True):
+        for i, j in _PAIRS:
+            r = f"{float(i == j)}D"
+            if i != j and name:  # shrunk a little, so that a factor exists
+                r = f"coalesce(0.95D * {name}{i}{j} / nullif(sqrt(greatest({name}{i}{i} * {name}{j}{j}, 0D)), 0D), 0D)"
+            out.append(f"{r} * a{i} * a{j} AS c{i}{j}{k}")
+    return materialise(_factored(both.selectExpr("g", "n", *out), *STARTS).select("g", "n", *(c for k in STARTS for c in _fit_columns(k))), "mcd-start", files=2)
+
+
+def _step(vectors: DataFrame, fit: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """g, n and the fits after one concentration step of each of the fits whose names end in keys."""
+    far = vectors.join(fit.drop("n"), "g").selectExpr("g", f"posexplode(array({', '.join(map(_distance, keys))})) AS (k, d2)")
+    limit = _quantile(far, ["g", "k"], F.expr("log2(greatest(d2, 1e-9D))"), H)
+    limits = limit.groupBy("g").agg(*(F.expr(f"max(CASE WHEN k = {n} THEN pow(2D, edge) END) AS limit{k}") for n, k in enumerate(keys)))
+    # written, so that the planner knows how small it is and no row of the vectors is shuffled by its group
+    limited = materialise(fit.join(limits, "g"), "mcd-limit", files=2)
+    rows = vectors.join(limited.drop("n"), "g").selectExpr("g", *(f"x{i} - m{i}{k} AS y{i}{k}" for k in keys for i in range(P)), *(f"greatest({_distance(k)}, 1e-9D) < limit{k} AS in{k}" for k in keys))
+    within = lambda c, name, k: F.expr(f"sum(CASE WHEN in{k} THEN {c} ELSE 0D END) AS {name}{k}")
+    sums = [x for k in keys for x in (within("1D", "h", k), *(within(f"y{i}{k}", f"s{i}", k) for i in range(P)), *(within(f"y{i}{k} * y{j}{k}", f"p{i}{j}", k) for i, j in _PAIRS))]
+    out = fit.selectExpr("g", "n", *(f"m{i}{k} AS o{i}{k}" for k in keys for i in range(P))).join(rows.groupBy("g").agg(*sums), "g")
+    centres = [f"o{i}{k} + s{i}{k} / h{k} AS m{i}{k}" for k in keys for i in range(P)]
+    scatters = [f"(p{i}{j}{k} / h{k} - s{i}{k} / h{k} * s{j}{k} / h{k}) * {CONSISTENCY}D AS c{i}{j}{k}" for k in keys for i, j in _PAIRS]
+    return _factored(out.selectExpr("g", "n", *centres, *scatters), *keys).select("g", "n", *(c for k in keys for c in _fit_columns(k)))
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """vectors (g, x0..): per group g, its rows n, the MCD centre m0.., scatter c00.., its factor l00.. and log determinant."""
+    fit = _starts(vectors)
+    for _ in range(2):
+        fit = materialise(_step(vectors, fit, STARTS), "mcd-start", files=2)
+    least = f"least({', '.join(f'det{k}' for k in STARTS)})"
+    pick = lambda c: f"CASE {' '.join(f'WHEN det{k} = {least} THEN {c}{k}' for k in STARTS)} END AS {c}"
+    fit = materialise(fit.selectExpr("g", "n", *map(pick, _fit_columns())), "mcd-best", files=2)
+    done = fit.limit(0)
+    while fit.limit(1).count():  # of the groups that the last step improved; each has finitely many subsets
+        new = _step(vectors, fit, ("",))
+        old = fit.select("g", F.struct(*_fit_columns()).alias("old"))
+        both = materialise(new.join(old, "g").withColumn("better", F.col("det") < F.col("old.det") - IMPROVES), "mcd-step", files=2)
+        done = done.unionByName(both.where("NOT better").select("g", "n", *(F.col(f"old.{c}").alias(c) for c in _fit_columns())))
+        fit = both.where("better").select("g", "n", *_fit_columns())
+    return materialise(done, "mcd-fit", files=2)
+
+
+def _shrunk(fit: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per group of (g0, g1, g2), finest level first: centre and factor, each level shrunk toward the one above."""
+    slim = fit.select("g", "n", *(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in _PAIRS))
+    out = groups
+    for level in range(3):
+        out = out.join(slim.select(F.col("g").alias(f"g{level}"), *(F.col(c).alias(f"{c}_{level}") for c in slim.columns[1:])), f"g{level}")
+    names = [*(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in _PAIRS)]
+    above = {c: f"{c}_2" if c[0] == "m" else "0D" for c in names} | {f"c{i}{i}": f"{PRIOR[i] ** 2}D" for i in range(P)}
+    for level, extra in ((2, P + 1), (1, SHRINK), (0, SHRINK)):
+        out = out.withColumns({c: F.expr(f"(n_{level} * {c}_{level} + {extra} * {above[c]}) / (n_{level} + {extra})") for c in names})
+        above = {c: c for c in names}
+    return materialise(_factored(out, "").select("g0", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in _PAIRS)), "mcd-shrunk", files=2)
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """doc_id, the statistics, base_failed, kept, d2 and the group; one row per row of docs."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     slim = statistics(docs.select("doc_id", "text", key("lang").alias("__lang"), key("source").alias("__source"))).drop("text")
-    made = materialise(slim.withColumns({f"x{i}": v for i, v in enumerate(_vector())}), "quality-statistics")
-    levels = [F.concat_ws("\x01", "__lang", "__source"), F.col("__lang"), F.lit("*")]
-    levels = [F.concat(F.lit(f"{k}:"), level) for k, level in enumerate(levels)]
-    vectors = made.select(F.explode(F.array(*levels)).alias("g"), *(f"x{i}" for i in range(P)))
-    fit = materialise(estimates(vectors, steps).where(F.col("rows") >= min_rows), "mcd-fit", files=2)
-    known = fit.select(F.col("g").alias("__g"))
-    for k, level in enumerate(levels):  # the finest group that is large enough
-        made = made.withColumn(f"__g{k}", level).join(known.withColumnsRenamed({"__g": f"__h{k}"}), F.col(f"__g{k}") == F.col(f"__h{k}"), "left")
-    chosen = made.withColumn("g", F.coalesce("__h0", "__h1", "__h2"))
-    out = _distance(chosen.join(fit, "g", "left"))
-    kept = ~_base_failed() & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _base_failed().alias("base_failed"), kept.alias("kept"), "d2", F.col("g").alias("estimated_on"))
+    levels = [F.concat_ws("\x01", F.lit("0"), "__lang", "__source"), F.concat(F.lit("1"), "__lang"), F.lit("2")]
+    made = materialise(slim.withColumns({f"x{i}": v for i, v in enumerate(_vector())} | {f"g{k}": g for k, g in enumerate(levels)}), "quality-statistics")
+    vectors = made.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *(f"x{i}" for i in range(P)))
+    fit = _shrunk(estimates(vectors), made.select("g0", "g1", "g2").distinct())
+    out = made.join(fit, "g0").withColumn("d2", F.expr(_distance()))
+    kept = ~_base_failed() & (F.col("d2") <= cutoff)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _base_failed().alias("base_failed"), kept.alias("kept"), "d2", F.col("g0").alias("estimated_on"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,19 +186,63 @@ def test_quality_statistics(stored, rows):
     assert quality_rules.judge(stored.limit(0)).count() == 0
 
 
-def test_robust_estimates_match_numpy(spark):
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal([1.6, 0.3, 0.4, 0.5], [0.2, 0.1, 0.2, 0.3], (900, 4)), rng.normal(9, 0.1, (100, 4))])
-    df = spark.createDataFrame([("a", *map(float, r)) for r in x], "g string, x0 double, x1 double, x2 double, x3 double")
-    fit = quality_rules.estimates(df).first()
-    assert abs(fit.m0 - 1.6) < 0.05 and abs(fit.m3 - 0.5) < 0.05 and fit.rows == 1000
-    center, scatter = np.median(x, 0), np.diag((1.4826 * np.median(np.abs(x - np.median(x, 0)), 0)) ** 2 + np.array(quality_rules.TOLERANCE) ** 2)
-    for _ in range(quality_rules.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(scatter), x - center)
-        inner = x[d <= np.sort(d)[int(0.75 * len(d)) - 1]]
-        center, scatter = inner.mean(0), np.cov(inner.T, bias=True) * quality_rules.CONSISTENCY + np.diag(np.array(quality_rules.TOLERANCE) ** 2)
-    low = np.array([[fit[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
-    assert np.allclose(low @ low.T, scatter, atol=2e-3) and np.allclose([fit[f"m{i}"] for i in range(4)], center, atol=1e-2)
+def _mcd(x, rng):
+    """Plain FAST-MCD: many random starts, concentration steps until nothing changes, the least determinant wins."""
+    h, best = int(np.ceil(quality_rules.H * len(x))), None
+    for _ in range(30):
+        some = x[rng.choice(len(x), min(len(x), 12), replace=False)]
+        center, scatter, last = some.mean(0), np.cov(some.T) + 1e-6 * np.eye(x.shape[1]), None
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(scatter), x - center)
+            inner = x[np.argsort(d, kind="stable")[:h]]
+            center, scatter = inner.mean(0), np.cov(inner.T, bias=True)
+            det = np.linalg.slogdet(scatter)[1]
+            if last is not None and det > last - 1e-9:
+                break
+            last = det
+        if best is None or det < best[0]:
+            best = det, center, scatter * quality_rules.CONSISTENCY
+    return best
+
+
+def _away(x, center, scatter):
+    return np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(scatter), x - center)
+
+
+def test_robust_estimates_match_numpy_and_decide(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    vectors = quality_rules.statistics(docs).select(packing.F.coalesce("lang", packing.F.lit("")).alias("g"), *(v.alias(f"x{i}") for i, v in enumerate(quality_rules._vector())))
+    rows = vectors.collect()
+    fits = {r.g: r for r in quality_rules.estimates(vectors).collect()}
+    rng, changed = np.random.default_rng(3), collections.Counter()
+    for g, fit in fits.items():
+        x = np.array([r[1:] for r in rows if r.g == g])
+        assert fit.n == len(x)
+        det, center, scatter = _mcd(x, rng)
+        own = np.array([[fit[f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+        low = np.array([[fit[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        assert np.allclose(low @ low.T, own)
+        # cells of the histogram let in a little more than H of the rows
+        assert fit.det - 4 * np.log(quality_rules.CONSISTENCY) < det + 0.25
+        mine = _away(x, np.array([fit[f"m{i}"] for i in range(4)]), own) > quality_rules.CUTOFF
+        changed["brute"] += int((mine != (_away(x, center, scatter) > quality_rules.CUTOFF)).sum())
+        changed["mean and covariance"] += int((mine != (_away(x, x.mean(0), np.cov(x.T)) > quality_rules.CUTOFF)).sum())
+        changed["fixed deviations"] += int((mine != (_away(x, np.median(x, 0), np.diag(np.array(quality_rules.PRIOR) ** 2)) > quality_rules.CUTOFF)).sum())
+        changed["rejected"] += int(mine.sum())
+    # without the robust estimate most of the rejected rows would pass, or many others would not
+    assert changed["brute"] <= 0.03 * changed["rejected"] and changed["mean and covariance"] > 0.3 * changed["rejected"] and changed["fixed deviations"] > 0.2 * changed["rejected"], changed
+
+
+def test_quality_of_small_and_uniform_tables(spark, stored):
+    text = "some words that are told here only once " + " ".join(f"w{k}" for k in range(60))
+    for texts in ([text], [text] * 7, [text] * 5 + [None, ""]):
+        got = quality_rules.judge(spark.createDataFrame([(k, t, None, "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")).collect()
+        assert [r.kept for r in sorted(got, key=lambda r: r.doc_id)] == [bool(t) for t in texts]
+    twice = quality_rules.judge(stored.unionByName(stored)).collect()
+    by_doc = collections.defaultdict(set)
+    for r in twice:
+        by_doc[r.doc_id].add(r.kept)
+    assert len(twice) == 2 * stored.count() and all(len(v) == 1 for v in by_doc.values())
 
 
 def test_sharding(stored, rows):
