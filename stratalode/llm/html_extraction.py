@@ -1,10 +1,13 @@
 """HTML extraction by tag-path ratios.
 
 A page is read into text leaves, each with its root-to-leaf tag path. Per path the text length and the punctuation of all
-its leaves are summed and divided by their number; both ratios are smoothed over neighbouring leaves, fused, and paths
-above a share of the ratios' deviation are content. The content's container is the article, main or other element that
-holds most of that text; its leaves are the page's text, without parts that by tag, role, class or id are menus, headers,
-footers, sidebars, notices, adverts, forms or comments, and without lists of links.
+its leaves are summed and divided by their number; both ratios are smoothed over neighbouring leaves and fused, and paths
+above a share of the scores' deviation are content. Tags, roles, classes and ids that tell of menus, headers, footers,
+sidebars, notices, adverts, forms or comments are hints: they mark the path and scale its score down, once for each marked
+element, so a hint that holds for all of a page (a form or class around everything) changes nothing. Links scale likewise.
+The container is found by descending from the root while one element holds most of the content paths' text; where it lies
+in an article or main element, that is taken whole. Of the container, blocks of content paths stay, and with them headings,
+paragraphs, items and cells that no hint below the container marks, but for items that are links.
 
 Defined cases: null and empty html give an empty text; text without tags is content as it is; unclosed and stray tags are
 closed or ignored as browsers do; a cut-off tag or reference at the end is dropped or kept as text; repeated rows give
@@ -41,21 +44,25 @@ _AWAY_NAME = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer footnav sidebar sidenav aside widget widgets ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert popup popups modal overlay newsletter subscribe subscription signup login signin search share sharing social comment comments commentlist disqus reply replies respond responses related recommended recommendations pagination pager copyright toolbar skip hidden form".split()
 )
 _HEAD_NAME = frozenset("header masthead topbar".split())
-_KEEP = frozenset("html body article main".split())
 _PUNCTUATION = re.compile(r"[.,;:!?。，！？،]")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Share of the deviation of the fused ratios that content has at least.
-DEVIATION = 0.5
+#: Deviations of the scores that content has at least.
+DEVIATION = 1.0
+#: What the score of a path is scaled by for each marked element in it, and for a link.
+HINTED, LINKED = 0.02, 0.1
+#: Elements whose blocks belong to the content around them, whatever their own ratios.
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li td th dd dt pre blockquote figcaption caption summary".split())
 _SMOOTH = (0.25, 0.5, 0.25)
 
 
 class _Node:
-    __slots__ = ("away", "link", "parent", "path", "size", "tag")
+    __slots__ = ("hints", "link", "parent", "path", "prose", "tag")
 
-    def __init__(self, tag: str, parent: _Node | None, away: bool):
-        self.tag, self.parent, self.away, self.size = tag, parent, away, 0
-        self.path = f"{parent.path}/{tag}" if parent else tag
+    def __init__(self, tag: str, parent: _Node | None, hinted: bool):
+        self.tag, self.parent, self.hints = tag, parent, (parent.hints if parent else 0) + hinted
+        self.path = f"{parent.path}/{tag}{'!' * hinted}" if parent else tag
         self.link = tag == "a" or bool(parent and parent.link)
+        self.prose = tag if tag in _PROSE else parent.prose if parent and tag not in _BLOCK else ""
 
 
 def _is_away(tag: str, attrs: str, parent: _Node) -> bool:
@@ -128,26 +135,23 @@ def _leaves(page: str) -> list[tuple[_Node, str, int]]:
                 if stack[k].tag in _SCOPE.get(tag, ()):
                     break
         parent = stack[-1]
-        stack.append(_Node(tag, parent, parent.away or _is_away(tag, m["attrs"] or "", parent)))
+        stack.append(_Node(tag, parent, _is_away(tag, m["attrs"] or "", parent)))
     if at < len(page):
         text(page[at:])
     return out
 
 
-def _content_paths(leaves: list[tuple[_Node, str, int]]) -> set[str]:
-    """Paths whose fused ratio of text and punctuation stands out."""
+def _scores(leaves: list[tuple[_Node, str, int]]) -> dict[str, float]:
+    """The fused ratio of text and punctuation of each path."""
     sums: dict[str, list[float]] = {}
-    sizes = []
     for node, words, _ in leaves:
-        n, p = len(words) - words.count(" "), len(_PUNCTUATION.findall(words))
-        sizes.append(n)
         s = sums.setdefault(node.path, [0.0, 0.0, 0.0])
-        s[0] += n
-        s[1] += p
+        s[0] += len(words) - words.count(" ")
+        s[1] += len(_PUNCTUATION.findall(words))
         s[2] += 1
     ratio = {path: (s[0] / s[2], s[1] / s[2]) for path, s in sums.items()}
     rows = [ratio[node.path] for node, _, _ in leaves]
-    fused: dict[str, list[float]] = {}
+    fused: dict[str, float] = {}
     for k, (node, _, _) in enumerate(leaves):
         length = punctuation = weight = 0.0
         for step, w in zip((-1, 0, 1), _SMOOTH, strict=True):
@@ -155,55 +159,61 @@ def _content_paths(leaves: list[tuple[_Node, str, int]]) -> set[str]:
                 length += w * rows[k + step][0]
                 punctuation += w * rows[k + step][1]
                 weight += w
-        fused.setdefault(node.path, []).append((length / weight) * (0.5 + punctuation / weight) * (0.1 if node.link else 1.0))
-    score = {path: sum(x) / len(x) for path, x in fused.items()}
+        scale = HINTED**node.hints * (LINKED if node.link else 1.0)
+        fused[node.path] = fused.get(node.path, 0.0) + (length / weight) * (0.5 + punctuation / weight) * scale
+    return {path: x / sums[path][2] for path, x in fused.items()}
+
+
+def _content_paths(leaves: list[tuple[_Node, str, int]]) -> set[str]:
+    """Paths whose score stands out."""
+    score = _scores(leaves)
     mean = sum(score.values()) / len(score)
     deviation = (sum((x - mean) ** 2 for x in score.values()) / len(score)) ** 0.5
     least = min(DEVIATION * deviation, max(score.values()))
     return {path for path, x in score.items() if x >= least}
 
 
+def _container(root: _Node, solid: list[tuple[_Node, str, int]], paths: set[str]) -> _Node:
+    held: dict[_Node, int] = {}
+    below: dict[_Node, list[_Node]] = {}
+    for node, words, _ in solid:
+        if node.path in paths:
+            for at in _above(node):
+                if at not in held and at.parent is not None:
+                    below.setdefault(at.parent, []).append(at)
+                held[at] = held.get(at, 0) + len(words)
+    at = root
+    while inner := [n for n in below.get(at, ()) if 5 * held[n] >= 4 * held[root] and n.tag in _BLOCK and n.tag not in _PROSE]:
+        at = inner[0]
+    return next((n for n in _above(at) if n.tag in ("article", "main")), at)
+
+
 def extract(page: str | None) -> str:
     """The main text of one page: blocks in order, one a line."""
     leaves = _leaves((page or "").replace("\x00", ""))
-    near = [x for x in leaves if not x[0].away]
-    solid = [x for x in near if not x[1].isspace()]
+    solid = [x for x in leaves if not x[1].isspace()]
     if not solid:
         return ""
     paths = _content_paths(solid)
-    held: dict[_Node, int] = {}
-    total = 0
-    for node, words, _ in solid:
-        if node.path in paths:
-            total += len(words)
-            at: _Node | None = node
-            while at is not None:
-                held[at] = held.get(at, 0) + len(words)
-                at = at.parent
-    container = next(n for n in held if n.parent is None)
-    best = [n for n, size in held.items() if n.tag in ("article", "main") and 2 * size >= total]
-    if best:
-        container = max(best, key=lambda n: (n.path.count("/"), held[n]))
-        if container.tag == "article":  # several articles side by side are the page's content together
-            beside = [n for n in held if n.tag == "article" and n.parent is container.parent]
-            container = container if len(beside) == 1 else container.parent or container
-    else:
-        while inner := [n for n, size in held.items() if n.parent is container and 5 * size >= 4 * total and n.tag in _BLOCK and n.tag not in ("p", "li", "td", "pre", "blockquote")]:
-            container = inner[0]
-    marked = any(n.tag in ("article", "main") for n in _above(container))
+    container = _container(list(_above(solid[0][0]))[-1], solid, paths)
+    inside: dict[_Node, bool] = {}
     blocks: dict[int, list[tuple[_Node, str]]] = {}
-    for node, words, block in near:
-        if container.parent is None or container in _above(node):
+    for node, words, block in leaves:
+        if node not in inside:
+            inside[node] = any(n is container for n in _above(node))
+        # a marked part in the midst of a block goes, be it content or not
+        if inside[node] and (node.path in paths or node.hints == container.hints):
             blocks.setdefault(block, []).append((node, words))
     out = []
     for parts in blocks.values():
         text = " ".join("".join(w for _, w in parts).split())
         if not text:
             continue
-        linked = sum(len(w) for n, w in parts if n.link and not w.isspace())
-        if not marked and (linked > 0.7 * len(text) or not any(n.path in paths or re.search(r"/(h[1-6]|p|li|td|th|dd|dt|pre|blockquote|figcaption)\b", n.path) for n, w in parts if not w.isspace())):
-            continue
-        out.append(text)
+        said = [(n, len(w)) for n, w in parts if not w.isspace()]
+        content = any(n.path in paths for n, _ in said)
+        linked = sum(size for n, size in said if n.link)
+        if content or any(n.prose for n, _ in said) and (linked <= 0.7 * len(text) or any(n.prose not in ("", "li", "td", "dd") for n, _ in said)):
+            out.append(text)
     return "\n".join(out)
 
 

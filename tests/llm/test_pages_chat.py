@@ -29,6 +29,41 @@ def test_extracts_the_article(name):
     assert html_extraction.extract(page).split("\n") == ["Title here", *BODY]
 
 
+PLAIN = {
+    "divs": "<div><a href=1>One</a> <a href=2>Two</a></div><div><span>Log in</span><span>Search</span></div><div><h1>Title here</h1>" + "".join(f"<p>{x}</p>" for x in BODY) + "<div>Share this</div></div><div><span>Imprint</span> <span>Legal</span></div>",
+    "table": "<table><tr><td><div>One</div><div>Two</div></td><td><h1>Title here</h1>" + "".join(f"<p>{x}</p>" for x in BODY) + "</td></tr></table><div>Imprint</div><div>Legal</div>",
+    "divs as paragraphs": "<div><div><span>One</span></div><div><span>Two</span></div></div><div><h1>Title here</h1>" + "".join(f"<div>{x}</div>" for x in BODY) + "<div><span>Share</span></div></div><div><span>Imprint</span></div>",
+    "a form around all": '<form id="aspnetForm"><div class="nav-list"><div>One</div><div>Two</div></div><div><h1>Title here</h1>' + "".join(f"<p>{x}</p>" for x in BODY) + "</div><div>Imprint</div></form>",
+    "a telling class around all": '<div class="page has-sidebar"><div>One</div><div>Two</div><article><h1>Title here</h1>' + "".join(f"<p>{x}</p>" for x in BODY) + "</article></div>",
+}
+
+
+@pytest.mark.parametrize("name", PLAIN)
+def test_ratios_find_the_article_without_telling_names(name, monkeypatch):
+    page = f"<html><body>{PLAIN[name]}</body></html>"
+    assert html_extraction.extract(page).split("\n") == ["Title here", *BODY]
+    monkeypatch.setattr(html_extraction, "_content_paths", lambda leaves: {n.path for n, _, _ in leaves})
+    # the container alone, by most of the text, is enough for pages that are one article but for a few words
+    assert (html_extraction.extract(page).split("\n") != ["Title here", *BODY]) == ("all" not in name)
+
+
+def test_ratios_decide_on_the_table(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    whole = [html_extraction.extract(x) for x in pages]
+    monkeypatch.setattr(html_extraction, "_content_paths", lambda leaves: {n.path for n, _, _ in leaves})
+    assert sum(html_extraction.extract(x) != y for x, y in zip(pages, whole, strict=True)) > 0.05 * len(pages)
+
+
+def test_scores_by_hand():
+    leaves = html_extraction._leaves('<div><a href=1>Home</a></div><div class="ad">Buy, now.</div><p>One, two, three.</p><p>Four.</p>')
+    ratios = [(4, 0), (8, 2), (9.5, 2), (9.5, 2)]  # length without blanks, and punctuation; a path each but for p's two leaves
+    near = [((2 * a[0] + b[0]) / 3, (2 * a[1] + b[1]) / 3) for a, b in ((ratios[0], ratios[1]), (ratios[3], ratios[2]))]
+    inner = [tuple(0.25 * ratios[k - 1][i] + 0.5 * ratios[k][i] + 0.25 * ratios[k + 1][i] for i in (0, 1)) for k in (1, 2)]
+    fused = [n * (0.5 + p) for n, p in (near[0], *inner, near[1])]
+    want = {"/div/a": fused[0] * html_extraction.LINKED, "/div!": fused[1] * html_extraction.HINTED, "/p": (fused[2] + fused[3]) / 2}
+    assert html_extraction._scores(leaves) == pytest.approx(want)
+
+
 def test_odd_pages(spark):
     e = html_extraction.extract
     assert e(None) == e("") == e("<html><body></body></html>") == "" and e("just  text\n") == "just text"
