@@ -71,6 +71,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * _ODD)
+_BYTE_2 = mix(np.arange(1001, 1257, dtype=U64) * _ODD)
 _BASE = 0xD6E8FEB86659FD93
 _POW_N = PIECE * 2
 
@@ -125,9 +126,13 @@ def words_of(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE, fold: np
     doc = np.searchsorted(off, starts, "right") - 1
     if not hashed:
         return starts, ends, None, doc
-    h = np.empty(len(starts), U64)
-    table = _BYTE if fold is None else _BYTE[fold]
-    k = 0
+    return starts, ends, hashes_of(buf, starts, ends, _BYTE if fold is None else _BYTE[fold]), doc
+
+
+def hashes_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the words; by default of a second table of bytes, independent of the first."""
+    table = _BYTE_2 if table is None else table
+    h, k = np.empty(len(starts), U64), 0
     while k < len(starts):
         lo = starts[k]
         m = max(k + 1, int(np.searchsorted(ends, lo + PIECE, "right")))
@@ -138,7 +143,7 @@ def words_of(buf: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE, fold: np
         s, e = starts[k:m] - lo, ends[k:m] - lo
         h[k:m] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64) * _ODD)
         k = m
-    return starts, ends, h, doc
+    return h
 
 
 def window_hashes(h: np.ndarray, doc: np.ndarray, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 First pass: every partition sketches the minimal five-word hash of each window of n words; the merged sketch overestimates
 how often a window's minimal hash, and so the window, occurs. Second pass: only windows estimated repeated are grouped
-exactly by two 64-bit hashes of their words, after each task has settled what it can alone (a window met in a smaller
+by two independent 64-bit hashes (each of words hashed by a table of its own), after each task has settled what it can alone (a window met in a smaller
 document of the same task is removed there, and just the smallest document's places travel). So a passage in a third of
 all documents reaches its group once a task. No window is lost: what the sketch denies occurs once.
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalode.llm import _sketch
-from stratalode.llm._support import U64, buffer_of, ints, pieces, text_bytes, to_runs, union_of, window_hashes, with_ids, without_ids, words_of
+from stratalode.llm._support import U64, buffer_of, hashes_of, ints, pieces, text_bytes, to_runs, union_of, window_hashes, with_ids, without_ids, words_of
 
 WINDOW = 13
 GRAM = 5
@@ -33,11 +33,11 @@ BUCKET_BYTES = 16 << 20
 
 
 def _anchored(buf: np.ndarray, off: np.ndarray, n: int):
-    """Of the windows of n words: document, first word (of all), word of the document's first word, and minimal hash's place."""
-    _, _, h, doc = words_of(buf, off)
+    """The words (starts, ends, hashes) and their documents; of the windows of n words: first word, place and value of the minimal hash."""
+    starts, ends, h, doc = words_of(buf, off)
     m = len(h) - n + 1
     if m <= 0:
-        return h, doc, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+        return (starts, ends, h), doc, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     gram = min(GRAM, n)
     _, g = window_hashes(h, np.zeros(len(h), np.int64), gram, salt=9)
     best, arg = g[:m].copy(), np.zeros(m, np.int64)
@@ -46,7 +46,7 @@ def _anchored(buf: np.ndarray, off: np.ndarray, n: int):
         best[less] = g[j : m + j][less]
         arg[less] = j
     at = np.flatnonzero(doc[:m] == doc[n - 1 :])
-    return h, doc, at, at + arg[at], best[at]
+    return (starts, ends, h), doc, at, at + arg[at], best[at]
 
 
 def _keys_of(n: int):
@@ -74,14 +74,14 @@ def _settle(h1, h2, doc, place, buckets: int, turn: int) -> pa.RecordBatch:
     h1, h2, doc, place = h1[here], h2[here], doc[here], place[here]
     bucket = (h1 % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    here = np.unique(np.append(bucket, turn % buckets)) if len(done[0]) else np.unique(bucket)
+    lo, hi = (np.searchsorted(bucket[order], here, side).tolist() for side in ("left", "right"))
     rows: list[list] = [[] for _ in _NAMES]
-    for b in range(buckets):
-        part = order[cut[b] : cut[b + 1]]
+    for b, i, j in zip(here.tolist(), lo, hi, strict=True):  # the buckets met, however many there are
+        part = order[i:j]
         own = done if b == turn % buckets else (np.zeros(0, np.int64),) * 3
-        if len(part) or len(own[0]):
-            for column, x in zip(rows, [b, *(x[part].tobytes() for x in (h1, h2, doc, place)), *(x.tobytes() for x in own)], strict=True):
-                column.append(x)
+        for column, x in zip(rows, [b, *(x[part].tobytes() for x in (h1, h2, doc, place)), *(x.tobytes() for x in own)], strict=True):
+            column.append(x)
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], _NAMES)
 
 
@@ -93,12 +93,12 @@ def _sender(repeats, n: int, buckets: int):
         for batch in batches:
             ids, (buf, off) = ints(batch.column(0)), buffer_of(batch.column(1))
             for i, j in pieces(off):
-                h, doc, at, _, key = _anchored(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
+                (starts, ends, h), doc, at, _, key = _anchored(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 keep = np.flatnonzero(known.may_repeat(key))
                 if not len(keep):
                     continue
                 _, h1 = window_hashes(h, doc, n, salt=1)
-                _, h2 = window_hashes(h, doc, n, salt=2)
+                _, h2 = window_hashes(hashes_of(buf[off[i] : off[j]], starts, ends), doc, n, salt=2)
                 first = np.searchsorted(doc, np.arange(j - i))
                 at = at[keep]
                 held.append((h1[keep], h2[keep], ids[i:j][doc[at]], at - first[doc[at]]))

@@ -4,9 +4,10 @@ A byte goes if a `width`-byte string that covers it starts anywhere else as well
 positions in reach, each `width`-byte string has one anchor, its least hashed position, so equal strings have equal
 anchors. A first pass sketches the anchors' CONTEXT bytes (see _sketch); strings whose anchor occurs once are unique. A
 second pass sends what is left, grouped by the anchor's key, and each group feeds its bytes batch by batch to a
-logarithmic family of suffix arrays: a new batch is sorted, merge-scanned against every level for matches of full width,
-and levels of like size merge. Suffixes are ordered by their first byte and then by a fingerprint of all `width`
-bytes, confirmed by a second one: past the first byte only equality over the full width matters.
+logarithmic family of ordered arrays of suffixes: a new batch is sorted, merge-scanned against every level for matches of full
+width, and levels of like size merge. Suffixes are ordered by their first byte and then by a fingerprint of all `width`
+bytes, confirmed by a second, independent one: past the first byte only equality over the full width matters, so this order
+replaces the lexicographic one of suffix arrays.
 
 Skew: equal stretches within a task travel once. Keys the sketch calls hot, such as a passage in a third of all
 documents, don't meet in one group: their strings are dealt by the hash of the whole string, after each task has settled
@@ -73,14 +74,16 @@ def _over(grams: np.ndarray, at: np.ndarray, n: int, *seeds: int, block: int = 1
 
 
 def _strings(grams: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
-    """Two hashes of the width bytes at each place; wide strings go by mixed values of five grams, made once a position."""
+    """Two independent hashes of the width bytes at each place; wide strings go by mixed values of five grams, made once a position and hash."""
     if width < 5 * _GRAM:
         return _over(grams, at, width, 2, 3)
-    m = len(grams) - 4 * _GRAM
-    wide = grams[:m].copy()
-    for j, c in zip(range(1, 5), _coefficients(4, 4), strict=True):
-        wide += grams[j * _GRAM : m + j * _GRAM] * c
-    return _over(mix(wide), at, width, 2, 3, block=5)
+    m, out = len(grams) - 4 * _GRAM, []
+    for seed in (2, 3):
+        wide = grams[:m] * _coefficients(seed + 20, 1)[0]
+        for j, c in zip(range(1, 5), _coefficients(seed + 2, 4), strict=True):
+            wide += grams[j * _GRAM : m + j * _GRAM] * c
+        out += _over(mix(wide), at, width, seed, block=5)
+    return out
 
 
 def _least(grams: np.ndarray, m: int, reach: int) -> np.ndarray:
@@ -178,13 +181,12 @@ class _Outbox:
             hot = (h1[starts], h2[starts], np.where(many, _SETTLED, doc[starts]), at[starts])
         bucket = (hot[0] % U64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        here = sorted({*by_bucket, *np.unique(bucket).tolist(), *([self.turn % self.buckets] if len(done[0]) else [])})
+        lo, hi = (np.searchsorted(bucket[order], here, side).tolist() for side in ("left", "right"))
         rows: list[list] = [[] for _ in _NAMES]
-        for b in range(self.buckets):
-            part, plain = order[cut[b] : cut[b + 1]], by_bucket.get(b, [])
+        for b, i, j in zip(here, lo, hi, strict=True):  # the buckets met, however many there are
+            part, plain = order[i:j], by_bucket.get(b, [])
             own = done if b == self.turn % self.buckets else (_NONE,) * 3
-            if not (len(part) or plain or len(own[0])):
-                continue
             docs, starts, ns, bodies = zip(*plain, strict=True) if plain else ((), (), (), ())
             values = [b, *(np.array(x, np.int64).tobytes() for x in (docs, starts, ns)), b"".join(bodies), *(x[part].tobytes() for x in hot), *(x.tobytes() for x in own)]
             for column, x in zip(rows, values, strict=True):
