@@ -119,3 +119,13 @@ def test_components(spark):
         root[y] = x
     got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {a: find(a) for a in root}
+
+
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    rng, written, real = random.Random(2), [], near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, name, *a: written.append(name) or real(df, name, *a))
+    path = [(k, k + 1) for k in range(1000)] + [(5000 - k, 4999 - k) for k in range(0, 400)] + [(9000, 9000 + k) for k in range(1, 50)] + [(9001 + k, 10_000) for k in range(3)]
+    rng.shuffle(path)
+    got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {k: 0 if k <= 1000 else 4600 if k <= 5000 else 9000 for e in path for k in e}
+    assert len(written) < 30, written
