@@ -1,13 +1,15 @@
 """Sharding by a hypergeometric communication matrix: a uniform shuffle with exact shard sizes.
 
-Rows of P input partitions go to S blocks of exact sizes. How many rows partition p sends to block s is drawn from the
+Rows of P input partitions go to S shards of exact sizes. How many rows partition p sends to shard s is drawn from the
 multivariate hypergeometric law (what a uniform permutation would send), so every partition can permute and deal its own
-rows alone; after the exchange each block is permuted again. Blocks of one shard follow each other, so no task holds a
-whole shard and slots stay gapless.
+rows alone; after the exchange each shard is permuted again: every row carries a random order, a shard's orders are cut
+into blocks of about `block_rows` rows, and blocks are ranked alone. A block's first slot comes from the blocks' counts;
+as labels and orders depend on the seed and a partition's number of rows only, these are counted without reading the rows.
+So no task holds a shard, slots are gapless, and the driver holds one number a partition and shard.
 
 Law: `rows`; shard sizes differ by one at most. Defined cases: null text counts as empty (size 1, text_crc32 0);
 equal rows are rows of their own; fewer rows than shards leave the last shards empty; an empty table gives no rows; all
-other columns pass through, but for ones named shard or slot, which are replaced. The matrix has at most `max_cells` cells; beyond it blocks grow instead.
+other columns pass through, but for ones named shard or slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -72,29 +74,57 @@ def _even(total: int, parts: int) -> list[int]:
     return [total // parts + (k < total % parts) for k in range(parts)]
 
 
-def _dealer(matrix, seed: int):
+_ORDER_BITS = 62
+
+
+class _Deal:
+    """What partition p does with its rows, in turn: the shard and random order of each."""
+
+    def __init__(self, p: int, counts: np.ndarray, seed: int):
+        self.rng = np.random.default_rng([seed, p])
+        self.shards = self.rng.permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
+        self.done = 0
+
+    def next(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        shards, self.done = self.shards[self.done : self.done + n], self.done + n
+        return shards, self.rng.integers(0, 1 << _ORDER_BITS, len(shards), dtype=np.int64)
+
+
+def _block(shards: np.ndarray, order: np.ndarray, bits: int) -> np.ndarray:
+    """Blocks of a shard follow each other; a block takes the orders with the same leading bits."""
+    return (shards.astype(np.int64) << bits) | (order >> (_ORDER_BITS - bits))
+
+
+def _dealer(matrix, seed: int, bits: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
-        counts = matrix.value.get(pid)
-        if counts is None:
-            counts = np.zeros(0, np.int64)
-        rng = np.random.default_rng([seed, pid])
-        labels = rng.permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
-        done = 0
+        p = TaskContext.get().partitionId()
+        mine = _Deal(p, matrix.value.get(p, np.zeros(0, np.int64)), seed)
+        at = p << 40
         for batch in batches:
             n = batch.num_rows
-            if done + n > len(labels):
-                raise RuntimeError(f"partition {pid} has more rows than were counted")
-            block, order = labels[done : done + n], rng.integers(0, 1 << 62, n, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block), pa.array(order), pa.array(np.arange(done, done + n, dtype=np.int64) + (pid << 40))], [*batch.schema.names, "__block", "__order", "__at"])
-            done += n
-        if done != len(labels):
-            raise RuntimeError(f"partition {pid} has fewer rows than were counted")
+            shards, order = mine.next(n)
+            if len(shards) < n:
+                raise RuntimeError(f"partition {p} has more rows than were counted")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_block(shards, order, bits)), pa.array(order), pa.array(np.arange(at, at + n))], [*batch.schema.names, "__block", "__order", "__at"])
+            at += n
+        if mine.done < len(mine.shards):
+            raise RuntimeError(f"partition {p} has fewer rows than were counted")
 
     return deal
 
 
-def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20240229, block_rows: int = 2048, max_cells: int = 4_000_000) -> DataFrame:
+def _counter(matrix, seed: int, bits: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                mine = _Deal(p, matrix.value[p], seed)
+                blocks, n = np.unique(_block(*mine.next(len(mine.shards)), bits), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(n)], ["__block", "n"])
+
+    return count
+
+
+def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20240229, block_rows: int = 2048) -> DataFrame:
     """df with `shard` and `slot`: a uniform random permutation cut into shards whose sizes differ by one at most.
 
     The input's partitions must come out alike when read again (a Parquet scan does); a difference raises an error.
@@ -104,17 +134,18 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20240229, b
     counted = dict((r[0], r[1]) for r in df.groupBy(F.spark_partition_id().alias("pid")).count().collect())
     pids = sorted(counted)
     sizes = _even(sum(counted.values()), shards)
-    per = max(1, min(-(-max(sizes) // block_rows), max_cells // max(1, len(pids) * shards)))
-    blocks = [n for size in sizes for n in _even(size, per)]
-    matrix = communication_matrix([counted[p] for p in pids], blocks, seed)
-    base = [sum(blocks[s * per : s * per + k]) for s in range(shards) for k in range(per)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "__block int, __order long, __at long"])
-    dealt = df.mapInArrow(_dealer(spark.sparkContext.broadcast(dict(zip(pids, matrix, strict=True))), seed), schema)
-    starts = spark.createDataFrame(pa.table({"__block": pa.array(range(len(blocks)), pa.int32()), "__base": pa.array(base, pa.int64())}))
+    bits = max(0, -(-max(sizes) // block_rows) - 1).bit_length()
+    matrix = communication_matrix([counted[p] for p in pids], sizes, seed)
+    dealt_by = spark.sparkContext.broadcast(dict(zip(pids, matrix, strict=True)))  # a number a partition and shard
+    partitions = spark.createDataFrame(pa.table({"pid": pa.array(pids, pa.int64())}))
+    counts = partitions.repartition(max(1, min(len(pids), 4096))).mapInArrow(_counter(dealt_by, seed, bits), "__block long, n long").groupBy("__block").agg(F.sum("n").alias("n"))
+    ahead = Window.partitionBy(F.shiftright("__block", bits)).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # rows are blocks
+    starts = counts.select("__block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__base"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "__block long, __order long, __at long"])
+    dealt = df.mapInArrow(_dealer(dealt_by, seed, bits), schema)
     rank = F.row_number().over(Window.partitionBy("__block").orderBy("__order", "__at")).cast("long") - 1
     ranked = dealt.withColumn("__rank", rank)
-    # at most max_cells rows of two numbers; the planner broadcasts them only below its own threshold
-    return ranked.join(starts, "__block").select(*df.columns, F.floor(F.col("__block") / F.lit(per)).cast("int").alias("shard"), (F.col("__base") + F.col("__rank")).alias("slot"))
+    return ranked.join(starts, "__block").select(*df.columns, F.shiftright("__block", bits).cast("int").alias("shard"), (F.col("__base") + F.col("__rank")).alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

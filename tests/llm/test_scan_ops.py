@@ -258,6 +258,28 @@ def test_sharding(stored, rows):
     assert sharding.shuffle_into_shards(stored.limit(0)).count() == 0
 
 
+def test_sharding_is_alike_with_any_blocks_and_uniform(spark, stored):
+    whole = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(stored, shards=3, block_rows=1 << 20).collect()}
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(stored, shards=3, block_rows=1).collect()} == whole
+    few, seen = spark.range(0, 24, 1, 3), collections.Counter()
+    for seed in range(40):
+        for r in sharding.shuffle_into_shards(few, shards=4, seed=seed, block_rows=2).collect():
+            seen[r.id // 8, r.shard] += 1  # an input partition and a shard: 80 rows on average of 960
+    assert all(50 < n < 112 for n in seen.values()) and len(seen) == 12
+
+
+def test_sharding_query(spark, tmp_path):
+    texts = [None, "", "é", "a b"] + [f"text {k}" for k in range(50)]
+    spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in sharding.op9_sharding(spark, str(tmp_path)).collect()}
+    slots = collections.defaultdict(list)
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert (got[k]["size"], got[k].text_crc32, got[k].law, got[k].grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+        slots[got[k].shard].append(got[k].slot)
+    assert sorted(slots) == list(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values()) and {len(s) for s in slots.values()} == {3, 4}
+
+
 def test_communication_matrix():
     m = sharding.communication_matrix([5, 0, 7, 100], [30, 30, 52], 1)
     assert m.sum(0).tolist() == [30, 30, 52] and m.sum(1).tolist() == [5, 0, 7, 100] and (m >= 0).all()
