@@ -4,10 +4,11 @@ Texts are lower-cased in A-Z and cut into words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\
 of fewer words is one window) goes into a sorted hash set. Document windows are hashed in bulk, looked up and verified
 word by word; hit spans are then reported, cut out, or used to drop documents.
 
-Defined cases: null and empty texts have no words and are never hit; doc_id is a key, null for one row at most; an item without words gives no window; repeated
-items count one by one; an empty table on either side gives no hits; columns other than the named ones pass through
-`remove` untouched. Memory: the set is broadcast in blocks of at most `block_bytes` of item text, so a larger benchmark
-takes more passes, each merged per document; `remove` carries the spans beside the text and cuts once after all blocks.
+Defined cases: null and empty texts have no words and are never hit; rows are reported one by one, whatever their doc_ids; an
+item without words gives no window; repeated items count one by one; items with a null item_id hit like others and count as one item,
+which has no place among the ids; an empty table on either side gives no hits; columns other than the named ones pass through
+`remove` untouched. Memory: the set is broadcast in blocks of about `block_bytes` of item text. All blocks mark their hits beside
+the row, in one scan, and spans are merged, reported, judged and cut once, on the text as it came; the number of blocks changes nothing.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ FOLD[65:91] += 32
 SEPARATOR = np.zeros(256, bool)
 for _lo, _hi in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)):
     SEPARATOR[_lo : _hi + 1] = True
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _BITS = 22
-_SCAN = "doc_id long, n_words long, spans array<struct<a:long,b:long>>, byte_spans array<struct<a:long,b:long>>, items array<long>"
+_SPANS = "array<struct<a:long,b:long>>"
+#: Stands for a null item_id.
+NO_ITEM = -(1 << 63)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -84,102 +87,91 @@ class NgramSet:
                     j += 1
 
 
-def _scanner(grams):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marker(grams, at: int):
+    """Adds to the last two columns the word spans hit, as a, b, a, b, ..., and the items; column `at` has the text."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = grams.value
         for batch in batches:
-            ids, (buf, off) = ints(batch.column(0)), buffer_of(batch.column(1))
-            rows: list[tuple] = []
+            buf, off = buffer_of(batch.column(at))
+            marks, items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             for i, j in pieces(off):
                 part, part_off = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-                low = FOLD[part]
                 starts, ends, h, doc = words_of(part, part_off, SEPARATOR, FOLD)
-                first = np.searchsorted(doc, np.arange(j - i + 1))
-                hit, items = np.zeros(len(starts), bool), defaultdict(set)
-                for k, size, owners in index.hits(low, starts, ends, h, doc):
+                hit, owners = np.zeros(len(starts), bool), defaultdict(set)
+                for k, size, found in index.hits(FOLD[part], starts, ends, h, doc):
                     hit[k : k + size] = True
-                    items[int(doc[k])].update(owners)
-                for d in range(j - i):
-                    f, g = int(first[d]), int(first[d + 1])
-                    if d not in items:
-                        rows.append((int(ids[i + d]), g - f, [], [], []))
-                        continue
-                    a, b = runs(hit[f:g])
-                    spans = [{"a": x, "b": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                    where = [{"a": int(starts[f + x] - part_off[d]), "b": int(ends[f + y - 1] - part_off[d])} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                    rows.append((int(ids[i + d]), g - f, spans, where, sorted(items[d])))
-            span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), span, span, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "spans", "byte_spans", "items"])
-
-    return scan
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[int]]:
-    """Item ids in blocks of bounded text; one aggregate says whether one block is enough."""
-    total = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
-    return [[k, n] for n in [max(1, -(-total // block_bytes))] for k in range(n)]
+                    owners[int(doc[k])].update(found)
+                first = np.searchsorted(doc, np.arange(j - i + 1))
+                for d, found in owners.items():
+                    marks[i + d] = [*marks[i + d], *np.stack(runs(hit[first[d] : first[d + 1]]), 1).reshape(-1).tolist()]
+                    items[i + d] = sorted({*items[i + d], *found})
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(marks, kind), pa.array(items, kind)], batch.schema.names)
+
+    return mark
 
 
-def _merge(spans: list) -> list:
-    out: list[list[int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
+def _marked(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int) -> DataFrame:
+    """docs with two more columns, the last: marks of all blocks, and items."""
+    names = []
+    for name in ("__marks", "__items"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    out = docs.withColumns({name: F.array().cast("array<long>") for name in names})
+    schema, at = out.schema, docs.columns.index("text")
+    total = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
+    count = max(1, -(-total // block_bytes))
+    for k in range(count):
+        part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
+        items = [(NO_ITEM if r[0] is None else int(r[0]), r[1]) for r in part.collect()]  # about block_bytes
+        out = out.mapInArrow(_marker(docs.sparkSession.sparkContext.broadcast(NgramSet(items, n)), at), schema)
     return out
 
 
+def _union(marks: list[int], n: int) -> np.ndarray:
+    """Which of n words lie in a span of marks."""
+    hit = np.zeros(n, bool)
+    for x, y in zip(marks[::2], marks[1::2], strict=True):
+        hit[x:y] = True
+    return hit
+
+
+def _reporter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    for batch in batches:
+        buf, off = buffer_of(batch.column(1))
+        counts, spans, where = [], [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
+        marks = batch.column(2).to_pylist()
+        for i, j in pieces(off):
+            part, part_off = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+            starts, ends, _, doc = words_of(part, part_off, SEPARATOR, FOLD, hashed=False)
+            first = np.searchsorted(doc, np.arange(j - i + 1))
+            counts += np.diff(first).tolist()
+            for d in range(j - i):
+                if marks[i + d]:
+                    f = int(first[d])
+                    a, b = runs(_union(marks[i + d], int(first[d + 1]) - f))
+                    spans[i + d] = [{"a": x, "b": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                    where[i + d] = [{"a": int(starts[f + x] - part_off[d]), "b": int(ends[f + y - 1] - part_off[d])} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(where, span), batch.column(3)], ["doc_id", "n_words", "spans", "byte_spans", "items"])
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, word spans and byte spans hit (merged, end exclusive) and the items with a window in the document."""
-    spark = docs.sparkSession
-    source = with_ids(docs, "text")
-    found = None
-    for k, count in _blocks(benchmark, block_bytes):
-        part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k)
-        grams = spark.sparkContext.broadcast(NgramSet([(int(r[0]), r[1]) for r in part.collect() if r[0] is not None], n))
-        scanned = source.mapInArrow(_scanner(grams), _SCAN)
-        if count == 1:
-            return scanned
-        found = scanned if found is None else found.union(scanned)
-    flat = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  bounded by the blocks of one document
-    joined = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), flat("spans").alias("spans"), flat("byte_spans").alias("byte_spans"), flat("items").alias("items"))
-    merged = F.udf(_merge, "array<struct<a:long,b:long>>")
-    return joined.select("doc_id", "n_words", merged("spans").alias("spans"), merged("byte_spans").alias("byte_spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    """doc_id, n_words, word spans and byte spans hit (merged, end exclusive) and the items with a window in the document (NO_ITEM: null)."""
+    marked = _marked(with_ids(docs, "text"), benchmark, n, block_bytes)
+    return marked.mapInArrow(_reporter, f"doc_id long, n_words long, spans {_SPANS}, byte_spans {_SPANS}, items array<long>")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find_hits(docs, benchmark, n, block_bytes)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
+    ids = F.concat_ws(",", F.array_sort(F.transform(F.array_remove("items", F.lit(NO_ITEM)), lambda x: x.cast("string"))))
     return without_ids(found).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def _marker(grams, names: list[str]):
-    """Adds the word spans hit, as a, b, a, b, ..., to the last column."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, at = grams.value, names.index("text")
-        for batch in batches:
-            buf, off = buffer_of(batch.column(at))
-            marks = batch.column(len(names)).to_pylist()
-            for i, j in pieces(off):
-                part, part_off = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-                starts, ends, h, doc = words_of(part, part_off, SEPARATOR, FOLD)
-                hit = np.zeros(len(starts), bool)
-                for k, size, _ in index.hits(FOLD[part], starts, ends, h, doc):
-                    hit[k : k + size] = True
-                first = np.searchsorted(doc, np.arange(j - i + 1))
-                for d in np.unique(doc[hit]).tolist():
-                    marks[i + d] = [*marks[i + d], *np.stack(runs(hit[first[d] : first[d + 1]]), 1).reshape(-1).tolist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, pa.list_(pa.int64()))], batch.schema.names)
-
-    return mark
-
-
 def _cutter(names: list[str], share: float):
     """Cuts the union of the marked spans, or drops the document."""
 
@@ -193,9 +185,7 @@ def _cutter(names: list[str], share: float):
                     continue
                 part = buf[off[d] : off[d + 1]]
                 starts, ends, _, _ = words_of(part, np.array([0, len(part)]), SEPARATOR, FOLD, hashed=False)
-                hit = np.zeros(len(starts), bool)
-                for x, y in zip(marks[::2], marks[1::2], strict=True):
-                    hit[x:y] = True
+                hit = _union(marks, len(starts))
                 keep[d] = hit.sum() <= share * len(starts)
                 raw, out, last = part.tobytes(), [], 0
                 for x, y in zip(*(e.tolist() for e in runs(hit)), strict=True):
@@ -209,20 +199,8 @@ def _cutter(names: list[str], share: float):
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the words hit; a document with more than drop_share of its words hit goes altogether.
-
-    The blocks of a benchmark mark their hits on the text as it came; the union is judged and cut once.
-    """
-    marks = "__marks"
-    while marks in docs.columns:
-        marks += "_"
-    out = docs.withColumn(marks, F.array().cast("array<long>"))
-    schema = out.schema
-    for k, count in _blocks(benchmark, block_bytes):
-        part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k)
-        grams = docs.sparkSession.sparkContext.broadcast(NgramSet([(int(r[0]), r[1]) for r in part.collect() if r[0] is not None], n))
-        out = out.mapInArrow(_marker(grams, docs.columns), schema)
-    return out.mapInArrow(_cutter(docs.columns, drop_share), docs.schema)
+    """docs without the words hit; a document with more than drop_share of its words hit goes altogether."""
+    return _marked(docs, benchmark, n, block_bytes).mapInArrow(_cutter(docs.columns, drop_share), docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

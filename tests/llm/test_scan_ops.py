@@ -72,6 +72,18 @@ def test_decontamination_removes_the_same_in_blocks(spark):
     assert got[1] == got[0]
 
 
+def test_decontamination_of_repeated_ids_and_null_items(spark):
+    words = " ".join(f"p{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"x {words}", 5), (1, "clean", 6), (None, words, 7), (2, None, 8)], "doc_id long, text string, __items long")
+    items = [(None, words), (7, words), (None, "q " * 12), (8, " ".join(f"z{k}" for k in range(900)))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(map(str, decontamination.report(docs, benchmark, block_bytes=b).collect())) for b in (1 << 20, 300)]
+    assert got[0] == got[1] and len(got[0]) == 4
+    by = {r.n_words: r for r in decontamination.report(docs, benchmark).collect()}
+    assert (by[13].n_hit, by[13].n_items, by[13].items_sha256) == (12, 2, hashlib.sha256(b"7").hexdigest()) and not by[1].contaminated and by[12].doc_id is None
+    assert sorted(str(r.text) for r in decontamination.remove(docs, benchmark, drop_share=1.0).collect()) == ["", "None", "clean", "x "]
+
+
 def _check_pieces(pieces, texts, length):
     from tokenizers import Tokenizer
 
