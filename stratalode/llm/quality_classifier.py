@@ -2,8 +2,8 @@
 
 Labels give preferences: a document labelled 1 beats one labelled 0. A document's strength is linear in its features, the
 probability of a preference is the logistic function of the strengths' difference, and the weights minimise that logistic
-loss (Newton steps with a ridge). Strengths are thresholded at a quantile of the strengths of all learnable documents and
-mapped to scores so that the threshold is at 0.7.
+loss (Newton steps with a ridge). The threshold is a quantile of the strengths of all labelled, learnable documents: the one
+that leaves as large a share below it as labels call bad. Strengths are mapped to scores so that the threshold is at 0.7.
 
 What is learnt from: rows with crc32(doc_id as text) mod 4 other than 2; the fit takes at most `max_labels` of them (those
 of least hash) and `pairs` preferences for each of their rows. Features, strengths, the threshold's quantile and all scores
@@ -29,6 +29,8 @@ from stratalode.llm._support import buffer_of, ints, materialise, pieces, window
 MAX_LABELS = 20_000
 PAIRS = 8
 RIDGE = 1e-3
+#: Of the quantile: ranks are right to one in so many.
+ACCURACY = 10_000
 CUT = 0.7
 FEATURES = (
     "log_words", "few_words", "word_length", "long_words", "symbols", "upper", "shouting", "digits", "sentence_ends", "bangs", "pipes",
@@ -151,26 +153,11 @@ def _strength(mean: np.ndarray, deviation: np.ndarray, w: np.ndarray) -> Column:
     return total
 
 
-def _threshold(strength: DataFrame, learnable: DataFrame, labelled: bool) -> tuple[float, float]:
-    """The quantile of all labelled, learnable rows that parts the labels best, and the strength there: one histogram."""
-    if not labelled:
-        return 0.0, 0.0
+def _threshold(strength: DataFrame, learnable: DataFrame) -> float:
+    """The quantile of the strengths of all labelled, learnable rows that as large a share lies below as is labelled 0."""
     joined = strength.join(learnable, "doc_id")
-    lo, hi = joined.agg(F.min("strength"), F.max("strength")).first()
-    if lo is None or hi <= lo:
-        return 0.0, lo or 0.0
-    bins = 2000
-    cell = F.least(F.floor((F.col("strength") - lo) / (hi - lo) * bins), F.lit(bins - 1)).alias("cell")
-    rows = joined.groupBy(cell).agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.count("*").alias("all")).collect()  # at most `bins`
-    good, both = np.zeros(bins), np.zeros(bins)
-    for r in rows:
-        good[r.cell], both[r.cell] = r.good, r.all
-    bad = both - good
-    # errors if the cut is before cell k: good ones below it, bad ones above
-    errors = np.concatenate([[0], np.cumsum(good)]) / max(1, good.sum()) + 1 - np.concatenate([[0], np.cumsum(bad)]) / max(1, bad.sum())
-    best = np.flatnonzero(errors <= errors.min() + 1e-12)
-    k = int(best[len(best) // 2])
-    return float(np.concatenate([[0], np.cumsum(both)])[k] / max(1, both.sum())), lo + (hi - lo) * k / bins
+    share = joined.agg(F.avg((F.col("quality") == 0).cast("double"))).first()[0]
+    return 0.0 if share is None else joined.agg(F.percentile_approx("strength", F.lit(share), ACCURACY)).first()[0]
 
 
 def score(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
@@ -183,7 +170,7 @@ def score(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> D
     y = ints(sample.column("quality").combine_chunks()) if sample.num_rows else np.zeros(0)
     mean, deviation, w = fit(x, y)
     strength = made.select("doc_id", _strength(mean, deviation, w).alias("strength"))
-    _, cut = _threshold(strength, known, bool(w.any()))
+    cut = _threshold(strength, known) if w.any() else 0.0
     shift = float(np.log(CUT / (1 - CUT)))
     value = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("strength") - cut + shift)))
     out = strength.select("doc_id", held_out().alias("held_out"), F.when(F.col("strength") >= cut, F.greatest(value, F.lit(CUT))).otherwise(value).alias("score"), "strength")
