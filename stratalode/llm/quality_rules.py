@@ -5,8 +5,8 @@ symbols a character, repeated lines a line and repeated words a word. Clean text
 leave a scatter without a determinant; so each count gets a part of one, uniform between 0 and 1 and fixed by a hash of the
 text (the usual jitter that makes counts continuous), and the vector has a spread of its own in all directions.
 
-Estimates follow deterministic MCD: three starts (median and MAD; correlation of tanh scores; spatial signs) take two
-concentration steps each ("take the 75 % of rows with the least Mahalanobis distance, re-estimate"), the start of the least
+Estimates follow deterministic MCD: three starts (median and MAD; correlation of tanh scores; spatial signs) take a
+concentration step each ("take the 75 % of rows with the least Mahalanobis distance, re-estimate"), the start of the least
 determinant goes on, and a group is done once a step no longer lowers its determinant. A step is two aggregates with
 map-side partial sums: a histogram of log distances (about 1 % wide cells, so runs repeat) and the sums of the rows within.
 A hot group is no task of its own. Groups are estimated by language and source, by language, and over the corpus; each
@@ -172,9 +172,7 @@ def _step(vectors: DataFrame, fit: DataFrame, keys: tuple[str, ...]) -> DataFram
 
 def estimates(vectors: DataFrame) -> DataFrame:
     """vectors (g, x0..): per group g, its rows n, the MCD centre m0.., scatter c00.., its factor l00.. and log determinant."""
-    fit = _starts(vectors)
-    for _ in range(2):
-        fit = materialise(_step(vectors, fit, STARTS), "mcd-start", files=2)
+    fit = materialise(_step(vectors, _starts(vectors), STARTS), "mcd-start", files=2)
     least = f"least({', '.join(f'det{k}' for k in STARTS)})"
     pick = lambda c: f"CASE {' '.join(f'WHEN det{k} = {least} THEN {c}{k}' for k in STARTS)} END AS {c}"
     fit = materialise(fit.selectExpr("g", "n", *map(pick, _fit_columns())), "mcd-best", files=2)
