@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +33,13 @@ def aliases(spark: SparkSession) -> DataFrame:
 
 
 def ancestors(classes_: DataFrame) -> DataFrame:
-    """(name, ancestor): the transitive closure by a recursive query; a cycle ends as UNION drops what is known."""
-    view = "ontology_parents"
+    """(name, ancestor): the transitive closure by a recursive query of as many levels as there are classes, so a cycle ends."""
+    view = f"ontology_parents_{uuid.uuid4().hex}"
     classes_.where("parent IS NOT NULL").createOrReplaceTempView(view)
     return classes_.sparkSession.sql(
         f"""WITH RECURSIVE up(name, ancestor, depth) AS (SELECT name, parent, 1 FROM {view} UNION ALL
-        SELECT up.name, p.parent, up.depth + 1 FROM up JOIN {view} p ON p.name = up.ancestor WHERE up.depth < 32) SELECT DISTINCT name, ancestor FROM up"""
+        SELECT up.name, p.parent, up.depth + 1 FROM up JOIN {view} p ON p.name = up.ancestor CROSS JOIN (SELECT count(*) AS classes FROM {view}) WHERE up.depth < classes)
+        SELECT DISTINCT name, ancestor FROM up"""
     )
 
 
@@ -45,14 +48,17 @@ def normal(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-def tag(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(doc_id, name, alias, place): whole-word aliases; texts are tokenised once and only aliases are grouped.
+def tag(docs: DataFrame, spark: SparkSession, known: DataFrame | None = None, longest: int = 2) -> DataFrame:
+    """(doc_id, name, alias, place): aliases of whole words, up to `longest` of them, and their first place.
 
-    The ontology is a constant of this module, so its broadcast doesn't grow with the data.
+    Texts are tokenised once and only aliases are grouped. The ontology is a constant of this module, so its broadcast
+    doesn't grow with the data.
     """
-    words = docs.select("doc_id", F.posexplode(F.split(normal(F.col("text")), " ")).alias("place", "alias"))
-    known = words.join(F.broadcast(aliases(spark).where("NOT contains(alias, ' ')")), "alias")
-    return known.groupBy("doc_id", "name", "alias").agg(F.min("place").alias("place"))
+    known = aliases(spark) if known is None else known
+    words = docs.select("doc_id", F.split(normal(F.col("text")), " ").alias("words"))
+    phrase = lambda n: F.transform(F.expr(f"sequence(0, greatest(size(words) - {n}, 0))"), lambda i: F.concat_ws(" ", F.slice("words", i + 1, n)))
+    found = [words.select("doc_id", F.posexplode("words" if n == 1 else phrase(n)).alias("place", "alias")).join(F.broadcast(known.where(F.size(F.split("alias", " ")) == n)), "alias") for n in range(1, longest + 1)]
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "name", "alias").agg(F.min("place").alias("place"))
 
 
 def entity_key(kind: Column, name: Column) -> Column:
@@ -141,3 +147,49 @@ def prune(entities: DataFrame, relations: DataFrame, evidence: DataFrame, classe
     kept = _joined(good, relations, evidence, classes_, predicates).where(F.size(F.array_compact(F.array(*_relation_errors()))) == 0).select(*relations.columns)
     ends = kept.select("chunk_id", F.explode(F.array("subject", "object")).alias("candidate_id")).distinct()
     return good.join(ends, ["chunk_id", "candidate_id"], "left_semi"), kept, evidence.join(kept.select("chunk_id", "relation_id"), ["chunk_id", "relation_id"], "left_semi")
+
+
+#: Model output as it is read: numbers as text, since their types vary.
+PAYLOAD = (
+    "mentions array<struct<mention_id:string,text:string,type_hint:string,proposed_type:string,start:string,end:string,confidence:string>>, "
+    "candidate_entities array<struct<candidate_id:string,mention_ids:array<string>,proposed_type:string,canonical_name:string,confidence:string>>, "
+    "candidate_relations array<struct<relation_id:string,subject_candidate_id:string,predicate_text:string,object_candidate_id:string,object_literal:string,confidence:string>>, "
+    "evidence array<struct<evidence_id:string,supports:array<string>,excerpt:string,start:string,end:string>>"
+)
+
+
+def candidates(df: DataFrame, key: str, text: str = "text", payload: str = "payload") -> DataFrame:
+    """Model output as rows (key, kind, id, name, type, start, end, links, literal, confidence) of one shape.
+
+    Missing ids are numbered by kind. A mention without a sound range gets the first place of its text, whatever the case;
+    confidences are clamped to 0..1 and are 0.5 where none can be read; links keep only ids that exist.
+    """
+    number = lambda c: F.when(c.rlike("^[0-9]+$"), c.cast("int"))
+    blank = lambda c: F.coalesce(F.btrim(c), F.lit(""))
+    spaced = lambda c: F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    sure = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c.try_cast("double"), F.lit(0.5))))
+    named = lambda given, mark, i: F.coalesce(F.nullif(given, F.lit("")), F.concat(F.lit(mark), (i + 1).cast("string")))
+    none = lambda kind: F.lit(None).cast(kind)
+    ids = lambda array, field, mark: F.transform(array, lambda x, i: named(x[field], mark, i))
+    existing = lambda links, known: F.concat_ws(",", F.filter(F.coalesce(links, F.array().cast("array<string>")), lambda x: F.array_contains(known, x)))
+
+    def row(kind, id_, name, type_, start, end, links, literal, confidence):
+        return F.struct(F.lit(kind).alias("kind"), id_.alias("id"), name.alias("name"), type_.alias("type"), start.alias("start"), end.alias("end"), links.alias("links"), literal.alias("literal"), confidence.alias("confidence"))
+
+    def mention(x, i):
+        name, start, end = blank(x["text"]), number(x["start"]), number(x["end"])
+        found = F.position(F.lower(name), F.lower(F.col(text)), F.lit(1)) - 1
+        repair = (name != "") & (start.isNull() | end.isNull() | (end <= start)) & (found >= 0)
+        hint = F.coalesce(F.nullif(x["type_hint"], F.lit("")), F.nullif(x["proposed_type"], F.lit("")), F.lit("Unknown"))
+        return row("mention", named(x["mention_id"], "m", i), name, hint, F.when(repair, found).otherwise(start), F.when(repair, found + F.length(name)).otherwise(end), F.lit(""), none("string"), sure(x["confidence"]))
+
+    p = F.col("__p")
+    parsed = df.withColumn("__p", F.from_json(payload, PAYLOAD))
+    known = parsed.withColumns({"__m": ids(p["mentions"], "mention_id", "m"), "__r": ids(p["candidate_relations"], "relation_id", "r")})
+    lists = [
+        F.transform(p["mentions"], mention),
+        F.transform(p["candidate_entities"], lambda x, i: row("entity", named(x["candidate_id"], "e", i), spaced(x["canonical_name"]), blank(x["proposed_type"]), none("int"), none("int"), existing(x["mention_ids"], F.col("__m")), none("string"), sure(x["confidence"]))),
+        F.transform(p["candidate_relations"], lambda x, i: row("relation", named(x["relation_id"], "r", i), blank(x["predicate_text"]), none("string"), none("int"), none("int"), F.concat_ws(",", F.coalesce(x["subject_candidate_id"], F.lit("")), F.nullif(x["object_candidate_id"], F.lit(""))), F.nullif(spaced(x["object_literal"]), F.lit("")), sure(x["confidence"]))),
+        F.transform(p["evidence"], lambda x, i: row("evidence", named(x["evidence_id"], "ev", i), spaced(x["excerpt"]), none("string"), number(x["start"]), number(x["end"]), existing(x["supports"], F.col("__r")), none("string"), none("double"))),
+    ]
+    return reduce(DataFrame.unionByName, [known.select(key, F.inline(x)) for x in lists])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: weights of the rerank score and of diversity
-DISTANCE, LEXICAL, SECTION, TITLE, PHRASE = 1.0, 0.25, 0.10, 0.14, 0.22
+DISTANCE, LEXICAL, SECTION, TITLE, PHRASE, ONTOLOGY = 1.0, 0.25, 0.10, 0.14, 0.22, 0.14
+PAGE_IMAGE, PAGE_NUMBER = 0.08, 0.03
+VISUAL_QUERY = ("image", "visual", "diagram", "figure", "illustration", "scanned", "scan", "photo")
+VISUAL_TEXT = ("scanned", "scan", "title page", "illustration", "diagram", "figure", "seal image", "engraving")
+VISUAL_TEXT_BONUS, VISUAL_LENGTH, VISUAL_LENGTH_BONUS = 0.12, 120, 0.04
+#: Documents that context may come from, by how widely it is to be spread.
+SPREAD = {"single": 1, "few": 3, "broad": 4}
+LEAST_DOCUMENT_SCORE = 0.05
 DIVERSITY = 0.22
 LIMIT = 24
 QUERY_BLOCK = 2048
@@ -170,6 +178,55 @@ def rerank(matches: DataFrame) -> DataFrame:
     return scored.withColumn("new_rank", F.row_number().over(w))
 
 
+def _holds(c: Column, phrases: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(p)) for p in phrases))
+
+
+def rerank_assets(matches: DataFrame) -> DataFrame:
+    """matches (query_id, q, doc_id, text, label, kind, page, terms, distance, rank) with rerank_score and new_rank.
+
+    kind: page_image or another; page: its number as text; terms: important terms of the asset.
+    """
+    q, shown = terms(F.col("q")), F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("text", F.lit("")))
+    image = F.col("kind") == "page_image"
+    flag = lambda test, value: F.when(test, value).otherwise(0.0)
+    score = F.coalesce(distance_score(F.col("distance")), F.lit(0.0)) * DISTANCE + overlap(q, terms(shown)) * LEXICAL + overlap(q, terms(F.coalesce("label", F.lit("")))) * TITLE
+    score = score + flag(F.contains(F.lower(shown), F.lower("q")), PHRASE) + overlap(q, F.col("terms")) * ONTOLOGY + flag(image, PAGE_IMAGE) + flag(F.array_contains(q, F.col("page")), PAGE_NUMBER)
+    seen = flag(image, PAGE_IMAGE) + flag(_holds(shown, VISUAL_TEXT), VISUAL_TEXT_BONUS) + flag(F.length(F.trim("text")) >= VISUAL_LENGTH, VISUAL_LENGTH_BONUS)
+    scored = matches.withColumn("rerank_score", F.round(F.round(score, 6) + flag(_holds(F.col("q"), VISUAL_QUERY), seen), 6))
+    return scored.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("rank"), "doc_id")))
+
+
+def compress(scored: DataFrame, k: int, signature: int, spread: str = "few", alike: float = DIVERSITY) -> DataFrame:
+    """(query_id, doc_id, place): the context kept of scored (query_id, doc_id, document, score, text).
+
+    Only the documents of greatest summed scores stay, as many as the spread says; by score, a text goes whose signature (its
+    first characters, white space evened) repeats a kept one's or shares `alike` of the words with one; k stay at most.
+    A query has LIMIT * 2 candidates at most, so its fold is small.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, kept = None, []
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for q, d, text, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if q != query:
+                    query, kept = q, []
+                mine = set(words)
+                if len(kept) < k and not any(text == s or len(mine & o) >= alike * max(1, len(mine | o)) for s, o in kept):
+                    kept.append((text, mine))
+                    out.append((q, d, len(kept)))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["query_id", "doc_id", "place"])
+
+    held = scored.groupBy("query_id", "document").agg(F.round(F.sum(F.greatest(F.lit(LEAST_DOCUMENT_SCORE), "score")), 6).alias("total"))
+    few = held.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total"), "document"))).where(F.col("nth") <= SPREAD[spread])
+    text = F.substring(F.regexp_replace(F.lower("text"), "\\s+", " "), 1, signature)
+    slim = scored.join(few.select("query_id", "document"), ["query_id", "document"], "left_semi").select("query_id", "doc_id", "score", text.alias("signature"))
+    ordered = slim.repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "doc_id")
+    return ordered.select("query_id", "doc_id", "signature", terms(F.col("signature")).alias("words")).mapInArrow(run, "query_id long, doc_id long, place int")
+
+
 def diversify(ranked: DataFrame, k: int = 8, penalty: float = DIVERSITY, signature: list[str] | None = None) -> DataFrame:
     """Greedy choice per query: a candidate's score less penalty times its largest likeness to what is kept; the kept list
     is sorted again and cut to k after each, so later items may evict earlier ones. At most LIMIT * 2 candidates a query.

@@ -13,8 +13,9 @@ _ROWS = sorted({(c, a) for c, _, ws in K.CLASSES for a in (*ws, c.lower())} | {(
 _ALIASES = "aliases(name, alias) AS (VALUES " + ", ".join(f"('{c}', '{a}')" for c, a in _ROWS) + ")"
 _UP = f"{_CLASSES}, up(name, ancestor) AS (SELECT name, parent FROM classes WHERE parent IS NOT NULL UNION SELECT up.name, c.parent FROM up JOIN classes c ON c.name = up.ancestor WHERE c.parent IS NOT NULL)"
 _NORMAL = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
-TAGS = f"""{_ALIASES}, w AS (SELECT doc_id, list_position(ws, alias) - 1 AS place, alias FROM (SELECT doc_id, ws, unnest(list_distinct(ws)) AS alias FROM (SELECT doc_id, string_split({_NORMAL}, ' ') AS ws FROM documents))),
-tags AS (SELECT doc_id, name, alias, CAST(place AS INTEGER) AS place FROM w JOIN aliases USING (alias) WHERE NOT contains(alias, ' '))"""
+TAGS = f"""{_ALIASES}, w AS (SELECT doc_id, list_position(ws, alias) - 1 AS place, alias FROM (SELECT doc_id, ws, unnest(list_distinct(ws)) AS alias FROM (SELECT doc_id, string_split({_NORMAL}, ' ') AS ws FROM documents)
+  UNION ALL SELECT doc_id, ws, unnest(list_distinct(ws)) FROM (SELECT doc_id, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) AS ws FROM (SELECT doc_id, string_split({_NORMAL}, ' ') AS ws FROM documents)))),
+tags AS (SELECT doc_id, name, alias, CAST(place AS INTEGER) AS place FROM w JOIN aliases USING (alias))"""
 ENTITIES = f"""{TAGS}, e AS (SELECT doc_id, name, arg_min(alias, place) AS alias, min(place) AS place FROM tags GROUP BY 1, 2),
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, name) AS INTEGER) AS rn FROM e)"""
 _PREDICATES = "predicates(predicate, dom, ran, phrase) AS (VALUES " + ", ".join(f"('{p}', '{d}', '{r}', '{x}')" for p, d, r, x in K.PREDICATES) + ")"
@@ -141,10 +142,46 @@ def kg_reprocess(t: Tables) -> DataFrame:
     return kg_status(t).groupBy("status").agg(F.count("*").alias("documents"))
 
 
-@query("src_model_candidates", "SELECT event_id, least(1.0, greatest(0.0, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100, 0.0))) AS confidence FROM events")
+_UPPER = "translate(w[3], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_CANDIDATES = f"""WITH b AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark WHERE text IS NOT NULL),
+c AS (SELECT item_id, text, trim(coalesce({_UPPER}, '')) AS shout, coalesce(w[1], '') AS one, coalesce(w[2], '') AS two FROM b)
+SELECT item_id, 'mention' AS kind, 'm1' AS id, shout AS name, 'Word' AS type,
+  CASE WHEN shout <> '' AND contains(lower(text), lower(shout)) THEN CAST(strpos(lower(text), lower(shout)) - 1 AS INTEGER) END AS start,
+  CASE WHEN shout <> '' AND contains(lower(text), lower(shout)) THEN CAST(strpos(lower(text), lower(shout)) - 1 + length(shout) AS INTEGER) END AS end, '' AS links, NULL::VARCHAR AS literal, CAST(least(1.0, greatest(0.0, item_id / 10.0)) AS DOUBLE) AS confidence FROM c
+UNION ALL SELECT item_id, 'mention', 'own', one, 'Unknown', 0, 3, '', NULL, 0.4::DOUBLE FROM c
+UNION ALL SELECT item_id, 'mention', 'm3', '', 'Place', 7, NULL, '', NULL, 0.5::DOUBLE FROM c
+UNION ALL SELECT item_id, 'entity', 'e1', trim(regexp_replace(one || ' ' || two, '\\s+', ' ', 'g')), 'Word', NULL, NULL, 'm1,own', NULL, 0.0::DOUBLE FROM c
+UNION ALL SELECT item_id, 'relation', 'r1', 'is', NULL, NULL, NULL, 'e1', NULL, 1.0::DOUBLE FROM c
+UNION ALL SELECT item_id, 'relation', 'r2', 'names', NULL, NULL, NULL, 'e1,e9', 'a b', 0.5::DOUBLE FROM c
+UNION ALL SELECT item_id, 'evidence', 'ev1', trim(regexp_replace(one || ' ' || two, '\\s+', ' ', 'g')), NULL, 2, NULL, 'r1', NULL, NULL FROM c"""
+
+
+@query("src_model_candidates", _CANDIDATES)
 def src_model_candidates(t: Tables) -> DataFrame:
-    k = F.get_json_object("props", "$.k").try_cast("double") / 100
-    return t("events").select("event_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(k, F.lit(0.0)))).alias("confidence"))
+    """Payloads such as a model returns, made from each text: wrong ranges, odd confidences, ids that don't exist."""
+    words = F.split("text", " ")
+    word = lambda k: F.coalesce(F.get(words, F.lit(k)), F.lit(""))
+    shout = F.translate(word(2), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    listed = lambda *x: F.array(*map(F.lit, x))
+
+    def part(fields: str, **given):
+        """An object of these fields; to_json leaves out those not given."""
+        kinds = [("array<string>" if f in ("mention_ids", "supports") else "string", f) for f in fields.split()]
+        return F.struct(*((given[f] if hasattr(given.get(f), "cast") else F.lit(given.get(f))).cast(kind).alias(f) for kind, f in kinds))
+
+    mention = "mention_id text type_hint proposed_type start end confidence"
+    relation = "subject_candidate_id predicate_text object_candidate_id object_literal confidence"
+    payload = F.struct(
+        F.array(
+            part(mention, text=F.concat(F.lit(" "), shout), type_hint="Word", start=-4, end=2, confidence=F.col("item_id") / 10),
+            part(mention, mention_id="own", text=word(0), start=0, end=3, confidence=0.4),
+            part(mention, text="  ", proposed_type="Place", start=7, confidence="much"),
+        ).alias("mentions"),
+        F.array(part("mention_ids proposed_type canonical_name confidence", mention_ids=listed("m1", "m8", "own"), proposed_type=" Word ", canonical_name=F.concat(F.lit(" "), word(0), F.lit("  "), word(1)), confidence=-2)).alias("candidate_entities"),
+        F.array(part(relation, subject_candidate_id="e1", predicate_text=" is ", object_literal="  ", confidence=7), part(relation, subject_candidate_id="e1", predicate_text="names", object_candidate_id="e9", object_literal=" a   b ")).alias("candidate_relations"),
+        F.array(part("supports excerpt start end", supports=listed("r1", "r7"), excerpt=F.concat(word(0), F.lit("   "), word(1)), start=2, end=-1)).alias("evidence"),
+    )
+    return K.candidates(t("benchmark").where("text IS NOT NULL").select("item_id", "text", F.to_json(payload).alias("payload")), "item_id")
 
 
 @query("src_ontology_ttl")

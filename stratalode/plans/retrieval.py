@@ -117,14 +117,14 @@ def q_pattern(t: Tables) -> DataFrame:
     return queries(t).select("query_id", F.when(p == "", "empty-query").otherwise(p).alias("pattern"))
 
 
-#: Question types by what the lower-case question holds or starts with; the first that fits wins.
+#: Question types by what the lower-case question holds or starts with; the first that fits wins.
 TYPES = (
-    ("visual", ("figure", "image", "picture", "diagram"), ()),
-    ("definition", (), ("what is ", "what are ", "define ", "was ist ")),
-    ("source_lookup", ("which source", "which document", "where does"), ()),
-    ("procedure", ("how do i", "how to", "steps"), ()),
-    ("comparison", (" versus ", " vs ", "compare", "difference"), ()),
-    ("explanation", ("why ", "explain", "warum "), ("why ", "how ")),
+    ("visual_lookup", ("image", "visual", "diagram", "figure", "illustration", "scanned", "scan"), ()),
+    ("definition", (), ("what is", "who is", "define")),
+    ("source_lookup", (), ("where ", "when ")),
+    ("procedure", ("how do", "how can"), ("how ",)),
+    ("comparison", ("difference", "versus", "advantages", "limitations"), ("compare",)),
+    ("explanation", ("explain",), ("why ",)),
 )
 _CLASS = "CASE " + " ".join("WHEN " + " OR ".join([f"contains(x, '{p}')" for p in has] + [f"starts_with(x, '{p}')" for p in starts]) + f" THEN '{name}'" for name, has, starts in TYPES) + " ELSE 'fact' END"
 
@@ -146,7 +146,7 @@ def q_classify(t: Tables) -> DataFrame:
     return t("conversations").where("role = 'user'").select("conv_id", "turn", question_type(F.lower("text")).alias("question_type"))
 
 
-TOP_K = {"definition": 6, "fact": 8, "source_lookup": 7, "procedure": 10, "comparison": 10, "explanation": 9, "visual": 6}
+TOP_K = {"definition": 6, "fact": 8, "source_lookup": 7, "procedure": 10, "comparison": 10, "explanation": 9, "visual_lookup": 6}
 _TOPK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in TOP_K.items()) + " ELSE 8 END"
 
 
@@ -181,9 +181,9 @@ def q_topk(t: Tables) -> DataFrame:
     return _typed(t).select("conv_id", "turn", F.least(F.lit(12), _top_k()).alias("top_k"))
 
 
-@query("q_plan", f"WITH {_TYPED} SELECT conv_id, turn, CAST({_TOPK} * 3 AS INTEGER) AS search_k, CAST({_TOPK} AS INTEGER) AS select_k, kind IN ('explanation', 'comparison', 'procedure') AS expand, kind = 'visual' AS assets FROM ty")
+@query("q_plan", f"WITH {_TYPED} SELECT conv_id, turn, CAST({_TOPK} * 3 AS INTEGER) AS search_k, CAST({_TOPK} AS INTEGER) AS select_k, kind IN ('explanation', 'comparison', 'procedure') AS expand, kind = 'visual_lookup' AS assets FROM ty")
 def q_plan(t: Tables) -> DataFrame:
-    return _typed(t).select("conv_id", "turn", (_top_k() * 3).alias("search_k"), _top_k().alias("select_k"), F.col("kind").isin("explanation", "comparison", "procedure").alias("expand"), (F.col("kind") == "visual").alias("assets"))
+    return _typed(t).select("conv_id", "turn", (_top_k() * 3).alias("search_k"), _top_k().alias("select_k"), F.col("kind").isin("explanation", "comparison", "procedure").alias("expand"), (F.col("kind") == "visual_lookup").alias("assets"))
 
 
 @query("lex_chunks", f"WITH {_Q}, {lex_sql('lex', FIELDS)} SELECT query_id, doc_id, lexical_score, lexical_rank FROM lex")
@@ -249,12 +249,71 @@ def doc_allow(t: Tables) -> DataFrame:
     return o.where("place <= 4 AND best <= 1.2D * score OR place = 1").select("query_id", "title", "score", "place")
 
 
-@query("compress_chunks", f"{RERANK} SELECT query_id, doc_id, score, place FROM (SELECT query_id, doc_id, round(rerank_score + least(0.18, 0.05 * lexical_score / 28.0), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_score + least(0.18, 0.05 * lexical_score / 28.0), 6) DESC, doc_id) AS INTEGER) AS place FROM ranked WHERE length(text) >= 40) WHERE place <= 10")
+def _fold(source: str, k: int, signature: int) -> str:
+    """SQL of R.compress over source (query_id, doc_id, document, score, text): candidates by place, one after another."""
+    like = "len(list_intersect(words, o)) >= {0}::DOUBLE * greatest(1, len(list_distinct(list_concat(words, o))))".format(R.DIVERSITY)
+    return f"""held AS (SELECT query_id, document, round(sum(greatest({R.LEAST_DOCUMENT_SCORE}, score)), 6) AS total FROM {source} GROUP BY 1, 2),
+few AS (SELECT query_id, document FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, document) AS nth FROM held) WHERE nth <= {R.SPREAD["few"]}),
+cand AS (SELECT query_id, doc_id, sig, list_distinct({TERMS.format("sig")}) AS words, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n
+  FROM (SELECT query_id, doc_id, score, regexp_replace(lower(text), '\\s+', ' ', 'g')[1:{signature}] AS sig FROM {source} JOIN few USING (query_id, document))),
+fold AS (SELECT query_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS sigs, CAST([] AS VARCHAR[][]) AS kept, CAST([] AS BIGINT[]) AS docs FROM (SELECT DISTINCT query_id FROM cand)
+  UNION ALL SELECT query_id, n, CASE WHEN ok THEN list_append(sigs, sig) ELSE sigs END, CASE WHEN ok THEN list_append(kept, words) ELSE kept END, CASE WHEN ok THEN list_append(docs, doc_id) ELSE docs END
+  FROM (SELECT f.query_id, c.n, f.sigs, f.kept, f.docs, c.sig, c.words, c.doc_id, len(f.docs) < {k} AND NOT list_contains(f.sigs, c.sig) AND len(list_filter(f.kept, lambda o: {like.replace("words", "c.words")})) = 0 AS ok FROM fold f JOIN cand c ON c.query_id = f.query_id AND c.n = f.n + 1)),
+last AS (SELECT query_id, arg_max(docs, n) AS docs FROM fold GROUP BY 1)
+SELECT query_id, unnest(docs) AS doc_id, CAST(generate_subscripts(docs, 1) AS INTEGER) AS place FROM last"""
+
+
+_BONUS = "least(0.18::DOUBLE, 0.05::DOUBLE * k.n)"
+_RECURSIVE = "WITH RECURSIVE" + RERANK.removeprefix("WITH")
+_CHUNK_SCORES = f"""{_RECURSIVE}, k AS (SELECT doc_id, quality + 2 * toxic AS n FROM labels),
+scored AS (SELECT r.query_id, r.doc_id, r.title AS document, r.text, round(r.rerank_score + {_overlap("r.terms", TERMS.format("r.text"))} * {R.LEXICAL}::DOUBLE + {_overlap("r.terms", TERMS.format("r.section"))} * {R.SECTION}::DOUBLE
+  + {_overlap("r.terms", TERMS.format("r.title"))} * {R.TITLE}::DOUBLE + coalesce({_BONUS}, 0.0), 6) AS score
+  FROM ranked r LEFT JOIN k USING (doc_id) WHERE length(trim(r.text)) > 0 AND (length(trim(r.text)) >= 45 OR {_overlap("r.terms", TERMS.format("r.text"))} > 0))"""
+
+
+@query("compress_chunks", f"{_CHUNK_SCORES}, {_fold('scored', 10, 280)}")
 def compress_chunks(t: Tables) -> DataFrame:
-    score = F.round(F.col("rerank_score") + F.least(F.lit(0.18), F.lit(0.05) * F.col("lexical_score") / 28.0), 6)
-    s = ranked(t).where(F.length("text") >= 40).select("query_id", "doc_id", score.alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return s.withColumn("place", F.row_number().over(w)).where("place <= 10")
+    """The labels' sum stands for a chunk's count of assertions, its source for the document."""
+    counts = t("labels").select("doc_id", (F.col("quality") + 2 * F.col("toxic")).alias("n"))
+    q, size = R.terms(F.col("q")), F.length(F.trim("text"))
+    lexical = R.overlap(q, R.terms(F.col("text")))
+    bonus = F.coalesce(F.least(F.lit(0.18), 0.05 * F.col("n")), F.lit(0.0))
+    score = F.col("rerank_score") + lexical * R.LEXICAL + R.overlap(q, R.terms(F.col("section"))) * R.SECTION + R.overlap(q, R.terms(F.col("title"))) * R.TITLE + bonus
+    rows = ranked(t).where((size >= 45) | (size > 0) & (lexical > 0)).join(counts, "doc_id", "left")
+    return R.compress(rows.select("query_id", "doc_id", F.col("title").alias("document"), F.round(score, 6).alias("score"), "text"), 10, 280)
+
+
+_ASSET = "CASE WHEN doc_id % 3 = 0 THEN 'page_image' ELSE 'figure' END"
+_either = lambda c, words: "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in words) + ")"
+_SHOWN = "(title || ' ' || text)"
+_ASSETS = f"""{_RECURSIVE.split(", s AS (SELECT")[0].split(chr(10) + "s AS (SELECT")[0].rstrip().rstrip(",")}, a AS (SELECT *, {_ASSET} AS kind, CAST(doc_id % 500 AS VARCHAR) AS page FROM m),
+b AS (SELECT *, round(coalesce(greatest(0.0::DOUBLE, round(1.0 - distance, 6)), 0.0) * {R.DISTANCE} + {_overlap("terms", TERMS.format(_SHOWN))} * {R.LEXICAL}::DOUBLE + {_overlap("terms", TERMS.format("title"))} * {R.TITLE}::DOUBLE
+  + CASE WHEN contains(lower({_SHOWN}), lower(q)) THEN {R.PHRASE}::DOUBLE ELSE 0.0::DOUBLE END + {_overlap("terms", "[section]")} * {R.ONTOLOGY}::DOUBLE + CASE WHEN kind = 'page_image' THEN {R.PAGE_IMAGE}::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN list_contains(terms, page) THEN {R.PAGE_NUMBER}::DOUBLE ELSE 0.0::DOUBLE END, 6) AS base FROM a),
+assets AS (SELECT *, round(base + CASE WHEN {_either("q", R.VISUAL_QUERY)} THEN CASE WHEN kind = 'page_image' THEN {R.PAGE_IMAGE}::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN {_either(_SHOWN, R.VISUAL_TEXT)} THEN {R.VISUAL_TEXT_BONUS}::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN length(trim(text)) >= {R.VISUAL_LENGTH} THEN {R.VISUAL_LENGTH_BONUS}::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END, 6) AS rerank_score FROM b)"""
+
+
+def assets(t: Tables) -> DataFrame:
+    """Matches as assets: the source for label and document, every third one a page image, the language for important terms."""
+    d = t("documents").select("doc_id", "text", F.col("source").alias("label"), F.when(F.col("doc_id") % 3 == 0, "page_image").otherwise("figure").alias("kind"), (F.col("doc_id") % 500).cast("string").alias("page"), F.array("lang").alias("terms"))
+    return R.rerank_assets(hybrid(t).join(d, "doc_id").join(queries(t), "query_id"))
+
+
+@query("rerank_assets", f"{_ASSETS} SELECT query_id, doc_id, rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank DESC, doc_id) AS INTEGER) AS new_rank FROM assets")
+def rerank_assets(t: Tables) -> DataFrame:
+    return assets(t).select("query_id", "doc_id", "rerank_score", "new_rank")
+
+
+_SUPPORT = "least(0.28::DOUBLE, 0.1::DOUBLE * (n_chars % 4))"
+
+
+@query("compress_assets", f"{_ASSETS}, scored AS (SELECT query_id, a.doc_id, title AS document, a.text, round(rerank_score + {_SUPPORT}, 6) AS score FROM assets a JOIN documents USING (doc_id) WHERE length(trim(a.text)) > 0), {_fold('scored', 6, 220)}")
+def compress_assets(t: Tables) -> DataFrame:
+    """The rerank score holds the asset's own bonuses; link support is made from the texts' lengths."""
+    support = t("documents").select("doc_id", F.least(F.lit(0.28), 0.1 * (F.col("n_chars") % 4)).alias("support"))
+    rows = assets(t).where(F.length(F.trim("text")) > 0).join(support, "doc_id")
+    return R.compress(rows.select("query_id", "doc_id", F.col("label").alias("document"), F.round(F.col("rerank_score") + F.col("support"), 6).alias("score"), "text"), 6, 220)
 
 
 @query("retrieve_inspect", f"{RERANK} SELECT query_id, count(*) AS candidates, count(*) FILTER (match_source = 'dense') AS dense_only, count(*) FILTER (match_source = 'lexical') AS lexical_only, max(rerank_score) AS best, arg_min(doc_id, new_rank) AS top_doc FROM ranked GROUP BY query_id")

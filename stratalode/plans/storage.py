@@ -156,19 +156,6 @@ def del_stage(t: Tables) -> DataFrame:
     return S.delete_where(t("documents").select("doc_id", "lang"), t("labels").where("quality = 0").select("doc_id"), "doc_id")
 
 
-@query("compress_assets", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 6")
-def compress_assets(t: Tables) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return t("orders").withColumn("rn", F.row_number().over(w)).where("rn <= 6").select("o_custkey", "o_orderkey", "o_totalprice")
-
-
-@query("rerank_assets", "SELECT o_custkey, o_orderkey, score, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey DESC) AS INTEGER) AS place FROM (SELECT o_custkey, o_orderkey, round(o_totalprice / 500000.0 + CASE WHEN o_orderstatus = 'F' THEN 0.08 ELSE 0.0 END + CASE WHEN o_orderpriority = '1-URGENT' THEN 0.12 ELSE 0.0 END, 8) AS score FROM orders)")
-def rerank_assets(t: Tables) -> DataFrame:
-    score = F.col("o_totalprice") / 500000.0 + F.when(F.col("o_orderstatus") == "F", 0.08).otherwise(0.0) + F.when(F.col("o_orderpriority") == "1-URGENT", 0.12).otherwise(0.0)
-    s = t("orders").select("o_custkey", "o_orderkey", F.round(score, 8).alias("score"))
-    return s.withColumn("place", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("score"), F.desc("o_orderkey"))))
-
-
 @query("emb_remote")
 def emb_remote(t: Tables) -> DataFrame:
     """The embedder interface: batches of texts go to a function; here the deterministic vectors stand in for a service."""
