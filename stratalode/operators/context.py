@@ -71,3 +71,32 @@ def merge_memory(rows: pd.DataFrame, limit: int = 600) -> str:
         if first and first not in out and sum(map(len, out)) + len(first) <= limit:
             out.append(first)
     return " | ".join(out)
+
+
+#: The parts of an answer that a model returns as JSON; ids may also come with its citations.
+ANSWER = "answer string, confidence string, abstained boolean, abstain_reason string, used_chunk_ids array<string>, citations array<struct<chunk_id:string>>"
+#: Fixed value: confidence of an answer that comes as plain text.
+PLAIN_CONFIDENCE = 0.74
+PLAIN_CHUNKS = 3
+
+
+def coerce_answer(content: Column, context_ids: Column) -> Column:
+    """(answer, confidence, abstained, abstain_reason, used_chunk_ids, plain) of what a model returned.
+
+    JSON is read as it is, from a code fence, or from the first brace to the last; ids that are blank go, and those of the
+    citations stand in where none are left. Anything else is the answer in plain text, which rests on the context's first chunks.
+    """
+    whole = F.btrim(F.coalesce(content, F.lit("")), F.lit(" \n\r\t"))
+    fenced = F.regexp_extract(whole, r"(?is)^```(?:json)?\s*(.*?)\s*```$", 1)
+    inner = F.when(fenced != "", fenced).otherwise(whole)
+    braced = F.regexp_extract(inner, r"(?s)(\{.*\})", 1)
+    sound = F.when(F.get_json_object(whole, "$").isNotNull() & whole.startswith("{"), whole).when(F.get_json_object(braced, "$").isNotNull(), braced)
+    p = F.from_json(sound, ANSWER)
+    said = lambda ids: F.filter(F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda x: F.btrim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    cited = said(F.transform(p["citations"], lambda x: x["chunk_id"]))
+    read = F.struct(
+        F.btrim(F.coalesce(p["answer"], F.lit(""))).alias("answer"), F.coalesce(p["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce(p["abstained"], F.lit(False)).alias("abstained"),
+        p["abstain_reason"].alias("abstain_reason"), F.when(F.size(said(p["used_chunk_ids"])) > 0, said(p["used_chunk_ids"])).otherwise(cited).alias("used_chunk_ids"), F.lit(False).alias("plain"),
+    )
+    plain = F.struct(whole.alias("answer"), F.lit(PLAIN_CONFIDENCE).alias("confidence"), F.lit(False).alias("abstained"), F.lit(None).cast("string").alias("abstain_reason"), said(F.slice(context_ids, 1, PLAIN_CHUNKS)).alias("used_chunk_ids"), F.lit(True).alias("plain"))
+    return F.when(sound.isNotNull(), read).otherwise(plain)

@@ -200,10 +200,26 @@ def ans_clean(t: Tables) -> DataFrame:
     return t("conversations").where("role = 'assistant'").select("conv_id", "turn", F.regexp_replace(F.trim("text"), "(?i)^(the|and|based on the context,?)\\s+", "").alias("answer"))
 
 
-@query("ans_coerce", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') IS NULL AS plain FROM events")
+_SAID = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'))"
+
+
+@query(
+    "ans_coerce",
+    f"""WITH a AS (SELECT conv_id, turn, (turn + conv_id) % 5 AS shape, {_SAID} AS said FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, CASE shape WHEN 0 THEN said WHEN 4 THEN trim(said || ' {{open') ELSE said END AS answer, CASE shape WHEN 0 THEN 0.74 WHEN 4 THEN 0.74 WHEN 1 THEN 0.9 WHEN 2 THEN 0.25 ELSE 0.0 END::DOUBLE AS confidence,
+  shape = 2 AS abstained, CASE shape WHEN 0 THEN 'c1,c3' WHEN 4 THEN 'c1,c3' WHEN 1 THEN 'a' WHEN 2 THEN '' ELSE 'k1,k2' END AS used, shape IN (0, 4) AS plain FROM a""",
+)
 def ans_coerce(t: Tables) -> DataFrame:
-    k = F.get_json_object("props", "$.k")
-    return t("events").select("event_id", k.try_cast("bigint").alias("k"), k.isNull().alias("plain"))
+    """Each assistant turn in one of five shapes: plain, JSON, fenced JSON, JSON within text, and a broken object."""
+    said, shape = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")), (F.col("turn") + F.col("conv_id")) % 5
+    put = lambda *x: F.concat(*(c if hasattr(c, "cast") else F.lit(c) for c in x))
+    json = put('{"answer": " ', said, ' ", "confidence": 0.9, "used_chunk_ids": ["a", " "]}')
+    fence = put('```json\n{"answer": "', said, '", "confidence": "0.25", "abstained": true, "abstain_reason": "thin"}\n```')
+    within = put('Here: {"answer": "', said, '", "citations": [{"chunk_id": "k1"}, {"chunk_id": ""}, {"chunk_id": "k2"}]} so.')
+    content = F.when(shape == 0, said).when(shape == 1, json).when(shape == 2, fence).when(shape == 3, within).otherwise(put(said, " {open"))
+    got = X.coerce_answer(content, F.array(F.lit("c1"), F.lit(" "), F.lit("c3"), F.lit("c4")))
+    out = t("conversations").where("role = 'assistant'").select("conv_id", "turn", got.alias("r"))
+    return out.select("conv_id", "turn", "r.answer", "r.confidence", "r.abstained", F.array_join("r.used_chunk_ids", ",").alias("used"), "r.plain")
 
 
 @query("mem_topics", rf"WITH w AS (SELECT conv_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}]{{4,}}'), lambda x: x NOT IN {_STOP})) AS word FROM conversations), c AS (SELECT conv_id, word, count(*) AS n FROM w GROUP BY 1, 2) SELECT conv_id, word, n, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, word) AS rn FROM c) WHERE rn <= 8")

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalode.functions import text as T
+from stratalode.functions.redaction import redact_json
 from stratalode.operators import retrieval as R
 from stratalode.plans import quality as QP
 from stratalode.plans import text as TP
 from stratalode.plans.catalog import Tables, query
 from stratalode.sources import pages as PG
+from stratalode.session import shared_path
 from stratalode.sources import tables as S
 
 
@@ -80,15 +82,23 @@ def sink_replace_doc(t: Tables) -> DataFrame:
     return S.replace_group(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), new, "l_orderkey")
 
 
-@query("sink_vector_upsert", "SELECT vec_id, label, CASE WHEN quality = 1 THEN 'ready' ELSE 'staged' END AS publish_state FROM embeddings LEFT JOIN labels ON vec_id = doc_id")
+@query(
+    "sink_vector_upsert",
+    """WITH fresh AS (SELECT doc_id AS vec_id, lang, source FROM documents JOIN embeddings ON doc_id = vec_id WHERE doc_id % 3 = 0)
+SELECT vec_id, NULL AS lang, 'old' AS source, 'ready' AS publish_state FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM fresh) UNION ALL SELECT vec_id, lang, source, 'staged' FROM fresh""",
+)
 def sink_vector_upsert(t: Tables) -> DataFrame:
-    state = F.when(F.col("quality") == 1, "ready").otherwise("staged")
-    return t("embeddings").join(t("labels"), F.col("vec_id") == F.col("doc_id"), "left").select("vec_id", "label", state.alias("publish_state"))
+    """An index of all vectors takes a staged batch of every third document's, with its metadata."""
+    old = t("embeddings").select("vec_id", "embedding", F.lit(None).cast("string").alias("lang"), F.lit("old").alias("source"), F.lit("ready").alias("publish_state"))
+    batch = t("embeddings").join(t("documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("vec_id"), "lang", "source"), "vec_id")
+    return S.upsert_vectors(old, batch, "vec_id", "staged", shared_path(t.spark, "vectors")).select("vec_id", "lang", "source", "publish_state")
 
 
-@query("sink_publish_flip", "SELECT source, count(*) FILTER (n_chars > 0) AS ready, count(*) FILTER (n_chars <= 0) AS dropped FROM documents GROUP BY source")
+@query("sink_publish_flip", "SELECT l_orderkey, l_linenumber, 'ready' AS publish_state FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50)")
 def sink_publish_flip(t: Tables) -> DataFrame:
-    return t("documents").groupBy("source").agg(F.count_if(F.col("n_chars") > 0).alias("ready"), F.count_if(F.col("n_chars") <= 0).alias("dropped"))
+    """Orders are published line by line; one with a line of fifty or more fails as a whole."""
+    staged = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return S.publish_flip(staged, "l_orderkey", F.col("l_quantity") < 50, shared_path(t.spark, "flip")).select("l_orderkey", "l_linenumber", "publish_state")
 
 
 @query("sink_eval_json")
@@ -109,14 +119,45 @@ def id_asset(t: Tables) -> DataFrame:
     return t("pages").select("page_id", F.concat(F.lit("0:p"), n, F.lit(":page_image:00:"), F.substring(F.sha2("url", 256), 1, 16)).alias("asset_id"))
 
 
-@query("trace_write", "SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS chars, round(length(text) / 4.0, 6) AS tokens FROM conversations")
-def trace_write(t: Tables) -> DataFrame:
-    return t("conversations").select("conv_id", "turn", "role", F.length("text").alias("chars"), F.round(F.length("text") / 4.0, 6).alias("tokens"))
+_TURNS = "c AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS next_role, lag(turn) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
+_PLAIN = "regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', '', 'g')"
 
 
-@query("route_write", "SELECT event_type AS pattern, count(*) AS hits, max(ts) AS last_hit FROM events GROUP BY 1")
+@query(
+    "trace_write",
+    f"""WITH {_TURNS} SELECT 'message' AS kind, conv_id, turn, role AS name, NULL::DOUBLE AS score, {_PLAIN} AS body FROM c
+UNION ALL SELECT 'run', conv_id, turn, CASE WHEN next_role = 'assistant' THEN 'completed' ELSE 'abstained' END, NULL, CASE WHEN next_role = 'assistant' THEN regexp_replace(coalesce(answer, ''), '[^A-Za-z0-9 ]', '', 'g') ELSE '' END FROM c WHERE role = 'user'
+UNION ALL SELECT 'source', conv_id, turn, 'message', round(1.0 / (turn - before + 2), 6), '{{"api_token": "[redacted]", "turn": ' || before || '}}' FROM c WHERE role = 'user' AND before IS NOT NULL""",
+)
+def trace_write(t: Tables) -> DataFrame:
+    """Each user turn is a run with the next turn as its answer and the turn before as its source; three tables are appended."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9 ]", "")
+    c = t("conversations").withColumns({"answer": F.lead("text").over(w), "next_role": F.lead("role").over(w), "before": F.lag("turn").over(w)})
+    done = F.coalesce(F.col("next_role") == "assistant", F.lit(False))
+    asked = c.where("role = 'user'")
+    messages = c.select("conv_id", "turn", F.col("role").alias("name"), plain(F.col("text")).alias("body"))
+    runs = asked.select("conv_id", "turn", F.when(done, "completed").otherwise("abstained").alias("name"), F.when(done, plain(F.col("answer"))).otherwise("").alias("body"))
+    payload = F.to_json(F.struct(F.lit("secret").alias("api_token"), F.col("before").alias("turn")))
+    sources = asked.where("before IS NOT NULL").select("conv_id", "turn", F.lit("message").alias("name"), (1 / (F.col("turn") - F.col("before") + 2)).alias("score"), redact_json(payload, ("token", "password")).alias("body"))
+    tables = S.append_trace(shared_path(t.spark, "trace"), messages, runs, sources)
+    rows = lambda kind, name: tables[name].select(F.lit(kind).alias("kind"), "conv_id", "turn", "name", (F.col("score") if name == "sources" else F.lit(None).cast("double")).alias("score"), "body")
+    return rows("message", "messages").unionByName(rows("run", "runs")).unionByName(rows("source", "sources"))
+
+
+@query(
+    "route_write",
+    """WITH e AS (SELECT event_id, event_type || ':' || (event_id // 4 % 11) AS pattern, event_id % 4 AS part FROM events),
+old AS (SELECT pattern, min(event_id) AS example, max(event_id) AS route, count(*) AS hits FROM e WHERE part = 0 AND event_id % 5 < 2 GROUP BY 1), saved AS (SELECT pattern, min(event_id) AS first, max(event_id) AS last FROM e WHERE part = 1 AND event_id % 3 = 0 GROUP BY 1),
+touched AS (SELECT pattern, count(*) AS more FROM e WHERE part > 1 GROUP BY 1)
+SELECT pattern, coalesce(example, first) AS example, coalesce(last, route) AS route, CAST(coalesce(hits, 0) + coalesce(more, 0) AS BIGINT) AS hits FROM old FULL OUTER JOIN saved USING (pattern) LEFT JOIN touched USING (pattern)""",
+)
 def route_write(t: Tables) -> DataFrame:
-    return t("events").groupBy(F.col("event_type").alias("pattern")).agg(F.count("*").alias("hits"), F.max("ts").alias("last_hit"))
+    """Events stand for cached routes, for saves and for touches, by their number."""
+    e = t("events").select("event_id", F.concat_ws(":", "event_type", F.expr("event_id div 4 % 11")).alias("pattern"), (F.col("event_id") % 4).alias("part"))
+    old = e.where("part = 0 AND event_id % 5 < 2").groupBy("pattern").agg(F.min("event_id").alias("example"), F.max("event_id").alias("route"), F.count("*").alias("hits"))
+    saves = e.where("part = 1 AND event_id % 3 = 0").select("pattern", F.col("event_id").alias("example"), F.col("event_id").alias("route"), F.col("event_id").alias("at"))
+    return S.save_routes(old, saves, e.where("part > 1"))
 
 
 _ACCEPTED = f"WITH {QP.VALIDATED_SQL}"

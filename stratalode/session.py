@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -24,3 +26,14 @@ def share_code(spark: SparkSession) -> SparkSession:
     if spark.conf.get(limit, None) is None:
         spark.conf.set(limit, str(BATCH_BYTES))
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="stratalode-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/stratalode/{name}-{uuid.uuid4().hex}"

@@ -66,6 +66,55 @@ def publish(df: DataFrame, path: str, valid: Column) -> DataFrame:
     return spark.read.parquet(f"{path}/ready")
 
 
+def upsert_vectors(index: DataFrame, batch: DataFrame, key: str, state: str, path: str) -> DataFrame:
+    """index with the rows of batch (its columns, but for publish_state) in place of those of equal keys, in this state.
+
+    The result is written by publish_state, so that searches of ready vectors read these only.
+    """
+    if state not in ("staged", "ready"):
+        raise ValueError("the state is staged or ready")
+    new = batch.withColumn("publish_state", F.lit(state)).select(*index.columns)
+    index.join(new.select(key).distinct(), key, "left_anti").select(*index.columns).unionByName(new).write.partitionBy("publish_state").parquet(path)
+    return index.sparkSession.read.parquet(path).select(*index.columns)
+
+
+def publish_flip(staged: DataFrame, unit: str, sound: Column, path: str) -> DataFrame:
+    """Staged rows as a ready snapshot, one unit (a document) at a time: of a unit with a row that isn't sound, all rows go.
+
+    Rows are written as staged and checked as they were written; readers of ready rows never see a part of a unit.
+    """
+    spark = staged.sparkSession
+    staged.write.parquet(f"{path}/staged")
+    written = spark.read.parquet(f"{path}/staged")
+    failed = written.where(~F.coalesce(sound, F.lit(False))).select(unit).distinct()
+    written.join(failed, unit, "left_anti").select(*staged.columns).withColumn("publish_state", F.lit("ready")).write.parquet(f"{path}/ready")
+    return spark.read.parquet(f"{path}/ready")
+
+
+def append_trace(path: str, messages: DataFrame, runs: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
+    """Append a turn's messages, runs and sources to their tables, with scores to six places; returns the tables.
+
+    Runs are written last: readers take the runs as the list of what is complete.
+    """
+    spark = runs.sparkSession
+    rounded = sources.withColumn("score", F.round("score", 6))
+    for name, df in (("messages", messages), ("sources", rounded), ("runs", runs)):
+        df.write.mode("append").parquet(f"{path}/{name}")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("messages", "runs", "sources")}
+
+
+def save_routes(routes: DataFrame, saves: DataFrame, touches: DataFrame) -> DataFrame:
+    """routes (pattern, example, route, hits) after saves (pattern, example, route, at) and touches (pattern).
+
+    A save replaces the route and keeps an example that is there; new patterns start at no hits; a touch of a known pattern
+    adds one.
+    """
+    new = saves.groupBy("pattern").agg(F.min_by("example", "at").alias("first"), F.max_by("route", "at").alias("last"))
+    both = routes.join(new, "pattern", "full").select("pattern", F.coalesce("example", "first").alias("example"), F.coalesce("last", "route").alias("route"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+    more = touches.groupBy("pattern").agg(F.count("*").alias("more"))
+    return both.join(more, "pattern", "left").select("pattern", "example", "route", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("hits"))
+
+
 def clean_json(value):
     """JSON values without NUL characters."""
     if isinstance(value, str):
