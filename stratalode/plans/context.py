@@ -145,11 +145,26 @@ def ground_support(t: Tables) -> DataFrame:
 _CHECK = "count(*) AS claims, count(*) FILTER (coverage >= 0.6) AS supported, round(CAST(count(*) FILTER (coverage >= 0.6) AS DOUBLE) / count(*), 4) AS supported_ratio"
 
 
-@query("ground_check", f"{_SUPPORT}, g AS (SELECT conv_id, turn, {_CHECK} FROM r GROUP BY 1, 2) SELECT *, CASE WHEN claims <= 2 THEN supported = claims ELSE supported_ratio >= 0.66 END AS passed FROM g")
+#: Question types whose answers may leave one claim unsupported, and the least shares of supported claims.
+_RELAXED = ("explanation", "procedure", "comparison")
+_GROUNDED = f"""CASE WHEN claims <= 2 THEN supported = claims WHEN numeric > 0 THEN false
+  WHEN question_type IN {_RELAXED} THEN supported_ratio >= 0.66 AND claims - supported <= 1 ELSE supported = claims END"""
+_ASKED = f"asked AS (SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN {P._CLASS} END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS question_type FROM (SELECT *, lower(text) AS x FROM conversations))"
+
+
+@query(
+    "ground_check",
+    f"{_SUPPORT}, {_ASKED}, g AS (SELECT conv_id, turn, {_CHECK}, count(*) FILTER (coverage < 0.6 AND regexp_matches(claim, '[0-9]')) AS numeric FROM r GROUP BY 1, 2) SELECT g.*, coalesce(question_type, 'fact') AS question_type, {_GROUNDED.replace('question_type', "coalesce(question_type, 'fact')")} AS passed FROM g JOIN asked USING (conv_id, turn)",
+)
 def ground_check(t: Tables) -> DataFrame:
+    """An answer of a few claims needs them all; no claim with a number may be unsupported; the question before says how strict the rest is."""
     ok = F.count_if(F.col("coverage") >= 0.6)
-    g = support(t).groupBy("conv_id", "turn").agg(F.count("*").alias("claims"), ok.alias("supported"), F.round(ok / F.count("*"), 4).alias("supported_ratio"))
-    return g.withColumn("passed", F.expr("CASE WHEN claims <= 2 THEN supported = claims ELSE supported_ratio >= 0.66 END"))
+    numeric = F.count_if((F.col("coverage") < 0.6) & F.col("claim").rlike("[0-9]"))
+    g = support(t).groupBy("conv_id", "turn").agg(F.count("*").alias("claims"), ok.alias("supported"), F.round(ok / F.count("*"), 4).alias("supported_ratio"), numeric.alias("numeric"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    kind = F.last(F.when(F.col("role") == "user", P.question_type(F.lower("text"))), ignorenulls=True).over(w)
+    asked = t("conversations").select("conv_id", "turn", F.coalesce(kind, F.lit("fact")).alias("question_type"))
+    return g.join(asked, ["conv_id", "turn"]).withColumn("passed", F.expr(_GROUNDED))
 
 
 @query("ground_subset", f"{_SUPPORT}, s AS (SELECT conv_id, turn, claim, row_number() OVER (PARTITION BY conv_id, turn ORDER BY coverage DESC, claim) AS rn FROM r WHERE coverage >= 0.25) SELECT conv_id, turn, string_agg(claim, ' ' ORDER BY rn) AS answer FROM s WHERE rn <= 3 GROUP BY 1, 2")

@@ -111,16 +111,74 @@ def kg_input_augment(t: Tables) -> DataFrame:
     return t("orders").join(per, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.concat_ws("\n", "o_orderpriority", F.array_join(F.transform("parts", lambda x: x["p"]), "\n")).alias("text"))
 
 
-@query("kg_prune", f"{RELATIONS} SELECT doc_id, predicate, subject, object FROM checked WHERE subject_ok AND object_ok")
+_RULES = (*((p, "object", d, r) for p, d, r, _ in K.PREDICATES), ("length", "datatype", "Word", "xsd:decimal"))
+_RULES_SQL = "rules(predicate, kind, dom, ran) AS (VALUES " + ", ".join(str(r) for r in _RULES) + ")"
+_MADE = f"""{RELATIONS.replace("WITH RECURSIVE", "WITH RECURSIVE " + _RULES_SQL + ",", 1)},
+men AS (SELECT doc_id, 'm' || rn AS mention_id, CASE WHEN doc_id % 23 = 0 THEN '' ELSE alias END AS text FROM o WHERE rn <= 3),
+ent AS (SELECT doc_id, 'e' || rn AS id, CASE WHEN doc_id % 10 = 0 AND rn = 1 THEN 'Thing' ELSE name END AS type, CASE WHEN doc_id % 7 = 0 AND rn = 2 THEN '' ELSE alias END AS name,
+  CASE WHEN doc_id % 11 = 0 AND rn = 1 THEN CAST([] AS VARCHAR[]) WHEN doc_id % 29 = 0 THEN ['m' || rn, 'm77'] ELSE ['m' || rn] END AS ms, CASE WHEN doc_id % 13 = 0 AND rn = 2 THEN 0.5 ELSE 0.82 END AS confidence FROM o WHERE rn <= 3),
+rls AS (SELECT doc_id, 'r:' || predicate AS id, 'e1' AS subject, predicate, CASE WHEN doc_id % 9 = 0 THEN 'e9' ELSE 'e2' END AS object, CAST(NULL AS VARCHAR) AS literal, CASE WHEN doc_id % 17 = 0 THEN 0.3 ELSE 0.75 END AS confidence FROM rel
+  UNION ALL SELECT doc_id, 'r:data', 'e1', CASE WHEN doc_id % 19 = 0 THEN 'weight' WHEN doc_id % 31 = 0 THEN 'names' ELSE 'length' END, CASE WHEN doc_id % 37 = 0 THEN 'e2' END, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'long' ELSE '12.5' END, 0.9 FROM documents),
+evi AS (SELECT doc_id, 'v' || doc_id AS id, CASE WHEN doc_id % 6 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['r:data', 'r:names', 'r:joins'] END AS supports, CASE WHEN doc_id % 41 = 0 THEN '' ELSE 'shown' END AS excerpt FROM documents),
+okay AS (SELECT name, ancestor FROM up UNION SELECT name, name FROM classes)"""
+
+
+def _facts(entity: str) -> str:
+    """SQL: the relations with all that their rules ask, over a table of entities."""
+    return f"""SELECT r.*, k.kind, k.dom, k.ran, s.type AS st, b.type AS ot, EXISTS (SELECT 1 FROM okay WHERE name = s.type AND ancestor = k.dom) AS sok, EXISTS (SELECT 1 FROM okay WHERE name = b.type AND ancestor = k.ran) AS ook,
+  k.ran IN (SELECT name FROM classes) AS rc, EXISTS (SELECT 1 FROM evi v WHERE v.doc_id = r.doc_id AND list_contains(v.supports, r.id)) AS shown
+  FROM rls r LEFT JOIN rules k USING (predicate) LEFT JOIN {entity} s ON s.doc_id = r.doc_id AND s.id = r.subject LEFT JOIN {entity} b ON b.doc_id = r.doc_id AND b.id = r.object"""
+
+
+_BROKEN = """list_filter([CASE WHEN kind IS NULL THEN 'invalid_predicate:' || predicate END, CASE WHEN st IS NULL THEN 'missing_subject:' || id END, CASE WHEN object IS NOT NULL AND ot IS NULL THEN 'missing_object:' || id END,
+  CASE WHEN object IS NULL AND literal IS NULL THEN 'missing_relation_object:' || id END, CASE WHEN confidence < 0.7 THEN 'low_relation_confidence:' || id END, CASE WHEN NOT shown THEN 'missing_evidence:' || id END,
+  CASE WHEN st IS NOT NULL AND dom IS NOT NULL AND NOT sok THEN 'invalid_subject_type:' || id || ':' || st || '->' || dom END, CASE WHEN object IS NOT NULL AND kind = 'datatype' THEN 'invalid_object_candidate_for_datatype:' || id END,
+  CASE WHEN object IS NOT NULL AND kind = 'object' AND ot IS NOT NULL AND rc AND NOT ook THEN 'invalid_object_type:' || id || ':' || ot || '->' || ran END, CASE WHEN object IS NULL AND literal IS NOT NULL AND kind = 'object' THEN 'invalid_literal_for_object_property:' || id END,
+  CASE WHEN object IS NULL AND literal IS NOT NULL AND ran = 'xsd:decimal' AND TRY_CAST(literal AS DOUBLE) IS NULL THEN 'invalid_decimal_literal:' || id END], lambda x: x IS NOT NULL)"""
+
+
+def candidate_tables(t: Tables) -> tuple[DataFrame, ...]:
+    """Mentions, entities, relations and evidence made from the tagged texts, with breaches of the rules by number; classes and predicates."""
+    e = entities(t).where("rn <= 3").withColumnRenamed("doc_id", "chunk_id")
+    every = lambda n: F.col("chunk_id") % n == 0
+    own = F.concat(F.lit("m"), "rn")
+    mentions = e.select("chunk_id", own.alias("mention_id"), F.when(every(23), "").otherwise(F.col("alias")).alias("text"))
+    ms = F.when(every(11) & (F.col("rn") == 1), F.array().cast("array<string>")).when(every(29), F.array(own, F.lit("m77"))).otherwise(F.array(own))
+    ents = e.select("chunk_id", F.concat(F.lit("e"), "rn").alias("candidate_id"), F.when(every(10) & (F.col("rn") == 1), "Thing").otherwise(F.col("name")).alias("type"), F.when(every(7) & (F.col("rn") == 2), "").otherwise(F.col("alias")).alias("name"), ms.alias("mention_ids"), F.when(every(13) & (F.col("rn") == 2), 0.5).otherwise(0.82).alias("confidence"))
+    none = F.lit(None).cast("string")
+    a = relations(t).select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("r:"), "predicate").alias("relation_id"), F.lit("e1").alias("subject"), "predicate")
+    a = a.select("*", F.when(every(9), "e9").otherwise("e2").alias("object"), none.alias("literal"), F.when(every(17), 0.3).otherwise(0.75).alias("confidence"))
+    docs = t("documents").select(F.col("doc_id").alias("chunk_id"))
+    value = F.when(F.col("chunk_id") % 4 == 0, none).when(F.col("chunk_id") % 4 == 1, "long").otherwise("12.5")
+    b = docs.select("chunk_id", F.lit("r:data").alias("relation_id"), F.lit("e1").alias("subject"), F.when(every(19), "weight").when(every(31), "names").otherwise("length").alias("predicate"), F.when(every(37), "e2").alias("object"), value.alias("literal"), F.lit(0.9).alias("confidence"))
+    supports = F.when(every(6), F.array().cast("array<string>")).otherwise(F.array(F.lit("r:data"), F.lit("r:names"), F.lit("r:joins")))
+    evidence = docs.select("chunk_id", F.concat(F.lit("v"), "chunk_id").alias("evidence_id"), supports.alias("supports"), F.when(every(41), "").otherwise("shown").alias("excerpt"))
+    return mentions, ents, a.unionByName(b), evidence, K.classes(t.spark), t.spark.createDataFrame(list(_RULES), "name string, kind string, dom string, ran string")
+
+
+_GOOD = """heard AS (SELECT doc_id, list(mention_id) AS hs FROM men WHERE text <> '' GROUP BY 1),
+good AS (SELECT e.doc_id, id, type, name FROM ent e JOIN heard USING (doc_id) WHERE type IN (SELECT name FROM classes) AND e.name <> '' AND e.confidence >= 0.7 AND len(list_intersect(ms, hs)) > 0)"""
+
+
+@query("kg_prune", f"{_MADE}, {_GOOD}, f AS ({_facts('good')}), kept AS (SELECT doc_id, id, subject, object FROM f WHERE len({_BROKEN}) = 0) SELECT doc_id AS chunk_id, 'relation' AS kind, id FROM kept UNION ALL SELECT DISTINCT g.doc_id, 'entity', g.id FROM good g JOIN kept k ON k.doc_id = g.doc_id AND g.id IN (k.subject, k.object) UNION ALL SELECT DISTINCT v.doc_id, 'evidence', v.id FROM evi v JOIN kept k ON k.doc_id = v.doc_id AND list_contains(v.supports, k.id)")
 def kg_prune(t: Tables) -> DataFrame:
-    return relations(t).where("subject_ok AND object_ok").select("doc_id", "predicate", "subject", "object")
-
-
-@query("kg_validate", f"{RELATIONS} SELECT doc_id, 'invalid_subject_type:' || predicate || ':' || subject AS error FROM checked WHERE NOT subject_ok UNION ALL SELECT doc_id, 'invalid_object_type:' || predicate || ':' || object FROM checked WHERE NOT object_ok")
+    ents, rels, shown = K.prune(*candidate_tables(t))
+    rows = lambda df, kind, c: df.select("chunk_id", F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    return rows(rels, "relation", "relation_id").unionByName(rows(ents, "entity", "candidate_id")).unionByName(rows(shown, "evidence", "evidence_id"))
+
+
+@query(
+    "kg_validate",
+    f"""{_MADE}, f AS ({_facts('ent')}), known AS (SELECT doc_id, list(mention_id) AS hs FROM men GROUP BY 1)
+SELECT doc_id AS chunk_id, 'empty_mention_text:' || mention_id AS error FROM men WHERE text = ''
+UNION ALL SELECT doc_id, 'invalid_entity_type:' || type FROM ent WHERE type NOT IN (SELECT name FROM classes) UNION ALL SELECT doc_id, 'empty_entity_name:' || id FROM ent WHERE name = ''
+UNION ALL SELECT doc_id, 'missing_mentions:' || id FROM ent WHERE len(ms) = 0 UNION ALL SELECT doc_id, 'low_entity_confidence:' || id FROM ent WHERE confidence < 0.7
+UNION ALL SELECT doc_id, 'unknown_mention:' || id || ':' || m FROM (SELECT doc_id, id, unnest(ms) AS m FROM ent) JOIN known USING (doc_id) WHERE NOT list_contains(hs, m)
+UNION ALL SELECT doc_id, unnest({_BROKEN}) FROM f
+UNION ALL SELECT doc_id, 'orphan_evidence:' || id FROM evi WHERE len(supports) = 0 UNION ALL SELECT doc_id, 'empty_evidence_excerpt:' || id FROM evi WHERE excerpt = ''""",
+)
 def kg_validate(t: Tables) -> DataFrame:
-    r = relations(t)
-    a = r.where("NOT subject_ok").select("doc_id", F.concat(F.lit("invalid_subject_type:"), "predicate", F.lit(":"), "subject").alias("error"))
-    return a.unionByName(r.where("NOT object_ok").select("doc_id", F.concat(F.lit("invalid_object_type:"), "predicate", F.lit(":"), "object").alias("error")))
+    return K.validate(*candidate_tables(t))
 
 
 _STATUS = "CASE WHEN n IS NULL OR good = 0 THEN 'skipped' WHEN good = n THEN 'validated' ELSE 'review' END"

@@ -208,23 +208,59 @@ def test_stream_rate_limit(spark, tmp_path):
 
 def test_knowledge_rules(spark):
     classes = spark.createDataFrame([("Animal", None), ("Cat", "Animal"), ("Food", None)], "name string, parent string")
-    predicates = spark.createDataFrame([("eats", "object", "Animal", "Food"), ("weighs", "data", "Animal", "decimal")], "name string, kind string, dom string, ran string")
+    predicates = spark.createDataFrame([("eats", "object", "Animal", "Food"), ("weighs", "datatype", "Animal", "xsd:decimal")], "name string, kind string, dom string, ran string")
+    mentions = spark.createDataFrame([("k", "m1", "Tom"), ("k", "m2", "fish"), ("k", "m3", "")], "chunk_id string, mention_id string, text string")
     entities = spark.createDataFrame(
-        [("k", "e1", "Cat", "Tom", 1, 0.9), ("k", "e2", "Food", "fish", 1, 0.9), ("k", "e3", "Rock", "", 0, 0.5), ("k", "e4", "Food", "alone", 1, 0.9)],
-        "chunk_id string, candidate_id string, type string, name string, mentions int, confidence double",
+        [("k", "e1", "Cat", "Tom", ["m1", "m3", "m9"], 0.9), ("k", "e2", "Food", "fish", ["m2"], 0.9), ("k", "e3", "Rock", "", [], 0.5), ("k", "e4", "Food", "alone", ["m3"], 0.9)],
+        "chunk_id string, candidate_id string, type string, name string, mention_ids array<string>, confidence double",
     )
     relations = spark.createDataFrame(
-        [("k", "r1", "e1", "eats", "e2", None, 0.9), ("k", "r2", "e2", "eats", "e1", None, 0.9), ("k", "r3", "e1", "weighs", None, "4.5", 0.9), ("k", "r4", "e1", "weighs", None, "heavy", 0.6), ("k", "r5", "e9", "sings", None, None, 0.9)],
+        [
+            ("k", "r1", "e1", "eats", "e2", None, 0.9), ("k", "r2", "e2", "eats", "e1", None, 0.9), ("k", "r3", "e1", "weighs", None, "4.5", 0.9), ("k", "r4", "e1", "weighs", None, "heavy", 0.6), ("k", "r5", "e9", "sings", None, None, 0.9),
+            ("k", "r6", "e1", "weighs", "e2", None, 0.9), ("k", "r7", "e1", "eats", None, "fish", 0.9), ("k", "r8", "e1", "eats", "e8", None, 0.9),
+        ],
         "chunk_id string, relation_id string, subject string, predicate string, object string, literal string, confidence double",
-    )
-    evidence = spark.createDataFrame([("k", r) for r in ("r1", "r2", "r3", "r4")], "chunk_id string, relation_id string")
-    errors = {r.error for r in knowledge.validate(entities, relations, evidence, classes, predicates).collect()}
+    )
+    evidence = spark.createDataFrame([("k", "v1", ["r1", "r2", "r3", "r4"], "as told"), ("k", "v2", ["r6", "r7", "r8"], ""), ("k", "v3", [], "x")], "chunk_id string, evidence_id string, supports array<string>, excerpt string")
+    errors = {r.error for r in knowledge.validate(mentions, entities, relations, evidence, classes, predicates).collect()}
     assert errors == {
-        "invalid_type:e3", "missing_name:e3", "missing_mentions:e3", "low_confidence:e3", "invalid_subject_type:r2:Food:Animal", "invalid_object_type:r2:Cat:Food",
-        "low_confidence:r4", "invalid_decimal:r4:heavy", "unknown_predicate:r5:sings", "missing_subject:r5", "missing_evidence:r5",
+        "empty_mention_text:m3", "unknown_mention:e1:m9", "invalid_entity_type:Rock", "empty_entity_name:e3", "missing_mentions:e3", "low_entity_confidence:e3", "invalid_subject_type:r2:Food->Animal", "invalid_object_type:r2:Cat->Food",
+        "low_relation_confidence:r4", "invalid_decimal_literal:r4", "invalid_predicate:sings", "missing_subject:r5", "missing_relation_object:r5", "missing_evidence:r5", "invalid_object_candidate_for_datatype:r6",
+        "invalid_literal_for_object_property:r7", "missing_object:r8", "orphan_evidence:v3", "empty_evidence_excerpt:v2",
     }
-    e, r, v = knowledge.prune(entities, relations, evidence, classes, predicates)
-    assert {x.candidate_id for x in e.collect()} == {"e1", "e2"} and {x.relation_id for x in r.collect()} == {"r1", "r3"} and v.count() == 2
+    e, r, v = knowledge.prune(mentions, entities, relations, evidence, classes, predicates)
+    assert {(x.candidate_id, tuple(x.mention_ids)) for x in e.collect()} == {("e1", ("m1",)), ("e2", ("m2",))} and {x.relation_id for x in r.collect()} == {"r1", "r3"}
+    assert [(x.evidence_id, sorted(x.supports)) for x in v.collect()] == [("v1", ["r1", "r3"])]
+
+
+def test_closure_and_phrases(spark):
+    deep = spark.createDataFrame([(f"c{k}", f"c{k + 1}" if k < 60 else None) for k in range(61)], "name string, parent string")
+    assert knowledge.ancestors(deep).count() == 60 * 61 // 2
+    docs = spark.createDataFrame([(1, "A near pointer, nearly."), (2, "pointer near")], "doc_id long, text string")
+    found = {(r.doc_id, r.name, r.alias, r.place) for r in knowledge.tag(docs, spark).collect()}
+    assert (1, "NearPointer", "near pointer", 1) in found and (2, "Pointer", "pointer", 0) in found and not any(d == 2 and "near" in a for d, _, a, _ in found)
+
+
+def test_ad_hoc_sql_with_names_of_its_own(spark):
+    from stratalode.plans import catalog
+    from stratalode.sources import admin
+
+    t = catalog.Tables(spark, "/root/testdata/sf0.001")
+    assert admin.run_sql(t, "WITH region AS (SELECT 1 AS one) SELECT one FROM region").collect()[0].one == 1
+    assert admin.run_sql(t, "SELECT extract(YEAR FROM o_orderdate) AS y, count(*) FROM orders GROUP BY 1").count() > 1
+
+
+def test_context_compression_and_answers(spark):
+    from stratalode.operators import context, retrieval
+
+    rows = [(1, k, d, s, x) for k, (d, s, x) in enumerate([("a", 0.9, "alpha beta gamma delta"), ("a", 0.8, "Alpha  beta gamma DELTA"), ("b", 0.7, "alpha beta gamma epsilon"), ("c", 0.5, "zeta theta iota kappa"), ("d", 0.1, "other words here now")])]
+    scored = spark.createDataFrame(rows, "query_id long, doc_id long, document string, score double, text string")
+    assert [(r.doc_id, r.place) for r in retrieval.compress(scored, 10, 280).orderBy("place").collect()] == [(0, 1), (3, 2)]
+    assert [r.doc_id for r in retrieval.compress(scored, 10, 280, spread="broad").orderBy("place").collect()] == [0, 3, 4]
+    assert [r.doc_id for r in retrieval.compress(scored, 1, 280, spread="single").collect()] == [0]
+    said = [None, "", "plain", '[1, 2]', '{"answer": " x ", "confidence": 2}', 'so {"answer": "y", "citations": [{"chunk_id": "k"}]}!', "{broken"]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, c string").select("k", context.coerce_answer(F.col("c"), F.array(F.lit("c1"))).alias("r")).orderBy("k").select("r.*").collect()
+    assert [(r.answer, r.confidence, list(r.used_chunk_ids), r.plain) for r in got] == [("", 0.74, ["c1"], True), ("", 0.74, ["c1"], True), ("plain", 0.74, ["c1"], True), ("[1, 2]", 0.74, ["c1"], True), ("x", 2.0, [], False), ("y", 0.0, ["k"], False), ("{broken", 0.74, ["c1"], True)]
 
 
 def test_links(spark):
