@@ -9,6 +9,7 @@ from stratalode.operators import graph as G
 from stratalode.operators import linking as L
 from stratalode.operators.context import STOPWORDS
 from stratalode.plans.catalog import Tables, query
+from stratalode.plans.retrieval import TERMS, _overlap
 
 _A = "a AS (SELECT l_orderkey * 10 + l_linenumber AS assertion_id, 's' || l_suppkey AS subject, 'p' || l_partkey AS object, l_returnflag AS predicate, round(1 - l_discount, 4) AS confidence, l_orderkey AS document FROM lineitem)"
 _SEEDS = "seeds AS (SELECT 's' || s_suppkey AS seed FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_size >= 45)"
@@ -38,9 +39,64 @@ def g_evidence(t: Tables) -> DataFrame:
     return G.top_per_group(t("lineitem"), ["l_partkey"], [F.desc("l_shipdate"), "l_orderkey", "l_linenumber"], 2).select("l_partkey", "l_orderkey", "l_linenumber")
 
 
-@query("g_neighbors", f"WITH {_N} SELECT seed, assertion_id, neighbour, confidence, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, assertion_id) AS rn FROM n) WHERE rn <= 5")
+_SURFACE = "concat_ws(' ', 's' || l_suppkey, CASE l_returnflag WHEN 'R' THEN 'leads_to' WHEN 'A' THEN 'requires' ELSE 'contains' END, 'p' || l_partkey)"
+_KIND = "CASE o_orderpriority WHEN '1-URGENT' THEN 'explanation' WHEN '2-HIGH' THEN 'procedure' WHEN '3-MEDIUM' THEN 'comparison' ELSE 'fact' END"
+_MARKED = " ".join(f"WHEN question_type = '{k}' AND (" + " OR ".join(f"contains(lower(predicate), '{m}')" for m in marks) + f") THEN {bonus}::DOUBLE" for k, (bonus, marks) in G.MARKERS.items())
+_AROUND = f"""WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS assertion_id, l_orderkey AS query_id, l_linenumber AS place, 's' || l_suppkey AS subject, 'p' || l_partkey AS object, 'd' || l_partkey AS document,
+  CASE l_returnflag WHEN 'R' THEN 'leads_to' WHEN 'A' THEN 'requires' ELSE 'contains' END AS predicate, round(1 - l_discount, 4) AS confidence, CAST(l_quantity AS BIGINT) % 5 AS evidence, {_SURFACE} AS surface FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag, l_discount, l_quantity) = 1),
+asked AS (SELECT o_orderkey AS query_id, {_KIND} AS question_type, {_KIND} || ' leads contains p' || o_custkey AS q FROM orders),
+held AS (SELECT query_id, list(document) AS documents FROM a GROUP BY 1),
+touched AS (SELECT query_id, subject AS seed, 2 * place AS spot, place, assertion_id AS anchor_id, confidence, evidence, surface FROM a UNION ALL SELECT query_id, object, 2 * place + 1, place, assertion_id, confidence, evidence, surface FROM a),
+seeds AS (SELECT query_id, seed, min(spot) AS spot FROM touched GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(spot)) <= {G.SEEDS}),
+ends AS (SELECT *, subject AS seed, object AS neighbour FROM a UNION ALL SELECT *, object, subject FROM a),
+cut AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, evidence DESC, assertion_id) <= 40),
+n AS (SELECT s.query_id, s.seed, s.spot, c.assertion_id, c.neighbour, CAST(row_number() OVER (PARTITION BY s.query_id, s.seed ORDER BY confidence DESC, evidence DESC, assertion_id) AS INTEGER) AS rn FROM seeds s JOIN cut c ON s.seed = c.seed WHERE c.query_id <> s.query_id),
+near AS (SELECT * FROM n WHERE rn <= {G.PER_SEED} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY spot, rn) <= {G.NEIGHBOURS})"""
+_GSCORED = f"""{_AROUND}, one AS (SELECT query_id, assertion_id, list({{'spot': spot, 'seed': seed}} ORDER BY spot) AS seeds FROM near GROUP BY 1, 2),
+sc AS (SELECT o.query_id, o.assertion_id, o.seeds, a.confidence, a.evidence, a.surface, k.q, round(a.confidence + round({_overlap(TERMS.format('k.q'), TERMS.format('a.surface'))}, 6) * {G.LEXICAL}::DOUBLE
+  + CASE {_MARKED} WHEN contains(predicate, '_') THEN {G.PLAIN}::DOUBLE ELSE 0.0::DOUBLE END + least({G.MOST_EVIDENCE}::DOUBLE, {G.EVIDENCE}::DOUBLE * a.evidence) + least({G.MOST_SEEDS}::DOUBLE, {G.SEED}::DOUBLE * len(o.seeds))
+  + CASE WHEN list_contains(h.documents, a.document) THEN {G.SAME_DOCUMENT}::DOUBLE ELSE 0.0::DOUBLE END, 6) AS score FROM one o JOIN a USING (assertion_id) JOIN asked k ON k.query_id = o.query_id JOIN held h ON h.query_id = o.query_id),
+kept AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, confidence DESC, evidence DESC, assertion_id) AS INTEGER) AS nth FROM sc) WHERE nth <= {G.KEPT})"""
+_GCHAINS = f"""{_GSCORED}, anchors AS (SELECT *, row_number() OVER (PARTITION BY query_id, seed ORDER BY place) AS anchor FROM touched QUALIFY anchor <= {G.ANCHORS}),
+u AS (SELECT query_id, assertion_id, nth, q, confidence, evidence, surface, unnest(seeds) AS s FROM kept),
+p AS (SELECT u.*, t.seed, t.anchor_id, t.confidence AS c0, t.evidence AS e0, t.surface AS s0, row_number() OVER (PARTITION BY u.query_id, u.assertion_id ORDER BY u.s.spot, t.anchor) AS rn FROM u LEFT JOIN anchors t ON t.query_id = u.query_id AND t.seed = u.s.seed QUALIFY rn <= {G.PAIRS}),
+once AS (SELECT query_id, concat_ws('|', anchor_id, assertion_id) AS chain_id, s.seed AS shared, nth, rn, round(coalesce(c0, 0.0::DOUBLE) + confidence + round({_overlap(TERMS.format('q'), TERMS.format("concat_ws(' ', s0, surface)"))}, 6) * {G.CHAIN_LEXICAL}::DOUBLE
+  + least({G.CHAIN_MOST_EVIDENCE}::DOUBLE, {G.CHAIN_EVIDENCE}::DOUBLE * (evidence + coalesce(e0, 0))) + {G.SHARED}::DOUBLE - CASE WHEN anchor_id IS NULL THEN 0.0::DOUBLE ELSE {G.STEP}::DOUBLE END, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY query_id, concat_ws('|', anchor_id, assertion_id) ORDER BY nth, rn) = 1)"""
+
+
+def _first(t: Tables) -> DataFrame:
+    """One line of each order and line number: the least of those that share the numbers."""
+    g = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_discount", "l_quantity")).alias("l"))
+    return g.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("assertion_id"), "l_orderkey", "l_linenumber", "l.*")
+
+
+def _lines(t: Tables) -> DataFrame:
+    """Order lines as assertions with a relation name, a count of evidence (from the quantity) and the part as document."""
+    flag = F.col("l_returnflag")
+    named = _first(t).select(
+        "assertion_id", F.concat(F.lit("s"), "l_suppkey").alias("subject"), F.concat(F.lit("p"), "l_partkey").alias("object"),
+        F.when(flag == "R", "leads_to").when(flag == "A", "requires").otherwise("contains").alias("predicate"), F.round(1 - F.col("l_discount"), 4).alias("confidence"),
+        (F.col("l_quantity").cast("long") % 5).alias("evidence"), F.concat(F.lit("d"), "l_partkey").alias("document"),
+    )
+    return named.withColumn("surface", F.concat_ws(" ", "subject", "predicate", "object"))
+
+
+def _base(t: Tables) -> DataFrame:
+    """The lines of an order are the base assertions of a query, seven at most."""
+    return _first(t).select(F.col("l_orderkey").alias("query_id"), "assertion_id", F.col("l_linenumber").alias("place"))
+
+
+def _kept(t: Tables) -> DataFrame:
+    kind = F.expr(_KIND)
+    asked = t("orders").select(F.col("o_orderkey").alias("query_id"), kind.alias("question_type"), F.concat(kind, F.lit(" leads contains p"), "o_custkey").alias("q"))
+    held = _first(t).groupBy(F.col("l_orderkey").alias("query_id")).agg(F.collect_set(F.concat(F.lit("d"), "l_partkey")).alias("documents"))
+    return G.scored(G.nearby(_base(t), _lines(t)), _lines(t), asked.join(held, "query_id"))
+
+
+@query("g_neighbors", f"{_AROUND} SELECT query_id, seed, assertion_id, neighbour, rn FROM near")
 def g_neighbors(t: Tables) -> DataFrame:
-    return G.top_per_group(G.neighbours(assertions(t), seeds(t)), ["seed"], [F.desc("confidence"), "assertion_id"], 5).select("seed", "assertion_id", "neighbour", "confidence", "rn")
+    return G.nearby(_base(t), _lines(t)).select("query_id", "seed", "assertion_id", "neighbour", "rn")
 
 
 @query("g_collapse", f"WITH {_N} SELECT assertion_id, list(seed ORDER BY seed) AS seeds, max(confidence) AS confidence FROM n GROUP BY 1")
@@ -49,22 +105,14 @@ def g_collapse(t: Tables) -> DataFrame:
     return n.groupBy("assertion_id").agg(F.array_sort(F.collect_list("seed")).alias("seeds"), F.max("confidence").alias("confidence"))  # two seeds at most
 
 
-_SCORE = "round(confidence + CASE predicate WHEN 'R' THEN 0.1 WHEN 'A' THEN 0.05 ELSE 0.0 END + least(0.12, 0.04 * seeds), 6)"
-
-
-@query("g_score", f"WITH {_N}, c AS (SELECT assertion_id, predicate, confidence, document, count(*) AS seeds FROM n GROUP BY 1, 2, 3, 4), s AS (SELECT *, {_SCORE} AS score FROM c) SELECT document, assertion_id, score FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY score DESC, assertion_id) AS rn FROM s) WHERE rn <= 8")
+@query("g_score", f"{_GSCORED} SELECT query_id, assertion_id, CAST(len(seeds) AS INTEGER) AS seeds, score, nth FROM kept")
 def g_score(t: Tables) -> DataFrame:
-    n = G.neighbours(assertions(t), seeds(t)).groupBy("assertion_id", "predicate", "confidence", "document").agg(F.count("*").alias("seeds"))
-    bonus = F.when(F.col("predicate") == "R", 0.1).when(F.col("predicate") == "A", 0.05).otherwise(0.0)
-    s = n.withColumn("score", F.round(F.col("confidence") + bonus + F.least(F.lit(0.12), 0.04 * F.col("seeds")), 6))
-    return G.top_per_group(s, ["document"], [F.desc("score"), "assertion_id"], 8).select("document", "assertion_id", "score")
+    return _kept(t).select("query_id", "assertion_id", F.size("seeds").alias("seeds"), "score", "nth")
 
 
-@query("g_chains", f"""WITH {_N}, x AS (SELECT seed, assertion_id AS first, neighbour AS mid, confidence AS c1 FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, assertion_id) AS rn FROM n) WHERE rn <= 2),
-y AS (SELECT assertion_id AS second, neighbour AS mid, confidence AS c2 FROM (SELECT *, row_number() OVER (PARTITION BY neighbour ORDER BY confidence DESC, assertion_id) AS rn FROM (SELECT DISTINCT assertion_id, neighbour, confidence FROM n)) WHERE rn <= 4)
-SELECT seed, first, mid, second, round(c1 + c2 - 0.06, 6) AS score FROM x JOIN y USING (mid) WHERE first <> second""")
+@query("g_chains", f"{_GCHAINS} SELECT query_id, chain_id, shared, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, nth, rn) AS INTEGER) AS place FROM once QUALIFY place <= {G.CHAINS}")
 def g_chains(t: Tables) -> DataFrame:
-    return G.chains(G.neighbours(assertions(t), seeds(t)))
+    return G.chains(_kept(t), _base(t), _lines(t))
 
 
 @query("g_entity_detail", "SELECT s_suppkey, s_name, count(*) AS assertions, count(DISTINCT l_orderkey) AS documents, min(l_shipdate) AS first_seen, round(avg(1 - l_discount), 6) AS confidence FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1, 2")

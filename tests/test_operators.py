@@ -271,3 +271,23 @@ def test_links(spark):
     links = linking.scored(linking.on_pages(chunks_, assets))
     assert {(r.chunk_id, r.share, r.confidence) for r in links.collect()} == {(1, 1.0, 0.95), (2, 0.0, None)}
     assert [(r.chunk_id, r.assets, r.best) for r in linking.rollup(linking.best(links)).collect()] == [(1, [7], 0.95)]
+
+
+def test_graph_expansion_scores_and_chains(spark):
+    rows = [  # a1 is what the query found; n1 shares its subject, n2 its object, n3 touches no seed
+        ("a1", "cat", "fish", "eats", 0.9, 1, "d1", "cat eats fish"),
+        ("n1", "cat", "rest", "leads_to", 0.8, 2, "d1", "cat leads to rest"),
+        ("n2", "bear", "fish", "eats", 0.7, 0, "d2", "bear eats fish"),
+        ("n3", "dog", "bone", "has_a", 0.99, 5, "d1", "dog has a bone"),
+    ]
+    a = spark.createDataFrame(rows, "assertion_id string, subject string, object string, predicate string, confidence double, evidence long, document string, surface string")
+    base = spark.createDataFrame([(1, "a1", 1)], "query_id long, assertion_id string, place int")
+    asked = spark.createDataFrame([(1, "explanation", "why cat rest", ["d1"])], "query_id long, question_type string, q string, documents array<string>")
+    near = graph.nearby(base, a)
+    assert {(r.seed, r.assertion_id, r.neighbour) for r in near.collect()} == {("cat", "n1", "rest"), ("fish", "n2", "bear")}
+    kept = graph.scored(near, a, asked)
+    # n1: 0.8 + 0.35 * 2/3 + 0.14 causal + 0.08 evidence + 0.04 seed + 0.08 document; n2: 0.7 + 0.04
+    assert {r.assertion_id: r.score for r in kept.collect()} == pytest.approx({"n1": 1.373333, "n2": 0.74}, abs=1e-6)
+    got = {r.chain_id: (r.shared, r.score) for r in graph.chains(kept, base, a).collect()}
+    assert got["a1|n1"] == ("cat", pytest.approx(0.9 + 0.8 + 0.3 * 2 / 3 + 0.09 + 0.04 - 0.06, abs=1e-6))
+    assert got["a1|n2"] == ("fish", pytest.approx(0.9 + 0.7 + 0.3 / 3 + 0.03 + 0.04 - 0.06, abs=1e-6))
