@@ -56,3 +56,17 @@ def rate_limit(df: DataFrame, limit: int, seconds: int) -> DataFrame:
         return pd.DataFrame(out, columns=["event_id", "key", "allowed"])
 
     return df.groupBy("key").applyInPandas(run, "event_id long, key long, allowed boolean")
+
+
+def enforce_places(sensors: DataFrame, hives: DataFrame) -> DataFrame:
+    """sensors (hive, place, ...) with a verdict; a sensor of a hive takes that hive's place where it has none of its own.
+
+    hives: (hive, hive_place) of the same owner.
+    """
+    h = sensors.join(hives.withColumn("__known", F.lit(True)), "hive", "left")
+    own, place = F.col("place"), F.col("hive_place")
+    verdict = (
+        F.when(F.col("hive").isNull(), "ok").when(F.col("__known").isNull(), "hive_of_another_owner").when(place.isNull() & own.isNotNull(), "hive_without_place")
+        .when(own != place, "place_mismatch").otherwise("ok")
+    )
+    return h.withColumn("verdict", verdict).withColumn("place", F.coalesce(own, place)).drop("__known", "hive_place")

@@ -47,3 +47,9 @@ def best(links: DataFrame) -> DataFrame:
 def rollup(links: DataFrame) -> DataFrame:
     """Per chunk its linked assets and the highest confidence."""
     return links.groupBy("group", "chunk_id").agg(F.array_sort(F.collect_set("asset_id")).alias("assets"), F.count_distinct("asset_id").alias("n_assets"), F.max("confidence").alias("best"))
+
+
+def boosted(chunks: DataFrame, assets: DataFrame) -> DataFrame:
+    """Chunks (group, chunk_id, page_start, page_end, score): a score rises to 0.1 above the best asset_score on their pages."""
+    best = on_pages(chunks, assets).groupBy("group", "chunk_id").agg((F.max("asset_score") + 0.1).alias("best"))
+    return chunks.join(best, ["group", "chunk_id"], "left").withColumn("score", F.greatest("score", "best")).drop("best")

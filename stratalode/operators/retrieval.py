@@ -23,6 +23,10 @@ LEAST_DOCUMENT_SCORE = 0.05
 DIVERSITY = 0.22
 LIMIT = 24
 QUERY_BLOCK = 2048
+# fixed values: chunks chosen, base chunks whose neighbours come along; question types that synopses widen, and by how much
+SELECTED, NEIGHBOURED = 8, 3
+EXPANDED = ("explanation", "procedure", "comparison")
+SECTIONS, SECTION_CHUNKS, DOCUMENTS, DOCUMENT_CHUNKS = 4, 3, 3, 2
 TERM_BLOCK = 256
 
 
@@ -249,3 +253,35 @@ def diversify(ranked: DataFrame, k: int = 8, penalty: float = DIVERSITY, signatu
 
     slim = ranked.select("query_id", "doc_id", "rerank_score", "new_rank", F.array_distinct(terms(F.col("text"))).alias("terms"), F.to_json(F.array(*(F.col(c).cast("string") for c in signature or []))).alias("signature"))
     return slim.groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, score double, place int")
+
+
+def neighbours(base: DataFrame, links: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, at): those before and after a query's first chunks that aren't chosen themselves.
+
+    base: (query_id, chunk_id, new_rank); links: (chunk_id, before, after).
+    """
+    near = base.where(F.col("new_rank") <= NEIGHBOURED).join(links, "chunk_id")
+    ends = near.select("query_id", "new_rank", F.posexplode(F.array("before", "after")).alias("end", "chunk_id")).where("chunk_id IS NOT NULL")
+    fresh = ends.join(base.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return fresh.groupBy("query_id", "chunk_id").agg(F.min(2 * F.col("new_rank") + F.col("end")).alias("at"))
+
+
+def first_places(found: DataFrame, limit: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("at")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+
+
+def expand_by_synopsis(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, doc_id, guided, boost): first chunks of the best sections, then of the best documents none of them is from.
+
+    hits: (query_id, document, section, lexical_score) of questions whose type is widened; chunks: (doc_id, document, section).
+    A section's first chunks are the same for all queries, so they are cut out before they meet these.
+    """
+    first = lambda df, keys, order, n: df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
+    best = lambda keys: hits.groupBy("query_id", *keys).agg(F.max("lexical_score").alias("s"))
+    sections = first(best(["document", "section"]), ["query_id"], [F.desc("s"), "document", "section"], SECTIONS)
+    documents = first(best(["document"]), ["query_id"], [F.desc("s"), "document"], DOCUMENTS).join(sections.select("query_id", "document"), ["query_id", "document"], "left_anti")
+    row = lambda df, guided, most, by, plus: df.select("query_id", "doc_id", F.lit(guided).alias("guided"), F.round(F.least(F.lit(most), F.col("s") / by + plus), 6).alias("boost"))
+    a = sections.join(first(chunks, ["document", "section"], ["doc_id"], SECTION_CHUNKS), ["document", "section"])
+    b = documents.join(first(chunks, ["document"], ["doc_id"], DOCUMENT_CHUNKS).drop("section"), "document")
+    return row(a, "section", 0.42, 40, 0.08).unionByName(row(b, "document", 0.28, 48, 0.04))

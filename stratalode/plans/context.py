@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalode.operators import answers as A
 from stratalode.operators import context as X
 from stratalode.operators import retrieval as R
 from stratalode.plans import retrieval as P
@@ -94,13 +95,19 @@ def cite_filter(t: Tables) -> DataFrame:
     return P.ranked(t).select("query_id", "doc_id").join(t("labels").where("quality = 1"), "doc_id", "left_semi").select("query_id", "doc_id")
 
 
-_ABSTAIN = "CASE WHEN n = 0 THEN 'no_valid_citations' WHEN best < 0.55 THEN 'low_confidence' WHEN best < 0.6 THEN 'weak_grounding' ELSE 'answer' END"
-
-
-@query("abstain", f"{P.RERANK}, g AS (SELECT query_id, count(*) FILTER (new_rank <= 8) AS n, max(rerank_score) AS best FROM ranked GROUP BY 1) SELECT query_id, {_ABSTAIN} AS outcome FROM g")
+@query("abstain", f"""{P.RERANK}, g AS (SELECT query_id, count(*) FILTER (new_rank <= 8 AND lexical_score > 0) AS citations, max(rerank_score) AS confidence, arg_min(doc_id, new_rank) AS doc_id, arg_min(text, new_rank) AS answer, arg_min(lexical_score, new_rank) > 0 AS grounded FROM ranked GROUP BY 1),
+h AS (SELECT g.*, coalesce(toxic, 0) = 1 AS model_abstained, trim(answer) <> '' AS said FROM g LEFT JOIN labels USING (doc_id))
+SELECT query_id, coalesce(CASE WHEN citations = 0 AND NOT (said AND confidence >= {A.LEAST_CONFIDENCE}) THEN 'no_valid_citations' WHEN confidence < {A.LEAST_CONFIDENCE} THEN 'low_confidence' WHEN NOT said THEN 'empty_answer' WHEN model_abstained THEN 'model_abstained' END, 'none') AS reason,
+  coalesce(CASE WHEN citations = 0 THEN 'no_valid_citations' WHEN confidence < {A.LEAST_CONFIDENCE} THEN 'low_confidence' WHEN NOT said THEN 'empty_answer' WHEN model_abstained THEN 'model_abstained' WHEN NOT grounded THEN 'weak_grounding' END, 'none') AS strict_reason FROM h""")
 def abstain(t: Tables) -> DataFrame:
-    g = P.ranked(t).groupBy("query_id").agg(F.count_if(F.col("new_rank") <= 8).alias("n"), F.max("rerank_score").alias("best"))
-    return g.select("query_id", F.expr(_ABSTAIN).alias("outcome"))
+    """The best document is the answer, its label of toxic text stands for a model that gives none; matched words are citations."""
+    g = P.ranked(t).groupBy("query_id").agg(
+        F.count_if((F.col("new_rank") <= 8) & (F.col("lexical_score") > 0)).alias("citations"), F.max("rerank_score").alias("confidence"),
+        F.min_by("doc_id", "new_rank").alias("doc_id"), F.min_by("text", "new_rank").alias("answer"), (F.min_by("lexical_score", "new_rank") > 0).alias("grounded"),
+    )
+    h = g.join(t("labels").select("doc_id", "toxic"), "doc_id", "left")
+    why = lambda free: F.coalesce(A.abstain_reason(F.col("citations"), F.col("confidence"), F.col("answer"), F.coalesce("toxic", F.lit(0)) == 1, F.col("grounded"), free), F.lit("none"))
+    return h.select("query_id", why(True).alias("reason"), why(False).alias("strict_reason"))
 
 
 @query("ground_terms", f"SELECT conv_id, turn, list_sort({gterms('text')}) AS terms FROM conversations")
@@ -210,9 +217,23 @@ def ans_last_resort(t: Tables) -> DataFrame:
     return P.queries(t).select("query_id").join(g, "query_id", "left").select("query_id", F.when(F.col("best") >= 0.3, F.lit(0.42)).otherwise(F.lit(0.28)).alias("confidence"))
 
 
-@query("ans_clean", r"SELECT conv_id, turn, regexp_replace(trim(text), '(?i)^(the|and|based on the context,?)\s+', '') AS answer FROM conversations WHERE role = 'assistant'")
+def _cut(c: str, openings) -> str:
+    for p in openings:
+        c = f"""regexp_replace({c}, '{p.replace("'", "''")}', '')"""
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+_OPENINGS = ("Based on the provided sources: ", "According to sources, ", "I think ", "I'm not sure, but ", "It seems ", "In plain terms: ")
+_OPENED = "(CASE turn % 7 " + " ".join(f"WHEN {k} THEN '{o.replace(chr(39), chr(39) * 2)}'" for k, o in enumerate(_OPENINGS)) + " ELSE '' END || text)"
+
+
+@query("ans_clean", f"SELECT conv_id, turn, {_cut(_cut(f'trim({_OPENED})', A.CLAIM_OPENINGS), A.HEDGES)} AS answer FROM conversations WHERE role = 'assistant'")
 def ans_clean(t: Tables) -> DataFrame:
-    return t("conversations").where("role = 'assistant'").select("conv_id", "turn", F.regexp_replace(F.trim("text"), "(?i)^(the|and|based on the context,?)\\s+", "").alias("answer"))
+    """Turns that open as models do, each seventh in another way."""
+    opened = F.lit("")
+    for k, opening in enumerate(_OPENINGS):
+        opened = F.when(F.col("turn") % 7 == k, opening).otherwise(opened)
+    return t("conversations").where("role = 'assistant'").select("conv_id", "turn", A.clean_answer(F.concat(opened, "text")).alias("answer"))
 
 
 _SAID = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'))"
@@ -245,10 +266,16 @@ def mem_topics(t: Tables) -> DataFrame:
     return c.withColumn("place", F.row_number().over(w)).where("place <= 8")
 
 
-@query("mem_prefs", "SELECT conv_id, list_sort(list_distinct(list(p))) AS preferences FROM (SELECT conv_id, unnest(list_filter([CASE WHEN contains(lower(text), 'only') THEN 'narrow' END, CASE WHEN contains(lower(text), 'with') THEN 'detailed' END, CASE WHEN length(text) < 120 THEN 'brief' END], lambda x: x IS NOT NULL)) AS p FROM conversations WHERE role = 'user') GROUP BY 1")
+_SAYS = ", ".join("coalesce(bool_or(" + " OR ".join(f"contains(lower(text), '{p}')" for p in phrases) + f"), false) AS {hint}" for hint, phrases in {**A.PREFERENCES, "steps_asked": A.PROCEDURAL}.items())
+_STYLE = "CASE " + " ".join(f"WHEN {hint} THEN '{style}'" for style, hint in A.STYLES.items()) + " WHEN steps_asked THEN 'procedural' ELSE '' END"
+_WISHES = ("walk me through it", "a short answer, please", "be really technical", "in plain language", "cite it", "show a figure")
+_WISH = "CASE conv_id % 11 " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(_WISHES)) + " ELSE '' END"
+
+
+@query("mem_prefs", f"WITH c AS (SELECT conv_id, concat_ws(' ', text, {_WISH}) AS text FROM conversations WHERE role = 'user'), g AS (SELECT conv_id, {_SAYS} FROM c GROUP BY 1) SELECT conv_id, list_filter([{', '.join(f"CASE WHEN {h} THEN '{h}' END" for h in A.PREFERENCES)}], lambda x: x IS NOT NULL) AS preferences, {_STYLE} AS style FROM g")
 def mem_prefs(t: Tables) -> DataFrame:
-    hints = F.array_compact(F.array(F.when(F.contains(F.lower("text"), F.lit("only")), "narrow"), F.when(F.contains(F.lower("text"), F.lit("with")), "detailed"), F.when(F.length("text") < 120, "brief")))
-    return t("conversations").where("role = 'user'").select("conv_id", F.explode(hints).alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_set("p")).alias("preferences"))
+    """User turns with a wish after them in six of eleven conversations."""
+    return A.preferences(t("conversations").where("role = 'user'").select("conv_id", F.concat_ws(" ", "text", F.expr(_WISH)).alias("text")), "conv_id")
 
 
 _PAIR = f"a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user')"
@@ -261,11 +288,19 @@ def mem_threads(t: Tables) -> DataFrame:
     return a.select("conv_id", "turn", (F.size(F.array_intersect(x, y)) >= F.greatest(F.lit(1), F.least(F.lit(2), F.size(y)))).alias("same_thread"))
 
 
-@query("mem_facts", "WITH s AS (SELECT conv_id, turn, trim(unnest(string_split(text, '.'))) AS fact FROM conversations WHERE role = 'assistant'), k AS (SELECT conv_id, min(turn) AS turn, lower(fact) AS fact FROM s WHERE length(fact) BETWEEN 20 AND 200 GROUP BY conv_id, lower(fact)) SELECT conv_id, fact, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, fact) AS rn FROM k) WHERE rn <= 10")
+@query("mem_facts", """WITH s AS (SELECT conv_id, turn, role, unnest(string_split(text, '.')) AS fact, generate_subscripts(string_split(text, '.'), 1) AS k FROM conversations),
+f AS (SELECT conv_id, turn * 100000 + k - 1 AS spot, trim(fact) AS fact, role = 'user' AS own, CASE WHEN turn % 2 = 0 THEN 0.85 ELSE 0.8 END AS confidence, CASE WHEN role = 'user' THEN 0 ELSE turn % 3 END AS assertions, CASE WHEN role = 'user' THEN 0 ELSE turn % 2 END AS supports FROM s WHERE trim(fact) <> ''),
+o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY conv_id, lower(fact) ORDER BY spot, fact) = 1)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN own THEN 2 WHEN assertions + supports > 0 THEN 1 ELSE 0 END DESC, round(confidence * 1000) DESC, assertions DESC, supports DESC, length(fact) DESC, spot, fact) AS INTEGER) AS place, fact FROM o QUALIFY place <= 10""")
 def mem_facts(t: Tables) -> DataFrame:
-    s = t("conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(F.split("text", "\\.")).alias("f")).select("conv_id", "turn", F.trim("f").alias("f"))
-    k = s.where("length(f) BETWEEN 20 AND 200").groupBy("conv_id", F.lower("f").alias("fact")).agg(F.min("turn").alias("turn"))
-    return k.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "fact"))).where("rn <= 10").select("conv_id", "fact", "turn")
+    """Sentences as facts: a user's own, or an assistant's with a support made from the turn's number."""
+    own = F.col("role") == "user"
+    s = t("conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "\\.")).alias("k", "fact"))
+    facts = s.select(
+        "conv_id", (F.col("turn") * 100000 + F.col("k")).alias("at"), "fact", F.when(own, "user_self_report").otherwise("retrieval_grounded").alias("source_type"), F.when(F.col("turn") % 2 == 0, 0.85).otherwise(0.8).alias("confidence"),
+        F.when(own, 0).otherwise(F.col("turn") % 3).alias("assertions"), F.when(own, 0).otherwise(F.col("turn") % 2).alias("supports"),
+    )
+    return A.stable_facts(facts, "conv_id", 10)
 
 
 @query("mem_session")

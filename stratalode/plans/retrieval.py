@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalode.operators import answers as A
+from stratalode.operators import linking as L
 from stratalode.operators import retrieval as R
 from stratalode.plans.catalog import Tables, query
 
@@ -59,9 +61,13 @@ def emb_dummy(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", F.transform(R.dummy_vector(F.col("text")), lambda x: F.round(x, 6)).alias("vec"))
 
 
-@query("emb_cache", "SELECT sha256(lower(trim(text))) AS key, count(*) AS hits, min(doc_id) AS first_id FROM documents GROUP BY 1")
+@query("emb_cache", "SELECT user_id % 3 AS tenant, sha256(lower(trim(event_type || ' ' || user_id))) AS key, 'dummy:16' AS identity, count(*) - 1 AS hits, max(ts) AS saved_at, max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 30 DAYS AS fresh FROM events GROUP BY 1, 2")
 def emb_cache(t: Tables) -> DataFrame:
-    return t("documents").groupBy(F.sha2(F.lower(F.trim("text")), 256).alias("key")).agg(F.count("*").alias("hits"), F.min("doc_id").alias("first_id"))
+    """Events as questions: a tenant's cached vectors of one model, how often each was used again, and whether it's too old."""
+    key = F.sha2(F.lower(F.trim(F.concat_ws(" ", "event_type", "user_id"))), 256)
+    g = t("events").groupBy((F.col("user_id") % 3).alias("tenant"), key.alias("key"), F.lit("dummy:16").alias("identity")).agg((F.count("*") - 1).alias("hits"), F.max("ts").alias("saved_at"))
+    since = t("events").agg(F.max("ts") - F.expr("INTERVAL 30 DAYS")).scalar()
+    return g.withColumn("fresh", F.col("saved_at") >= since)
 
 
 @query("vec_knn", "WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) ** 2 AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) SELECT query_id, doc_id, round(distance, 5) AS distance, dense_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id) AS INTEGER) AS dense_rank FROM d) WHERE dense_rank <= 10")
@@ -164,10 +170,14 @@ def _top_k():
     return out
 
 
-@query("q_route", f"WITH {_TYPED} SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'fallback' ELSE 'router' END AS route, CAST(CASE WHEN turn % 3 = 0 THEN {_TOPK} ELSE greatest(1, least(12, turn)) END AS INTEGER) AS top_k FROM ty")
+_ROUTED = "conv_id % 11 <> 0 AS enabled, CASE WHEN conv_id % 7 = 0 THEN 'local' ELSE 'remote' END AS provider, conv_id % 5 <> 0 AS has_key, turn % 6 = 4 AS failed, CASE WHEN conv_id % 2 = 0 THEN 'comparison' END AS router_kind, (conv_id * 7) % 20 - 3 AS router_top_k, ((conv_id * 17 + turn) % 100) / 100.0 AS confidence"
+
+
+@query("q_route", f"""WITH {_TYPED}, r AS (SELECT *, {_ROUTED} FROM ty), w AS (SELECT *, CASE WHEN NOT enabled THEN 'fallback:disabled' WHEN provider <> 'remote' THEN 'fallback:provider_disabled' WHEN NOT has_key THEN 'fallback:no_api_key' WHEN failed THEN 'fallback:error' WHEN confidence < 0.55 THEN 'fallback:low_confidence' ELSE 'router' END AS source FROM r)
+SELECT conv_id, turn, source, CASE WHEN source = 'router' THEN coalesce(router_kind, kind) ELSE kind END AS question_type, CAST(CASE WHEN source = 'router' THEN greatest(1, least(12, router_top_k)) ELSE {_TOPK} END AS INTEGER) AS top_k FROM w""")
 def q_route(t: Tables) -> DataFrame:
-    weak = F.col("turn") % 3 == 0
-    return _typed(t).select("conv_id", "turn", F.when(weak, "fallback").otherwise("router").alias("route"), F.when(weak, _top_k()).otherwise(F.greatest(F.lit(1), F.least(F.lit(12), F.col("turn")))).cast("int").alias("top_k"))
+    """What a router said comes from the ids of conversations and turns, since the tables hold no router's answers."""
+    return A.route(_typed(t).select("*", *map(F.expr, _ROUTED.split(", "))), _top_k()).select("conv_id", "turn", "source", "question_type", "top_k")
 
 
 @query("q_route_cache", f"WITH {_TYPED}, r AS (SELECT *, {TERMS.format('text')} AS terms FROM ty), p AS (SELECT array_to_string(list_sort(list_distinct(terms))[1:12], '|') AS pattern, len(terms) AS n, kind FROM r) SELECT pattern, min(kind) AS kind, count(*) AS hits FROM p WHERE n >= 2 GROUP BY 1")
@@ -322,18 +332,29 @@ def retrieve_inspect(t: Tables) -> DataFrame:
     return ranked(t).groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if(m == "dense").alias("dense_only"), F.count_if(m == "lexical").alias("lexical_only"), F.max("rerank_score").alias("best"), F.min_by("doc_id", "new_rank").alias("top_doc"))
 
 
-@query("neighbors", "SELECT conv_id, turn, lag(turn) OVER w AS before, lead(turn) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("neighbors", f"""{RERANK}, base AS (SELECT query_id, doc_id, new_rank FROM ranked WHERE new_rank <= {R.SELECTED}), l AS (SELECT query_id, doc_id - 1 AS doc_id, 2 * new_rank AS at_ FROM base WHERE new_rank <= 3 UNION ALL SELECT query_id, doc_id + 1, 2 * new_rank + 1 FROM base WHERE new_rank <= 3),
+f AS (SELECT query_id, doc_id, min(at_) AS at_ FROM l ANTI JOIN base USING (query_id, doc_id) WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY 1, 2) SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY at_) AS INTEGER) AS place FROM f QUALIFY place <= 6""")
 def neighbors(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t("conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("before"), F.lead("turn").over(w).alias("after"))
+    """Documents as chunks, linked to those of the ids before and after."""
+    base = ranked(t).where(F.col("new_rank") <= R.SELECTED).select("query_id", F.col("doc_id").alias("chunk_id"), "new_rank")
+    links = t("documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") - 1).alias("before"), (F.col("doc_id") + 1).alias("after"))
+    return R.neighbours(base, links).join(t("documents").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi").transform(lambda d: R.first_places(d, 6)).select("query_id", F.col("chunk_id").alias("doc_id"), "place")
+
+
+_FORMS = "CASE query_id % 3 WHEN 0 THEN 'how does it work: ' WHEN 1 THEN 'why is it so: ' ELSE '' END"
 
 
-@query("syn_expand", f"{RERANK}, top AS (SELECT query_id, title, max(rerank_score) AS s FROM ranked WHERE new_rank <= 4 GROUP BY 1, 2), r AS (SELECT query_id, d.doc_id, least(0.42, s / 40 + 0.08) AS boost, row_number() OVER (PARTITION BY query_id, title ORDER BY n_chars DESC, d.doc_id) AS rn FROM top JOIN documents d ON d.source = top.title) SELECT query_id, doc_id, round(boost, 6) AS boost FROM r WHERE rn <= 3")
+@query("syn_expand", f"""{RERANK}, ty AS (SELECT query_id, {_CLASS} AS kind FROM (SELECT query_id, lower({_FORMS} || q) AS x FROM q)), r AS (SELECT * FROM ranked JOIN ty USING (query_id) WHERE kind IN ('explanation', 'procedure', 'comparison') AND lexical_score > 0),
+sec AS (SELECT query_id, title, section, max(lexical_score) AS s FROM r GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(lexical_score) DESC, title, section) <= 4),
+doc AS (SELECT query_id, title, max(lexical_score) AS s FROM r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(lexical_score) DESC, title) <= 3),
+bs AS (SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) <= 3), bd AS (SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 2)
+SELECT query_id, doc_id, 'section' AS guided, round(least(0.42::DOUBLE, s / 40 + 0.08::DOUBLE), 6) AS boost FROM sec JOIN bs ON title = source AND section = lang
+UNION ALL SELECT query_id, doc_id, 'document', round(least(0.28::DOUBLE, s / 48 + 0.04::DOUBLE), 6) FROM (SELECT * FROM doc ANTI JOIN sec USING (query_id, title)) JOIN bd ON title = source""")
 def syn_expand(t: Tables) -> DataFrame:
-    top = ranked(t).where("new_rank <= 4").groupBy("query_id", "title").agg(F.max("rerank_score").alias("s"))
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    best = t("documents").select("doc_id", "source", F.row_number().over(w).alias("rn")).where("rn <= 3")
-    return top.join(best, F.col("title") == F.col("source")).select("query_id", "doc_id", F.round(F.least(F.lit(0.42), F.col("s") / 40 + 0.08), 6).alias("boost"))
+    """Sources as documents, their languages as sections, texts as chunks; two of three queries ask how or why."""
+    kind = question_type(F.lower(F.concat(F.expr(_FORMS), "q")))
+    hits = ranked(t).where((F.col("lexical_score") > 0) & kind.isin(*R.EXPANDED)).select("query_id", F.col("title").alias("document"), "section", "lexical_score")
+    return R.expand_by_synopsis(hits, t("documents").select(F.col("doc_id"), F.col("source").alias("document"), F.col("lang").alias("section")))
 
 
 @query("asset_pages", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem JOIN (SELECT l_orderkey AS k, max(l_linenumber) AS top FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = k AND l_linenumber BETWEEN top - 1 AND top")
@@ -348,10 +369,14 @@ def asset_scope(t: Tables) -> DataFrame:
     return t("orders").join(t("lineitem").where("l_quantity >= 45"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_totalprice")
 
 
-@query("asset_boost", "SELECT o_orderkey, greatest(o_totalprice / 500000.0, coalesce(max(l_discount) + 0.1, 0.0)) AS score FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice")
+@query("asset_boost", f"""WITH c AS (SELECT conv_id, turn, (length(text) % 100) / 100.0::DOUBLE AS score, role FROM conversations), b AS (SELECT c.conv_id, c.turn, max(a.score) + 0.1::DOUBLE AS best FROM c JOIN c a ON a.conv_id = c.conv_id AND a.role = 'user' AND a.turn BETWEEN c.turn - 1 AND c.turn + 1 WHERE c.role = 'assistant' GROUP BY 1, 2)
+SELECT conv_id, turn, round(greatest(c.score, coalesce(best, c.score)), 6) AS score FROM c LEFT JOIN b USING (conv_id, turn) WHERE role = 'assistant'""")
 def asset_boost(t: Tables) -> DataFrame:
-    best = t("lineitem").groupBy("l_orderkey").agg(F.max("l_discount").alias("d"))
-    return t("orders").join(best, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.greatest(F.col("o_totalprice") / 500000.0, F.coalesce(F.col("d") + 0.1, F.lit(0.0))).alias("score"))
+    """Assistant turns as chunks over the pages around them, user turns as assets; scores come from the lengths."""
+    c = t("conversations").select("conv_id", "turn", "role", (F.length("text") % 100 / 100.0).cast("double").alias("score"))
+    chunks = c.where("role = 'assistant'").select(F.col("conv_id").alias("group"), F.col("turn").alias("chunk_id"), (F.col("turn") - 1).alias("page_start"), (F.col("turn") + 1).alias("page_end"), "score")
+    assets_ = c.where("role = 'user'").select(F.col("conv_id").alias("group"), F.col("turn").alias("page"), F.col("score").alias("asset_score"))
+    return L.boosted(chunks, assets_).select(F.col("group").alias("conv_id"), F.col("chunk_id").alias("turn"), F.round("score", 6).alias("score"))
 
 
 @query("link_support", "SELECT l_partkey, max(least(0.32, l_discount * greatest(0.1, l_tax + 0.15))) AS support FROM lineitem GROUP BY l_partkey")

@@ -60,10 +60,16 @@ def ts_dim_upsert(t: Tables) -> DataFrame:
     return t("events").groupBy(F.col("user_id").alias("sensor_id")).agg(F.max_by("event_type", "event_id").alias("last_metric"), F.max_by("value", "event_id").alias("last_value"), F.count("*").alias("writes"))
 
 
-@query("ts_enforce", "SELECT s_suppkey, s_nationkey, n_regionkey, CASE WHEN n_regionkey IS NULL THEN 'missing_parent' WHEN n_regionkey <> s_nationkey % 5 THEN 'place_mismatch' ELSE 'ok' END AS verdict FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+@query("ts_enforce", f"""WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN NULL WHEN s_suppkey % 8 = 0 THEN 99 ELSE s_nationkey END AS hive, CASE WHEN s_acctbal < 2000 THEN NULL WHEN s_suppkey % 7 = 0 THEN 9 ELSE n_regionkey END AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+h AS (SELECT n_nationkey AS hive, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE n_regionkey END AS hive_place FROM nation)
+SELECT s_suppkey, CASE WHEN s.hive IS NULL THEN 'ok' WHEN h.hive IS NULL THEN 'hive_of_another_owner' WHEN hive_place IS NULL AND place IS NOT NULL THEN 'hive_without_place' WHEN place <> hive_place THEN 'place_mismatch' ELSE 'ok' END AS verdict, CASE WHEN s.hive IS NULL THEN place ELSE coalesce(place, hive_place) END AS place FROM s LEFT JOIN h ON s.hive = h.hive""")
 def ts_enforce(t: Tables) -> DataFrame:
-    joined = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return joined.select("s_suppkey", "s_nationkey", "n_regionkey", F.when(F.col("n_regionkey").isNull(), "missing_parent").when(F.col("n_regionkey") != F.col("s_nationkey") % 5, "place_mismatch").otherwise("ok").alias("verdict"))
+    """Suppliers as sensors, nations as hives, regions as places; some have no hive, no place, another's hive or another place."""
+    hives = t("nation").select(F.col("n_nationkey").alias("hive"), F.when(F.col("n_nationkey") % 6 == 0, None).otherwise(F.col("n_regionkey")).alias("hive_place"))
+    k = F.col("s_suppkey")
+    joined = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    sensors = joined.select("s_suppkey", F.when(k % 9 == 0, None).when(k % 8 == 0, 99).otherwise(F.col("s_nationkey")).alias("hive"), F.when(F.col("s_acctbal") < 2000, None).when(k % 7 == 0, 9).otherwise(F.col("n_regionkey")).alias("place"))
+    return S.enforce_places(sensors, hives).select("s_suppkey", "verdict", "place")
 
 
 @query("ts_propagate", "SELECT s_suppkey, n_name || '/' || s_name AS full_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratalode.functions import quality, redaction, sensors
 from stratalode.functions import text as T
-from stratalode.operators import chunks, context, embedding, graph, knowledge, retrieval
+from stratalode.operators import answers, chunks, context, embedding, graph, knowledge, retrieval
 from stratalode.plans.catalog import Tables
 from stratalode.sources import admin, pages, tables
 from stratalode.streaming import sensors as streaming
@@ -291,3 +291,41 @@ def test_graph_expansion_scores_and_chains(spark):
     got = {r.chain_id: (r.shared, r.score) for r in graph.chains(kept, base, a).collect()}
     assert got["a1|n1"] == ("cat", pytest.approx(0.9 + 0.8 + 0.3 * 2 / 3 + 0.09 + 0.04 - 0.06, abs=1e-6))
     assert got["a1|n2"] == ("fish", pytest.approx(0.9 + 0.7 + 0.3 / 3 + 0.03 + 0.04 - 0.06, abs=1e-6))
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Based on the provided sources: I think it  works.", "it works."), ("According to indexed corpus, yes", "yes"), ("I'm not sure, but it seems fine", "fine"),
+    ("It looks like rain", "rain"), ("Here's the short version: no", "no"), ("in plain terms - yes", "yes"), ("The end.", "The end."), ("", ""),
+])
+def test_clean_answer(spark, text, want):
+    assert one(spark, answers.clean_answer(F.lit(text))) == want
+
+
+@pytest.mark.parametrize(("case", "free", "strict"), [
+    ((0, 0.9, "x", False, True), None, "no_valid_citations"), ((0, 0.5, "x", False, True), "no_valid_citations", "no_valid_citations"), ((2, 0.5, "x", True, True), "low_confidence", "low_confidence"),
+    ((2, 0.9, " ", True, True), "empty_answer", "empty_answer"), ((2, 0.9, "x", True, False), "model_abstained", "model_abstained"), ((2, 0.9, "x", False, False), None, "weak_grounding"), ((2, 0.55, "x", False, True), None, None),
+])
+def test_abstain_reason(spark, case, free, strict):
+    cols = [F.lit(x) for x in case]
+    assert one(spark, answers.abstain_reason(*cols)) == free
+    assert one(spark, answers.abstain_reason(*cols, open_world=False)) == strict
+
+
+def test_preferences_and_style(spark):
+    turns = spark.createDataFrame([(1, "Walk me through it"), (1, "and be BRIEF"), (2, "hello"), (3, None), (4, "step by step")], "g long, text string")
+    got = {r.g: (r.preferences, r["style"]) for r in answers.preferences(turns, "g").collect()}
+    assert got == {1: (["prefer_step_by_step", "prefer_brief_answers"], "concise"), 2: ([], ""), 3: ([], ""), 4: (["prefer_step_by_step"], "procedural")}
+
+
+def test_stable_facts(spark):
+    rows = [(1, 1, "Bees fly", "retrieval_grounded", 0.8, 0, 0), (1, 2, "bees FLY", "user_self_report", 0.9, 0, 0), (1, 3, "I keep bees", "user_self_report", 0.1, 0, 0), (1, 4, "Backed", "retrieval_grounded", 0.5, 1, 0), (1, 5, " ", "user_self_report", 1.0, 3, 3)]
+    facts = spark.createDataFrame(rows, "g long, at long, fact string, source_type string, confidence double, assertions long, supports long")
+    assert [r.fact for r in answers.stable_facts(facts, "g", 10).orderBy("place").collect()] == ["I keep bees", "Backed", "Bees fly"]
+    assert answers.stable_facts(facts, "g", 1).count() == 1
+
+
+def test_route(spark):
+    rows = [(False, "remote", True, False, 0.9), (True, "local", True, False, 0.9), (True, "remote", False, False, 0.9), (True, "remote", True, True, 0.9), (True, "remote", True, False, 0.54), (True, "remote", True, False, None), (True, "remote", True, False, 0.55)]
+    df = spark.createDataFrame([(k, "fact", *r, "comparison", 40) for k, r in enumerate(rows)], "k int, kind string, enabled boolean, provider string, has_key boolean, failed boolean, confidence double, router_kind string, router_top_k int")
+    got = [(r.source.removeprefix("fallback:"), r.question_type, r.top_k) for r in answers.route(df, F.lit(8)).orderBy("k").collect()]
+    assert got == [("disabled", "fact", 8), ("provider_disabled", "fact", 8), ("no_api_key", "fact", 8), ("error", "fact", 8), ("low_confidence", "fact", 8), ("low_confidence", "fact", 8), ("router", "comparison", 12)]
