@@ -12,14 +12,38 @@ from pyspark.sql import functions as F
 STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "have", "not", "but", "you", "all")
 
 
-def budget(sizes: list[int], limit: int) -> list[bool]:
-    """Which rows fit: in order, a row that would pass the limit is skipped and later ones may still fit."""
-    out, used = [], 0
-    for n in sizes:
-        ok = used + n <= limit
-        used += n if ok else 0
-        out.append(ok)
-    return out
+# fixed values: the parts of a prompt in the order in which they give way, those that keep their first item, the one that loses its oldest
+PARTS = ("topics", "constraints", "threads", "facts", "chains", "evidence", "sensors", "assets", "entities", "assertions", "chunks", "history")
+KEEP_FIRST, OLDEST_GOES = ("facts", "chunks"), "history"
+
+
+def budget(rows: Column, limit: int) -> Column:
+    """rows (array of structs with a size) with kept: in order, a row that would pass the limit is skipped, later ones may still fit."""
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("kept"))
+
+    def step(s: Column, x: Column) -> Column:
+        ok = s["used"] + x["size"] <= limit
+        return F.struct((s["used"] + F.when(ok, x["size"]).otherwise(0)).cast("long").alias("used"), F.concat(s["kept"], F.array(ok)).alias("kept"))
+
+    return F.zip_with(rows, F.aggregate(rows, start, step)["kept"], lambda x, kept: x.withField("kept", kept))
+
+
+def fit(items: DataFrame, group: str, limit: int) -> DataFrame:
+    """(group, kept, trimmed, chars) of prompts: items (group, part, place, size) go one by one until the rest is within the limit.
+
+    They go by part, the last of a part first, in the history the oldest first; one fact, one chunk and the newest turn stay.
+    An item goes if what is there before it goes is over the limit, so running sums decide and no loop is needed.
+    """
+    of_part = Window.partitionBy(group, "part")
+    ends = items.withColumn("__first", F.min("place").over(of_part)).withColumn("__last", F.max("place").over(of_part))
+    oldest = F.col("part") == OLDEST_GOES
+    stays = (F.col("part").isin(*KEEP_FIRST) & (F.col("place") == F.col("__first"))) | (oldest & (F.col("place") == F.col("__last")))
+    order = [stays, F.array_position(F.array(*map(F.lit, PARTS)), F.col("part")), F.when(oldest, F.col("place")).otherwise(-F.col("place"))]
+    w = Window.partitionBy(group)
+    running = ends.withColumn("__before", F.sum("size").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    left = F.sum("size").over(w) - F.coalesce("__before", F.lit(0))
+    judged = running.withColumn("__goes", ~stays & (left > limit))
+    return judged.groupBy(group).agg(F.count_if(~F.col("__goes")).alias("kept"), F.count_if("__goes").alias("trimmed"), F.coalesce(F.sum(F.when(~F.col("__goes"), F.col("size"))), F.lit(0)).alias("chars"))
 
 
 def newest_within(df: DataFrame, group: str, order: str, text: str, limit: int) -> DataFrame:
@@ -63,14 +87,22 @@ def best_sentences(quotes: list[str], keywords: set[str], top: int = 3) -> str:
     return " ".join(s for *_, s in sorted(rows)[:top])
 
 
-def merge_memory(rows: pd.DataFrame, limit: int = 600) -> str:
-    """A session's summary: what users asked, oldest first, each once, within a budget of characters."""
-    out: list[str] = []
-    for text in rows.sort_values("turn").text:
-        first = (text or "").split(".")[0].strip()[:120]
-        if first and first not in out and sum(map(len, out)) + len(first) <= limit:
-            out.append(first)
-    return " | ".join(out)
+def opening(c: Column) -> Column:
+    """The start of a text that a memory keeps."""
+    return F.substring(F.trim(F.split(F.coalesce(c, F.lit("")), "\\.")[0]), 1, 120)
+
+
+def merge_memory(rows: DataFrame, group: str, order: str, text: str, limit: int = 600) -> DataFrame:
+    """(group, summary): what the texts say first, oldest first, each once, as far as a budget of characters has room.
+
+    Equal openings are merged before they are gathered.
+    """
+    once = rows.groupBy(group, opening(F.col(text)).alias("opening")).agg(F.min(order).alias("at"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "opening"))), lambda x: x["opening"])
+    said = once.groupBy(group).agg(F.filter(listed, lambda x: x != "").alias("said"))
+    room = lambda kept, x: F.length(F.array_join(kept, "")) + F.length(x) <= limit
+    kept = F.aggregate("said", F.array().cast("array<string>"), lambda acc, x: F.when(room(acc, x), F.array_append(acc, x)).otherwise(acc))
+    return said.select(group, F.array_join(kept, " | ").alias("summary"))
 
 
 #: The parts of an answer that a model returns as JSON; ids may also come with its citations.

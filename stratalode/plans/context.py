@@ -22,14 +22,15 @@ def gterms(c: str) -> str:
 _TURNS = "SELECT conv_id, turn, role, text FROM conversations"
 
 
-@query("bud_rows")
-def bud_rows(t: Tables) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn")
-        return rows.assign(kept=X.budget(rows["size"].tolist(), 2500))[["conv_id", "turn", "size", "kept"]]
+_BUDGETED = """z AS (SELECT conv_id, list([{'turn': turn, 'size': CAST(length(line) AS BIGINT), 'kept': true}] ORDER BY turn) AS l FROM (SELECT conv_id, turn, CAST(json_object('role', role, 'text', text) AS VARCHAR) AS line FROM conversations) GROUP BY 1),
+k AS (SELECT conv_id, unnest(list_reduce(l, lambda a, x: list_concat(a, [{'turn': x[1].turn, 'size': x[1].size, 'kept': coalesce(list_sum(list_transform(list_filter(a, lambda y: y.kept), lambda y: y.size)), 0) + x[1].size <= 2500}]), l[1][1:0])) AS r FROM z)"""
 
-    sized = t("conversations").select("conv_id", "turn", F.length(F.to_json(F.struct("role", "text"))).alias("size"))
-    return sized.groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, size int, kept boolean")
+
+@query("bud_rows", f"WITH {_BUDGETED} SELECT conv_id, r.turn AS turn, r.size AS size, r.kept AS kept FROM k")
+def bud_rows(t: Tables) -> DataFrame:
+    sized = t("conversations").select("conv_id", F.struct("turn", F.length(F.to_json(F.struct("role", "text"))).cast("long").alias("size")).alias("r"))
+    rows = sized.groupBy("conv_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))  # turns of one conversation
+    return rows.select("conv_id", F.inline(X.budget(F.col("rows"), 2500)))
 
 
 @query("bud_render", "SELECT conv_id, turn, upper(role) || ': ' || CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS rendered FROM conversations")
@@ -43,22 +44,17 @@ def bud_history(t: Tables) -> DataFrame:
     return X.newest_within(t("conversations"), "conv_id", "turn", "text", 2000).select("conv_id", "turn", "used")
 
 
-@query("bud_fit")
-def bud_fit(t: Tables) -> DataFrame:
-    """Prompt bundles cut to a budget: system turns go first, then the oldest others, the last turn stays."""
+_PARTS_SQL = "[" + ", ".join(f"'{p}'" for p in X.PARTS) + "]"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn")
-        keep = list(rows.itertuples(index=False))
-        total = sum(r.size for r in keep)
-        for drop_system in (True, False):
-            for r in list(keep):
-                if total > 4000 and len(keep) > 1 and r is not keep[-1] and (r.role == "system") == drop_system:
-                    keep.remove(r)
-                    total -= r.size
-        return pd.DataFrame({"conv_id": [rows.conv_id.iloc[0]], "kept": [len(keep)], "trimmed": [len(rows) - len(keep)], "chars": [int(total)]})
 
-    return t("conversations").select("conv_id", "turn", "role", F.length("text").alias("size")).groupBy("conv_id").applyInPandas(run, "conv_id long, kept int, trimmed int, chars long")
+@query("bud_fit", f"""WITH i AS (SELECT conv_id, turn AS place, {_PARTS_SQL}[CAST(turn % 12 AS INTEGER) + 1] AS part, length(text) AS size FROM conversations),
+e AS (SELECT *, (part IN ('facts', 'chunks') AND place = min(place) OVER p) OR (part = 'history' AND place = max(place) OVER p) AS stays FROM i WINDOW p AS (PARTITION BY conv_id, part)),
+r AS (SELECT *, sum(size) OVER (PARTITION BY conv_id) - coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY stays, list_position({_PARTS_SQL}, part), CASE WHEN part = 'history' THEN place ELSE -place END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remain FROM e)
+SELECT conv_id, count(*) FILTER (stays OR remain <= 1200) AS kept, count(*) FILTER (NOT (stays OR remain <= 1200)) AS trimmed, CAST(coalesce(sum(size) FILTER (stays OR remain <= 1200), 0) AS BIGINT) AS chars FROM r GROUP BY 1""")
+def bud_fit(t: Tables) -> DataFrame:
+    """A conversation's turns as the items of a prompt, dealt to its twelve parts."""
+    part = F.element_at(F.array(*map(F.lit, X.PARTS)), (F.col("turn") % 12 + 1).cast("int"))
+    return X.fit(t("conversations").select("conv_id", F.col("turn").alias("place"), part.alias("part"), F.length("text").alias("size")), "conv_id", 1200)
 
 
 @query("bud_bundle", "SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 100), chr(10) ORDER BY turn) AS prompt, count(*) AS parts FROM conversations GROUP BY conv_id")
@@ -199,7 +195,12 @@ def ground_rows(t: Tables) -> DataFrame:
     return row(t("documents"), "document", "doc_id", F.substring("text", 1, 1600)).unionByName(row(t("pages"), "page", "page_id", F.substring("html", 1, 1600))).unionByName(row(t("events"), "sensor", "event_id", F.concat(F.col("event_type"), F.lit("="), F.format_string("%.2f", "value"))))
 
 
-@query("ans_extractive")
+@query("ans_extractive", f"""{P.RERANK}, tx AS (SELECT query_id, new_rank, list_filter(list_transform(terms, lambda x: x), lambda x: true) AS terms, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:4] AS parts FROM ranked WHERE new_rank <= 4),
+sn AS (SELECT query_id, new_rank, terms, unnest(list_transform(parts, lambda x: trim(x))) AS s, generate_subscripts(parts, 1) AS k FROM tx),
+un AS (SELECT * FROM sn WHERE length(s) >= 24 QUALIFY row_number() OVER (PARTITION BY query_id, lower(s) ORDER BY new_rank, k) = 1),
+sc AS (SELECT query_id, s, CASE WHEN k = 1 THEN 2 ELSE 0 END + len(list_intersect(list_distinct(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+')), terms)) AS score FROM un),
+bs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(s), s) AS rn FROM sc QUALIFY rn <= 3),
+an AS (SELECT query_id, string_agg(s, ' ' ORDER BY rn) AS answer FROM bs GROUP BY 1) SELECT query_id, coalesce(answer, '') AS answer FROM (SELECT DISTINCT query_id FROM tx) LEFT JOIN an USING (query_id)""")
 def ans_extractive(t: Tables) -> DataFrame:
     """A deterministic answer for each query from its best four documents."""
 
@@ -303,18 +304,20 @@ def mem_facts(t: Tables) -> DataFrame:
     return A.stable_facts(facts, "conv_id", 10)
 
 
-@query("mem_session")
+@query("mem_session", f"""WITH f AS (SELECT conv_id, turn AS spot, substr(trim(string_split(coalesce(text, ''), '.')[1]), 1, 120) AS opening FROM conversations WHERE role = 'user'), o AS (SELECT conv_id, opening, min(spot) AS spot FROM f WHERE opening <> '' GROUP BY 1, 2), l AS (SELECT conv_id, list([opening] ORDER BY spot, opening) AS l FROM o GROUP BY 1),
+m AS (SELECT conv_id, array_to_string(list_reduce(l, lambda a, x: CASE WHEN length(array_to_string(a, '')) + length(x[1]) <= 600 THEN list_concat(a, x) ELSE a END, CAST([] AS VARCHAR[])), ' | ') AS summary FROM l)
+SELECT conv_id, coalesce(summary, '') AS summary FROM (SELECT DISTINCT conv_id FROM f) LEFT JOIN m USING (conv_id)""")
 def mem_session(t: Tables) -> DataFrame:
-    run = lambda rows: pd.DataFrame({"conv_id": [rows.conv_id.iloc[0]], "summary": [X.merge_memory(rows)]})
-    return t("conversations").where("role = 'user'").select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(run, "conv_id long, summary string")
+    return X.merge_memory(t("conversations").where("role = 'user'"), "conv_id", "turn", "text")
 
 
-@query("mem_profile")
+@query("mem_profile", f"""WITH f AS (SELECT event_type, event_id AS spot, concat_ws(' ', event_type, strftime(ts, '%Y-%m-%d')) AS opening FROM events), o AS (SELECT event_type, opening, min(spot) AS spot FROM f WHERE opening <> '' GROUP BY 1, 2), l AS (SELECT event_type, list([opening] ORDER BY spot, opening) AS l FROM o GROUP BY 1),
+m AS (SELECT event_type, array_to_string(list_reduce(l, lambda a, x: CASE WHEN length(array_to_string(a, '')) + length(x[1]) <= 240 THEN list_concat(a, x) ELSE a END, CAST([] AS VARCHAR[])), ' | ') AS summary FROM l)
+SELECT event_type, coalesce(summary, '') AS summary FROM (SELECT DISTINCT event_type FROM f) LEFT JOIN m USING (event_type)""")
 def mem_profile(t: Tables) -> DataFrame:
-    run = lambda rows: pd.DataFrame({"event_type": [rows.event_type.iloc[0]], "summary": [X.merge_memory(rows, 240)]})
-    rows = t("events").select("event_type", F.col("event_id").alias("turn"), F.concat_ws(" ", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("text"))
-    first = rows.groupBy("event_type", "text").agg(F.min("turn").alias("turn"))  # days of one type
-    return first.groupBy("event_type").applyInPandas(run, "event_type string, summary string")
+    """Events as a user's history: what happened on which day."""
+    rows = t("events").select("event_type", "event_id", F.concat_ws(" ", "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("text"))
+    return X.merge_memory(rows, "event_type", "event_id", "text", 240)
 
 
 @query("mem_filter", f"WITH {_PAIR} SELECT conv_id, turn, list_sort(list_intersect({gterms('text')}, {gterms('before')})) AS kept FROM a WHERE before IS NOT NULL")
@@ -329,10 +332,11 @@ def mem_recent(t: Tables) -> DataFrame:
     return t("conversations").withColumn("rn", F.row_number().over(w)).where("rn <= 4").select("conv_id", "turn", "role", "text")
 
 
-@query("mem_budget")
+@query("mem_budget", f"""WITH f AS (SELECT conv_id, turn AS spot, substr(trim(string_split(coalesce(text, ''), '.')[1]), 1, 120) AS opening FROM conversations), o AS (SELECT conv_id, opening, min(spot) AS spot FROM f WHERE opening <> '' GROUP BY 1, 2), l AS (SELECT conv_id, list([opening] ORDER BY spot, opening) AS l FROM o GROUP BY 1),
+m AS (SELECT conv_id, array_to_string(list_reduce(l, lambda a, x: CASE WHEN length(array_to_string(a, '')) + length(x[1]) <= 200 THEN list_concat(a, x) ELSE a END, CAST([] AS VARCHAR[])), ' | ') AS summary FROM l)
+SELECT conv_id, coalesce(summary, '') AS summary FROM (SELECT DISTINCT conv_id FROM f) LEFT JOIN m USING (conv_id)""")
 def mem_budget(t: Tables) -> DataFrame:
-    run = lambda rows: pd.DataFrame({"conv_id": [rows.conv_id.iloc[0]], "summary": [X.merge_memory(rows, 200)]})
-    return t("conversations").select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(run, "conv_id long, summary string")
+    return X.merge_memory(t("conversations"), "conv_id", "turn", "text", 200)
 
 
 @query("mem_normalize", "SELECT key, min(doc_id) AS first_id, count(*) AS n FROM (SELECT doc_id, lower(trim(text)) AS key FROM documents WHERE text IS NOT NULL) WHERE key <> '' GROUP BY key")

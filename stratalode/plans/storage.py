@@ -11,6 +11,8 @@ from stratalode.operators import retrieval as R
 from stratalode.plans import quality as QP
 from stratalode.plans import text as TP
 from stratalode.plans.catalog import Tables, query
+from stratalode.plans.context import _BUDGETED, bud_rows
+from stratalode.plans.retrieval import VECTOR
 from stratalode.sources import pages as PG
 from stratalode.session import shared_path
 from stratalode.sources import tables as S
@@ -101,7 +103,7 @@ def sink_publish_flip(t: Tables) -> DataFrame:
     return S.publish_flip(staged, "l_orderkey", F.col("l_quantity") < 50, shared_path(t.spark, "flip")).select("l_orderkey", "l_linenumber", "publish_state")
 
 
-@query("sink_eval_json")
+@query("sink_eval_json", """SELECT '{"item_id":' || item_id || ',"chars":' || length(text) || '}' AS line FROM benchmark""")
 def sink_eval_json(t: Tables) -> DataFrame:
     return t("benchmark").select(F.to_json(F.struct("item_id", F.length("text").alias("chars"))).alias("line"))
 
@@ -197,7 +199,7 @@ def del_stage(t: Tables) -> DataFrame:
     return S.delete_where(t("documents").select("doc_id", "lang"), t("labels").where("quality = 0").select("doc_id"), "doc_id")
 
 
-@query("emb_remote")
+@query("emb_remote", f"SELECT doc_id, {VECTOR.format("coalesce(text, '')")} AS vec FROM documents")
 def emb_remote(t: Tables) -> DataFrame:
     """The embedder interface: batches of texts go to a function; here the deterministic vectors stand in for a service."""
     from stratalode.operators.embedding import embed
@@ -213,8 +215,6 @@ def kg_extract_model(t: Tables) -> DataFrame:
     return extract_candidates(t("benchmark").select("item_id", "text"), "item_id", "text")
 
 
-@query("bud_wrappers")
+@query("bud_wrappers", f"WITH {_BUDGETED} SELECT conv_id, CAST(sum(r.size) AS BIGINT) AS size, count(*) AS rows FROM k WHERE r.kept GROUP BY 1")
 def bud_wrappers(t: Tables) -> DataFrame:
-    from stratalode.plans.context import bud_rows
-
     return bud_rows(t).where("kept").groupBy("conv_id").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))

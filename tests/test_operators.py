@@ -79,8 +79,9 @@ def test_synopsis_takes_unused_sentences():
     assert chunks.synopsis([f"{a}. {b}", f"{a}. {b}", "short"]) == f"{a} {b}"
 
 
-def test_budget_skips_and_goes_on():
-    assert context.budget([5, 9, 3, 2], 10) == [True, False, True, True]
+def test_budget_skips_and_goes_on(spark):
+    rows = F.array(*(F.struct(F.lit(n).alias("size")) for n in (5, 9, 3, 2)))
+    assert [r["kept"] for r in one(spark, context.budget(rows, 10))] == [True, False, True, True]
 
 
 def test_diversity_may_evict(spark):
@@ -329,3 +330,22 @@ def test_route(spark):
     df = spark.createDataFrame([(k, "fact", *r, "comparison", 40) for k, r in enumerate(rows)], "k int, kind string, enabled boolean, provider string, has_key boolean, failed boolean, confidence double, router_kind string, router_top_k int")
     got = [(r.source.removeprefix("fallback:"), r.question_type, r.top_k) for r in answers.route(df, F.lit(8)).orderBy("k").collect()]
     assert got == [("disabled", "fact", 8), ("provider_disabled", "fact", 8), ("no_api_key", "fact", 8), ("error", "fact", 8), ("low_confidence", "fact", 8), ("low_confidence", "fact", 8), ("router", "comparison", 12)]
+
+
+def test_prompt_parts_give_way_in_order(spark):
+    items = [(1, "history", 1, 10), (1, "history", 2, 10), (1, "chunks", 1, 10), (1, "chunks", 2, 10), (1, "chains", 1, 10), (1, "topics", 1, 10), (1, "facts", 1, 10)]
+    df = spark.createDataFrame(items, "g long, part string, place long, size long")
+    got = [tuple(context.fit(df, "g", limit).first())[1:] for limit in (100, 65, 50, 45, 35, 5)]
+    # topics, chains, the second chunk, the older turn; a fact, a chunk and the newest turn stay
+    assert got == [(7, 0, 70), (6, 1, 60), (5, 2, 50), (4, 3, 40), (3, 4, 30), (3, 4, 30)]
+
+
+def test_memory_keeps_each_opening_once_within_its_budget(spark):
+    rows = spark.createDataFrame([(1, 3, "B second. x"), (1, 1, "A first. y"), (1, 2, "A first. z"), (1, 4, "C" * 50), (1, 5, "D"), (2, 1, None)], "g long, turn long, text string")
+    got = {r.g: r.summary for r in context.merge_memory(rows, "g", "turn", "text", 20).collect()}
+    assert got == {1: "A first | B second | D", 2: ""}
+
+
+def test_best_sentences():
+    quotes = ["The first sentence is about bees here. Short. Another sentence of bees and honey follows.", "The first sentence is about bees here. Last but long enough to count."]
+    assert context.best_sentences(quotes, {"bees", "honey"}) == "The first sentence is about bees here. Another sentence of bees and honey follows. Last but long enough to count."
