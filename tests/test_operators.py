@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratalode.functions import quality, redaction, sensors
 from stratalode.functions import text as T
-from stratalode.operators import answers, chunks, context, embedding, graph, knowledge, retrieval
+from stratalode.operators import answers, chunks, context, embedding, evaluation, graph, knowledge, retrieval
 from stratalode.plans.catalog import Tables
 from stratalode.sources import admin, pages, tables
 from stratalode.streaming import sensors as streaming
@@ -349,3 +349,17 @@ def test_memory_keeps_each_opening_once_within_its_budget(spark):
 def test_best_sentences():
     quotes = ["The first sentence is about bees here. Short. Another sentence of bees and honey follows.", "The first sentence is about bees here. Last but long enough to count."]
     assert context.best_sentences(quotes, {"bees", "honey"}) == "The first sentence is about bees here. Another sentence of bees and honey follows. Last but long enough to count."
+
+
+def test_judge_needs_all_a_case_asks_for(spark):
+    good = {"id": 0, "question_type": "fact", "abstained": False, "abstain_reason": None, "confidence": 0.8, "grounded": True, "citations": 2, "filenames": ["Bee Book.pdf"], "kinds": ["chunk"], "n_terms": 2, "answer_coverage": 0.5, "citation_coverage": 0.5,
+            "expected_type": None, "expected_abstained": None, "expected_documents": ["bee book"], "forbidden_documents": ["wasp"], "expected_kinds": ["chunk"], "least_confidence": 0.7, "least_answer": None, "least_citation": None}
+    changes = [{}, {"expected_type": "definition"}, {"expected_abstained": True}, {"expected_documents": ["ant"]}, {"forbidden_documents": ["BEE"]}, {"expected_kinds": ["asset"]}, {"grounded": False}, {"citations": 0}, {"confidence": 0.6}, {"answer_coverage": 0.3}, {"citation_coverage": 0.2}]
+    silent = {"abstained": True, "abstain_reason": "thin", "expected_abstained": True, "confidence": 0.0, "grounded": False, "citations": 0, "citation_coverage": 0.0, "expected_documents": None, "expected_kinds": None}
+    rows = [{**good, **c, "id": k} for k, c in enumerate([*changes, silent, {**silent, "abstain_reason": ""}])]
+    schema = "id int, question_type string, abstained boolean, abstain_reason string, confidence double, grounded boolean, citations int, filenames array<string>, kinds array<string>, n_terms int, answer_coverage double, citation_coverage double, expected_type string, expected_abstained boolean, expected_documents array<string>, forbidden_documents array<string>, expected_kinds array<string>, least_confidence double, least_answer double, least_citation double"
+    judged = evaluation.judge(spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema))
+    got = {r.id: [c for c in evaluation.CHECKS if not r[c]] for r in judged.collect()}
+    assert [got[k] for k in range(1, 11)] == [[c] for c in evaluation.CHECKS]
+    assert not got[0] and not got[11] and got[12] == ["grounding_ok"]
+    assert tuple(evaluation.summary(judged).first())[:5] == (13, 2, 0.1538, 3, 2)
