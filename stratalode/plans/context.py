@@ -10,7 +10,7 @@ from stratalode.operators import answers as A
 from stratalode.operators import context as X
 from stratalode.operators import retrieval as R
 from stratalode.plans import retrieval as P
-from stratalode.plans.catalog import Tables, query
+from stratalode.plans.catalog import SQL, Tables, query
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")"
 
@@ -362,10 +362,11 @@ def chat(t: Tables) -> DataFrame:
     return g.select("conv_id", F.array_join(F.transform("l", lambda s: s["x"]), "\n").alias("transcript"))
 
 
-@query("query_full")
+@query("query_full", f"SELECT query_id, reason, CASE WHEN reason = 'none' THEN answer ELSE '' END AS answer FROM ({SQL['ans_extractive']}) JOIN ({SQL['abstain']}) USING (query_id)")
 def query_full(t: Tables) -> DataFrame:
-    """A whole question: retrieval, abstention and the extractive answer."""
-    return ans_extractive(t).join(abstain(t), "query_id").select("query_id", "outcome", F.when(F.col("outcome") == "no_valid_citations", F.lit("")).otherwise(F.col("answer")).alias("answer"))
+    """A whole question: retrieval, abstention and the extractive answer, which is empty where there is a reason for none."""
+    said = F.when(F.col("reason") == "none", F.col("answer")).otherwise(F.lit(""))
+    return ans_extractive(t).join(abstain(t), "query_id").select("query_id", "reason", said.alias("answer"))
 
 
 @query("text_asset", "SELECT page_id, concat_ws(' ', CASE WHEN lower(url) IN ('', 'page') THEN NULL ELSE url END, substr(regexp_replace(html, '<[^>]*>', ' ', 'g'), 1, 200)) AS text FROM pages")
