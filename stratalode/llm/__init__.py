@@ -21,6 +21,7 @@ _QUERIES = {
     "op8_chat_formatting": "chat_formatting",
     "op9_sharding": "sharding",
     "op10_html_extraction": "html_extraction",
+    "op11_hard_negatives": "hard_negatives",
     "op12_simhash": "simhash",
 }
 
