@@ -23,6 +23,7 @@ _QUERIES = {
     "op10_html_extraction": "html_extraction",
     "op11_hard_negatives": "hard_negatives",
     "op12_simhash": "simhash",
+    "op13_source_divergence": "source_divergence",
 }
 
 
