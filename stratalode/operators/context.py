@@ -17,17 +17,6 @@ PARTS = ("topics", "constraints", "threads", "facts", "chains", "evidence", "sen
 KEEP_FIRST, OLDEST_GOES = ("facts", "chunks"), "history"
 
 
-def budget(rows: Column, limit: int) -> Column:
-    """rows (array of structs with a size) with kept: in order, a row that would pass the limit is skipped, later ones may still fit."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("kept"))
-
-    def step(s: Column, x: Column) -> Column:
-        ok = s["used"] + x["size"] <= limit
-        return F.struct((s["used"] + F.when(ok, x["size"]).otherwise(0)).cast("long").alias("used"), F.concat(s["kept"], F.array(ok)).alias("kept"))
-
-    return F.zip_with(rows, F.aggregate(rows, start, step)["kept"], lambda x, kept: x.withField("kept", kept))
-
-
 def fit(items: DataFrame, group: str, limit: int) -> DataFrame:
     """(group, kept, trimmed, chars) of prompts: items (group, part, place, size) go one by one until the rest is within the limit.
 

@@ -22,23 +22,6 @@ def gterms(c: str) -> str:
 _TURNS = "SELECT conv_id, turn, role, text FROM conversations"
 
 
-_BUDGETED = """z AS (SELECT conv_id, list([{'turn': turn, 'size': CAST(length(line) AS BIGINT), 'kept': true}] ORDER BY turn) AS l FROM (SELECT conv_id, turn, CAST(json_object('role', role, 'text', text) AS VARCHAR) AS line FROM conversations) GROUP BY 1),
-k AS (SELECT conv_id, unnest(list_reduce(l, lambda a, x: list_concat(a, [{'turn': x[1].turn, 'size': x[1].size, 'kept': coalesce(list_sum(list_transform(list_filter(a, lambda y: y.kept), lambda y: y.size)), 0) + x[1].size <= 2500}]), l[1][1:0])) AS r FROM z)"""
-
-
-@query("bud_rows", f"WITH {_BUDGETED} SELECT conv_id, r.turn AS turn, r.size AS size, r.kept AS kept FROM k")
-def bud_rows(t: Tables) -> DataFrame:
-    sized = t("conversations").select("conv_id", F.struct("turn", F.length(F.to_json(F.struct("role", "text"))).cast("long").alias("size")).alias("r"))
-    rows = sized.groupBy("conv_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))  # turns of one conversation
-    return rows.select("conv_id", F.inline(X.budget(F.col("rows"), 2500)))
-
-
-@query("bud_render", "SELECT conv_id, turn, upper(role) || ': ' || CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS rendered FROM conversations")
-def bud_render(t: Tables) -> DataFrame:
-    cut = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
-    return t("conversations").select("conv_id", "turn", F.concat(F.upper("role"), F.lit(": "), cut).alias("rendered"))
-
-
 @query("bud_history", "SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM conversations) WHERE used <= 2000")
 def bud_history(t: Tables) -> DataFrame:
     return X.newest_within(t("conversations"), "conv_id", "turn", "text", 2000).select("conv_id", "turn", "used")

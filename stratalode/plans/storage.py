@@ -11,7 +11,6 @@ from stratalode.operators import retrieval as R
 from stratalode.plans import quality as QP
 from stratalode.plans import text as TP
 from stratalode.plans.catalog import Tables, query
-from stratalode.plans.context import _BUDGETED, bud_rows
 from stratalode.plans.retrieval import VECTOR
 from stratalode.sources import pages as PG
 from stratalode.session import shared_path
@@ -213,8 +212,3 @@ def kg_extract_model(t: Tables) -> DataFrame:
     from stratalode.operators.embedding import extract_candidates
 
     return extract_candidates(t("benchmark").select("item_id", "text"), "item_id", "text")
-
-
-@query("bud_wrappers", f"WITH {_BUDGETED} SELECT conv_id, CAST(sum(r.size) AS BIGINT) AS size, count(*) AS rows FROM k WHERE r.kept GROUP BY 1")
-def bud_wrappers(t: Tables) -> DataFrame:
-    return bud_rows(t).where("kept").groupBy("conv_id").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))

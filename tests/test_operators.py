@@ -79,11 +79,6 @@ def test_synopsis_takes_unused_sentences():
     assert chunks.synopsis([f"{a}. {b}", f"{a}. {b}", "short"]) == f"{a} {b}"
 
 
-def test_budget_skips_and_goes_on(spark):
-    rows = F.array(*(F.struct(F.lit(n).alias("size")) for n in (5, 9, 3, 2)))
-    assert [r["kept"] for r in one(spark, context.budget(rows, 10))] == [True, False, True, True]
-
-
 def test_diversity_may_evict(spark):
     rows = [(1, d, t, s, n) for d, t, s, n in ((1, "aaa bbb ccc", 0.9, 1), (2, "aaa bbb ccc", 0.85, 2), (3, "xxx yyy zzz", 0.8, 3))]
     df = spark.createDataFrame(rows, "query_id long, doc_id long, text string, rerank_score double, new_rank int")
