@@ -17,8 +17,9 @@ without terms, or a language without kept terms, has its pairs with their values
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from stratalode.llm._support import PIECE, buffer_of, materialise
 
 LEAST_DOCUMENTS, TOP, SCALE = 3, 200, 1_000_000_000
-#: Postings that a task holds before it spills a run; pairs whose corrections it holds.
-POSTINGS, PAIRS = 400_000, 1 << 20
+#: Postings that a task holds before it spills runs, terms counted in; rows of a run sent at once; pairs whose corrections it holds.
+POSTINGS, RUN_ROWS, PAIRS = 6_000_000, 1 << 17, 1 << 20
 #: In UTF-8 bytes, of lowered text.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _GAP = re.compile(rb"[^a-z\x80-\xff]")
@@ -49,35 +50,82 @@ def _pieces(text: bytes, limit: int = PIECE) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _inverter(limit: int):
-    def run_of(postings: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
-        rows = sorted((lang, term, source, n, documents[term]) for (lang, source), (terms, documents) in postings.items() for term, n in terms.items())
-        lang, term, source, n, documents = zip(*rows, strict=True) if rows else ((),) * 5
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(source, pa.string()), pa.array(n, pa.int64()), pa.array(documents, pa.int64())], ["lang", "term", "source", "occurrences", "documents"])
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids of a document's terms, and how often each occurs."""
+    ids, counts = np.unique(parts[0] if len(parts) == 1 else np.concatenate(parts), return_counts=True)
+    return ids, counts
+
+
+class Block:
+    """Postings of terms per source for the languages of some documents, in memory."""
+
+    def __init__(self):
+        self.terms: dict[str, defaultdict[bytes, int]] = {}
+        self.sources: dict[str, list[str]] = {}
+        self.ids: dict[str, list[np.ndarray]] = {}
+        self.counts: dict[str, list[np.ndarray]] = {}
+        self.postings = 0
+
+    def add(self, lang: str, source: str, text: bytes) -> None:
+        if lang not in self.terms:
+            self.terms[lang], self.sources[lang], self.ids[lang], self.counts[lang] = defaultdict(count().__next__), [], [], []
+        numbers = self.terms[lang].__getitem__  # a term not met before takes the next number
+        found = [np.fromiter(map(numbers, w), np.int64, len(w)) for piece in _pieces(text) if (w := _TERM.findall(piece))]
+        if found:
+            ids, counts = _counted(found)
+            self.sources[lang].append(source)
+            self.ids[lang].append(ids)
+            self.counts[lang].append(counts)
+            self.postings += len(ids)
+
+    @property
+    def size(self) -> int:
+        """Postings held; a term of the dictionary takes as much memory as about eight."""
+        return self.postings + 8 * sum(map(len, self.terms.values()))
+
+    def runs(self) -> Iterator[pa.RecordBatch]:
+        """A run per language, sorted by term and source."""
+        for lang, terms in self.terms.items():
+            if not self.ids[lang]:
+                continue
+            order = sorted(terms)
+            rank = np.empty(len(order), np.int64)
+            rank[np.fromiter(map(terms.__getitem__, order), np.int64, len(order))] = np.arange(len(order))
+            names = sorted(set(self.sources[lang]))
+            place = {s: k for k, s in enumerate(names)}
+            source = np.repeat(np.array([place[s] for s in self.sources[lang]]), [len(x) for x in self.ids[lang]])
+            key = rank[np.concatenate(self.ids[lang])] * len(names) + source
+            by = np.argsort(key, kind="stable")
+            key, counts = key[by], np.concatenate(self.counts[lang])[by]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            occurrences, documents = np.add.reduceat(counts, first), np.diff(np.append(first, len(key)))
+            key, words, names = key[first], pa.array(order, pa.binary()).cast(pa.string()), pa.array(names, pa.string())
+            for at in range(0, len(key), RUN_ROWS):
+                cut = slice(at, at + RUN_ROWS)
+                term, source = np.divmod(key[cut], len(names))
+                yield _rows(pa.array([lang], pa.string()).take(pa.array(np.zeros(len(term), np.int8))), words.take(pa.array(term)), names.take(pa.array(source)), occurrences[cut], documents[cut])
+
+
+def _rows(lang: pa.Array, term: pa.Array, source: pa.Array, occurrences: np.ndarray, documents: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, term, source, pa.array(occurrences), pa.array(documents)], ["lang", "term", "source", "occurrences", "documents"])
 
+
+def _inverter(limit: int):
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[tuple[str, str]] = set()
-        postings: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        held = 0
+        met: dict[tuple[str, str], None] = {}
+        block = Block()
         for batch in batches:
             buf, off = buffer_of(batch["text"])
             buf, off = memoryview(np.ascontiguousarray(buf)), off.tolist()
             for k, group in enumerate(zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True)):
-                terms, documents = postings.setdefault(group, (Counter(), Counter()))
-                before, own = len(terms), set()
-                if group not in met:  # a group's row without a term says that it occurs
-                    met.add(group)
-                    terms[b""] = documents[b""] = 0
-                for piece in _pieces(bytes(buf[off[k] : off[k + 1]]).lower()):
-                    found = _TERM.findall(piece)
-                    terms.update(found)
-                    own.update(found)
-                documents.update(own)
-                held += len(terms) - before
-                if held >= limit:
-                    yield run_of(postings)
-                    postings, held = {}, 0
-        yield run_of(postings)
+                met.setdefault(group)
+                block.add(*group, bytes(buf[off[k] : off[k + 1]]).lower())
+                if block.size >= limit:
+                    yield from block.runs()
+                    block = Block()
+        yield from block.runs()
+        none = np.zeros(len(met), np.int64)  # a row without a term says that a group occurs
+        yield _rows(*(pa.array(c, pa.string()) for c in ([g[0] for g in met], [""] * len(met), [g[1] for g in met])), none, none)
 
     return invert
 
@@ -135,7 +183,7 @@ def frequencies(docs: DataFrame, least: int = LEAST_DOCUMENTS, limit: int = POST
     """
     part = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     runs = part.mapInArrow(_inverter(limit), _RUN)
-    return runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(_merger(least), _FREQUENCIES)
+    return runs.repartition("lang", "term").sortWithinPartitions("term", "lang", "source").mapInArrow(_merger(least), _FREQUENCIES)
 
 
 def share(count: str, n: str, v: str, scale: int = SCALE) -> Column:
@@ -227,7 +275,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, scale:
     by_count = by_count.groupBy("a", "b").agg(F.sum("terms").alias("own"), F.sum(F.col("terms") * divergence("p", "q0")).alias("left"), F.sum(F.col("terms") * divergence("q0", "p")).alias("right"))
     by_count = materialise(by_count, "sums-by-count")
     back = by_count.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("own").alias("others"), "right")
-    streamed = postings.select("lang", "term", "gid", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term")
+    streamed = postings.select("lang", "term", "gid", "p", "p0").repartition("lang", "term").sortWithinPartitions("term", "lang")
     both = streamed.mapInArrow(_correct, "a long, b long, value long").groupBy("a", "b").agg(F.sum("value").alias("both"))
     all_ = pairs.join(by_count.drop("right"), ["a", "b"], "left").join(back, ["a", "b"], "left").join(both, ["a", "b"], "left").fillna(0, ["own", "others", "left", "right", "both"])
     value = F.expr("coalesce((v - own - others) * ((p0 - q0) * (p0 - q0) div q0), 0) + left + right + both").alias("value")
