@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# fixed values: words that carry no evidence
+# fixed values: words that tell no topic
 STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "have", "not", "but", "you", "all")
 
 
@@ -44,18 +44,12 @@ def newest_within(df: DataFrame, group: str, order: str, text: str, limit: int)
     return df.withColumn("used", F.sum(F.length(text)).over(w)).where(F.col("used") <= limit)
 
 
-def grounding_terms(c: Column) -> Column:
-    """Distinct lower-case terms of three or more characters, without stop words."""
+def keywords(c: Column) -> Column:
+    """Distinct lower-case words of three or more characters, without stop words."""
     found = F.regexp_extract_all(F.lower(c), F.lit("([\\p{L}\\p{N}_]{3,})"), 1)
     return F.array_distinct(F.filter(found, lambda x: ~x.isin(*STOPWORDS)))
 
 
-def claims(c: Column) -> Column:
-    """Sentences and lines with two terms or a digit, cut to 320 characters, at most eight."""
-    parts = F.transform(F.split(c, "(?<=[.!?])\\s+|\\n+"), lambda x: F.substring(F.btrim(x), 1, 320))
-    return F.slice(F.filter(parts, lambda x: (F.size(grounding_terms(x)) >= 2) | x.rlike("[0-9]")), 1, 8)
-
-
 def excerpt(text: Column, first: Column, width: int = 120) -> Column:
     """width characters around the first place of a term, with dots where text was left out."""
     at = F.instr(F.lower(text), first)

@@ -102,7 +102,7 @@ def test_wide_kinds_show_their_fields(spark, kind):
     }[kind]
     df = spark.sql(f"SELECT 1 g, 0 at, {rows}")
     full = B.budget(df, "g", ["at"], 9000, B.KINDS[kind]).first().asDict(recursive=True)
-    tight = B.budget(df, "g", ["at"], 600 if kind == "chain" else 900, B.KINDS[kind]).first().asDict(recursive=True)
+    tight = B.budget(df, "g", ["at"], 500 if kind == "chain" else 900, B.KINDS[kind]).first().asDict(recursive=True)
     for got, limit in ((full, 9000), (tight, 900)):
         row = {k: v for k, v in got.items() if k not in ("g", "at", "size", "truncated") and not (v is None and k in B.KINDS[kind].optional)}
         assert size(row | ({"truncated": True} if got["truncated"] else {})) == got["size"] <= limit
