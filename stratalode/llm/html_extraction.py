@@ -25,7 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select|svg|math|object|canvas|title)(?=[\s/>])[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])[^>]*/>"
+    r"|<(?P<raw>script|style|noscript|iframe|textarea|title)(?=[\s/>])[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<drawn>svg|math)(?=[\s/>])[^>]*>(?:(?!<(?:p|div|h[1-6]|[uod]l|li|d[dt]|table|pre|blockquote|article|section|main|body)[\s/>]).)*?</(?P=drawn)\s*>"
+    r"|<(?P<held>template|select|object|canvas)(?=[\s/>])[^>]*>.*?</(?P=held)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -44,6 +47,10 @@ _AWAY_NAME = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer footnav sidebar sidenav aside widget widgets ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert popup popups modal overlay newsletter subscribe subscription signup login signin search share sharing social comment comments commentlist disqus reply replies respond responses related recommended recommendations pagination pager copyright toolbar skip hidden form".split()
 )
 _HEAD_NAME = frozenset("header masthead topbar".split())
+#: Words that stand beside those in names of such elements; beside any other word a name tells nothing.
+_BESIDE_NAME = frozenset(
+    "site main page global local top bottom left right upper lower primary secondary first last box bar block section container wrapper wrap inner outer area panel group row col column list item items link links button buttons icon icons media text content body title head header wide narrow fixed sticky mobile desktop js post article blog entry user users social legal meta policy message msg close open toggle slot unit zone module region".split()
+)
 _PUNCTUATION = re.compile(r"[.,;:!?。，！？،]")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Deviations of the scores that content has at least.
@@ -52,6 +59,8 @@ DEVIATION = 1.0
 HINTED, LINKED = 0.02, 0.1
 #: Elements whose blocks belong to the content around them, whatever their own ratios.
 _PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li td th dd dt pre blockquote figcaption caption summary".split())
+#: Elements of running text, whose names mostly say how they look; a name tells only without other words.
+_TEXT = frozenset("p td th li dd dt h1 h2 h3 h4 h5 h6 pre blockquote".split())
 _SMOOTH = (0.25, 0.5, 0.25)
 
 
@@ -73,6 +82,7 @@ def _is_away(tag: str, attrs: str, parent: _Node) -> bool:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
+    beside = _AWAY_NAME if tag in _TEXT else _AWAY_NAME | _HEAD_NAME | _BESIDE_NAME
     for m in _ATTR.finditer(attrs):
         name, value = (m[1] or "hidden").lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -80,9 +90,11 @@ def _is_away(tag: str, attrs: str, parent: _Node) -> bool:
         if name == "role" and value.lower() in _AWAY_ROLE:
             return True
         if name in ("class", "id"):
-            names = {x.lower() for x in _NAME.findall(value)}
-            if names & _AWAY_NAME or not inner and names & _HEAD_NAME:
-                return True
+            for token in value.split():
+                names = {x.lower() for x in _NAME.findall(token) if not x.isdigit()}
+                told = names & _AWAY_NAME or (not inner and names & _HEAD_NAME)
+                if told and names <= beside:
+                    return True
     return False
 
 

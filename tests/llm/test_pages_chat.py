@@ -103,3 +103,14 @@ def test_rotation(spark):
                 text = next(x[3] for x in rows if (x[2] or "unknown") == r.speaker and x[1] == r.turn and x[0] == r.conv_id) or ""
                 assert whole[r.mask_start : r.mask_end] == text + "<|im_end|>"
     assert len(got) == 6 * 3 + 2 and chat_formatting.rotate(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("drawn", ["<svg class=x/>", "<svg/>", '<svg viewBox="0 0"><path d="M0"/></svg>', "<svg>", "<math/>", "<math><mi>x</mi></math>", "<canvas>", "<object>", "<template>"])
+def test_nothing_after_a_drawn_element_is_lost(drawn):
+    page = f"<article><p>one is here, and there.</p>{drawn}<p>two three, four five, six seven.</p><svg><text>no</text></svg><p>The last, of all.</p></article>"
+    assert html_extraction.extract(page) == "one is here, and there.\ntwo three, four five, six seven.\nThe last, of all."
+
+
+def test_names_that_hold_a_word_of_menus_are_kept():
+    page = "<article><p>First, of all, is this.</p><p class='comment-free response'>Second, with its words.</p><div class='table-responsive search-results'><p>Third is here, too, with words.</p></div><div class='search-box'><p>Find, by words, what you like.</p></div><p class='advert'>Buy this, and that, now.</p></article>"
+    assert html_extraction.extract(page) == "First, of all, is this.\nSecond, with its words.\nThird is here, too, with words."
