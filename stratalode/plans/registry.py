@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalode.plans import catalog
 from stratalode.session import share_code
 
-MODULES = ("text", "quality", "listings", "sensors", "retrieval", "graph", "knowledge", "chunks", "context", "budget", "evaluation", "storage")
+MODULES = ("text", "quality", "listings", "sensors", "retrieval", "search", "graph", "knowledge", "chunks", "context", "budget", "evaluation", "storage")
 
 
 def _load() -> None:

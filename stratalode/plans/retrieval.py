@@ -70,13 +70,6 @@ def emb_cache(t: Tables) -> DataFrame:
     return g.withColumn("fresh", F.col("saved_at") >= since)
 
 
-@query("vec_knn", "WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) ** 2 AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) SELECT query_id, doc_id, round(distance, 5) AS distance, dense_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id) AS INTEGER) AS dense_rank FROM d) WHERE dense_rank <= 10")
-def vec_knn(t: Tables) -> DataFrame:
-    e = t("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    found = R.nearest(e, e.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), 10)
-    return found.select("query_id", "doc_id", F.round("distance", 5).alias("distance"), "dense_rank")
-
-
 @query("vec_score", f"{HYBRID} SELECT query_id, doc_id, greatest(0.0::DOUBLE, round(1.0 - distance, 6)) AS score FROM dense")
 def vec_score(t: Tables) -> DataFrame:
     docs = t("documents").where("text IS NOT NULL").select("doc_id", R.dummy_vector(F.col("text")).alias("vec"))
@@ -210,7 +203,6 @@ def _lex(name: str, table: str, key: str, fields: dict, limit: int = 10) -> None
 _lex("lex_assets", "pages", "page_id", {"url": ("contains", 24.0), "html": ("contains", 10.0)})
 _lex("lex_doc_syn", "documents", "doc_id", {"source": ("prefix", 24.0), "text": ("contains", 9.0)})
 _lex("lex_sec_syn", "conversations", "(conv_id * 100000 + turn)", {"role": ("prefix", 24.0), "text": ("contains", 9.0)})
-_lex("lex_entities", "part", "p_partkey", {"p_name": ("contains", 24.0), "p_type": ("contains", 10.0), "p_brand": ("prefix", 40.0)})
 
 
 @query("hyb_merge", f"{HYBRID} SELECT query_id, doc_id, round(distance, 6) AS distance, rank, lexical_score, match_source FROM hybrid")
