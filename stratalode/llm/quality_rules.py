@@ -1,9 +1,10 @@
 """Robust multivariate outliers: minimum-covariance-determinant estimates per language and source. DataFrame functions only.
 
 Each document gives word and line statistics. Their transformed vector is the log of the mean word length and the logs of
-symbols a character, repeated lines a line and repeated words a word. Clean text has none of the last three, which would
-leave a scatter without a determinant; so each count gets a part of one, uniform between 0 and 1 and fixed by a hash of the
-text (the usual jitter that makes counts continuous), and the vector has a spread of its own in all directions.
+symbols a character, repeated lines a line and repeated words a word, each count with a half added. Clean text has none of the
+last three, which would leave a scatter without a determinant. A count of n stands for what lies between n and n + 1, so each
+row brings the variance that the log has over that interval, and a scatter is its rows' covariance and the mean of these: it has
+a spread in all directions, and no number is drawn, so a row's verdict hangs on its text and its group alone.
 
 Estimates follow deterministic MCD: three starts (median and MAD; correlation of tanh scores; spatial signs) take a
 concentration step each ("take the 75 % of rows with the least Mahalanobis distance, re-estimate"), the start of the least
@@ -42,7 +43,8 @@ STARTS = ("_0", "_1", "_2")
 #: Cells a unit of the histograms that quantiles come from.
 CELLS = 64
 _INDEX_BITS = 31
-_JITTER_BITS = 20
+#: Counts of the vector and what they are counted of.
+_RATES = (("n_symbols", "word_chars"), ("n_dup_lines", "__n_lines"), ("n_repeat_words", "n_words"))
 
 
 def _lines(text: Column) -> Column:
@@ -77,7 +79,6 @@ def statistics(docs: DataFrame) -> DataFrame:
             "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
             "__n_lines": F.size("__l").cast("long"),
             "n_repeat_words": covered,
-            "__jitter": F.xxhash64("text"),
         }
     ).drop("__w", "__l", "__s", "__c", "__g", "__p")
 
@@ -87,10 +88,13 @@ def _base_failed() -> Column:
 
 
 def _vector() -> list[Column]:
-    part = lambda i: (F.shiftrightunsigned("__jitter", i * _JITTER_BITS).bitwiseAND((1 << _JITTER_BITS) - 1) + 0.5) / (1 << _JITTER_BITS)
     chars, words = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
-    rates = (("n_symbols", "word_chars"), ("n_dup_lines", "__n_lines"), ("n_repeat_words", "n_words"))
-    return [F.log(chars / words), *(F.log((F.col(n) + part(i)) / (F.col(of) + 1)) for i, (n, of) in enumerate(rates))]
+    return [F.log(chars / words), *(F.log((F.col(n) + 0.5) / (F.col(of) + 1)) for n, of in _RATES)]
+
+
+def _spread() -> list[Column]:
+    """Variance of the log between a count and the next: 1 for none, about 1 / (12 (n + 1/2)^2) for n; none for the word length."""
+    return [F.lit(0.0), *(F.when(F.col(n) == 0, 1.0).otherwise(1 / (12 * (F.col(n) + 0.5) * (F.col(n) + 0.5))) for n, _ in _RATES)]
 
 
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -161,17 +165,17 @@ def _step(vectors: DataFrame, fit: DataFrame, keys: tuple[str, ...]) -> DataFram
     limits = limit.groupBy("g").agg(*(F.expr(f"max(CASE WHEN k = {n} THEN pow(2D, edge) END) AS limit{k}") for n, k in enumerate(keys)))
     # written, so that the planner knows how small it is and no row of the vectors is shuffled by its group
     limited = materialise(fit.join(limits, "g"), "mcd-limit", files=2)
-    rows = vectors.join(limited.drop("n"), "g").selectExpr("g", *(f"x{i} - m{i}{k} AS y{i}{k}" for k in keys for i in range(P)), *(f"greatest({_distance(k)}, 1e-9D) < limit{k} AS in{k}" for k in keys))
+    rows = vectors.join(limited.drop("n"), "g").selectExpr("g", *(f"v{i}" for i in range(1, P)), *(f"x{i} - m{i}{k} AS y{i}{k}" for k in keys for i in range(P)), *(f"greatest({_distance(k)}, 1e-9D) < limit{k} AS in{k}" for k in keys))
     within = lambda c, name, k: F.expr(f"sum(CASE WHEN in{k} THEN {c} ELSE 0D END) AS {name}{k}")
-    sums = [x for k in keys for x in (within("1D", "h", k), *(within(f"y{i}{k}", f"s{i}", k) for i in range(P)), *(within(f"y{i}{k} * y{j}{k}", f"p{i}{j}", k) for i, j in _PAIRS))]
+    sums = [x for k in keys for x in (within("1D", "h", k), *(within(f"v{i}", f"v{i}", k) for i in range(1, P)), *(within(f"y{i}{k}", f"s{i}", k) for i in range(P)), *(within(f"y{i}{k} * y{j}{k}", f"p{i}{j}", k) for i, j in _PAIRS))]
     out = fit.selectExpr("g", "n", *(f"m{i}{k} AS o{i}{k}" for k in keys for i in range(P))).join(rows.groupBy("g").agg(*sums), "g")
     centres = [f"o{i}{k} + s{i}{k} / h{k} AS m{i}{k}" for k in keys for i in range(P)]
-    scatters = [f"(p{i}{j}{k} / h{k} - s{i}{k} / h{k} * s{j}{k} / h{k}) * {CONSISTENCY}D AS c{i}{j}{k}" for k in keys for i, j in _PAIRS]
+    scatters = [f"(p{i}{j}{k} / h{k} - s{i}{k} / h{k} * s{j}{k} / h{k}) * {CONSISTENCY}D{f' + v{i}{k} / h{k}' if i == j > 0 else ''} AS c{i}{j}{k}" for k in keys for i, j in _PAIRS]
     return _factored(out.selectExpr("g", "n", *centres, *scatters), *keys).select("g", "n", *(c for k in keys for c in _fit_columns(k)))
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
-    """vectors (g, x0..): per group g, its rows n, the MCD centre m0.., scatter c00.., its factor l00.. and log determinant."""
+    """vectors (g, x0.., v1..): per group g, its rows n, the MCD centre m0.., scatter c00.., its factor l00.. and log determinant."""
     fit = materialise(_step(vectors, _starts(vectors), STARTS), "mcd-start", files=2)
     least = f"least({', '.join(f'det{k}' for k in STARTS)})"
     pick = lambda c: f"CASE {' '.join(f'WHEN det{k} = {least} THEN {c}{k}' for k in STARTS)} END AS {c}"
@@ -205,8 +209,8 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     slim = statistics(docs.select("doc_id", "text", key("lang").alias("__lang"), key("source").alias("__source"))).drop("text")
     levels = [F.concat_ws("\x01", F.lit("0"), "__lang", "__source"), F.concat(F.lit("1"), "__lang"), F.lit("2")]
-    made = materialise(slim.withColumns({f"x{i}": v for i, v in enumerate(_vector())} | {f"g{k}": g for k, g in enumerate(levels)}), "quality-statistics")
-    vectors = made.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *(f"x{i}" for i in range(P)))
+    made = materialise(slim.withColumns({f"x{i}": v for i, v in enumerate(_vector())} | {f"v{i}": v for i, v in enumerate(_spread()) if i} | {f"g{k}": g for k, g in enumerate(levels)}), "quality-statistics")
+    vectors = made.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *(f"x{i}" for i in range(P)), *(f"v{i}" for i in range(1, P)))
     fit = _shrunk(estimates(vectors), made.select("g0", "g1", "g2").distinct())
     out = made.join(fit, "g0").withColumn("d2", F.expr(_distance()))
     kept = ~_base_failed() & (F.col("d2") <= cutoff)
