@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,21 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalode.session import shared_path
+
 U64 = np.uint64
 #: Text is worked on in pieces of about this many bytes, which keeps arrays in cache and memory bounded.
 PIECE = 1 << 20
 _ODD = U64(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="stratalode-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends, lost executors lose nothing.
 
@@ -33,11 +24,19 @@ def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame
     """
     spark = df.sparkSession
     df = df.repartition(files) if files else df
-    path = f"{shared_dir(spark)}/stratalode/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't use, whatever the case of letters."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column and its offsets; null counts as empty."""
     if column.null_count:

@@ -14,8 +14,9 @@ What is then unchecked between different components of a bucket is checked by ti
 of bounded size, each pair of tiles is a group that counts all its overlaps at once and gives one link a member at most.
 So every pair that shares a band is verified or joined already.
 
-Defined cases: null and empty texts have no words; all of them have one multiset, the empty one; equal rows are copies;
-doc_id ties don't occur within a key (null ids rank last); an empty table gives no rows; other columns pass through.
+Defined cases: null and empty texts have no words; all of them have one multiset, the empty one; equal rows are copies. Inside,
+a row is known by a hash of its doc_id and text, so rows that share a doc_id, or have none, are told apart; a class is named by
+its least doc_id, and has no name where all its ids are null. An empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalode.llm._support import NO_ID, U64, buffer_of, ints, materialise, mix, pieces, with_ids, without_ids, words_of
+from stratalode.llm._support import U64, buffer_of, free_name, ints, materialise, mix, pieces, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -151,7 +152,7 @@ def _signer(n: int, size: int):
                     cut = np.searchsorted(owner, np.arange(len(ids) + 1))
                     sums = total[cut[1:]] - total[cut[:-1]]
                     keys.append(pa.array(sums.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *keys, pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "m1", "m2", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *keys, pa.array([x.tobytes() for x in sig], pa.binary())], ["row", "m1", "m2", "sig"])
 
     return run
 
@@ -326,17 +327,22 @@ def _tiled(now: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return materialise(dealt.join(bags, "rep").groupBy("bucket", "i", "j").applyInArrow(_tiler(threshold), "a long, b long").distinct(), "links")
 
 
-def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, per: int = PER_BAND, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, class_id): class_id is the least doc_id among the document's near copies; null ids stand as NO_ID."""
-    source = with_ids(docs, "text")
-    signed = materialise(source.mapInArrow(_signer(n, bands * per), "doc_id long, m1 long, m2 long, sig binary"), "signatures")
-    rep = materialise(signed.groupBy("m1", "m2").agg(F.min("doc_id").alias("rep")), "representatives")
-    sigs = signed.join(rep.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "sig")
+def row_key() -> Column:
+    """What a document is known by inside: equal for equal rows (doc_id, text) only."""
+    return F.xxhash64("doc_id", "text")
+
+
+def row_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, per: int = PER_BAND, rounds: int = ROUNDS) -> DataFrame:
+    """(row, class): the class of near copies of each distinct row (doc_id, text)."""
+    source = docs.select(row_key().alias("row"), "text")
+    signed = materialise(source.mapInArrow(_signer(n, bands * per), "row long, m1 long, m2 long, sig binary"), "signatures")
+    rep = materialise(signed.groupBy("m1", "m2").agg(F.min("row").alias("rep")), "representatives")
+    sigs = signed.join(rep.select("rep"), F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "sig")
     banded = sigs.mapInArrow(_bander(bands, per), "bucket long, rep long")
     ends = banded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     members = materialise(banded.join(ends, "bucket"), "buckets")
     wanted = materialise(members.select("rep").distinct(), "candidates")
-    bags = source.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_expander(n), "rep long, bag binary")
+    bags = source.join(wanted, F.col("row") == F.col("rep"), "left_semi").mapInArrow(_expander(n), "rep long, bag binary")
     bags = materialise(bags.dropDuplicates(["rep"]), "bags")
     sigs = materialise(sigs.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "candidate-signatures")
 
@@ -362,19 +368,27 @@ def classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, ban
     else:
         label = components(_tiled(rooted(open_), bags, threshold), label)
     final = label.select(F.col("node").alias("rep"), "root")
-    named = rep.join(final, "rep", "left").select("m1", "m2", F.coalesce("root", "rep").alias("class_id"))
-    return signed.select("doc_id", "m1", "m2").join(named, ["m1", "m2"]).select("doc_id", "class_id")
+    named = rep.join(final, "rep", "left").select("m1", "m2", F.coalesce("root", "rep").alias("class"))
+    return signed.select("row", "m1", "m2").distinct().join(named, ["m1", "m2"]).select("row", "class")
+
+
+def _members(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, class) of every document."""
+    return materialise(docs.select("doc_id", row_key().alias("row")).join(row_classes(docs), "row").select("doc_id", "row", "class"), "members")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id) of every document."""
-    return without_ids(classes(docs)).withColumn("class_id", F.nullif("class_id", F.lit(NO_ID)))
+    """(doc_id, class_id) of every document; class_id is the least doc_id of its near copies."""
+    members = _members(docs)
+    names = members.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return members.join(names, "class").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each class the row with the least doc_id stays."""
-    first = classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__id"), "left_semi")
+    """docs without the near copies: of each class one row with the least doc_id stays, null ids last."""
+    row = free_name(docs, "row")
+    first = _members(docs).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("row").alias("row")))["row"].alias(row))
+    return docs.withColumn(row, row_key()).join(first.select(row), row, "left_semi").dropDuplicates([row]).drop(row)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,18 @@ def test_classes(stored, rows):
     assert near_dedup.report(stored.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_and_with_the_same_one(spark):
+    """Copies are found whatever their ids; of a class one row stays, with an id where there is one."""
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"{x}{rng.randint(0, 10**6)}" for _ in range(60)) for x in "abcd")
+    rows = [(2, a), (None, a + " more"), (3, b), (None, b + " more"), (None, c), (None, c), (7, d), (7, d), (7, a + " other"), (8, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, row string, __id int").repartition(3)
+    assert sorted(map(tuple, near_dedup.report(docs).collect()), key=str) == sorted([(2, 2), (None, 2), (3, 3), (None, 3), (None, None), (None, None), (7, 7), (7, 7), (7, 2), (8, 8), (None, 8)], key=str)
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, a), (3, b), (None, c), (7, d), (8, None)], key=str)
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(5)
     base = [f"t{rng.randint(0, 10**6)}" for _ in range(300)]
