@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratalode.llm._support import free_name
+
 
 _NUMPY_LIMIT = 10**9 - 1
 
@@ -95,7 +97,7 @@ def _block(shards: np.ndarray, order: np.ndarray, bits: int) -> np.ndarray:
     return (shards.astype(np.int64) << bits) | (order >> (_ORDER_BITS - bits))
 
 
-def _dealer(matrix, seed: int, bits: int):
+def _dealer(matrix, seed: int, bits: int, added: list[str]):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
         mine = _Deal(p, matrix.value.get(p, np.zeros(0, np.int64)), seed)
@@ -105,7 +107,7 @@ def _dealer(matrix, seed: int, bits: int):
             shards, order = mine.next(n)
             if len(shards) < n:
                 raise RuntimeError(f"partition {p} has more rows than were counted")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_block(shards, order, bits)), pa.array(order), pa.array(np.arange(at, at + n))], [*batch.schema.names, "__block", "__order", "__at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_block(shards, order, bits)), pa.array(order), pa.array(np.arange(at, at + n))], [*batch.schema.names, *added])
             at += n
         if mine.done < len(mine.shards):
             raise RuntimeError(f"partition {p} has fewer rows than were counted")
@@ -119,7 +121,7 @@ def _counter(matrix, seed: int, bits: int):
             for p in batch.column(0).to_pylist():
                 mine = _Deal(p, matrix.value[p], seed)
                 blocks, n = np.unique(_block(*mine.next(len(mine.shards)), bits), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(n)], ["__block", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(n)], ["block", "n"])
 
     return count
 
@@ -138,14 +140,14 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20240229, b
     matrix = communication_matrix([counted[p] for p in pids], sizes, seed)
     dealt_by = spark.sparkContext.broadcast(dict(zip(pids, matrix, strict=True)))  # a number a partition and shard
     partitions = spark.createDataFrame(pa.table({"pid": pa.array(pids, pa.int64())}))
-    counts = partitions.repartition(max(1, min(len(pids), 4096))).mapInArrow(_counter(dealt_by, seed, bits), "__block long, n long").groupBy("__block").agg(F.sum("n").alias("n"))
-    ahead = Window.partitionBy(F.shiftright("__block", bits)).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # rows are blocks
-    starts = counts.select("__block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__base"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "__block long, __order long, __at long"])
-    dealt = df.mapInArrow(_dealer(dealt_by, seed, bits), schema)
-    rank = F.row_number().over(Window.partitionBy("__block").orderBy("__order", "__at")).cast("long") - 1
-    ranked = dealt.withColumn("__rank", rank)
-    return ranked.join(starts, "__block").select(*df.columns, F.shiftright("__block", bits).cast("int").alias("shard"), (F.col("__base") + F.col("__rank")).alias("slot"))
+    counts = partitions.repartition(max(1, min(len(pids), 4096))).mapInArrow(_counter(dealt_by, seed, bits), "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    block, order, at, base, rank = (free_name(df, name) for name in ("block", "order", "at", "base", "rank"))
+    ahead = Window.partitionBy(F.shiftright("block", bits)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # rows are blocks
+    starts = counts.select(F.col("block").alias(block), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(base))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{c}` long" for c in (block, order, at))])
+    dealt = df.mapInArrow(_dealer(dealt_by, seed, bits, [block, order, at]), schema)
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(block).orderBy(order, at)).cast("long") - 1)
+    return ranked.join(starts, block).select(*df.columns, F.shiftright(block, bits).cast("int").alias("shard"), (F.col(base) + F.col(rank)).alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

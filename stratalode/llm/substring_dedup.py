@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalode.llm import _sketch
-from stratalode.llm._support import U64, buffer_of, hashes_of, ints, pieces, text_bytes, to_runs, union_of, window_hashes, with_ids, without_ids, words_of
+from stratalode.llm._support import U64, buffer_of, free_name, hashes_of, ints, pieces, same_row, text_bytes, to_runs, union_of, window_hashes, with_ids, without_ids, words_of
 
 WINDOW = 13
 GRAM = 5
@@ -170,7 +170,7 @@ def _cutter(n: int):
             names = batch.schema.names
             at = names.index("text")
             texts = batch.column(at).to_pylist()
-            for k, spans in enumerate(batch.column(names.index("__spans")).to_pylist()):
+            for k, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if spans:
                     raw = texts[k].encode("utf-8", "surrogatepass")
                     buf = np.frombuffer(raw, np.uint8)
@@ -181,7 +181,7 @@ def _cutter(n: int):
                         last = int(s[b]) if b < len(s) else len(raw)
                     texts[k] = b"".join([*out, raw[last:]]).decode("utf-8", "replace")
             columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)]
-            last = names.index("__spans")
+            last = len(names) - 1
             yield pa.RecordBatch.from_arrays(columns[:last], names[:last])
 
     return run
@@ -189,8 +189,9 @@ def _cutter(n: int):
 
 def remove(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """docs with repeated words cut out of the texts; white space between kept words stays."""
-    spans = repeated_windows(docs, n).withColumnsRenamed({"doc_id": "__id", "spans": "__spans"})
-    both = docs.join(spans, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) == F.col("__id"), "left").drop("__id")
+    key, last = free_name(docs, "key"), free_name(docs, "spans")
+    spans = repeated_windows(docs, n).select(F.col("doc_id").alias(key), F.col("spans").alias(last))
+    both = docs.join(spans, same_row("doc_id", key), "left").drop(key)
     return both.mapInArrow(_cutter(n), docs.schema)
 
 

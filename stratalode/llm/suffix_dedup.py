@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalode.llm import _sketch
-from stratalode.llm._support import NO_ID, PIECE, U64, buffer_of, ints, mix, text_bytes, to_runs, union_of, with_ids, without_ids
+from stratalode.llm._support import PIECE, U64, buffer_of, free_name, ints, mix, same_row, text_bytes, to_runs, union_of, with_ids, without_ids
 
 WIDTH = 200
 CONTEXT = 96
@@ -353,13 +353,14 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with repeated bytes cut out; a character cut in its middle goes as well."""
-    spans = repeated_strings(docs, width).withColumnsRenamed({"doc_id": "__id", "spans": "__spans"})
-    both = docs.join(spans, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("__id"), "left").drop("__id")
+    key, held = free_name(docs, "key"), free_name(docs, "spans")
+    spans = repeated_strings(docs, width).select(F.col("doc_id").alias(key), F.col("spans").alias(held))
+    both = docs.join(spans, same_row("doc_id", key), "left").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            at, last = names.index("text"), names.index("__spans")
+            at, last = names.index("text"), len(names) - 1
             texts = [t if not s else _cut(t.encode("utf-8", "surrogatepass"), s, width)[0].decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)]
             columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns[:last], names[:last])

@@ -6,9 +6,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratalode.llm import quality_classifier
+from stratalode.llm import near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 from stratalode.llm._support import buffer_of
 from tests.llm.test_near import brute
 from tests.llm.test_repeats import brute_words
@@ -72,3 +73,24 @@ def test_pipeline(spark, tmp_path):
     assert set(tokens) == set(before) and all(r.doc_tokens == tokens[r.doc_id] for r in after)
     run = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert run.count() == sizes[-1]
+
+
+HELPERS = ("row", "key", "spans", "block", "order", "at", "base", "rank", "__id", "__block", "__spans", "__order", "__at", "__rank", "__base", "g0", "x0", "v1", "m0")
+
+
+def test_tables_with_the_helpers_own_names(spark, stored):
+    """Columns named as an operator's helpers are pass through every operator that returns documents."""
+    docs = stored.drop("n_words").withColumns({c: F.lit(f"own {c}") for c in HELPERS})
+    for f in (near_dedup.keep_one, substring_dedup.remove, suffix_dedup.remove, lambda d: corpus_pipeline.rules(spark, d, ""), lambda d: sharding.shuffle_into_shards(d, shards=3)):
+        out = f(docs)
+        assert set(docs.columns) <= set(out.columns) and out.count() > 0
+        assert tuple(out.select(*HELPERS).distinct().first()) == tuple(f"own {c}" for c in HELPERS)
+    assert quality_rules.judge(docs).count() == docs.count() and near_dedup.report(docs).count() == docs.count()
+
+
+def test_rules_judge_rows_that_share_an_id_apart(spark, stored):
+    good = "\n".join(" ".join(f"word{k}x{j}" for j in range(12)) + "." for k in range(9))
+    rows = [(None, good, "en", "s"), (None, "# " * 70, "en", "s"), (5, good + " end", "en", "s"), (5, "$ % " * 60, "en", "s")]
+    docs = stored.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    kept = [r.text for r in corpus_pipeline.rules(spark, docs, "").collect()]
+    assert good in kept and good + " end" in kept and rows[1][1] not in kept and rows[3][1] not in kept
