@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalode.llm import decontamination, near_dedup, packing, quality_rules, substring_dedup
-from stratalode.llm._support import materialise, recounted, same_row
+from stratalode.llm._support import free_name, materialise, recounted
 from stratalode.session import share_code
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,8 +32,10 @@ def stage(f: Stage) -> Stage:
 @stage
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their group's robust ellipsoid."""
-    kept = quality_rules.judge(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, same_row("doc_id", "__id"), "left_semi")
+    row = F.xxhash64("doc_id", "text", "lang", "source")  # rows that share a doc_id, or have none, are judged each
+    key = free_name(docs, "row")
+    kept = quality_rules.judge(docs.withColumn("doc_id", row)).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, row).join(kept, key, "left_semi").select(*docs.columns)
 
 
 @stage
