@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MENTION_CONFIDENCE, RELATION_CONFIDENCE, LEAST_CONFIDENCE = 0.82, 0.75, 0.7
+MENTION_CONFIDENCE, RELATION_CONFIDENCE = 0.82, 0.75
 #: A small ontology of our own for the synthetic texts: class, parent, aliases.
 CLASSES = (
     ("Word", None, ()),
@@ -48,16 +48,17 @@ def normal(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-def tag(docs: DataFrame, spark: SparkSession, known: DataFrame | None = None, longest: int = 2) -> DataFrame:
-    """(doc_id, name, alias, place): aliases of whole words, up to `longest` of them, and their first place.
+def tag(docs: DataFrame, spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, name, alias, place): aliases of whole words, of as many as the longest alias has, and their first place.
 
     Texts are tokenised once and only aliases are grouped. The ontology is a constant of this module, so its broadcast
     doesn't grow with the data.
     """
     known = aliases(spark) if known is None else known
+    longest = known.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 0
     words = docs.select("doc_id", F.split(normal(F.col("text")), " ").alias("words"))
     phrase = lambda n: F.transform(F.expr(f"sequence(0, greatest(size(words) - {n}, 0))"), lambda i: F.concat_ws(" ", F.slice("words", i + 1, n)))
-    found = [words.select("doc_id", F.posexplode("words" if n == 1 else phrase(n)).alias("place", "alias")).join(F.broadcast(known.where(F.size(F.split("alias", " ")) == n)), "alias") for n in range(1, longest + 1)]
+    found = [words.select("doc_id", F.posexplode("words" if n == 1 else phrase(n)).alias("place", "alias")).join(F.broadcast(known.where(F.size(F.split("alias", " ")) == n)), "alias") for n in range(1, max(1, longest) + 1)]
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "name", "alias").agg(F.min("place").alias("place"))
 
 
@@ -85,86 +86,6 @@ def load_turtle(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows or [], "subject string, predicate string, object string")
 
 
-def _closed(classes_: DataFrame) -> DataFrame:
-    return ancestors(classes_).unionByName(classes_.select("name", F.col("name").alias("ancestor"))).distinct()
-
-
-def _joined(entities: DataFrame, relations: DataFrame, evidence: DataFrame, classes_: DataFrame, predicates: DataFrame) -> DataFrame:
-    """relations with what their rules need: predicate's kind, domain and range, endpoint types, type checks, evidence."""
-    ends = entities.select("chunk_id", "candidate_id", "type")
-    side = lambda k: ends.select("chunk_id", F.col("candidate_id").alias(k), F.col("type").alias(f"{k}_type"))
-    known = F.broadcast(_closed(classes_))  # the ontology
-    fits = lambda k, bound: known.select(F.col("name").alias(f"{k}_type"), F.col("ancestor").alias(bound), F.lit(True).alias(f"{k}_fits"))
-    bounds = classes_.select(F.col("name").alias("ran"), F.lit(True).alias("ran_class"))
-    r = relations.join(F.broadcast(predicates.withColumnRenamed("name", "predicate")), "predicate", "left")
-    r = r.join(side("subject"), ["chunk_id", "subject"], "left").join(side("object"), ["chunk_id", "object"], "left")
-    r = r.join(fits("subject", "dom"), ["subject_type", "dom"], "left").join(fits("object", "ran"), ["object_type", "ran"], "left").join(F.broadcast(bounds), "ran", "left")
-    return r.join(evidence.select("chunk_id", F.explode("supports").alias("relation_id"), F.lit(True).alias("shown")).distinct(), ["chunk_id", "relation_id"], "left")
-
-
-def _say(test: Column, name: str, *columns: str) -> Column:
-    return F.when(test, F.concat_ws(":", F.lit(name), *(F.coalesce(c, F.lit("")) for c in columns)))
-
-
-def _entity_errors() -> list[Column]:
-    unknown = F.transform(F.array_except("mention_ids", F.coalesce("known_mentions", F.array().cast("array<string>"))), lambda m: F.concat_ws(":", F.lit("unknown_mention"), F.col("candidate_id"), m))
-    return [
-        _say(F.col("known").isNull(), "invalid_entity_type", "type"), _say(F.coalesce("name", F.lit("")) == "", "empty_entity_name", "candidate_id"),
-        _say(F.size("mention_ids") == 0, "missing_mentions", "candidate_id"), _say(F.coalesce("confidence", F.lit(0.0)) < LEAST_CONFIDENCE, "low_entity_confidence", "candidate_id"), F.array_join(F.when(F.size(unknown) > 0, unknown), "\x01"),
-    ]
-
-
-def _relation_errors() -> list[Column]:
-    kind, literal = F.col("kind"), F.coalesce("literal", F.lit("")) != ""
-    to_entity = F.col("object").isNotNull()
-    wrong = lambda k, bound: F.concat_ws("->", f"{k}_type", bound)
-    return [
-        _say(kind.isNull(), "invalid_predicate", "predicate"), _say(F.col("subject_type").isNull(), "missing_subject", "relation_id"), _say(to_entity & F.col("object_type").isNull(), "missing_object", "relation_id"),
-        _say(~to_entity & ~literal, "missing_relation_object", "relation_id"), _say(F.coalesce("confidence", F.lit(0.0)) < LEAST_CONFIDENCE, "low_relation_confidence", "relation_id"), _say(F.col("shown").isNull(), "missing_evidence", "relation_id"),
-        F.when(F.col("subject_type").isNotNull() & F.col("dom").isNotNull() & F.col("subject_fits").isNull(), F.concat_ws(":", F.lit("invalid_subject_type"), "relation_id", wrong("subject", "dom"))),
-        _say(to_entity & (kind == "datatype"), "invalid_object_candidate_for_datatype", "relation_id"),
-        F.when(to_entity & (kind == "object") & F.col("object_type").isNotNull() & F.col("ran_class") & F.col("object_fits").isNull(), F.concat_ws(":", F.lit("invalid_object_type"), "relation_id", wrong("object", "ran"))),
-        _say(~to_entity & literal & (kind == "object"), "invalid_literal_for_object_property", "relation_id"),
-        _say(~to_entity & literal & (kind == "datatype") & (F.col("ran") == "xsd:decimal") & F.col("literal").try_cast("double").isNull(), "invalid_decimal_literal", "relation_id"),
-    ]
-
-
-def _all(errors: list[Column]) -> Column:
-    return F.filter(F.split(F.concat_ws("\x01", *errors), "\x01"), lambda x: x != "")
-
-
-def _marked_entities(mentions: DataFrame, entities: DataFrame, classes_: DataFrame) -> DataFrame:
-    types = classes_.select(F.col("name").alias("type"), F.lit(True).alias("known"))
-    said = mentions.groupBy("chunk_id").agg(F.collect_set("mention_id").alias("known_mentions"))  # of one chunk
-    return entities.join(F.broadcast(types), "type", "left").join(said, "chunk_id", "left").withColumn("errors", _all(_entity_errors()))
-
-
-def validate(mentions: DataFrame, entities: DataFrame, relations: DataFrame, evidence: DataFrame, classes_: DataFrame, predicates: DataFrame) -> DataFrame:
-    """(chunk_id, error) for every broken rule.
-
-    mentions: chunk_id, mention_id, text; entities: chunk_id, candidate_id, type, name, mention_ids, confidence; relations: chunk_id,
-    relation_id, subject, predicate, object, literal, confidence; evidence: chunk_id, evidence_id, supports, excerpt; predicates: name,
-    kind (object or datatype), dom, ran.
-    """
-    one = mentions.where("coalesce(text, '') = ''").select("chunk_id", F.concat_ws(":", F.lit("empty_mention_text"), "mention_id").alias("error"))
-    two = _marked_entities(mentions, entities, classes_).select("chunk_id", F.explode("errors").alias("error"))
-    three = _joined(entities, relations, evidence, classes_, predicates).select("chunk_id", F.explode(_all(_relation_errors())).alias("error"))
-    four = evidence.select("chunk_id", F.explode(_all([_say(F.size("supports") == 0, "orphan_evidence", "evidence_id"), _say(F.coalesce("excerpt", F.lit("")) == "", "empty_evidence_excerpt", "evidence_id")])).alias("error"))
-    return one.unionByName(two).unionByName(three).unionByName(four)
-
-
-def prune(mentions: DataFrame, entities: DataFrame, relations: DataFrame, evidence: DataFrame, classes_: DataFrame, predicates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entities, relations and evidence without what breaks a rule, and without what that leaves alone; links go to what stays."""
-    heard = mentions.where("coalesce(text, '') <> ''").groupBy("chunk_id").agg(F.collect_set("mention_id").alias("__heard"))
-    linked = entities.join(heard, "chunk_id", "left").withColumn("mention_ids", F.array_intersect("mention_ids", F.coalesce("__heard", F.array().cast("array<string>")))).select(*entities.columns)
-    good = _marked_entities(mentions, linked, classes_).where(F.size("errors") == 0).select(*entities.columns)
-    kept = _joined(good, relations, evidence, classes_, predicates).where(F.size(_all(_relation_errors())) == 0).select(*relations.columns)
-    ends = kept.select("chunk_id", F.explode(F.array_compact(F.array("subject", "object"))).alias("candidate_id")).distinct()
-    left = kept.groupBy("chunk_id").agg(F.collect_set("relation_id").alias("__left"))
-    shown = evidence.join(left, "chunk_id").withColumn("supports", F.array_intersect("supports", "__left")).where(F.size("supports") > 0).select(*evidence.columns)
-    return good.join(ends, ["chunk_id", "candidate_id"], "left_semi"), kept, shown
-
-
 #: Model output as it is read: numbers as text, since their types vary.
 PAYLOAD = (
     "mentions array<struct<mention_id:string,text:string,type_hint:string,proposed_type:string,start:string,end:string,confidence:string>>, "

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalode.operators import extraction as X
 from stratalode.operators import knowledge as K
 from stratalode.plans.catalog import Tables, query
+from stratalode.session import shared_path
 
 _CLASSES = "classes(name, parent) AS (VALUES " + ", ".join(f"('{c}', {f"'{p}'" if p else 'NULL'})" for c, p, _ in K.CLASSES) + ")"
 _ROWS = sorted({(c, a) for c, _, ws in K.CLASSES for a in (*ws, c.lower())} | {("NearPointer", "near pointer")})
@@ -123,10 +125,10 @@ evi AS (SELECT doc_id, 'v' || doc_id AS id, CASE WHEN doc_id % 6 = 0 THEN CAST([
 okay AS (SELECT name, ancestor FROM up UNION SELECT name, name FROM classes)"""
 
 
-def _facts(entity: str) -> str:
-    """SQL: the relations with all that their rules ask, over a table of entities."""
+def _facts(entity: str, shows: str = "true") -> str:
+    """SQL: the relations with all that their rules ask, over a table of entities; shows: what evidence must hold to count."""
     return f"""SELECT r.*, k.kind, k.dom, k.ran, s.type AS st, b.type AS ot, EXISTS (SELECT 1 FROM okay WHERE name = s.type AND ancestor = k.dom) AS sok, EXISTS (SELECT 1 FROM okay WHERE name = b.type AND ancestor = k.ran) AS ook,
-  k.ran IN (SELECT name FROM classes) AS rc, EXISTS (SELECT 1 FROM evi v WHERE v.doc_id = r.doc_id AND list_contains(v.supports, r.id)) AS shown
+  k.ran IN (SELECT name FROM classes) AS rc, EXISTS (SELECT 1 FROM evi v WHERE v.doc_id = r.doc_id AND list_contains(v.supports, r.id) AND {shows}) AS shown
   FROM rls r LEFT JOIN rules k USING (predicate) LEFT JOIN {entity} s ON s.doc_id = r.doc_id AND s.id = r.subject LEFT JOIN {entity} b ON b.doc_id = r.doc_id AND b.id = r.object"""
 
 
@@ -137,34 +139,59 @@ _BROKEN = """list_filter([CASE WHEN kind IS NULL THEN 'invalid_predicate:' || pr
   CASE WHEN object IS NULL AND literal IS NOT NULL AND ran = 'xsd:decimal' AND TRY_CAST(literal AS DOUBLE) IS NULL THEN 'invalid_decimal_literal:' || id END], lambda x: x IS NOT NULL)"""
 
 
-def candidate_tables(t: Tables) -> tuple[DataFrame, ...]:
-    """Mentions, entities, relations and evidence made from the tagged texts, with breaches of the rules by number; classes and predicates."""
-    e = entities(t).where("rn <= 3").withColumnRenamed("doc_id", "chunk_id")
+ONTOLOGY = X.Ontology({c: p for c, p, _ in K.CLASSES}, {p: rest for p, *rest in _RULES})
+
+
+def extractions(t: Tables) -> DataFrame:
+    """A row a document: mentions, entities, relations and evidence made from its tags, with breaches of the rules by number."""
     every = lambda n: F.col("chunk_id") % n == 0
-    own = F.concat(F.lit("m"), "rn")
-    mentions = e.select("chunk_id", own.alias("mention_id"), F.when(every(23), "").otherwise(F.col("alias")).alias("text"))
-    ms = F.when(every(11) & (F.col("rn") == 1), F.array().cast("array<string>")).when(every(29), F.array(own, F.lit("m77"))).otherwise(F.array(own))
-    ents = e.select("chunk_id", F.concat(F.lit("e"), "rn").alias("candidate_id"), F.when(every(10) & (F.col("rn") == 1), "Thing").otherwise(F.col("name")).alias("type"), F.when(every(7) & (F.col("rn") == 2), "").otherwise(F.col("alias")).alias("name"), ms.alias("mention_ids"), F.when(every(13) & (F.col("rn") == 2), 0.5).otherwise(0.82).alias("confidence"))
-    none = F.lit(None).cast("string")
-    a = relations(t).select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("r:"), "predicate").alias("relation_id"), F.lit("e1").alias("subject"), "predicate")
-    a = a.select("*", F.when(every(9), "e9").otherwise("e2").alias("object"), none.alias("literal"), F.when(every(17), 0.3).otherwise(0.75).alias("confidence"))
-    docs = t("documents").select(F.col("doc_id").alias("chunk_id"))
+    tagged = entities(t).where("rn <= 3").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rn", "name", "alias"))).alias("es"))  # three at most
+    words = F.split(K.normal(F.col("text")), " ")
+    docs = t("documents").select("doc_id", F.col("source").alias("document_id"), F.array_compact(F.array(*(F.when(F.array_contains(words, x), F.lit(p)) for p, _, _, x in K.PREDICATES))).alias("said"))
+    a = docs.join(tagged, "doc_id", "left").withColumnRenamed("doc_id", "chunk_id")
+    a = a.withColumn("es", F.coalesce("es", F.array().cast("array<struct<rn:int,name:string,alias:string>>")))
+    none, texts = F.lit(None).cast("string"), lambda *x: F.array(*x).cast("array<string>")
+    own = lambda e: F.concat(F.lit("m"), e["rn"])
+    ms = lambda e: F.when(every(11) & (e["rn"] == 1), texts()).when(every(29), texts(own(e), F.lit("m77"))).otherwise(texts(own(e)))
+    mentions = F.transform("es", lambda e: F.struct(own(e).alias("mention_id"), F.when(every(23), "").otherwise(e["alias"]).alias("text")))
+    ents = F.transform("es", lambda e: F.struct(F.concat(F.lit("e"), e["rn"]).alias("candidate_id"), F.when(every(10) & (e["rn"] == 1), "Thing").otherwise(e["name"]).alias("type"), F.when(every(7) & (e["rn"] == 2), "").otherwise(e["alias"]).alias("name"), ms(e).alias("mention_ids"), F.when(every(13) & (e["rn"] == 2), 0.5).otherwise(0.82).alias("confidence")))
+    relation = lambda id_, predicate, object_, literal, sure: F.struct(id_.alias("relation_id"), F.lit("e1").alias("subject"), predicate.alias("predicate"), object_.alias("object"), literal.alias("literal"), sure.alias("confidence"))
+    linked = F.transform("said", lambda p: relation(F.concat(F.lit("r:"), p), p, F.when(every(9), "e9").otherwise("e2"), none, F.when(every(17), 0.3).otherwise(0.75)))
     value = F.when(F.col("chunk_id") % 4 == 0, none).when(F.col("chunk_id") % 4 == 1, "long").otherwise("12.5")
-    b = docs.select("chunk_id", F.lit("r:data").alias("relation_id"), F.lit("e1").alias("subject"), F.when(every(19), "weight").when(every(31), "names").otherwise("length").alias("predicate"), F.when(every(37), "e2").alias("object"), value.alias("literal"), F.lit(0.9).alias("confidence"))
-    supports = F.when(every(6), F.array().cast("array<string>")).otherwise(F.array(F.lit("r:data"), F.lit("r:names"), F.lit("r:joins")))
-    evidence = docs.select("chunk_id", F.concat(F.lit("v"), "chunk_id").alias("evidence_id"), supports.alias("supports"), F.when(every(41), "").otherwise("shown").alias("excerpt"))
-    return mentions, ents, a.unionByName(b), evidence, K.classes(t.spark), t.spark.createDataFrame(list(_RULES), "name string, kind string, dom string, ran string")
+    data = relation(F.lit("r:data"), F.when(every(19), "weight").when(every(31), "names").otherwise("length"), F.when(every(37), "e2"), value, F.lit(0.9))
+    supports = F.when(every(6), texts()).otherwise(texts(F.lit("r:data"), F.lit("r:names"), F.lit("r:joins")))
+    evidence = F.array(F.struct(F.concat(F.lit("v"), "chunk_id").alias("evidence_id"), supports.alias("supports"), F.when(every(41), "").otherwise("shown").alias("excerpt")))
+    relations_ = F.concat(F.when(F.size("es") >= 2, linked).otherwise(F.filter(linked, lambda _: F.lit(False))), F.array(data))
+    return a.select("chunk_id", "document_id", mentions.alias("mentions"), ents.alias("entities"), relations_.alias("relations"), evidence.alias("evidence"))
+
+
+def raw_payloads(t: Tables) -> DataFrame:
+    """The extractions as a model returns them: JSON, for every 53rd document an error and for every 59th a text cut off."""
+    payload = F.to_json(F.struct(*X.PARTS))
+    broken = F.when(F.col("chunk_id") % 59 == 0, F.substr(payload, F.lit(1), F.length(payload) - 2)).otherwise(payload)
+    return extractions(t).select("chunk_id", "document_id", F.when(F.col("chunk_id") % 53 != 0, broken).alias("payload"), F.when(F.col("chunk_id") % 53 == 0, "timeout").alias("error"))
+
+
+def judged(t: Tables) -> DataFrame:
+    """Statuses and pruned extractions, written once for all that is derived from them."""
+    path = shared_path(t.spark, "judged-extractions")
+    X.judge(X.read_payloads(raw_payloads(t)), ONTOLOGY).write.parquet(path)
+    return t.spark.read.parquet(path)
 
 
 _GOOD = """heard AS (SELECT doc_id, list(mention_id) AS hs FROM men WHERE text <> '' GROUP BY 1),
-good AS (SELECT e.doc_id, id, type, name FROM ent e JOIN heard USING (doc_id) WHERE type IN (SELECT name FROM classes) AND e.name <> '' AND e.confidence >= 0.7 AND len(list_intersect(ms, hs)) > 0)"""
+good AS (SELECT e.doc_id, id, type, name, list_intersect(ms, hs) AS ms FROM ent e JOIN heard USING (doc_id) WHERE type IN (SELECT name FROM classes) AND e.name <> '' AND e.confidence >= 0.7 AND len(list_intersect(ms, hs)) > 0)"""
+_PRUNED = f"""{_MADE}, {_GOOD}, f AS ({_facts('good', "v.excerpt <> ''")}), kept AS (SELECT doc_id, id, subject, predicate, object, literal FROM f WHERE len({_BROKEN}) = 0),
+kept_e AS (SELECT DISTINCT g.doc_id, g.id, g.type, g.name, g.ms FROM good g JOIN kept k ON k.doc_id = g.doc_id AND g.id IN (k.subject, k.object)),
+kept_v AS (SELECT DISTINCT v.doc_id, v.id, v.excerpt FROM evi v JOIN kept k ON k.doc_id = v.doc_id AND list_contains(v.supports, k.id) WHERE v.excerpt <> '')"""
 
 
-@query("kg_prune", f"{_MADE}, {_GOOD}, f AS ({_facts('good')}), kept AS (SELECT doc_id, id, subject, object FROM f WHERE len({_BROKEN}) = 0) SELECT doc_id AS chunk_id, 'relation' AS kind, id FROM kept UNION ALL SELECT DISTINCT g.doc_id, 'entity', g.id FROM good g JOIN kept k ON k.doc_id = g.doc_id AND g.id IN (k.subject, k.object) UNION ALL SELECT DISTINCT v.doc_id, 'evidence', v.id FROM evi v JOIN kept k ON k.doc_id = v.doc_id AND list_contains(v.supports, k.id)")
+@query("kg_prune", f"{_PRUNED} SELECT doc_id AS chunk_id, 'relation' AS kind, id FROM kept UNION ALL SELECT doc_id, 'entity', id FROM kept_e UNION ALL SELECT doc_id, 'evidence', id FROM kept_v UNION ALL SELECT DISTINCT m.doc_id, 'mention', mention_id FROM men m JOIN kept_e e ON e.doc_id = m.doc_id AND list_contains(e.ms, m.mention_id) WHERE m.text <> ''")
 def kg_prune(t: Tables) -> DataFrame:
-    ents, rels, shown = K.prune(*candidate_tables(t))
-    rows = lambda df, kind, c: df.select("chunk_id", F.lit(kind).alias("kind"), F.col(c).alias("id"))
-    return rows(rels, "relation", "relation_id").unionByName(rows(ents, "entity", "candidate_id")).unionByName(rows(shown, "evidence", "evidence_id"))
+    """What is left of every extraction, in one pass over its arrays."""
+    ids = lambda part, key, kind: F.transform(part, lambda x: F.struct(F.lit(kind).alias("kind"), x[key].alias("id")))
+    left = F.concat(ids("relations", "relation_id", "relation"), ids("entities", "candidate_id", "entity"), ids("evidence", "evidence_id", "evidence"), ids("mentions", "mention_id", "mention"))
+    return X.prune(extractions(t), ONTOLOGY).select("chunk_id", F.inline(left))
 
 
 @query(
@@ -178,26 +205,46 @@ UNION ALL SELECT doc_id, unnest({_BROKEN}) FROM f
 UNION ALL SELECT doc_id, 'orphan_evidence:' || id FROM evi WHERE len(supports) = 0 UNION ALL SELECT doc_id, 'empty_evidence_excerpt:' || id FROM evi WHERE excerpt = ''""",
 )
 def kg_validate(t: Tables) -> DataFrame:
-    return K.validate(*candidate_tables(t))
+    return X.violations(extractions(t), ONTOLOGY).select("chunk_id", F.explode("errors").alias("error"))
 
 
-_STATUS = "CASE WHEN n IS NULL OR good = 0 THEN 'skipped' WHEN good = n THEN 'validated' ELSE 'review' END"
+_FAILED = "(doc_id % 53 = 0 OR doc_id % 59 = 0)"
+_STATUS = f"st AS (SELECT doc_id, source, CASE WHEN {_FAILED} THEN 'quarantined' WHEN doc_id IN (SELECT doc_id FROM kept) THEN 'validated' ELSE 'skipped' END AS status FROM documents)"
 
 
-@query("kg_status", f"{RELATIONS}, g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (subject_ok AND object_ok) AS good FROM checked GROUP BY 1) SELECT doc_id, {_STATUS} AS status FROM documents LEFT JOIN g USING (doc_id)")
+@query("kg_status", f"{_PRUNED}, {_STATUS} SELECT doc_id AS chunk_id, status FROM st")
 def kg_status(t: Tables) -> DataFrame:
-    g = relations(t).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.expr("subject_ok AND object_ok")).alias("good"))
-    return t("documents").join(g, "doc_id", "left").select("doc_id", F.expr(_STATUS).alias("status"))
+    """The status of every extraction; what the extractor failed on, or returned in pieces, is quarantined."""
+    return X.judge(X.read_payloads(raw_payloads(t)), ONTOLOGY).select("chunk_id", "status")
+
+
+_KEY = "lower(type) || '_' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_')"
 
 
-@query("kg_persist", f"{RELATIONS} SELECT doc_id || ':' || predicate AS assertion_id, doc_id, subject, object, confidence FROM checked WHERE subject_ok AND object_ok")
+@query(
+    "kg_persist",
+    f"""{_PRUNED}, {_STATUS}, ke AS (SELECT e.*, {_KEY} AS key, source, CAST(substr(e.id, 2) AS BIGINT) + 10 * e.doc_id AS place FROM kept_e e JOIN st USING (doc_id) WHERE status = 'validated'), kr AS (SELECT k.*, source, k.doc_id || ':' || k.id AS aid FROM kept k JOIN st USING (doc_id) WHERE status = 'validated')
+SELECT 'entity' AS kind, key AS id, arg_min(source, place) AS document, arg_max(name, place) AS a, arg_max(type, place) AS b, NULL AS c FROM ke GROUP BY key
+UNION ALL SELECT 'assertion', aid, kr.source, s.key, predicate, coalesce(o.key, literal) FROM kr JOIN ke s ON s.doc_id = kr.doc_id AND s.id = kr.subject LEFT JOIN ke o ON o.doc_id = kr.doc_id AND o.id = kr.object
+UNION ALL SELECT 'evidence', aid || ':' || v.id, NULL, aid, v.excerpt, NULL FROM kr JOIN evi v ON v.doc_id = kr.doc_id AND list_contains(v.supports, kr.id) AND v.excerpt <> ''""",
+)
 def kg_persist(t: Tables) -> DataFrame:
-    return relations(t).where("subject_ok AND object_ok").select(F.concat_ws(":", "doc_id", "predicate").alias("assertion_id"), "doc_id", "subject", "object", "confidence")
+    """The graph's three tables from one pass over judged extractions: entities of which the last name wins, assertions, evidence."""
+    g = X.graph_tables(judged(t))
+    none = F.lit(None).cast("string")
+    e = g["entities"].select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), F.col("source").alias("document"), F.col("canonical_name").alias("a"), F.col("entity_type").alias("b"), none.alias("c"))
+    a = g["assertions"].select(F.lit("assertion").alias("kind"), F.col("assertion_id").alias("id"), F.col("document_id").alias("document"), F.col("subject_entity_id").alias("a"), F.col("predicate").alias("b"), F.coalesce("object_entity_id", "object_literal").alias("c"))
+    v = g["evidence"].select(F.lit("evidence").alias("kind"), F.col("evidence_id").alias("id"), none.alias("document"), F.col("assertion_id").alias("a"), F.col("excerpt").alias("b"), none.alias("c"))
+    return e.unionByName(a).unionByName(v)
 
 
-@query("kg_reprocess", f"{RELATIONS}, g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (subject_ok AND object_ok) AS good FROM checked GROUP BY 1) SELECT {_STATUS} AS status, count(*) AS documents FROM documents LEFT JOIN g USING (doc_id) GROUP BY 1")
+@query("kg_reprocess", f"{_PRUNED}, {_STATUS}, ag AS (SELECT status AS was, CASE WHEN status <> 'quarantined' THEN status WHEN doc_id % 106 = 0 THEN 'quarantined' WHEN doc_id IN (SELECT doc_id FROM kept) THEN 'validated' ELSE 'skipped' END AS status FROM st) SELECT was, status, count(*) AS chunks FROM ag GROUP BY 1, 2")
 def kg_reprocess(t: Tables) -> DataFrame:
-    return kg_status(t).groupBy("status").agg(F.count("*").alias("documents"))
+    """Quarantined chunks are extracted again, which every other one of those with an error fails again; the rest isn't touched."""
+    before = judged(t)
+    again = extractions(t).select("chunk_id", "document_id", F.to_json(F.struct(*X.PARTS)).alias("payload"), F.when(F.col("chunk_id") % 106 == 0, "timeout").alias("error"))
+    after = X.replay(before, again, ONTOLOGY)
+    return before.select("chunk_id", F.col("status").alias("was")).join(after.select("chunk_id", "status"), "chunk_id").groupBy("was", "status").agg(F.count("*").alias("chunks"))
 
 
 _UPPER = "translate(w[3], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"

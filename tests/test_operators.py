@@ -202,33 +202,6 @@ def test_stream_rate_limit(spark, tmp_path):
     assert [(r.allowed, r.refused) for r in run(streaming.rate_limit(s, 2, 10), "limited", "update").collect()] == [(4, 1)]
 
 
-def test_knowledge_rules(spark):
-    classes = spark.createDataFrame([("Animal", None), ("Cat", "Animal"), ("Food", None)], "name string, parent string")
-    predicates = spark.createDataFrame([("eats", "object", "Animal", "Food"), ("weighs", "datatype", "Animal", "xsd:decimal")], "name string, kind string, dom string, ran string")
-    mentions = spark.createDataFrame([("k", "m1", "Tom"), ("k", "m2", "fish"), ("k", "m3", "")], "chunk_id string, mention_id string, text string")
-    entities = spark.createDataFrame(
-        [("k", "e1", "Cat", "Tom", ["m1", "m3", "m9"], 0.9), ("k", "e2", "Food", "fish", ["m2"], 0.9), ("k", "e3", "Rock", "", [], 0.5), ("k", "e4", "Food", "alone", ["m3"], 0.9)],
-        "chunk_id string, candidate_id string, type string, name string, mention_ids array<string>, confidence double",
-    )
-    relations = spark.createDataFrame(
-        [
-            ("k", "r1", "e1", "eats", "e2", None, 0.9), ("k", "r2", "e2", "eats", "e1", None, 0.9), ("k", "r3", "e1", "weighs", None, "4.5", 0.9), ("k", "r4", "e1", "weighs", None, "heavy", 0.6), ("k", "r5", "e9", "sings", None, None, 0.9),
-            ("k", "r6", "e1", "weighs", "e2", None, 0.9), ("k", "r7", "e1", "eats", None, "fish", 0.9), ("k", "r8", "e1", "eats", "e8", None, 0.9),
-        ],
-        "chunk_id string, relation_id string, subject string, predicate string, object string, literal string, confidence double",
-    )
-    evidence = spark.createDataFrame([("k", "v1", ["r1", "r2", "r3", "r4"], "as told"), ("k", "v2", ["r6", "r7", "r8"], ""), ("k", "v3", [], "x")], "chunk_id string, evidence_id string, supports array<string>, excerpt string")
-    errors = {r.error for r in knowledge.validate(mentions, entities, relations, evidence, classes, predicates).collect()}
-    assert errors == {
-        "empty_mention_text:m3", "unknown_mention:e1:m9", "invalid_entity_type:Rock", "empty_entity_name:e3", "missing_mentions:e3", "low_entity_confidence:e3", "invalid_subject_type:r2:Food->Animal", "invalid_object_type:r2:Cat->Food",
-        "low_relation_confidence:r4", "invalid_decimal_literal:r4", "invalid_predicate:sings", "missing_subject:r5", "missing_relation_object:r5", "missing_evidence:r5", "invalid_object_candidate_for_datatype:r6",
-        "invalid_literal_for_object_property:r7", "missing_object:r8", "orphan_evidence:v3", "empty_evidence_excerpt:v2",
-    }
-    e, r, v = knowledge.prune(mentions, entities, relations, evidence, classes, predicates)
-    assert {(x.candidate_id, tuple(x.mention_ids)) for x in e.collect()} == {("e1", ("m1",)), ("e2", ("m2",))} and {x.relation_id for x in r.collect()} == {"r1", "r3"}
-    assert [(x.evidence_id, sorted(x.supports)) for x in v.collect()] == [("v1", ["r1", "r3"])]
-
-
 def test_closure_and_phrases(spark):
     deep = spark.createDataFrame([(f"c{k}", f"c{k + 1}" if k < 60 else None) for k in range(61)], "name string, parent string")
     assert knowledge.ancestors(deep).count() == 60 * 61 // 2
