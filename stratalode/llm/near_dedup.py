@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalode.llm._support import U64, buffer_of, free_name, ints, materialise, mix, pieces, words_of
+from stratalode.llm._support import NO_ID, U64, buffer_of, free_name, ints, materialise, mix, pieces, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -42,6 +42,8 @@ SCREEN = 0.60
 ROUNDS = 3
 #: Members of a tile, and bytes of their multisets, on average at most.
 TILE, TILE_BYTES = 1024, 16 << 20
+#: Keys of representatives that go to all tasks at once, about 100 MB there; more are met by a shuffle of the texts.
+BROADCAST_KEYS = 4_000_000
 _UNIT = 2.0**-64
 
 
@@ -142,8 +144,10 @@ def _parts(batch: pa.RecordBatch, n: int) -> Iterator[tuple]:
 def _signer(n: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            places, at = ints(batch.column(2)), 0
             for ids, owner, shingle, count in _parts(batch, n):
-                sig = signatures(owner, shingle, count, len(ids), size)
+                sig, place = signatures(owner, shingle, count, len(ids), size), places[at : at + len(ids)]
+                at += len(ids)
                 keys = []
                 for salt in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93):
                     each = mix(mix(shingle + U64(salt)) + count.astype(U64) * U64(salt))
@@ -152,7 +156,7 @@ def _signer(n: int, size: int):
                     cut = np.searchsorted(owner, np.arange(len(ids) + 1))
                     sums = total[cut[1:]] - total[cut[:-1]]
                     keys.append(pa.array(sums.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *keys, pa.array([x.tobytes() for x in sig], pa.binary())], ["row", "m1", "m2", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), *keys, pa.array([x.tobytes() for x in sig], pa.binary())], ["row", "place", "m1", "m2", "sig"])
 
     return run
 
@@ -166,7 +170,7 @@ def _bander(bands: int, per: int):
             key = np.broadcast_to(np.arange(bands, dtype=U64) * U64(0x9E3779B97F4A7C15), sig.shape[:2]).copy()
             for k in range(per):
                 key = mix(key + sig[:, :, k] + U64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(ints(batch.column(0)), bands))], ["bucket", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), *(pa.array(np.repeat(ints(batch.column(c)), bands)) for c in (0, 2))], ["bucket", "rep", "place"])
 
     return run
 
@@ -334,17 +338,21 @@ def row_key() -> Column:
 
 def row_classes(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, per: int = PER_BAND, rounds: int = ROUNDS) -> DataFrame:
     """(row, class): the class of near copies of each distinct row (doc_id, text)."""
-    source = docs.select(row_key().alias("row"), "text")
-    signed = materialise(source.mapInArrow(_signer(n, bands * per), "row long, m1 long, m2 long, sig binary"), "signatures")
-    rep = materialise(signed.groupBy("m1", "m2").agg(F.min("row").alias("rep")), "representatives")
-    sigs = signed.join(rep.select("rep"), F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "sig")
-    banded = sigs.mapInArrow(_bander(bands, per), "bucket long, rep long")
-    ends = banded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    members = materialise(banded.join(ends, "bucket"), "buckets")
+    source = docs.select(row_key().alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("place"))
+    signed = materialise(source.mapInArrow(_signer(n, bands * per), "row long, place long, m1 long, m2 long, sig binary"), "signatures")
+    rep = materialise(signed.groupBy("m1", "m2").agg(F.min(F.struct("place", "row"))["row"].alias("rep")), "representatives")
+    sigs = signed.join(rep.select("rep"), F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "sig", "place")
+    banded = sigs.mapInArrow(_bander(bands, per), "bucket long, rep long, place long")
+    # the least doc_id is often what others were copied from
+    end = lambda f: f(F.struct("place", "rep"))["rep"]
+    ends = banded.groupBy("bucket").agg(end(F.min).alias("lo"), end(F.max).alias("hi")).where("lo <> hi")
+    members = materialise(banded.drop("place").join(ends, "bucket"), "buckets")
     wanted = materialise(members.select("rep").distinct(), "candidates")
-    bags = source.join(wanted, F.col("row") == F.col("rep"), "left_semi").mapInArrow(_expander(n), "rep long, bag binary")
+    # texts aren't shuffled for a set of keys that fits everywhere
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    bags = source.select("row", "text").join(few, F.col("row") == F.col("rep"), "left_semi").mapInArrow(_expander(n), "rep long, bag binary")
     bags = materialise(bags.dropDuplicates(["rep"]), "bags")
-    sigs = materialise(sigs.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "candidate-signatures")
+    sigs = materialise(sigs.drop("place").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "candidate-signatures")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
