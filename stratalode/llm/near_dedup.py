@@ -388,7 +388,8 @@ def _members(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) of every document; class_id is the least doc_id of its near copies."""
     members = _members(docs)
-    names = members.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    # written, so that the join's exchange is its own and a large class's can be split
+    names = materialise(members.groupBy("class").agg(F.min("doc_id").alias("class_id")), "class-names")
     return members.join(names, "class").select("doc_id", "class_id")
 
 
