@@ -20,6 +20,8 @@ VISUAL_TEXT_BONUS, VISUAL_LENGTH, VISUAL_LENGTH_BONUS = 0.12, 120, 0.04
 #: Documents that context may come from, by how widely it is to be spread.
 SPREAD = {"single": 1, "few": 3, "broad": 4}
 LEAST_DOCUMENT_SCORE = 0.05
+# fixed values: by how much the first document leads where it stands alone, for pictures and for look-ups; the most chunks of a context
+VISUAL_LEAD, LOOKUP_LEAD, MOST_CONTEXT = 1.25, 1.2, 10
 DIVERSITY = 0.22
 LIMIT = 24
 QUERY_BLOCK = 2048
@@ -201,11 +203,61 @@ def rerank_assets(matches: DataFrame) -> DataFrame:
     return scored.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("rank"), "doc_id")))
 
 
-def compress(scored: DataFrame, k: int, signature: int, spread: str = "few", alike: float = DIVERSITY) -> DataFrame:
+def allowed(scored: DataFrame, plans: DataFrame) -> DataFrame:
+    """(query_id, document, total, place): the documents that a query's context may come from, of the greatest summed scores.
+
+    scored: (query_id, document, score); plans: (query_id, kind, spread). How many depends on the spread, on the kind of question
+    and on how far the first is ahead of the second.
+    """
+    held = scored.groupBy("query_id", "document").agg(F.round(F.sum(F.greatest(F.lit(LEAST_DOCUMENT_SCORE), "score")), 6).alias("total"))
+    w = Window.partitionBy("query_id")
+    ranked_ = held.withColumns({"place": F.row_number().over(w.orderBy(F.desc("total"), "document")), "documents": F.count("*").over(w)})
+    nth = lambda n: F.max(F.when(F.col("place") == n, F.col("total"))).over(w)
+    both = ranked_.withColumns({"first": nth(1), "second": nth(2)}).join(plans.select("query_id", "kind", "spread"), "query_id")
+    return both.where(F.col("place") <= documents_kept()).select("query_id", "document", "total", "place")
+
+
+def documents_kept() -> Column:
+    """Of (kind, spread, documents, first, second), the last two scores: how many documents stay."""
+    ahead = lambda by: F.coalesce(F.col("first") >= by * F.col("second"), F.lit(True))
+    kind, spread = F.col("kind"), F.col("spread")
+    rules = (
+        (spread == "broad", F.lit(SPREAD["broad"])), (kind == "visual_lookup", F.when(ahead(VISUAL_LEAD), 1).otherwise(2)), (F.col("documents") == 1, F.lit(1)), (spread == "single", F.lit(SPREAD["single"])), (spread == "few", F.lit(SPREAD["few"])),
+        (kind.isin("definition", "source_lookup"), F.when(ahead(LOOKUP_LEAD), 1).otherwise(2)), (kind.isin("fact", "explanation", "procedure") & (F.col("documents") >= 3), F.lit(3)),
+    )
+    return F.coalesce(*(F.when(holds, n) for holds, n in rules), F.lit(2))
+
+
+def plan(kind: Column, k: Column, visual: Column, spread: Column, kg_limit: int = 6, graph_limit: int = 6) -> dict[str, Column]:
+    """How a question is searched: mode, search_k, select_k, neighbours, graph and assets, and how far its documents are spread.
+
+    kind: its type; k: results asked for; visual: pictures are needed; spread: what the router said, used where it's a known one.
+    """
+    seen = visual | (kind == "visual_lookup")
+    lookup, compared, wide = kind.isin("definition", "fact", "source_lookup"), kind == "comparison", ~kind.isin("definition", "fact", "source_lookup", "comparison", "visual_lookup")
+    more = F.when(seen & (lookup | wide), F.greatest(3 * k, k + 6)).when(wide, F.greatest(2 * k, k + 3)).otherwise(F.greatest(2 * k, k + 4))
+    least = F.when(kind == "visual_lookup", 3).when(compared, 5).otherwise(4)
+    told = F.when(F.lower(F.trim(spread)).isin(*SPREAD), F.lower(F.trim(spread))).when(kind.isin("comparison", "fact", "explanation", "procedure"), "few").otherwise("single")
+    mode = F.when(kind == "visual_lookup", "multimodal_focus").when(lookup, F.when(seen, "hybrid_visual_support").otherwise("hybrid_kg_support")).when(compared, "hybrid_compare").when(seen, "neighbor_visual_expansion").otherwise("neighbor_expansion")
+    return {
+        "mode": mode, "search_k": F.least(more, F.lit(LIMIT)).cast("int"), "select_k": F.least(F.greatest(least, k), F.lit(MOST_CONTEXT)).cast("int"), "expand": compared | wide, "kg": (kind != "visual_lookup") & F.lit(kg_limit > 0),
+        "graph": (compared | kind.isin("explanation", "procedure")) & F.lit(graph_limit > 0), "assets": seen, "spread": F.when(kind.isin("visual_lookup", "comparison") & (told == "single"), "few").otherwise(told),
+    }
+
+
+def within_plan(dense: DataFrame, found: DataFrame, plans: DataFrame) -> DataFrame:
+    """merge() of what each query's search_k lets in; a query whose vector failed has lexical matches only. plans: (query_id, search_k)."""
+    most = plans.select("query_id", "search_k")
+    cut = lambda df, rank: df.join(most, "query_id").where(F.col(rank) <= F.col("search_k")).drop("search_k")
+    return merge(cut(dense, "dense_rank"), cut(found, "lexical_rank"))
+
+
+def compress(scored: DataFrame, k: int, signature: int, plans: DataFrame | None = None, alike: float = DIVERSITY) -> DataFrame:
     """(query_id, doc_id, place): the context kept of scored (query_id, doc_id, document, score, text).
 
-    Only the documents of greatest summed scores stay, as many as the spread says; by score, a text goes whose signature (its
-    first characters, white space evened) repeats a kept one's or shares `alike` of the words with one; k stay at most.
+    Only the documents stay that the query's plan allows (query_id, kind, spread; a few where there is none); by score, a text
+    goes whose signature (its first characters, white space evened) repeats a kept one's or shares `alike` of the words with one;
+    k stay at most.
     A query has LIMIT * 2 candidates at most, so its fold is small.
     """
 
@@ -223,8 +275,9 @@ def compress(scored: DataFrame, k: int, signature: int, spread: str = "few", ali
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["query_id", "doc_id", "place"])
 
-    held = scored.groupBy("query_id", "document").agg(F.round(F.sum(F.greatest(F.lit(LEAST_DOCUMENT_SCORE), "score")), 6).alias("total"))
-    few = held.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total"), "document"))).where(F.col("nth") <= SPREAD[spread])
+    if plans is None:
+        plans = scored.select("query_id").distinct().select("query_id", F.lit("fact").alias("kind"), F.lit("few").alias("spread"))
+    few = allowed(scored, plans)
     text = F.substring(F.regexp_replace(F.lower("text"), "\\s+", " "), 1, signature)
     slim = scored.join(few.select("query_id", "document"), ["query_id", "document"], "left_semi").select("query_id", "doc_id", "score", text.alias("signature"))
     ordered = slim.repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "doc_id")

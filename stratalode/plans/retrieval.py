@@ -184,9 +184,50 @@ def q_topk(t: Tables) -> DataFrame:
     return _typed(t).select("conv_id", "turn", F.least(F.lit(12), _top_k()).alias("top_k"))
 
 
-@query("q_plan", f"WITH {_TYPED} SELECT conv_id, turn, CAST({_TOPK} * 3 AS INTEGER) AS search_k, CAST({_TOPK} AS INTEGER) AS select_k, kind IN ('explanation', 'comparison', 'procedure') AS expand, kind = 'visual_lookup' AS assets FROM ty")
+def _plan_sql(kind: str, k: str, visual: str, spread: str) -> str:
+    """SQL columns of R.plan."""
+    seen, lookup, wide = f"({visual} OR {kind} = 'visual_lookup')", f"{kind} IN ('definition', 'fact', 'source_lookup')", f"{kind} IN ('procedure', 'explanation')"
+    told = f"CASE WHEN lower(trim({spread})) IN ('single', 'few', 'broad') THEN lower(trim({spread})) WHEN {kind} IN ('comparison', 'fact', 'explanation', 'procedure') THEN 'few' ELSE 'single' END"
+    return f"""CASE WHEN {kind} = 'visual_lookup' THEN 'multimodal_focus' WHEN {lookup} THEN CASE WHEN {seen} THEN 'hybrid_visual_support' ELSE 'hybrid_kg_support' END WHEN {kind} = 'comparison' THEN 'hybrid_compare' WHEN {seen} THEN 'neighbor_visual_expansion' ELSE 'neighbor_expansion' END AS mode,
+CAST(least({R.LIMIT}, CASE WHEN {seen} AND ({lookup} OR {wide}) THEN greatest(3 * {k}, {k} + 6) WHEN {wide} THEN greatest(2 * {k}, {k} + 3) ELSE greatest(2 * {k}, {k} + 4) END) AS INTEGER) AS search_k,
+CAST(least({R.MOST_CONTEXT}, greatest({k}, CASE {kind} WHEN 'visual_lookup' THEN 3 WHEN 'comparison' THEN 5 ELSE 4 END)) AS INTEGER) AS select_k, {kind} IN ('comparison', 'procedure', 'explanation') AS expand, {kind} <> 'visual_lookup' AS kg, {kind} IN ('comparison', 'explanation', 'procedure') AS graph, {seen} AS assets,
+CASE WHEN {kind} IN ('visual_lookup', 'comparison') AND {told} = 'single' THEN 'few' ELSE {told} END AS spread"""
+
+
+_HINT = "CASE turn % 7 WHEN 0 THEN ' Broad' WHEN 2 THEN 'single' WHEN 4 THEN 'odd' END"
+
+
+@query("q_plan", f"WITH {_TYPED}, tk AS (SELECT *, {_TOPK} AS k, {_HINT} AS hint FROM ty) SELECT conv_id, turn, {_plan_sql('kind', 'k', 'conv_id % 3 = 0', 'hint')} FROM tk")
 def q_plan(t: Tables) -> DataFrame:
-    return _typed(t).select("conv_id", "turn", (_top_k() * 3).alias("search_k"), _top_k().alias("select_k"), F.col("kind").isin("explanation", "comparison", "procedure").alias("expand"), (F.col("kind") == "visual_lookup").alias("assets"))
+    """The plan of every user turn; that pictures are needed, and the router's spread, come from the ids."""
+    a = _typed(t).withColumns({"k": _top_k(), "hint": F.expr(_HINT)})
+    return a.select("conv_id", "turn", *(c.alias(n) for n, c in R.plan(F.col("kind"), F.col("k"), F.col("conv_id") % 3 == 0, F.col("hint")).items()))
+
+
+#: Questions have a kind by their number, so that all are met; every thirteenth one's vector fails.
+_KINDS = tuple(name for name, *_ in TYPES) + ("fact",)
+_PLANNED = f"""pk AS (SELECT query_id, (['{"', '".join(_KINDS)}'])[CAST(query_id % {len(_KINDS)} AS INTEGER) + 1] AS kind FROM q), pl AS (SELECT query_id, kind, {_plan_sql('kind', f"({_TOPK})", 'query_id % 4 = 0', "CASE WHEN query_id % 6 = 0 THEN 'broad' END")} FROM pk),
+lexp AS (SELECT lex.* FROM lex JOIN pl USING (query_id) WHERE lexical_rank <= search_k), densep AS (SELECT dense.* FROM dense JOIN pl USING (query_id) WHERE dense_rank <= search_k AND query_id % 13 <> 5)"""
+#: The search and its ranking within each question's plan, ending in `ranked` as RERANK does.
+PLANNED = RERANK.replace(DENSE + ",", f"{DENSE}, {_PLANNED},", 1).replace("FROM dense FULL OUTER JOIN lex USING", "FROM densep AS dense FULL OUTER JOIN lexp AS lex USING", 1)
+
+
+def plans(t: Tables) -> DataFrame:
+    """(query_id, kind, ...): the plan of every question."""
+    a = queries(t).select("query_id", F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("query_id") % len(_KINDS) + 1).cast("int")).alias("kind"))
+    made = R.plan(F.col("kind"), _top_k(), F.col("query_id") % 4 == 0, F.when(F.col("query_id") % 6 == 0, "broad"))
+    return a.select("query_id", "kind", *(c.alias(n) for n, c in made.items()))
+
+
+def planned(t: Tables) -> DataFrame:
+    """ranked() within each question's plan."""
+    docs = t("documents").where("text IS NOT NULL")
+    asked = queries(t)
+    sound = asked.where("query_id % 13 <> 5").select("query_id", R.dummy_vector(F.col("q")).alias("vec"))
+    dense = R.nearest(docs.select("doc_id", R.dummy_vector(F.col("text")).alias("vec")), sound, R.LIMIT)
+    both = R.within_plan(dense, R.lexical(docs, asked, FIELDS), plans(t))
+    d = t("documents").select("doc_id", "text", F.col("lang").alias("section"), F.col("source").alias("title"))
+    return R.rerank(both.join(d, "doc_id").join(asked, "query_id"))
 
 
 @query("lex_chunks", f"WITH {_Q}, {lex_sql('lex', FIELDS)} SELECT query_id, doc_id, lexical_score, lexical_rank FROM lex")
@@ -227,9 +268,11 @@ def rerank_chunks(t: Tables) -> DataFrame:
     return ranked(t).select("query_id", "doc_id", "rerank_score", "rank", "new_rank")
 
 
-@query("retrieve", f"{RERANK} SELECT query_id, doc_id, match_source, rerank_score, new_rank FROM ranked WHERE new_rank <= 12")
+@query("retrieve", f"{PLANNED} SELECT query_id, doc_id, match_source, rerank_score, new_rank FROM ranked JOIN pl USING (query_id) WHERE new_rank <= select_k")
 def retrieve(t: Tables) -> DataFrame:
-    return ranked(t).where("new_rank <= 12").select("query_id", "doc_id", "match_source", "rerank_score", "new_rank")
+    """Search and ranking by plan: how deep each question searches and how much it keeps; one whose vector fails has its words."""
+    most = plans(t).select("query_id", "select_k")
+    return planned(t).join(most, "query_id").where(F.col("new_rank") <= F.col("select_k")).select("query_id", "doc_id", "match_source", "rerank_score", "new_rank")
 
 
 @query("mmr_chunks")
@@ -243,19 +286,31 @@ def mmr_assets(t: Tables) -> DataFrame:
     return R.diversify(ranked(t), k=6, penalty=0.18, signature=["title", "section"])
 
 
-@query("doc_allow", f"{RERANK}, g AS (SELECT query_id, title, round(sum(rerank_score), 6) AS score FROM ranked GROUP BY 1, 2), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title) AS INTEGER) AS place, max(score) OVER (PARTITION BY query_id) AS best FROM g) SELECT query_id, title, score, place FROM o WHERE place <= 4 AND best <= 1.2 * score OR place = 1")
+def _allowed_sql(source: str, plan: str) -> str:
+    """CTE few (query_id, document, total, nth) of R.allowed over source, with plan (query_id, kind, spread)."""
+    ahead = "coalesce(s1 >= {0}::DOUBLE * s2, true)"
+    return f"""held AS (SELECT query_id, document, round(sum(greatest({R.LEAST_DOCUMENT_SCORE}::DOUBLE, score)), 6) AS total FROM {source} GROUP BY 1, 2),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY total DESC, document) AS INTEGER) AS nth, count(*) OVER (PARTITION BY query_id) AS n FROM held),
+led AS (SELECT *, max(total) FILTER (nth = 1) OVER (PARTITION BY query_id) AS s1, max(total) FILTER (nth = 2) OVER (PARTITION BY query_id) AS s2 FROM placed),
+few AS (SELECT query_id, document, total, nth FROM led JOIN {plan} AS pq USING (query_id) WHERE nth <= CASE WHEN pq.spread = 'broad' THEN {R.SPREAD['broad']} WHEN pq.kind = 'visual_lookup' THEN CASE WHEN {ahead.format(R.VISUAL_LEAD)} THEN 1 ELSE 2 END WHEN n = 1 THEN 1 WHEN pq.spread = 'single' THEN {R.SPREAD['single']} WHEN pq.spread = 'few' THEN {R.SPREAD['few']}
+  WHEN pq.kind IN ('definition', 'source_lookup') THEN CASE WHEN {ahead.format(R.LOOKUP_LEAD)} THEN 1 ELSE 2 END WHEN pq.kind IN ('fact', 'explanation', 'procedure') AND n >= 3 THEN 3 ELSE 2 END)"""
+
+
+@query("doc_allow", f"{PLANNED}, sc AS (SELECT query_id, title AS document, rerank_score AS score FROM ranked), po AS (SELECT query_id, kind, CASE WHEN query_id % 5 < 2 THEN 'any' ELSE spread END AS spread FROM pl), {_allowed_sql('sc', 'po')} SELECT query_id, document AS title, total AS score, nth AS place FROM few")
 def doc_allow(t: Tables) -> DataFrame:
-    g = ranked(t).groupBy("query_id", "title").agg(F.round(F.sum("rerank_score"), 6).alias("score"))
-    w = Window.partitionBy("query_id")
-    o = g.withColumns({"place": F.row_number().over(w.orderBy(F.desc("score"), "title")), "best": F.max("score").over(w)})
-    return o.where("place <= 4 AND best <= 1.2D * score OR place = 1").select("query_id", "title", "score", "place")
+    """The documents (sources) that each question's context may come from; two in five questions have a spread that no rule knows."""
+    told = plans(t).select("query_id", "kind", F.when(F.col("query_id") % 5 < 2, "any").otherwise(F.col("spread")).alias("spread"))
+    found = R.allowed(planned(t).select("query_id", F.col("title").alias("document"), F.col("rerank_score").alias("score")), told)
+    return found.select("query_id", F.col("document").alias("title"), F.col("total").alias("score"), "place")
+
+
+_FEW_PLAN = "(SELECT DISTINCT query_id, 'fact' AS kind, 'few' AS spread FROM {0})"
 
 
-def _fold(source: str, k: int, signature: int) -> str:
+def _fold(source: str, k: int, signature: int, plan: str | None = None) -> str:
     """SQL of R.compress over source (query_id, doc_id, document, score, text): candidates by place, one after another."""
     like = "len(list_intersect(words, o)) >= {0}::DOUBLE * greatest(1, len(list_distinct(list_concat(words, o))))".format(R.DIVERSITY)
-    return f"""held AS (SELECT query_id, document, round(sum(greatest({R.LEAST_DOCUMENT_SCORE}, score)), 6) AS total FROM {source} GROUP BY 1, 2),
-few AS (SELECT query_id, document FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, document) AS nth FROM held) WHERE nth <= {R.SPREAD["few"]}),
+    return f"""{_allowed_sql(source, plan or _FEW_PLAN.format(source))},
 cand AS (SELECT query_id, doc_id, sig, list_distinct({TERMS.format("sig")}) AS words, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n
   FROM (SELECT query_id, doc_id, score, regexp_replace(lower(text), '\\s+', ' ', 'g')[1:{signature}] AS sig FROM {source} JOIN few USING (query_id, document))),
 fold AS (SELECT query_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS sigs, CAST([] AS VARCHAR[][]) AS kept, CAST([] AS BIGINT[]) AS docs FROM (SELECT DISTINCT query_id FROM cand)
@@ -267,13 +322,13 @@ SELECT query_id, unnest(docs) AS doc_id, CAST(generate_subscripts(docs, 1) AS IN
 
 _BONUS = "least(0.18::DOUBLE, 0.05::DOUBLE * k.n)"
 _RECURSIVE = "WITH RECURSIVE" + RERANK.removeprefix("WITH")
-_CHUNK_SCORES = f"""{_RECURSIVE}, k AS (SELECT doc_id, quality + 2 * toxic AS n FROM labels),
+_CHUNK_SCORES = f"""{"WITH RECURSIVE" + PLANNED.removeprefix("WITH")}, k AS (SELECT doc_id, quality + 2 * toxic AS n FROM labels),
 scored AS (SELECT r.query_id, r.doc_id, r.title AS document, r.text, round(r.rerank_score + {_overlap("r.terms", TERMS.format("r.text"))} * {R.LEXICAL}::DOUBLE + {_overlap("r.terms", TERMS.format("r.section"))} * {R.SECTION}::DOUBLE
   + {_overlap("r.terms", TERMS.format("r.title"))} * {R.TITLE}::DOUBLE + coalesce({_BONUS}, 0.0), 6) AS score
   FROM ranked r LEFT JOIN k USING (doc_id) WHERE length(trim(r.text)) > 0 AND (length(trim(r.text)) >= 45 OR {_overlap("r.terms", TERMS.format("r.text"))} > 0))"""
 
 
-@query("compress_chunks", f"{_CHUNK_SCORES}, {_fold('scored', 10, 280)}")
+@query("compress_chunks", f"{_CHUNK_SCORES}, {_fold('scored', 10, 280, 'pl')}")
 def compress_chunks(t: Tables) -> DataFrame:
     """The labels' sum stands for a chunk's count of assertions, its source for the document."""
     counts = t("labels").select("doc_id", (F.col("quality") + 2 * F.col("toxic")).alias("n"))
@@ -281,8 +336,8 @@ def compress_chunks(t: Tables) -> DataFrame:
     lexical = R.overlap(q, R.terms(F.col("text")))
     bonus = F.coalesce(F.least(F.lit(0.18), 0.05 * F.col("n")), F.lit(0.0))
     score = F.col("rerank_score") + lexical * R.LEXICAL + R.overlap(q, R.terms(F.col("section"))) * R.SECTION + R.overlap(q, R.terms(F.col("title"))) * R.TITLE + bonus
-    rows = ranked(t).where((size >= 45) | (size > 0) & (lexical > 0)).join(counts, "doc_id", "left")
-    return R.compress(rows.select("query_id", "doc_id", F.col("title").alias("document"), F.round(score, 6).alias("score"), "text"), 10, 280)
+    rows = planned(t).where((size >= 45) | (size > 0) & (lexical > 0)).join(counts, "doc_id", "left")
+    return R.compress(rows.select("query_id", "doc_id", F.col("title").alias("document"), F.round(score, 6).alias("score"), "text"), 10, 280, plans(t))
 
 
 _ASSET = "CASE WHEN doc_id % 3 = 0 THEN 'page_image' ELSE 'figure' END"
