@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalode.plans.catalog import Tables, query
+from stratalode.session import shared_path
+from stratalode.sources import snapshots as N
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -135,10 +137,15 @@ def lease(t: Tables) -> DataFrame:
     return t("events").groupBy("user_id").agg(F.count("*").alias("claims"), F.count_if(live).alias("live"))
 
 
-@query("snapshot", "SELECT source, max(doc_id) AS head, count(*) AS documents, sha256(CAST(max(doc_id) AS VARCHAR) || ':' || CAST(count(*) AS VARCHAR)) AS snapshot_id FROM documents GROUP BY source")
+@query("snapshot", """WITH f AS (SELECT DISTINCT source FROM documents WHERE doc_id % 97 = 5), v AS (SELECT d.source, CASE WHEN f.source IS NULL THEN 'second' ELSE 'first' END AS snapshot_id, doc_id FROM documents d LEFT JOIN f USING (source) WHERE f.source IS NULL OR doc_id % 2 = 0)
+SELECT source, snapshot_id, count(*) AS documents, max(doc_id) AS head FROM v GROUP BY 1, 2""")
 def snapshot(t: Tables) -> DataFrame:
-    g = t("documents").groupBy("source").agg(F.max("doc_id").alias("head"), F.count("*").alias("documents"))
-    return g.withColumn("snapshot_id", F.sha2(F.concat_ws(":", "head", "documents"), 256))
+    """Two snapshots by source, half of the documents and then all; a source with a document that fails the check keeps the first."""
+    path, rows = shared_path(t.spark, "snapshots"), t("documents").select("source", "doc_id")
+    N.publish(rows.where("doc_id % 2 = 0"), path, "first", "source", {"id": F.col("doc_id").isNotNull()})
+    N.publish(rows, path, "second", "source", {"id": F.col("doc_id").isNotNull(), "sound": F.col("doc_id") % 97 != 5})
+    now = N.active(t.spark, path, "source", "source string, doc_id long")
+    return now.groupBy("source", "snapshot_id").agg(F.count("*").alias("documents"), F.max("doc_id").alias("head"))
 
 
 @query("bundle_backfill", "SELECT d.doc_id, n_chars, length(text) AS chars FROM documents d WHERE n_chars IS DISTINCT FROM length(text)")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalode.functions import text as T
 from stratalode.functions.redaction import redact_json
+from stratalode.operators import ingest as I
 from stratalode.operators import retrieval as R
 from stratalode.plans import quality as QP
 from stratalode.plans import text as TP
 from stratalode.plans.catalog import Tables, query
 from stratalode.plans.retrieval import VECTOR
 from stratalode.sources import pages as PG
+from stratalode.sources import snapshots as N
 from stratalode.session import shared_path
 from stratalode.sources import tables as S
 
@@ -171,16 +173,56 @@ def ingest_full(t: Tables) -> DataFrame:
     return v.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("status") == "accepted").alias("published"), F.countDistinct(F.sha2("text", 256)).alias("distinct_texts"))
 
 
-@query("publish_stage", f"{_ACCEPTED} SELECT doc_id FROM validated v WHERE status = 'accepted' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = v.doc_id AND l.toxic = 1)")
+_KG_FAILED = "(doc_id % 53 = 0 OR doc_id % 59 = 0)"
+_UNIT = "concat_ws('/', source, lang)"
+
+
+def _failed() -> Column:
+    """Every so many extractions failed."""
+    return (F.col("chunk_id") % 53 == 0) | (F.col("chunk_id") % 59 == 0)
+
+
+def accepted(t: Tables) -> DataFrame:
+    """Accepted chunks; a document is a source in a language."""
+    return QP.validated(t).where("status = 'accepted'").select(F.concat_ws("/", "source", "lang").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text")
+
+
+_VISIBLE = f"{_ACCEPTED}, ch AS (SELECT doc_id, {_UNIT} AS document_id, text FROM validated WHERE status = 'accepted')"
+
+
+@query("publish_stage", f"{_VISIBLE}, g AS (SELECT document_id, count(*) AS n, count(*) FILTER ({_KG_FAILED}) AS failures FROM ch GROUP BY 1) SELECT document_id, CASE WHEN failures = 0 THEN 'completed' ELSE 'review' END AS status, CASE WHEN failures = 0 THEN n ELSE 0 END AS indexed, CASE WHEN failures = 0 THEN 'first' END AS snapshot_id FROM g")
 def publish_stage(t: Tables) -> DataFrame:
-    bad = t("labels").where("toxic = 1")
-    return QP.validated(t).where("status = 'accepted'").join(bad, "doc_id", "left_anti").select("doc_id")
+    """Documents are staged with their vectors and become visible as a whole, but for those with failed extractions."""
+    rows = accepted(t).select("document_id", "chunk_id", R.dummy_vector(F.col("text")).alias("vec"), _failed().alias("failed"))
+    path = shared_path(t.spark, "corpus")
+    report = N.publish(rows, path, "first", "document_id", {"extraction": ~F.col("failed"), "vector": F.size("vec") > 0})
+    seen = N.active(t.spark, path, "document_id", "document_id string, chunk_id long, vec array<double>, failed boolean").groupBy("document_id", "snapshot_id").agg(F.count("*").alias("indexed"))
+    out = report.select(F.col("unit").alias("document_id"), F.when(F.col("state") == "active", "completed").otherwise("review").alias("status"))
+    return out.join(seen, "document_id", "left").select("document_id", "status", F.coalesce("indexed", F.lit(0)).alias("indexed"), "snapshot_id")
+
 
+_JOB = "CASE {0} % 6 WHEN 0 THEN 'chunks_validated' WHEN 1 THEN 'kg_validated' WHEN 2 THEN 'indexed' WHEN 3 THEN 'completed' WHEN 4 THEN 'parsed' ELSE 'chunks_validated' END"
 
-@query("resume", f"{_ACCEPTED} SELECT doc_id FROM validated v WHERE status = 'accepted' AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
+
+@query(
+    "resume",
+    f"""{_VISIBLE}, j AS (SELECT document_id, min(doc_id) AS first, {_JOB.format('min(doc_id)')} AS was FROM ch GROUP BY 1),
+c AS (SELECT ch.*, was, was <> 'chunks_validated' OR doc_id % 3 = 0 AS had, was IN ('indexed', 'completed') OR doc_id % 4 = 0 AS held FROM ch JOIN j USING (document_id)),
+x AS (SELECT *, was = 'chunks_validated' AND NOT had AS made FROM c), f AS (SELECT DISTINCT document_id FROM x WHERE (had OR made) AND {_KG_FAILED})
+SELECT document_id, was, CASE WHEN was NOT IN ('chunks_validated', 'kg_validated', 'indexed') THEN was WHEN f.document_id IS NOT NULL THEN 'review' ELSE 'completed' END AS status,
+  count(*) FILTER (made) AS extracted, count(*) FILTER (was IN ('chunks_validated', 'kg_validated') AND f.document_id IS NULL AND NOT held) AS indexed FROM x LEFT JOIN f USING (document_id) GROUP BY document_id, was, f.document_id""",
+)
 def resume(t: Tables) -> DataFrame:
-    done = t("embeddings").select(F.col("vec_id").cast("long").alias("doc_id"))
-    return QP.validated(t).where("status = 'accepted'").join(done, "doc_id", "left_anti").select("doc_id")
+    """Jobs in all states with part of their work done, taken up where they stopped."""
+    path = shared_path(t.spark, "resume")
+    chunks = accepted(t)
+    jobs = chunks.groupBy("document_id").agg(F.min("chunk_id").alias("first")).withColumn("status", F.expr(_JOB.format("first")))
+    state = chunks.join(jobs.select("document_id", "status"), "document_id")
+    extracted = lambda df: df.select("chunk_id", "document_id", F.when(_failed(), "quarantined").otherwise("validated").alias("status"))
+    embedded = lambda df: df.select("chunk_id", "document_id", R.dummy_vector(F.col("text")).alias("vec"))
+    extracted(state.where("status <> 'chunks_validated' OR chunk_id % 3 = 0")).write.parquet(f"{path}/extractions")
+    embedded(state.where("status IN ('indexed', 'completed') OR chunk_id % 4 = 0")).write.parquet(f"{path}/vectors")
+    return I.resume(jobs.select("document_id", "status"), chunks, path, extracted, embedded)
 
 
 @query("rebuild", rf"SELECT doc_id, sha256({TP.squeeze(TP.strip('text'))}) AS rebuilt_hash FROM documents WHERE source IN ('src1', 'src2')")
@@ -188,9 +230,21 @@ def rebuild(t: Tables) -> DataFrame:
     return t("documents").where("source IN ('src1', 'src2')").select("doc_id", F.sha2(T.squeeze(T.strip(F.col("text"))), 256).alias("rebuilt_hash"))
 
 
-@query("reindex", f"{_ACCEPTED} SELECT doc_id, list_transform(list_transform(range(16), lambda i: CAST('0x' || substr(sha256(text), 2 * i + 1, 2) AS INTEGER) / 255.0::DOUBLE * 2 - 1), lambda x: round(x, 6)) AS vec FROM validated WHERE status = 'accepted'")
+_INDEXED_ROWS = """cu AS (SELECT 'chunk' AS kind, doc_id AS id, status = 'accepted' AS visible, sha256(coalesce(text, '')) AS content, 'v2' AS version FROM validated UNION ALL SELECT 'asset', page_id, length(html) >= 40, sha256(coalesce(html, '')), 'v2' FROM pages),
+ix AS (SELECT kind, id, CASE WHEN id % 7 = 0 THEN 'stale' ELSE content END AS content, CASE WHEN id % 11 = 0 THEN 'v1' ELSE 'v2' END AS version FROM cu WHERE id % 5 <> 0 UNION ALL SELECT 'chunk', -1 - n_nationkey, 'gone', 'v2' FROM nation)"""
+
+
+@query("reindex", f"{_ACCEPTED}, {_INDEXED_ROWS} SELECT kind, id, CASE WHEN coalesce(visible, false) THEN CASE WHEN ix.id IS NULL THEN 'insert' ELSE 'update' END ELSE 'delete' END AS action FROM cu FULL OUTER JOIN ix USING (kind, id) WHERE CASE WHEN coalesce(visible, false) THEN ix.id IS NULL OR ix.content <> cu.content OR ix.version <> cu.version ELSE ix.id IS NOT NULL END")
 def reindex(t: Tables) -> DataFrame:
-    return QP.validated(t).where("status = 'accepted'").select("doc_id", F.transform(R.dummy_vector(F.col("text")), lambda x: F.round(x, 6)).alias("vec"))
+    """What brings an index of chunks and assets in step: made from what is current, with gaps, stale rows, an old model's and rows long gone."""
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    chunks = QP.validated(t).select(F.lit("chunk").alias("kind"), F.col("doc_id").alias("id"), (F.col("status") == "accepted").alias("visible"), digest("text").alias("content"), F.lit("v2").alias("version"))
+    assets = t("pages").select(F.lit("asset").alias("kind"), F.col("page_id").alias("id"), (F.length("html") >= 40).alias("visible"), digest("html").alias("content"), F.lit("v2").alias("version"))
+    current = chunks.unionByName(assets)
+    held = current.where("id % 5 <> 0").select("kind", "id", F.when(F.col("id") % 7 == 0, "stale").otherwise(F.col("content")).alias("content"), F.when(F.col("id") % 11 == 0, "v1").otherwise("v2").alias("version"))
+    gone = t("nation").select(F.lit("chunk").alias("kind"), (-1 - F.col("n_nationkey")).cast("long").alias("id"), F.lit("gone").alias("content"), F.lit("v2").alias("version"))
+    named = lambda df: df.withColumn("key", F.struct("kind", "id"))
+    return I.changes(named(current).drop("kind", "id"), named(held.unionByName(gone)).drop("kind", "id"), "key").select("key.kind", "key.id", "action")
 
 
 @query("del_stage", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
