@@ -10,6 +10,7 @@ from stratalode.operators import answers as A
 from stratalode.operators import context as X
 from stratalode.operators import grounding as G
 from stratalode.operators import retrieval as R
+from stratalode.operators import state as Z
 from stratalode.plans import retrieval as P
 from stratalode.plans.catalog import SQL, Tables, query
 
@@ -378,9 +379,21 @@ def mem_goal(t: Tables) -> DataFrame:
     return t("conversations").groupBy("conv_id").agg(F.substring(F.split_part(F.min_by("text", "turn"), F.lit("."), F.lit(1)), 1, 160).alias("goal"), F.sha2(roles, 256).alias("signature"))
 
 
-@query("mem_store", "SELECT conv_id, max(turn) AS version, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
+@query(
+    "mem_store",
+    """WITH w AS (SELECT conv_id, turn, length(text) AS size FROM conversations WHERE role = 'assistant' AND turn % 7 <> 3), r AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'),
+m AS (SELECT r.conv_id, r.turn, w.turn AS version, w.size FROM r ASOF LEFT JOIN w ON r.conv_id = w.conv_id AND r.turn >= w.turn)
+SELECT conv_id, turn, CASE WHEN version IS NULL THEN 'none' WHEN turn - version > 3 THEN 'old' ELSE 'used' END AS state, CASE WHEN turn - version <= 3 THEN version END AS version, CASE WHEN turn - version <= 3 THEN size END AS size FROM m""",
+)
 def mem_store(t: Tables) -> DataFrame:
-    return t("conversations").groupBy("conv_id").agg(F.max("turn").alias("version"), F.max_by("role", "turn").alias("last_role"))
+    """Answers write the session's memory, each seventh for another owner and so refused; a question reads what was last written, if not too old."""
+    c = t("conversations")
+    owned = c.where("role = 'assistant'").withColumn("owner", F.when(F.col("turn") % 7 == 3, F.col("conv_id") + 1).otherwise(F.col("conv_id")))
+    writes = owned.where("owner = conv_id").select("conv_id", "turn", F.col("turn").alias("order"), F.length("text").alias("size"))
+    met = Z.as_of(c.where("role = 'user'").select("conv_id", "turn"), writes, ["conv_id"], "turn", "order", ["size"], F.floor(F.col("turn") / 64))
+    age = F.col("turn") - F.col("last.turn")
+    state = F.when(F.col("last").isNull(), "none").when(age > 3, "old").otherwise("used")
+    return met.select("conv_id", "turn", state.alias("state"), F.when(age <= 3, F.col("last.turn")).alias("version"), F.when(age <= 3, F.col("last.size")).alias("size"))
 
 
 @query("chat", "SELECT conv_id, string_agg(role || '> ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")

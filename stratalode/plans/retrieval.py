@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalode.operators import answers as A
 from stratalode.operators import linking as L
 from stratalode.operators import retrieval as R
+from stratalode.operators import state as Z
 from stratalode.plans.catalog import Tables, query
 
 TERMS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: length(x) >= 3)"
@@ -173,10 +174,26 @@ def q_route(t: Tables) -> DataFrame:
     return A.route(_typed(t).select("*", *map(F.expr, _ROUTED.split(", "))), _top_k()).select("conv_id", "turn", "source", "question_type", "top_k")
 
 
-@query("q_route_cache", f"WITH {_TYPED}, r AS (SELECT *, {TERMS.format('text')} AS terms FROM ty), p AS (SELECT array_to_string(list_sort(list_distinct(terms))[1:12], '|') AS pattern, len(terms) AS n, kind FROM r) SELECT pattern, min(kind) AS kind, count(*) AS hits FROM p WHERE n >= 2 GROUP BY 1")
+_ROUTES = f"""ev AS (SELECT event_id, ts AS moment, user_id % 3 AS tenant, event_type || ':' || (user_id % 11) AS pattern, event_id % 4 = 0 AS saved, 1 + user_id % 10 AS keywords, CASE WHEN event_id % 13 = 0 THEN 'other' ELSE 'router-1' END AS identity,
+  CASE WHEN event_id % 17 = 0 THEN 'nonsense' ELSE (['{"', '".join(n for n, *_ in TYPES)}'])[CAST(event_id % {len(TYPES)} AS INTEGER) + 1] END AS question_type, CASE WHEN event_id % 19 = 0 THEN 'many' ELSE CAST(event_id % 15 AS VARCHAR) END AS top_k, CASE WHEN event_id % 23 = 0 THEN 'sure' ELSE CAST(event_id % 10 AS VARCHAR) END AS confidence, event_id % 5 AS approved, event_id % 7 AS rejected FROM events)"""
+
+
+@query(
+    "q_route_cache",
+    f"""WITH {_ROUTES}, en AS (SELECT * FROM ev WHERE saved QUALIFY row_number() OVER (PARTITION BY tenant, pattern, moment ORDER BY event_id DESC) = 1),
+m AS (SELECT q.event_id, q.keywords, q.moment, e.* EXCLUDE (event_id, keywords, moment), e.moment AS since FROM (SELECT * FROM ev WHERE NOT saved) q ASOF LEFT JOIN en e ON q.tenant = e.tenant AND q.pattern = e.pattern AND q.moment >= e.moment),
+r AS (SELECT *, CASE WHEN keywords < 2 THEN 'router:few_keywords' WHEN since IS NULL THEN 'router:miss' WHEN epoch_us(moment) - epoch_us(since) > 86400000000 THEN 'router:expired' WHEN identity <> 'router-1' THEN 'router:other_identity' WHEN rejected > approved THEN 'router:rejected' WHEN question_type = 'nonsense' OR TRY_CAST(top_k AS INTEGER) IS NULL OR TRY_CAST(confidence AS DOUBLE) IS NULL THEN 'router:invalid' ELSE 'router_cache' END AS source FROM m)
+SELECT event_id, source, CASE WHEN source = 'router_cache' THEN question_type END AS question_type, CASE WHEN source = 'router_cache' THEN greatest(1, least({A.MOST_RESULTS}, CAST(top_k AS INTEGER))) END AS top_k, CASE WHEN source = 'router_cache' THEN least(1.0, CAST(confidence AS DOUBLE)) END AS confidence FROM r""",
+)
 def q_route_cache(t: Tables) -> DataFrame:
-    p = _typed(t).select(R.terms(F.col("text")).alias("terms"), "kind").where(F.size("terms") >= 2)
-    return p.groupBy(F.array_join(F.slice(F.array_sort(F.array_distinct("terms")), 1, 12), "|").alias("pattern")).agg(F.min("kind").alias("kind"), F.count("*").alias("hits"))
+    """Every fourth event saves a route, the others ask; the last route saved before is used or refused, and the reason told."""
+    n = F.col("event_id")
+    kind = F.element_at(F.array(*(F.lit(name) for name, *_ in TYPES)), (n % len(TYPES) + 1).cast("int"))
+    e = t("events").select("event_id", F.col("ts").alias("at"), (F.col("user_id") % 3).alias("tenant"), F.concat_ws(":", "event_type", F.col("user_id") % 11).alias("pattern"), (F.col("user_id") % 10 + 1).alias("keywords"))
+    odd = lambda every, value, usual: F.when(n % every == 0, value).otherwise(usual)
+    saved = e.where(n % 4 == 0).select("tenant", "pattern", "at", n.alias("order"), odd(13, "other", "router-1").alias("identity"), odd(17, "nonsense", kind).alias("question_type"), odd(19, "many", (n % 15).cast("string")).alias("top_k"), odd(23, "sure", (n % 10).cast("string")).alias("confidence"), (n % 5).alias("approved"), (n % 7).alias("rejected"))
+    found = Z.cached_routes(e.where(n % 4 != 0), saved, F.lit("router-1"), tuple(name for name, *_ in TYPES), 86_400, A.MOST_RESULTS)
+    return found.select("event_id", "source", "question_type", "top_k", "confidence")
 
 
 @query("q_topk", f"WITH {_TYPED} SELECT conv_id, turn, CAST(least(12, {_TOPK}) AS INTEGER) AS top_k FROM ty")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalode.functions import sensors as S
+from stratalode.operators import state as Z
 from stratalode.plans.catalog import Tables, query
 
 NOW = "2024-01-30 00:00:00"
@@ -55,9 +56,31 @@ def ts_topology(t: Tables) -> DataFrame:
     return joined.select("c_custkey", F.col("c_name").alias("sensor_name"), name("n_name").alias("group_name"), name("r_name").alias("place_name"))
 
 
-@query("ts_dim_upsert", "SELECT user_id AS sensor_id, arg_max(event_type, event_id) AS last_metric, arg_max(value, event_id) AS last_value, count(*) AS writes FROM events GROUP BY 1")
+@query(
+    "ts_dim_upsert",
+    """WITH pl AS (SELECT r_regionkey % 2 AS owner, r_regionkey AS place, r_name AS place_name FROM region), hv AS (SELECT n_nationkey % 2 AS owner, n_nationkey AS hive, n_name AS own_name, CASE WHEN n_nationkey % 6 <> 0 THEN n_regionkey END AS hive_place FROM nation),
+wr AS (SELECT CASE WHEN c_custkey % 31 <> 0 THEN c_custkey % 2 END AS owner, c_custkey % 400 AS external_id, CASE WHEN c_custkey % 29 = 0 THEN ' ' ELSE c_name END AS name, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 5 AS INTEGER) END AS place, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS hive, c_custkey AS at_ FROM customer),
+a AS (SELECT wr.*, hv.hive AS h, own_name, hive_place, coalesce(wr.place, hive_place) AS eff FROM wr LEFT JOIN hv ON hv.owner = wr.owner AND hv.hive = wr.hive), b AS (SELECT a.*, pl.place AS p, place_name FROM a LEFT JOIN pl ON pl.owner = a.owner AND pl.place = eff),
+j AS (SELECT *, CASE WHEN owner IS NULL THEN 'missing_owner' WHEN trim(name) = '' THEN 'missing_name' WHEN place IS NOT NULL AND p IS NULL THEN 'place_not_found' WHEN hive IS NOT NULL AND h IS NULL THEN 'hive_not_found' WHEN place IS NOT NULL AND hive_place <> place THEN 'hive_of_another_place' WHEN hive IS NOT NULL AND place IS NOT NULL AND hive_place IS NULL THEN 'hive_without_place' END AS reason FROM b),
+al AS (SELECT owner, external_id, name, p AS place, hive, own_name AS hive_name, place_name AS label, at_ FROM j WHERE reason IS NULL UNION ALL SELECT s_suppkey % 2, s_suppkey, s_name, NULL, NULL, NULL, 'old', -1 FROM supplier)
+SELECT 'kept' AS kind, owner, external_id, arg_max(name, at_) AS name, max(at_) AS written, CAST(NULL AS VARCHAR) AS reason, (arg_max({'v': place}, at_)).v AS place, (arg_max({'v': hive_name}, at_)).v AS hive_name, (arg_max({'v': label}, at_)).v AS label FROM al GROUP BY owner, external_id
+UNION ALL SELECT 'refused', owner, external_id, name, at_, reason, place, NULL, NULL FROM j WHERE reason IS NOT NULL""",
+)
 def ts_dim_upsert(t: Tables) -> DataFrame:
-    return t("events").groupBy(F.col("user_id").alias("sensor_id")).agg(F.max_by("event_type", "event_id").alias("last_metric"), F.max_by("value", "event_id").alias("last_value"), F.count("*").alias("writes"))
+    """Customers write sensors with a nation as hive and a region as place, their own or not, over suppliers as the sensors there are."""
+    k, tenant, none = F.col("c_custkey"), F.lit("shared").alias("tenant"), lambda kind: F.lit(None).cast(kind)
+    own = lambda c: (F.col(c) % 2).cast("long").alias("owner")
+    places = t("region").select(tenant, own("r_regionkey"), F.col("r_regionkey").alias("place"), F.col("r_name").alias("place_name"))
+    hives = t("nation").select(tenant, own("n_nationkey"), F.col("n_nationkey").alias("hive"), F.col("n_name").alias("own_name"), F.when(F.col("n_nationkey") % 6 != 0, F.col("n_regionkey")).alias("hive_place"))
+    writes = t("customer").select(
+        tenant, F.when(k % 31 != 0, k % 2).alias("owner"), (k % 400).alias("external_id"), F.when(k % 29 == 0, " ").otherwise(F.col("c_name")).alias("name"), F.when(k % 4 != 0, (k % 5).cast("int")).alias("place"), F.when(k % 3 != 0, F.col("c_nationkey")).alias("hive"),
+        none("string").alias("hive_name"), none("string").alias("label"), k.alias("at"),
+    )
+    old = t("supplier").select(tenant, own("s_suppkey"), F.col("s_suppkey").alias("external_id"), F.col("s_name").alias("name"), none("int").alias("place"), none("int").alias("hive"), none("string").alias("hive_name"), F.lit("old").alias("label"), F.lit(-1).cast("long").alias("at"))
+    kept, refused = Z.sensor_upsert(old, writes, places, hives)
+    shown = ("owner", "external_id", "name", F.col("at").alias("written"))
+    a = kept.select(F.lit("kept").alias("kind"), *shown, none("string").alias("reason"), "place", "hive_name", "label")
+    return a.unionByName(refused.select(F.lit("refused").alias("kind"), *shown, "reason", "place", none("string").alias("hive_name"), none("string").alias("label")))
 
 
 @query("ts_enforce", f"""WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN NULL WHEN s_suppkey % 8 = 0 THEN 99 ELSE s_nationkey END AS hive, CASE WHEN s_acctbal < 2000 THEN NULL WHEN s_suppkey % 7 = 0 THEN 9 ELSE n_regionkey END AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey),
