@@ -389,7 +389,7 @@ def mem_store(t: Tables) -> DataFrame:
     """Answers write the session's memory, each seventh for another owner and so refused; a question reads what was last written, if not too old."""
     c = t("conversations")
     owned = c.where("role = 'assistant'").withColumn("owner", F.when(F.col("turn") % 7 == 3, F.col("conv_id") + 1).otherwise(F.col("conv_id")))
-    writes = owned.where("owner = conv_id").select("conv_id", "turn", F.col("turn").alias("order"), F.length("text").alias("size"))
+    writes = owned.where("owner = conv_id").select("conv_id", "turn", F.col("turn").alias("order"), F.length("text").cast("long").alias("size"))
     met = Z.as_of(c.where("role = 'user'").select("conv_id", "turn"), writes, ["conv_id"], "turn", "order", ["size"], F.floor(F.col("turn") / 64))
     age = F.col("turn") - F.col("last.turn")
     state = F.when(F.col("last").isNull(), "none").when(age > 3, "old").otherwise("used")
