@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MENTION_CONFIDENCE, RELATION_CONFIDENCE = 0.82, 0.75
 #: A small ontology of our own for the synthetic texts: class, parent, aliases.
@@ -23,6 +26,13 @@ CLASSES = (
 PREDICATES = (("pointsTo", "Pointer", "Link", "to"), ("limits", "Limit", "Word", "only"), ("joins", "Link", "Word", "and"), ("names", "Word", "Word", "is"))
 
 
+#: Labels of the classes, by which an extraction without a model finds them in a text.
+LABELS = {"Word": "Word", "Pointer": "That", "NearPointer": "It", "Link": "By", "Place": "In", "Limit": "Not"}
+#: Words that may stand beside an alias without making it another thing; the excerpt that shows a relation.
+GENERIC_TAIL = ("about", "around", "few", "for", "from", "hundred", "hundreds", "in", "many", "more", "most", "of", "or", "over", "several", "some", "than", "thousand", "thousands", "to", "under", "with")
+EXCERPT = 240
+
+
 def classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, p) for c, p, _ in CLASSES], "name string, parent string")
 
@@ -62,6 +72,66 @@ def tag(docs: DataFrame, spark: SparkSession, known: DataFrame | None = None) ->
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "name", "alias").agg(F.min("place").alias("place"))
 
 
+@F.pandas_udf(StringType())
+def _compatible(c: pd.Series) -> pd.Series:
+    """Compatibility forms (NFKC) of texts."""
+    return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def surface(c: Column) -> Column:
+    """A name as it is compared: lower case, without articles, quotes and marks, what stands in parentheses kept, the last word singular."""
+    x = F.replace(F.lower(_compatible(F.coalesce(c, F.lit("")))), F.lit("\0"), F.lit(""))
+    x = F.translate(F.regexp_replace(x, r"\(([^)]*)\)", " $1 "), "/-", "  ")
+    x = F.regexp_replace(F.regexp_replace(x, "^[\"'`]+|[\"'`]+$", ""), r"\b(the|a|an)\b", " ")
+    x = F.btrim(F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9\s]", " "), r"\s+", " "), F.lit(" "))
+    cut, long = lambda n: F.substr(x, F.lit(1), F.length(x) - n), F.length(x)
+    plural = F.endswith(x, F.lit("s")) & (long > 3) & ~(F.endswith(x, F.lit("ss")) | F.endswith(x, F.lit("us")) | F.endswith(x, F.lit("is")))
+    return F.when(F.endswith(x, F.lit("ies")) & (long > 4), F.concat(cut(3), F.lit("y"))).when(plural, cut(1)).otherwise(x)
+
+
+def singular(x: Column) -> Column:
+    cut = lambda n: F.substr(x, F.lit(1), F.length(x) - n)
+    return F.when((F.length(x) > 4) & F.endswith(x, F.lit("ies")), F.concat(cut(3), F.lit("y"))).when((F.length(x) > 3) & F.endswith(x, F.lit("s")) & ~F.endswith(x, F.lit("ss")), cut(1)).otherwise(x)
+
+
+def name_tokens(c: Column) -> Column:
+    """Singular words of a name."""
+    return F.transform(F.filter(F.split(surface(c), " "), lambda x: x != ""), singular)
+
+
+def has_generic_tail(name: Column, alias: Column) -> Column:
+    """Words are an alias's words with only numbers and generic words after or before them."""
+    n = F.size(alias)
+    plain = lambda rest: (F.size(rest) > 0) & F.forall(rest, lambda x: x.rlike("^[0-9]+$") | x.isin(*GENERIC_TAIL))
+    after = (F.slice(name, F.lit(1), n) == alias) & plain(F.slice(name, n + 1, F.greatest(F.size(name) - n, F.lit(0))))
+    before = (F.slice(name, F.greatest(F.size(name) - n + 1, F.lit(1)), n) == alias) & plain(F.slice(name, F.lit(1), F.greatest(F.size(name) - n, F.lit(0))))
+    return (n > 0) & (F.size(name) > n) & (after | before)
+
+
+def heuristic(docs: DataFrame, spark: SparkSession, labels: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, entities, relations, excerpt): what is said without a model.
+
+    Tagged classes come in the order of their names; one counts where its label, or its own name as words, stands in the text.
+    The first two are linked by every predicate whose phrase the text holds, and its first characters show it.
+    entities: (id, name, type, start, end); relations: (id, predicate, subject, object).
+    """
+    labels = LABELS if labels is None else labels
+    tags = tag(docs, spark).groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    known = F.create_map(*(x for c, label in labels.items() for x in (F.lit(c), F.lit(label))))
+    low = F.lower("text")
+    spaced = lambda n: F.lower(F.regexp_replace(n, "(?<!^)([A-Z])", " $1"))
+    label = lambda n: F.coalesce(F.try_element_at(known, n), n)
+    said = lambda n: F.when(F.contains(low, F.lower(label(n))), F.lower(label(n))).when(F.contains(low, spaced(n)), spaced(n))
+    a = docs.select("doc_id", "text").join(tags, "doc_id")
+    a = a.withColumn("found", F.filter(F.transform("names", lambda n: F.struct(n.alias("type"), label(n).alias("name"), said(n).alias("token"))), lambda x: x["token"].isNotNull()))
+    start = lambda x: F.position(x["token"], low, F.lit(1)) - 1
+    entities = F.transform("found", lambda x, i: F.struct(F.concat(F.lit("e"), (i + 1).cast("string")).alias("id"), x["name"].alias("name"), x["type"].alias("type"), start(x).alias("start"), (start(x) + F.length(x["token"])).alias("end")))
+    fired = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(phrase)), F.lit(p)) for p, _, _, phrase in PREDICATES)))
+    relations = F.transform(fired, lambda p, i: F.struct(F.concat(F.lit("r"), (i + 1).cast("string")).alias("id"), p.alias("predicate"), F.lit("e1").alias("subject"), F.lit("e2").alias("object")))
+    linked = F.when(F.size("found") >= 2, relations).otherwise(F.filter(relations, lambda _: F.lit(False)))
+    return a.select("doc_id", entities.alias("entities"), linked.alias("relations"), F.substring("text", 1, EXCERPT).alias("excerpt"))
+
+
 def entity_key(kind: Column, name: Column) -> Column:
     slug = F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"))
     return F.concat_ws("_", F.lower(kind), slug)

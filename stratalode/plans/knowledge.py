@@ -73,10 +73,15 @@ def onto_tag(t: Tables) -> DataFrame:
     return K.tag(t("documents"), t.spark).groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("classes"))
 
 
-@query("norm_entity", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[-/]', ' ', 'g'), '^(the|a|an) ', ''), '[^a-z0-9]+', ' ', 'g')) AS name FROM part")
+_SURFACED = """(CASE p_partkey % 5 WHEN 0 THEN '"The ' || p_name || 's"' WHEN 1 THEN p_name || ' (no. ' || p_size || ')' WHEN 2 THEN 'An ' || p_name || '-berries' WHEN 3 THEN p_name || '/bus' ELSE p_name || ' Glass' END)"""
+_PLAIN = rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(replace(lower({_SURFACED}), chr(0), ''), '\(([^)]*)\)', ' \1 ', 'g'), '/-', '  '), '^["''`]+|["''`]+$', '', 'g'), '\b(the|a|an)\b', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
+_SURFACE = "CASE WHEN ends_with(x, 'ies') AND length(x) > 4 THEN x[1:length(x) - 3] || 'y' WHEN ends_with(x, 'us') OR ends_with(x, 'is') THEN x WHEN ends_with(x, 's') AND length(x) > 3 AND NOT ends_with(x, 'ss') THEN x[1:length(x) - 1] ELSE x END"
+
+
+@query("norm_entity", f"SELECT p_partkey, {_SURFACE} AS name FROM (SELECT p_partkey, {_PLAIN} AS x FROM part)")
 def norm_entity(t: Tables) -> DataFrame:
-    c = F.regexp_replace(F.regexp_replace(F.lower("p_name"), "[-/]", " "), "^(the|a|an) ", "")
-    return t("part").select("p_partkey", K.normal(c).alias("name"))
+    """Part names with articles, quotes, parentheses and plurals around them."""
+    return t("part").select("p_partkey", K.surface(F.expr(_SURFACED)).alias("name"))
 
 
 _SINGULAR = "CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN x[1:length(x) - 3] || 'y' WHEN length(x) > 3 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN x[1:length(x) - 1] ELSE x END"
@@ -84,16 +89,25 @@ _SINGULAR = "CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN x[1:length(x)
 
 @query("norm_tokens", f"SELECT item_id, list_transform(string_split({_NORMAL}, ' '), lambda x: {_SINGULAR}) AS tokens FROM benchmark")
 def norm_tokens(t: Tables) -> DataFrame:
-    def one(x):
-        cut = lambda n: F.substr(x, F.lit(1), F.length(x) - n)
-        return F.when((F.length(x) > 4) & F.endswith(x, F.lit("ies")), F.concat(cut(3), F.lit("y"))).when((F.length(x) > 3) & F.endswith(x, F.lit("s")) & ~F.endswith(x, F.lit("ss")), cut(1)).otherwise(x)
+    return t("benchmark").select("item_id", F.transform(F.split(K.normal(F.col("text")), " "), K.singular).alias("tokens"))
+
+
+_TAILED = "(CASE p_partkey % 6 WHEN 0 THEN p_name || ' ' || p_size WHEN 1 THEN 'all ' || p_name WHEN 2 THEN p_name || ' of wood' WHEN 3 THEN p_name || ' items ' || p_size WHEN 4 THEN 'big ' || p_name ELSE p_name END)"
+_GENERIC = "(" + ", ".join(f"'{w}'" for w in K.GENERIC_TAIL) + ")"
+
+
+def _name_tokens(c: str) -> str:
+    """SQL of K.name_tokens for names of letters, digits and spaces."""
+    return f"list_transform(list_filter(string_split((SELECT {_SURFACE} FROM (SELECT trim(regexp_replace(regexp_replace(lower({c}), '\\b(the|a|an)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS x)), ' '), lambda x: x <> ''), lambda x: {_SINGULAR})"
 
-    return t("benchmark").select("item_id", F.transform(F.split(K.normal(F.col("text")), " "), one).alias("tokens"))
 
+_ONLY = f"len(list_filter({{0}}, lambda x: NOT regexp_full_match(x, '[0-9]+') AND x NOT IN {_GENERIC})) = 0 AND len({{0}}) > 0"
 
-@query("alias_generic_tail", "SELECT p_partkey, regexp_full_match(lower(p_name), '(part|item)[ #]*([0-9]+|of|the)*') AS generic FROM part")
+
+@query("alias_generic_tail", f"WITH a AS (SELECT p_partkey, {_name_tokens(_TAILED)} AS n, {_name_tokens('p_name')} AS a FROM part) SELECT p_partkey, len(a) > 0 AND len(n) > len(a) AND ((n[1:len(a)] = a AND {_ONLY.format('n[len(a) + 1:]')}) OR (n[len(n) - len(a) + 1:] = a AND {_ONLY.format('n[1:len(n) - len(a)]')})) AS generic FROM a")
 def alias_generic_tail(t: Tables) -> DataFrame:
-    return t("part").select("p_partkey", F.lower("p_name").rlike("^(part|item)[ #]*([0-9]+|of|the)*$").alias("generic"))
+    """Part names with words and numbers beside them, against the bare names as aliases."""
+    return t("part").select("p_partkey", K.has_generic_tail(K.name_tokens(F.expr(_TAILED)), K.name_tokens(F.col("p_name"))).alias("generic"))
 
 
 @query("canonicalize", f"WITH {ENTITIES} SELECT doc_id, name AS entity_type, alias AS surface, lower(name) || '_' || trim(regexp_replace(lower(alias), '[^a-z0-9]+', '_', 'g'), '_') AS canonical_key FROM o")
@@ -101,9 +115,24 @@ def canonicalize(t: Tables) -> DataFrame:
     return entities(t).select("doc_id", F.col("name").alias("entity_type"), F.col("alias").alias("surface"), K.entity_key(F.col("name"), F.col("alias")).alias("canonical_key"))
 
 
-@query("kg_extract_heuristic", f"{RELATIONS} SELECT doc_id, predicate, subject, object, confidence FROM rel")
+_SPACED = {c: "".join(f" {x}" if x.isupper() and k else x for k, x in enumerate(c)).lower() for c in K.LABELS}
+_TOKEN = "CASE name " + " ".join(f"WHEN '{c}' THEN CASE WHEN contains(low, '{label.lower()}') THEN '{label.lower()}' WHEN contains(low, '{_SPACED[c]}') THEN '{_SPACED[c]}' END" for c, label in K.LABELS.items()) + " END"
+_LABEL = "CASE name " + " ".join(f"WHEN '{c}' THEN '{label}'" for c, label in K.LABELS.items()) + " END"
+
+
+@query(
+    "kg_extract_heuristic",
+    f"""WITH {TAGS}, dl AS (SELECT doc_id, text, lower(text) AS low FROM documents), tk AS (SELECT doc_id, name, {_LABEL} AS label, {_TOKEN} AS token, low FROM (SELECT DISTINCT doc_id, name FROM tags) JOIN dl USING (doc_id)),
+fe AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS n, strpos(low, token) - 1 AS start FROM tk WHERE token IS NOT NULL), ph(k, predicate, phrase) AS (VALUES {", ".join(f"({k}, '{p}', '{x}')" for k, (p, _, _, x) in enumerate(K.PREDICATES))}),
+fr AS (SELECT doc_id, predicate, text, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM dl JOIN ph ON contains(low, phrase) WHERE doc_id IN (SELECT doc_id FROM fe WHERE n = 2))
+SELECT doc_id, 'entity' AS kind, 'e' || n AS id, label AS a, name AS b, CAST(start AS INTEGER) AS first, CAST(start + length(token) AS INTEGER) AS last FROM fe UNION ALL SELECT doc_id, 'relation', 'r' || n, predicate, 'e1>e2', 0, length(substr(text, 1, {K.EXCERPT})) FROM fr""",
+)
 def kg_extract_heuristic(t: Tables) -> DataFrame:
-    return relations(t).select("doc_id", "predicate", "subject", "object", "confidence")
+    """What every document says without a model: entities by label, the first two linked by each phrase, with an excerpt."""
+    found = K.heuristic(t("documents"), t.spark)
+    e = found.select("doc_id", F.explode("entities").alias("x")).select("doc_id", F.lit("entity").alias("kind"), "x.id", F.col("x.name").alias("a"), F.col("x.type").alias("b"), F.col("x.start").alias("first"), F.col("x.end").alias("last"))
+    r = found.select("doc_id", "excerpt", F.explode("relations").alias("x")).select("doc_id", F.lit("relation").alias("kind"), "x.id", F.col("x.predicate").alias("a"), F.concat_ws(">", "x.subject", "x.object").alias("b"), F.lit(0).alias("first"), F.length("excerpt").alias("last"))
+    return e.unionByName(r)
 
 
 @query("kg_input_augment", "SELECT o_orderkey, concat_ws(chr(10), o_orderpriority, array_to_string(list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR))[1:3], chr(10))) AS text FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderpriority")

@@ -5,7 +5,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from stratalode.operators import extraction as X
+from stratalode.operators import knowledge as K
 
 ONTO = X.Ontology({"Animal": None, "Cat": "Animal", "Food": None, "Loop": "Loop"}, {"eats": ("object", "Animal", "Food"), "weighs": ("datatype", "Animal", "xsd:decimal"), "near": ("object", None, "Elsewhere")})
 
@@ -159,3 +162,27 @@ def test_tables_quarantine_and_replay(spark):
 @pytest.mark.parametrize("name,want", [("Cat", ["Cat", "Animal"]), ("Loop", ["Loop"]), ("Gone", ["Gone"])])
 def test_lineage_ends(name, want):
     assert ONTO.lineage(name) == want
+
+
+@pytest.mark.parametrize(
+    "name,want",
+    [("The Honey Bees", "honey bee"), ('"An Apiary"', "apiary"), ("Smoker (small)", "smoker small"), ("berries", "berry"), ("Propolis", "propolis"), ("Apis / mellifera-sp", "apis mellifera sp"), ("glass", "glass"), ("ﬁeld notes", "field note"), ("gas", "gas"), (None, ""), ("ties", "tie")],
+)
+def test_surfaces_of_names(spark, name, want):
+    assert spark.createDataFrame([(name,)], "n string").select(K.surface(F.col("n"))).first()[0] == want
+
+
+def test_generic_tails(spark):
+    rows = [("two hundred bees", "bee", False), ("100 bees", "bee", True), ("many thousands of bees", "bee", True), ("bees", "bee", False), ("bees in 12", "bees", True), ("queen bee", "bee", False), ("", "bee", False), ("frame", "", False), ("wooden frame of", "wooden frame", True)]
+    df = spark.createDataFrame(rows, "n string, a string, w boolean")
+    assert [r[0] for r in df.select(K.has_generic_tail(K.name_tokens(F.col("n")), K.name_tokens(F.col("a")))).collect()] == [r[2] for r in rows]
+
+
+def test_extraction_without_a_model(spark):
+    text = "Come with us: only that way leads in and by here it is. " + "x" * 300
+    docs = spark.createDataFrame([(1, text), (2, "by"), (3, "nothing"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in K.heuristic(docs, spark).collect()}
+    want = [(f"e{k}", label, kind, text.find(label.lower()), text.find(label.lower()) + len(label)) for k, (label, kind) in enumerate((("By", "Link"), ("It", "NearPointer"), ("In", "Place"), ("That", "Pointer")), 1)]
+    assert [(e.id, e.name, e.type, e.start, e.end) for e in got[1].entities] == want
+    assert [(r.id, r.predicate, r.subject, r.object) for r in got[1].relations] == [("r1", "limits", "e1", "e2"), ("r2", "joins", "e1", "e2"), ("r3", "names", "e1", "e2")] and len(got[1].excerpt) == 240
+    assert [e.name for e in got[2].entities] == ["By"] and got[2].relations == [] and set(got) == {1, 2}
