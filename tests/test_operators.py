@@ -225,8 +225,9 @@ def test_context_compression_and_answers(spark):
     rows = [(1, k, d, s, x) for k, (d, s, x) in enumerate([("a", 0.9, "alpha beta gamma delta"), ("a", 0.8, "Alpha  beta gamma DELTA"), ("b", 0.7, "alpha beta gamma epsilon"), ("c", 0.5, "zeta theta iota kappa"), ("d", 0.1, "other words here now")])]
     scored = spark.createDataFrame(rows, "query_id long, doc_id long, document string, score double, text string")
     assert [(r.doc_id, r.place) for r in retrieval.compress(scored, 10, 280).orderBy("place").collect()] == [(0, 1), (3, 2)]
-    assert [r.doc_id for r in retrieval.compress(scored, 10, 280, spread="broad").orderBy("place").collect()] == [0, 3, 4]
-    assert [r.doc_id for r in retrieval.compress(scored, 1, 280, spread="single").collect()] == [0]
+    plan = lambda spread: spark.createDataFrame([(1, "fact", spread)], "query_id long, kind string, spread string")
+    assert [r.doc_id for r in retrieval.compress(scored, 10, 280, plan("broad")).orderBy("place").collect()] == [0, 3, 4]
+    assert [r.doc_id for r in retrieval.compress(scored, 1, 280, plan("single")).collect()] == [0]
     said = [None, "", "plain", '[1, 2]', '{"answer": " x ", "confidence": 2}', 'so {"answer": "y", "citations": [{"chunk_id": "k"}]}!', "{broken"]
     got = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, c string").select("k", context.coerce_answer(F.col("c"), F.array(F.lit("c1"))).alias("r")).orderBy("k").select("r.*").collect()
     assert [(r.answer, r.confidence, list(r.used_chunk_ids), r.plain) for r in got] == [("", 0.74, ["c1"], True), ("", 0.74, ["c1"], True), ("plain", 0.74, ["c1"], True), ("[1, 2]", 0.74, ["c1"], True), ("x", 2.0, [], False), ("y", 0.0, ["k"], False), ("{broken", 0.74, ["c1"], True)]
