@@ -448,10 +448,12 @@ def link_support(t: Tables) -> DataFrame:
     return t("lineitem").groupBy("l_partkey").agg(F.max(F.least(F.lit(0.32), F.col("l_discount") * F.greatest(F.lit(0.1), F.col("l_tax") + 0.15))).alias("support"))
 
 
-@query("fetch_by_ids", "WITH i AS (SELECT item_id, CAST(row_number() OVER (ORDER BY item_id DESC) - 1 AS INTEGER) AS pos FROM benchmark) SELECT pos, doc_id, source FROM i JOIN documents ON doc_id = item_id")
+@query("fetch_by_ids", "WITH i AS (SELECT l_orderkey, l_partkey AS p_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS pos FROM lineitem) SELECT l_orderkey, pos, p_partkey, p_name FROM i JOIN part USING (p_partkey)")
 def fetch_by_ids(t: Tables) -> DataFrame:
-    ids = t("benchmark").agg(F.sort_array(F.collect_list("item_id"), asc=False).alias("ids")).select(F.posexplode("ids").alias("pos", "doc_id"))
-    return t("documents").join(ids, "doc_id").select("pos", "doc_id", "source")
+    """Orders as requests for the parts of their lines: each request's rows by id, in the order in which it names them."""
+    place = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1).alias("pos")
+    asked = t("lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), place)
+    return asked.join(t("part").select("p_partkey", "p_name"), "p_partkey").select("l_orderkey", "pos", "p_partkey", "p_name")
 
 
 @query("fetch_links", "SELECT l_orderkey, l_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size >= 40")
