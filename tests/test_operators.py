@@ -332,3 +332,19 @@ def test_judge_needs_all_a_case_asks_for(spark):
     assert [got[k] for k in range(1, 11)] == [[c] for c in evaluation.CHECKS]
     assert not got[0] and not got[11] and got[12] == ["grounding_ok"]
     assert tuple(evaluation.summary(judged).first())[:5] == (13, 2, 0.1538, 3, 2)
+
+
+def test_hot_seeds_meet_queries_as_one_row(spark):
+    """A seed with many assertions is one row from its query to its neighbours; own assertions give way to the next best."""
+    from stratalode.operators import graph as G
+
+    around = [(k, "hub", f"p{k}", "contains", 1 - k / 1000, 0, f"d{k}", f"hub contains p{k}") for k in range(100)]
+    lines = spark.createDataFrame(around, "assertion_id long, subject string, object string, predicate string, confidence double, evidence long, document string, surface string")
+    base = spark.createDataFrame([(q, a, p) for q in range(20) for p, a in enumerate([q, (q + 1) % 20])], "query_id long, assertion_id long, place int")
+    near = G.nearby(base, lines)
+    joins = [x for x in near._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert not any("LeftAnti" in x for x in joins)
+    got = {(r.query_id, r.rn): r.assertion_id for r in near.where("seed = 'hub'").collect()}
+    for q in range(20):
+        free = [a for a in range(100) if a not in (q, (q + 1) % 20)]
+        assert [got[q, 1], got[q, 2]] == free[:2]
