@@ -68,38 +68,71 @@ def search_entities(entities: DataFrame, assertions: DataFrame, evidence: DataFr
     assertions gives. An entity found by itself counts all its assertions, another those that were found. Entities without
     assertions in scope are not found.
 
-    Totals per entity are counted once for all queries, and what assertions hold is reduced to one row an entity and term, so
-    an entity with a large share of all assertions weighs no more than others where queries come in.
+    Queries of the same terms are answered once, as one ask. Entities whose names, types and ids hold the same terms are a class,
+    those of a class whose assertions hold the same terms a unit: all of a unit are equally relevant to any ask. So asks meet
+    classes, then the units of classes that can reach an ask's `limit` best, then the first `limit` entities of the units left.
+    Only where entities known by their assertions alone may be among the best do asks meet the assertions.
     """
-    asked = queries.select("query_id", F.explode(F.slice(terms(F.col("q")), 1, MOST_TERMS)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asks = queries.select("query_id", F.slice(terms(F.col("q")), 1, MOST_TERMS).alias("ask"))
+    asks = asks.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("ask"))).alias("ask")).where(F.size("ask") > 0)
+    asked = asks.select("ask").distinct().select("ask", F.explode("ask").alias("term")).groupBy("ask", "term").agg(F.count("*").alias("times"))
     words = asked.select("term").distinct()
     blocks = max(1, -(-words.count() // TERM_BLOCK))
     wanted = words.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)))
 
+    sides = F.array_distinct(F.array_compact(F.array("subject_entity_id", "object_entity_id")))
+    fan = assertions.select("assertion_id", "document_id", F.explode(sides).alias("entity_id")).distinct()
+    totals = fan.groupBy("entity_id").agg(F.countDistinct("assertion_id").alias("assertions"), F.countDistinct("document_id").alias("documents"))
+    known = entities.select("entity_id", "canonical_name").join(totals, "entity_id")
+
     named = entities.select("entity_id", "canonical_name", "entity_type", F.col("entity_id").alias("id_text"))
     own = found_terms(named, ["entity_id"], ["canonical_name", "entity_type", "id_text"], wanted, blocks)
     bit = lambda column, k, worth: F.when(F.col(column).bitwiseAND(F.lit(1 << k)) > 0, worth).otherwise(0)
     own = own.select("entity_id", "term", (bit("prefix", 0, PREFIX) + bit("at", 0, NAME) + bit("at", 1, TYPE) + bit("at", 2, ID)).alias("worth"))
 
-    literal = found_terms(assertions, ["assertion_id"], ["object_literal"], wanted, blocks).select("assertion_id", "term", F.lit(LITERAL).alias("literal"), F.lit(0).alias("excerpt"))
-    excerpt = found_terms(evidence, ["assertion_id"], ["excerpt"], wanted, blocks).select("assertion_id", "term", F.lit(0).alias("literal"), F.lit(EXCERPT).alias("excerpt"))
+    literals, excerpts = assertions.where("object_literal <> ''"), evidence.where("excerpt <> ''")
+    literal = found_terms(literals, ["assertion_id"], ["object_literal"], wanted, blocks).select("assertion_id", "term", F.lit(LITERAL).alias("literal"), F.lit(0).alias("excerpt"))
+    excerpt = found_terms(excerpts, ["assertion_id"], ["excerpt"], wanted, blocks).select("assertion_id", "term", F.lit(0).alias("literal"), F.lit(EXCERPT).alias("excerpt"))
     told = literal.unionByName(excerpt).groupBy("assertion_id", "term").agg(F.max("literal").alias("literal"), F.max("excerpt").alias("excerpt"))
-
-    sides = F.array_distinct(F.array_compact(F.array("subject_entity_id", "object_entity_id")))
-    fan = assertions.select("assertion_id", "document_id", F.explode(sides).alias("entity_id")).distinct()
-    totals = fan.groupBy("entity_id").agg(F.countDistinct("assertion_id").alias("all_assertions"), F.countDistinct("document_id").alias("all_documents"))
     met = fan.join(told, "assertion_id")
     by_term = met.groupBy("entity_id", "term").agg((F.max("literal") + F.max("excerpt")).alias("worth"))
 
-    worth = own.withColumn("own", F.lit(True)).unionByName(by_term.withColumn("own", F.lit(False)))
-    scored = worth.join(asked, "term").groupBy("query_id", "entity_id").agg(F.sum(F.col("worth") * F.col("times")).alias("relevance"), F.max("own").alias("own"))
-    only_told = scored.where(~F.col("own")).select("query_id", "entity_id")
-    counted = met.join(asked, "term").join(only_told, ["query_id", "entity_id"], "left_semi")
-    counted = counted.groupBy("query_id", "entity_id").agg(F.countDistinct("assertion_id").alias("some_assertions"), F.countDistinct("document_id").alias("some_documents"))
-    known = entities.select("entity_id", "canonical_name").join(totals, "entity_id")
-    out = scored.join(known, "entity_id").join(counted, ["query_id", "entity_id"], "left")
-    out = out.select("query_id", "entity_id", "canonical_name", "relevance", F.coalesce("some_assertions", "all_assertions").alias("assertions"), F.coalesce("some_documents", "all_documents").alias("documents"))
-    order = [F.desc("relevance"), F.desc("assertions"), F.desc("documents"), "canonical_name", "entity_id"]
-    placed = out.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= limit)
-    return placed.drop("canonical_name")
-
+    has = lambda df, name: df.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("term", "worth"))).alias(name))
+    none = F.array().cast("array<struct<term:string,worth:int>>")
+    members = known.join(has(own, "class"), "entity_id").join(has(by_term, "unit"), "entity_id", "left").withColumn("unit", F.coalesce("unit", none))
+    order = [F.desc("assertions"), F.desc("documents"), "canonical_name", "entity_id"]
+    # a unit's entities have one relevance and count all they have, so their order is the same in every ask
+    inside = Window.partitionBy("class", "unit")
+    firsts = members.withColumn("nth", F.row_number().over(inside.orderBy(*order))).where(F.col("nth") <= limit)
+    units = members.groupBy("class", "unit").agg(F.count("*").alias("n"))
+    classes = units.groupBy("class").agg(F.sum("n").alias("n"))
+
+    def worth(side: str) -> DataFrame:
+        """(ask, side, n, value): what classes or units that hold a term of an ask give it."""
+        rows = {"class": classes, "unit": units.groupBy("unit").agg(F.sum("n").alias("n"))}[side]
+        each = rows.select(side, F.explode(side).alias("x")).select(side, "x.term", "x.worth")
+        return each.join(asked, "term").groupBy("ask", side).agg(F.sum(F.col("worth") * F.col("times")).alias("value"))
+
+    def reached(rows: DataFrame, value: str) -> DataFrame:
+        """rows (ask, n, value) with least: what the ask's entity at `limit` has at least, 0 where there are fewer."""
+        upto = F.sum("n").over(Window.partitionBy("ask").orderBy(F.desc(value)))
+        return rows.withColumn("upto", upto).withColumn("least", F.coalesce(F.max(F.when(F.col("upto") >= limit, F.col(value))).over(Window.partitionBy("ask")), F.lit(0))).drop("upto")
+
+    most = by_term.groupBy("term").agg(F.max("worth").alias("most")).join(asked, "term").groupBy("ask").agg(F.sum(F.col("most") * F.col("times")).alias("most"))
+    by_class = reached(worth("class").join(classes, "class"), "value").join(most, "ask", "left").fillna(0, ["most"])
+    hopeful = by_class.where(F.col("value") + F.col("most") >= F.col("least")).select("ask", "class", "value")
+    by_unit = hopeful.join(units, "class").join(worth("unit").withColumnRenamed("value", "more"), ["ask", "unit"], "left")
+    by_unit = reached(by_unit.withColumn("relevance", F.col("value") + F.coalesce("more", F.lit(0))), "relevance").where(F.col("relevance") >= F.col("least"))
+    found = by_unit.select("ask", "class", "unit", "relevance").join(firsts, ["class", "unit"]).select("ask", "entity_id", "canonical_name", "relevance", "assertions", "documents")
+
+    # asks whose best by themselves are too few, or weigh no more than assertions alone can
+    sure = by_class.where(F.col("least") > F.col("most")).select("ask").distinct()
+    open_ = asked.join(sure, "ask", "left_anti")
+    by_told = by_term.join(open_, "term").groupBy("ask", "entity_id").agg(F.sum(F.col("worth") * F.col("times")).alias("relevance"))
+    by_told = by_told.join(own.join(open_, "term").select("ask", "entity_id"), ["ask", "entity_id"], "left_anti")
+    counted = met.join(open_, "term").join(by_told, ["ask", "entity_id"]).groupBy("ask", "entity_id", "relevance")
+    counted = counted.agg(F.countDistinct("assertion_id").alias("assertions"), F.countDistinct("document_id").alias("documents"))
+    alone = counted.join(entities.select("entity_id", "canonical_name"), "entity_id")
+
+    best = found.unionByName(alone.select(*found.columns)).withColumn("place", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("relevance"), *order)))
+    return asks.join(best.where(F.col("place") <= limit), "ask").select("query_id", "entity_id", "relevance", "assertions", "documents", "place")

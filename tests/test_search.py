@@ -58,3 +58,19 @@ def test_vectors_within_scope(spark, tmp_path, monkeypatch):
     plan = V.visible(index, stored)._jdf.queryExecution().executedPlan().toString()
     assert "publish_state" in plan and "dynamicpruning" in plan.lower()
     assert V.search(index, queries.limit(0), 5).count() == 0
+
+
+def test_many_entities_are_met_as_classes(spark):
+    """Entities of few kinds, many times more than are asked for: right results, and asks never meet the assertions one by one."""
+    rng = random.Random(5)
+    kinds = [f"{a} {b}" for a in ("red", "blue", "old") for b in ("rod", "bolt", "gear")]
+    entities = [(f"e{k}", rng.choice(kinds), rng.choice(["red", "plain"])) for k in range(240)]
+    assertions = [(f"a{k}", rng.randrange(40), f"e{rng.randrange(240)}", f"e{rng.randrange(240)}", rng.choice(["urgent", "high", None, ""])) for k in range(700)]
+    evidence = [(f"a{rng.randrange(700)}", rng.choice(["steel", "wood"])) for _ in range(300)]
+    asks = ["red rod urgent steel", "steel red urgent rod", "old gear gear high wood", "urgent wood", "blue steel", "bolt", "zzz steel high"]
+    queries = [(k, asks[k % len(asks)]) for k in range(20)]
+    tables = [spark.createDataFrame(r, s) for r, s in ((entities, "entity_id string, canonical_name string, entity_type string"), (assertions, "assertion_id string, document_id int, subject_entity_id string, object_entity_id string, object_literal string"), (evidence, "assertion_id string, excerpt string"), (queries, "query_id int, q string"))]
+    found = E.search_entities(*tables)
+    want = {(q, *r) for q, text in queries for r in plain_entities(entities, assertions, evidence, text, 6)}
+    assert {tuple(r) for r in found.collect()} == want and want
+    assert "query_id" not in "".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x)
