@@ -215,7 +215,8 @@ SELECT document_id, was, CASE WHEN was NOT IN ('chunks_validated', 'kg_validated
 def resume(t: Tables) -> DataFrame:
     """Jobs in all states with part of their work done, taken up where they stopped."""
     path = shared_path(t.spark, "resume")
-    chunks = accepted(t)
+    accepted(t).write.parquet(f"{path}/chunks")  # validated once, not for each step that reads them
+    chunks = t.spark.read.parquet(f"{path}/chunks")
     jobs = chunks.groupBy("document_id").agg(F.min("chunk_id").alias("first")).withColumn("status", F.expr(_JOB.format("first")))
     state = chunks.join(jobs.select("document_id", "status"), "document_id")
     extracted = lambda df: df.select("chunk_id", "document_id", F.when(_failed(), "quarantined").otherwise("validated").alias("status"))

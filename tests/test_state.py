@@ -45,3 +45,23 @@ def test_sensors_need_what_their_owner_has(spark):
     assert {(r.owner, r.external_id, r.name, r.place, r.hive, r.hive_name, r.label) for r in kept.collect()} == {("me", "s1", "late", 1, 10, "H10", "Garden"), ("you", "s1", "other", None, None, None, None), ("me", "s2", "n", None, None, "told", "free"), ("me", "s7", "n", None, 11, "H11", None)}
     again, _ = Z.sensor_upsert(kept, spark.createDataFrame(writes, sensor), places, hives)
     assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect()))
+
+
+def test_resume_validates_texts_once(spark, monkeypatch):
+    from stratalode.plans import quality as QP
+    from stratalode.plans import registry
+
+    whole, seen = QP.validated, spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        df = whole(t)
+        return df.mapInArrow(count, df.schema)
+
+    monkeypatch.setattr(QP, "validated", counted)
+    registry.queries()["resume"](spark, "/root/testdata/sf0.001").collect()
+    assert 0 < seen.value <= spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
