@@ -74,3 +74,19 @@ def test_revalidate_validates_texts_once(spark, monkeypatch):
     whole, calls = QP.validated, []
     monkeypatch.setattr(QP, "validated", lambda t: calls.append(1) or whole(t))
     assert registry.queries()["revalidate"](spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
+
+
+def test_only_failed_chunks_are_extracted_again(spark, monkeypatch):
+    from stratalode.plans import knowledge as KP
+    from stratalode.plans import registry
+
+    whole, sizes = KP.extractions, []
+
+    def sized(t):
+        df = whole(t)
+        sizes.append(df.count())
+        return df
+
+    monkeypatch.setattr(KP, "extractions", sized)
+    registry.queries()["kg_reprocess"](spark, "/root/testdata/sf0.001").collect()
+    assert len(sizes) == 2 and 0 < sizes[1] < sizes[0] / 5
