@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalode.functions import text as T
@@ -91,24 +91,16 @@ def section_title(t: Tables) -> DataFrame:
 
 @query("norm_page")
 def norm_page(t: Tables) -> DataFrame:
-    """Lines joined to paragraphs: a blank line or a heading ends one, a trailing hyphen joins words. One fold a document."""
+    """Lines joined to paragraphs: a blank line or a heading ends one, a trailing hyphen joins words. What follows a line is told by it and the next."""
+    lines = F.transform(F.split("text", "\n"), T.normalize_line)
+    d = t("documents").where("text IS NOT NULL").select("doc_id", lines.alias("lines")).withColumn("plain", F.transform("lines", lambda x: (x != "") & ~T.is_heading(x)))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, now = [], []
-        for line, heading in rows.sort_values("pos")[["line", "heading"]].itertuples(index=False):
-            if not line or heading:
-                out += [" ".join(now)] if now else []
-                out += [line] if line else []
-                now = []
-            elif now and now[-1].endswith("-"):
-                now[-1] = now[-1][:-1] + line
-            else:
-                now.append(line)
-        out += [" ".join(now)] if now else []
-        return pd.DataFrame({"doc_id": [rows.doc_id.iloc[0]], "text": ["\n\n".join(out)]})
-
-    lines = P.blocks(t).select("doc_id", "pos", T.normalize_line(F.col("line")).alias("line"))
-    return lines.withColumn("heading", T.is_heading(F.col("line"))).groupBy("doc_id").applyInPandas(run, "doc_id long, text string")
+    def shown(x: Column, i: Column) -> Column:
+        goes_on = F.get("plain", i) & F.coalesce(F.get("plain", i + 1), F.lit(False))
+        joined = F.when(F.endswith(x, F.lit("-")), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(F.concat(x, F.lit(" ")))
+        return F.when(x == "", "").when(goes_on, joined).otherwise(F.concat(x, F.lit("\n\n")))
+
+    return d.select("doc_id", F.rtrim(F.array_join(F.transform("lines", shown), ""), F.lit("\n")).alias("text"))
 
 
 @query("syn_section", f"{PARSED} SELECT doc_id, array_to_string(section_path, '/') AS section, count(*) AS blocks, min(page) AS page_start, max(page) AS page_end, min(char_start) AS char_start, max(char_end) AS char_end, arg_min(text, pos) AS first_text, substr(sha256(doc_id || ':' || array_to_string(section_path[1:len(section_path) - 1], '/')), 1, 16) AS parent_id FROM parsed GROUP BY doc_id, section_path")
