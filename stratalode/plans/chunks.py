@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,21 +110,24 @@ def syn_section(t: Tables) -> DataFrame:
     return g.withColumn("parent_id", F.substring(F.sha2(F.concat_ws(":", "doc_id", "parent"), 256), 1, 16)).drop("parent")
 
 
+def _section_texts(t: Tables) -> DataFrame:
+    """doc_id, section, texts: a section's texts in order."""
+    b = parsed(t).select("doc_id", F.array_join("section_path", "/").alias("section"), "pos", "text")
+    texts = F.sort_array(F.collect_list(F.struct("pos", "text")))  # part of one document
+    return b.groupBy("doc_id", "section").agg(F.transform(texts, lambda x: x["text"]).alias("texts"))
+
+
 @query("syn_text")
 def syn_text(t: Tables) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": [rows.doc_id.iloc[0]], "section": [rows.section.iloc[0]], "synopsis": [C.synopsis(rows.sort_values("pos").text.tolist())]})
-
-    b = parsed(t).select("doc_id", F.array_join("section_path", "/").alias("section"), "pos", "text")
-    return b.groupBy("doc_id", "section").applyInPandas(run, "doc_id long, section string, synopsis string")
+    return C.synopses(_section_texts(t), ["doc_id", "section"], "texts")
 
 
 @query("syn_document")
 def syn_document(t: Tables) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": [rows.doc_id.iloc[0]], "synopsis": [C.synopsis(rows.sort_values("section").synopsis.tolist(), parts=4, budget=960)]})
-
-    return syn_text(t).groupBy("doc_id").applyInPandas(run, "doc_id long, synopsis string")
+    """The synopsis of a document's section synopses, in the order of the sections' names."""
+    sections = F.sort_array(F.collect_list(F.struct("section", "texts")))
+    g = _section_texts(t).groupBy("doc_id").agg(F.transform(sections, lambda x: x["texts"]).alias("sections"))
+    return C.synopses(g, ["doc_id"], "sections", parts=4, budget=960)
 
 
 @query("syn_for_chunks", f"{PARSED}, s AS (SELECT doc_id, section_path, min(pos) AS first_pos FROM parsed GROUP BY 1, 2) SELECT p.doc_id, p.pos, s.first_pos FROM parsed p JOIN s ON p.doc_id = s.doc_id AND p.section_path = s.section_path")

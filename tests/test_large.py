@@ -36,3 +36,15 @@ def test_a_heading_that_no_block_takes_stands_alone(spark):
     blocks = spark.createDataFrame(rows, "doc_id long, pos int, page int, block_type string, text string, section_path array<string>, char_start long, char_end long")
     got = {(r.doc_id, r.pos, r.block_type): r.text for r in chunks.units(blocks).collect()}
     assert got == {(1, 0, "heading"): "A", (1, 1, "paragraph"): "other", (1, 3, "paragraph"): "x", (1, 4, "paragraph"): "C\n\nmine", (None, 0, "heading"): "N", (None, 1, "paragraph"): "N\n\ny"}
+
+
+@pytest.mark.parametrize("query", [CP.syn_text, CP.syn_document])
+def test_synopses_need_no_group_of_pandas_rows(spark, query):
+    assert "FlatMapGroups" not in plan(query(Tables(spark, SF))) and plan(query(Tables(spark, SF))).count("hashpartitioning(doc_id") == 1
+
+
+def test_synopses_of_synopses(spark):
+    a, b, c = (f"This is a {x} sentence that is long enough to count" for x in ("first", "second", "third"))
+    rows = spark.createDataFrame([(1, [[f"{a}. {b}", f"{a}. {b}"], [c]])], "doc_id long, said array<array<string>>")
+    assert chunks.synopses(rows, ["doc_id"], "said", parts=4, budget=960).first().synopsis == f"{a} {b} {c}"
+    assert chunks.synopses(rows.selectExpr("doc_id", "said[1] AS said"), ["doc_id"], "said").first().synopsis == c
