@@ -1,9 +1,13 @@
 """What keeps queries from growing faster than their tables: their plans, and golden cases of what was rewritten for that."""
 
+import re
+
 import pytest
 
 from stratalode.operators import chunks
+from stratalode.operators import grounding as G
 from stratalode.plans import chunks as CP
+from stratalode.plans import context as XP
 from stratalode.plans import quality as QP
 from stratalode.plans.catalog import Tables
 
@@ -63,3 +67,13 @@ def test_review_effects_validates_once(spark):
 def test_noise_counts_characters_that_clean_text_lacks(spark):
     row = spark.createDataFrame([("a\u00e9 \U0001f600#x.",), ("",), ("{{}}",)], "t string").select(QP.Q.noise(QP.F.col("t")).alias("n")).collect()
     assert [r.n for r in row] == [3 / 7, 1.0, 1.0]
+
+
+def test_claims_are_judged_once_and_their_texts_not_sent_with_each_term(spark):
+    t = Tables(spark, SF)
+    assert "posexplode" not in plan(XP.ground_subset(t)) and "posexplode" not in plan(XP.ground_review(t))
+    assert not re.search(r"Aggregate \[[^\]]*claim#", XP.judged(t)._jdf.queryExecution().optimizedPlan().toString())
+    answers = spark.createDataFrame([(1, 1, "Hives hold 12 frames. Wax is made by bees.", "what of frames?"), (None, 2, "Bees fly far.", "")], "g long, k long, answer string, question string")
+    evidence = spark.createDataFrame([(1, 5, 5, "hives hold 12 frames")], "g long, at long, id long, text string")
+    got = {(r.k, r.place): (r.claim, r.supported, r.evidence_ids) for r in G.support(answers, evidence, ["g"], ["k"]).collect()}
+    assert got == {(1, 0): ("Hives hold 12 frames.", True, ["5"]), (1, 1): ("Wax is made by bees.", False, []), (2, 0): ("Bees fly far.", False, [])}
