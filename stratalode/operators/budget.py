@@ -35,6 +35,11 @@ class Kind:
     optional: tuple[str, ...] = ()
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once, however often it is mentioned: within a fold each mention would make it anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def json_size(value: Column) -> Column:
     """Characters of a value as JSON with a space after each comma and colon."""
     text = F.to_json(value, {"ignoreNullFields": "false"})
@@ -85,18 +90,22 @@ def budgeted(rows: Column, limit: int, kind: Kind) -> Column:
     """
     place = lambda at, row, size: F.struct(at.cast("int").alias("at"), row.alias("row"), size.cast("long").alias("size"))
     zero = F.lit(0)
-    like = F.transform(rows, lambda x: place(zero, _rendered(kind, x, F.lit(limit))[0], zero))
+    none = F.transform(F.slice(rows, 1, 0), lambda x: place(zero, _rendered(kind, x, F.lit(limit))[0], zero))
     state = lambda used, at, done, kept: F.struct(used.cast("long").alias("used"), at.cast("int").alias("at"), done.alias("done"), kept.alias("kept"))
-    start = state(zero, zero, F.lit(False), F.filter(like, lambda _: F.lit(False)))
+    start = state(zero, zero, F.lit(False), none)
 
     def step(s: Column, x: Column) -> Column:
         row, names = _rendered(kind, x, F.greatest(zero, limit - s["used"]))
-        size, first, after = _size(row, names, kind.optional), F.size(s["kept"]) == 0, s["at"] + 1
-        cut = _shrunk(_rendered(kind, x, F.lit(max(LEAST_ROOM, limit)), cut=True)[0], names, kind, limit)
-        ended = state(s["used"], after, F.lit(True), F.array_append(s["kept"], place(s["at"], cut, _size(cut, names, kind.optional))))
-        taken = state(s["used"] + size, after, F.lit(False), F.array_append(s["kept"], place(s["at"], row, size)))
-        passed = state(s["used"], after, s["done"], s["kept"])
-        return F.when(s["done"] | (~first & (s["used"] + size > limit)), passed).when(first & (size > limit), ended).otherwise(taken)
+        first, after = F.size(s["kept"]) == 0, s["at"] + 1
+        sized = lambda made, use: once(made, lambda r: once(F.struct(r.alias("row"), _size(r, names, kind.optional).alias("size")), lambda v: use(v["row"], v["size"])))
+        whole, passed = _rendered(kind, x, F.lit(max(LEAST_ROOM, limit)), cut=True)[0], state(s["used"], after, s["done"], s["kept"])
+        ended = sized(_shrunk(whole, names, kind, limit), lambda cut, size: state(s["used"], after, F.lit(True), F.array_append(s["kept"], place(s["at"], cut, size))))
+
+        def judged(row: Column, size: Column) -> Column:
+            taken = state(s["used"] + size, after, F.lit(False), F.array_append(s["kept"], place(s["at"], row, size)))
+            return F.when(~first & (s["used"] + size > limit), passed).when(first & (size > limit), ended).otherwise(taken)
+
+        return F.when(s["done"], passed).otherwise(sized(row, judged))
 
     return F.aggregate(rows, start, step)["kept"]
 

@@ -4,8 +4,10 @@ import re
 
 import pytest
 
+from stratalode.operators import budget as B
 from stratalode.operators import chunks
 from stratalode.operators import grounding as G
+from stratalode.plans import budget as BP
 from stratalode.plans import chunks as CP
 from stratalode.plans import context as XP
 from stratalode.plans import quality as QP
@@ -77,3 +79,8 @@ def test_claims_are_judged_once_and_their_texts_not_sent_with_each_term(spark):
     evidence = spark.createDataFrame([(1, 5, 5, "hives hold 12 frames")], "g long, at long, id long, text string")
     got = {(r.k, r.place): (r.claim, r.supported, r.evidence_ids) for r in G.support(answers, evidence, ["g"], ["k"]).collect()}
     assert got == {(1, 0): ("Hives hold 12 frames.", True, ["5"]), (1, 1): ("Wax is made by bees.", False, []), (2, 0): ("Bees fly far.", False, [])}
+
+
+def test_a_budget_renders_each_row_once(spark):
+    shown = BP.kept(Tables(spark, SF), "entity")._jdf.queryExecution().optimizedPlan().toString()
+    assert B.once(BP.F.lit(3), lambda v: v + v) is not None and shown.count("to_json") <= 16, shown.count("to_json")
