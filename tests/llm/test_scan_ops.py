@@ -257,6 +257,16 @@ def test_equal_statistics_have_equal_verdicts(spark):
     assert sum(good) > 0.99 * len(good) and sum(bad) < 0.05 * len(bad)
 
 
+def test_a_concentration_step_is_one_narrow_table(stored, monkeypatch):
+    """The driver plans each step, so a step writes one table of one fit a row, also for the three starts."""
+    written, real = [], quality_rules.materialise
+    monkeypatch.setattr(quality_rules, "materialise", lambda df, name, **more: written.append((name, len(df.columns))) or real(df, name, **more))
+    quality_rules.judge(stored)
+    mcd = [(name, n) for name, n in written if name.startswith("mcd-")]
+    steps = [name for name, _ in mcd].count("mcd-step")
+    assert steps and len(mcd) - steps <= 6 and max(n for _, n in mcd) <= 32, mcd
+
+
 def test_quality_of_small_and_uniform_tables(spark, stored):
     text = "some words that are told here only once " + " ".join(f"w{k}" for k in range(60))
     for texts in ([text], [text] * 7, [text] * 5 + [None, ""]):
