@@ -28,11 +28,13 @@ Fields = dict[str, Column]
 class Kind:
     """How rows of a kind are shown: `show` gives the fields in order and whether something was left out.
 
-    Fields named in `optional` are left out where they are null; all others stand with null.
+    Fields named in `optional` are left out where they are null; all others stand with null. Those named in `nested` are arrays
+    or structs, all others single values.
     """
 
     show: Callable[[Column, Column], tuple[Fields, Column]]
     optional: tuple[str, ...] = ()
+    nested: tuple[str, ...] = ()
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -40,17 +42,28 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def json_size(value: Column) -> Column:
-    """Characters of a value as JSON with a space after each comma and colon."""
-    text = F.to_json(value, {"ignoreNullFields": "false"})
-    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'"[^"]*+"', ""), "[^,:]", "")
-    return F.length(text) + F.length(marks)
+def _marks(text: Column) -> Column:
+    """Commas and colons of JSON text outside of its strings."""
+    return F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'"[^"]*+"', ""), "[^,:]", ""))
 
 
-def _size(row: Column, names: list[str], optional: tuple[str, ...]) -> Column:
-    size = json_size(F.struct(*(row[n].alias(n) for n in names if n not in optional)))
-    for n in optional:
-        size += F.when(row[n].isNotNull(), json_size(F.struct(row[n].alias(n))) + 0).otherwise(0)  # its braces stand for ", "
+def json_size(fields: Fields, nested: tuple[str, ...] = ()) -> Column:
+    """Characters of an object of these fields as JSON with a space after each comma and colon.
+
+    The object's own marks follow from the number of its fields; only fields named in `nested` (arrays and structs) have further
+    ones, which are looked for in their text.
+    """
+    size = F.length(F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"})) + (2 * len(fields) - 1)
+    for n in nested:
+        if n in fields:
+            size += F.coalesce(_marks(F.to_json(fields[n], {"ignoreNullFields": "false"})), F.lit(0))
+    return size
+
+
+def _size(row: Column, names: list[str], kind: Kind) -> Column:
+    size = json_size({n: row[n] for n in names if n not in kind.optional}, kind.nested)
+    for n in kind.optional:
+        size += F.when(row[n].isNotNull(), json_size({n: row[n]}, kind.nested)).otherwise(0)  # its braces stand for ", "
     return size + F.when(row["truncated"], MARK).otherwise(0)
 
 
@@ -71,7 +84,7 @@ def _shrunk(row: Column, names: list[str], kind: Kind, limit: int) -> Column:
         for n in reversed(texts):
             half = F.greatest(F.lit(CUT_FLOOR), F.floor(F.length(r[n]) / 2).cast("int"))
             out = F.when(long(r, n), r.withField(n, F.concat(F.regexp_replace(F.substr(r[n], F.lit(1), half), r"\s+$", ""), F.lit(DOTS)))).otherwise(out)
-        return F.when(_size(r, names, kind.optional) > limit, out).otherwise(r)
+        return F.when(_size(r, names, kind) > limit, out).otherwise(r)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS * len(texts))), row, halved)
 
@@ -79,7 +92,7 @@ def _shrunk(row: Column, names: list[str], kind: Kind, limit: int) -> Column:
 def shown(row: Column, room: int, kind: Kind) -> Column:
     """(row, size): one struct as it is shown in a room, and its size without the mark of a cut."""
     got, names = _rendered(kind, row, F.lit(room))
-    return F.struct(got.alias("row"), (_size(got, names, kind.optional) - F.when(got["truncated"], MARK).otherwise(0)).cast("long").alias("size"))
+    return F.struct(got.alias("row"), (_size(got, names, kind) - F.when(got["truncated"], MARK).otherwise(0)).cast("long").alias("size"))
 
 
 def budgeted(rows: Column, limit: int, kind: Kind) -> Column:
@@ -97,7 +110,7 @@ def budgeted(rows: Column, limit: int, kind: Kind) -> Column:
     def step(s: Column, x: Column) -> Column:
         row, names = _rendered(kind, x, F.greatest(zero, limit - s["used"]))
         first, after = F.size(s["kept"]) == 0, s["at"] + 1
-        sized = lambda made, use: once(made, lambda r: once(F.struct(r.alias("row"), _size(r, names, kind.optional).alias("size")), lambda v: use(v["row"], v["size"])))
+        sized = lambda made, use: once(made, lambda r: once(F.struct(r.alias("row"), _size(r, names, kind).alias("size")), lambda v: use(v["row"], v["size"])))
         whole, passed = _rendered(kind, x, F.lit(max(LEAST_ROOM, limit)), cut=True)[0], state(s["used"], after, s["done"], s["kept"])
         ended = sized(_shrunk(whole, names, kind, limit), lambda cut, size: state(s["used"], after, F.lit(True), F.array_append(s["kept"], place(s["at"], cut, size))))
 
@@ -149,7 +162,7 @@ def _chunk(r: Column, room: Column) -> tuple[Fields, Column]:
 def _assertion(r: Column, room: Column) -> tuple[Fields, Column]:
     shown = {c: r[c] for c in ("assertion_id", "chunk_id", "subject_entity_id", "predicate", "object_entity_id", "object_literal")}
     shown |= {"chunk_id": r["chunk_id"].cast("string"), "confidence": F.coalesce(r["confidence"].cast("double"), F.lit(0.0))}
-    short = (json_size(F.struct(*(c.alias(n) for n, c in shown.items()))) > room) & (room > 0)
+    short = (json_size(shown) > room) & (room > 0)
     return shown | {"object_literal": F.when(short, _left(r["object_literal"], _room(0, room, 200))).otherwise(r["object_literal"])}, short
 
 
@@ -181,6 +194,9 @@ def _entity(r: Column, room: Column) -> tuple[Fields, Column]:
     return shown, F.lit(False)
 
 
+_CHAIN_NESTED = ("supporting_assertion_ids", "supporting_evidence_ids", "steps")
+
+
 def _chain(r: Column, room: Column) -> tuple[Fields, Column]:
     most = F.floor(_room(160, room, 260) / 3).cast("int")
     number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
@@ -189,7 +205,7 @@ def _chain(r: Column, room: Column) -> tuple[Fields, Column]:
     )
     shown = {n: _text(r[n]) for n in ("chain_id", "shared_entity_id", "shared_entity_name")} | {"chain_score": number(r["chain_score"])}
     shown |= {"supporting_assertion_ids": _listed(r["supporting_assertion_ids"], 4), "supporting_evidence_ids": _listed(r["supporting_evidence_ids"], 6), "steps": F.transform(F.slice(r["steps"], 1, 2), step)}
-    short = (json_size(F.struct(*(c.alias(n) for n, c in shown.items()))) > room) & (F.size(shown["steps"]) > 0)
+    short = (json_size(shown, _CHAIN_NESTED) > room) & (F.size(shown["steps"]) > 0)
     return shown | {"steps": F.when(short, F.slice(shown["steps"], 1, 1)).otherwise(shown["steps"])}, short
 
 
@@ -200,11 +216,11 @@ def _evidence(r: Column, room: Column) -> tuple[Fields, Column]:
 
 #: The kinds of context rows by name; their rows are structs with the fields that the renderer reads.
 KINDS = {
-    "chunk": Kind(_chunk, ("section_synopsis", "section_synopsis_title", "document_synopsis", "document_synopsis_title")),
+    "chunk": Kind(_chunk, ("section_synopsis", "section_synopsis_title", "document_synopsis", "document_synopsis_title"), ("section_path",)),
     "assertion": Kind(_assertion),
-    "asset": Kind(_asset, ("page_summary", "generated_page_summary", "generated_description")),
-    "sensor": Kind(_sensor),
-    "entity": Kind(_entity, ("aliases",)),
-    "chain": Kind(_chain),
+    "asset": Kind(_asset, ("page_summary", "generated_page_summary", "generated_description"), ("important_terms", "linked_chunk_ids", "link_types")),
+    "sensor": Kind(_sensor, nested=("reading_ids", "recent_points")),
+    "entity": Kind(_entity, ("aliases",), ("aliases",)),
+    "chain": Kind(_chain, nested=_CHAIN_NESTED),
     "evidence": Kind(_evidence),
 }
