@@ -186,3 +186,32 @@ def test_extraction_without_a_model(spark):
     assert [(e.id, e.name, e.type, e.start, e.end) for e in got[1].entities] == want
     assert [(r.id, r.predicate, r.subject, r.object) for r in got[1].relations] == [("r1", "limits", "e1", "e2"), ("r2", "joins", "e1", "e2"), ("r3", "names", "e1", "e2")] and len(got[1].excerpt) == 240
     assert [e.name for e in got[2].entities] == ["By"] and got[2].relations == [] and set(got) == {1, 2}
+
+
+def test_phrases_are_heard_within_the_row(spark):
+    texts = ["That near-pointer: here, THAT it near  pointer", "near\npointer", "pointer near", "nearpointer pointers", "", None, "- İt Keep it."]
+    asked = ["here", "it", "keep", "near pointer", "pointer", "that", "Here", "near  pointer", "a-b"]
+    got = [r.h if r.h is None else [tuple(x) for x in r.h] for r in spark.createDataFrame([(x,) for x in texts], "text string").select(K.heard(F.col("text"), asked).alias("h")).collect()]
+    assert got[:6] == [[(0, "that"), (1, "near pointer"), (2, "pointer"), (3, "here"), (5, "it")], [(0, "near pointer"), (1, "pointer")], [(0, "pointer")], [], [], None]
+    assert [x for x in got[6] if x[1] in ("keep", "it")] == [(2, "keep"), (3, "it")]
+
+
+def test_classes_take_the_first_of_their_aliases(spark):
+    rows = [("B", "x"), ("A", "x"), ("A", "y z"), ("C", "q"), ("B", "w"), ("A", "x")]
+    df = spark.createDataFrame([("w q x, y z",), ("y z w",), ("none",)], "text string").select(K.tags(K.heard(F.col("text"), ["w", "q", "x", "y z"]), rows).alias("tags"))
+    got = df.select("tags", K.firsts(F.col("tags")).alias("es")).collect()
+    assert [tuple(x) for x in got[0].tags] == [(0, "B", "w"), (1, "C", "q"), (2, "A", "x"), (2, "B", "x"), (3, "A", "y z")]
+    assert [[tuple(x) for x in r.es] for r in got] == [[(1, "B", "w"), (2, "C", "q"), (3, "A", "x")], [(1, "A", "y z"), (2, "B", "w")], []]
+    none = spark.createDataFrame([], "name string, alias string")
+    assert K.tag(spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark, none).collect() == []
+
+
+def test_extractions_read_the_texts_once_and_move_nothing(spark):
+    from stratalode.plans import knowledge as KP
+    from stratalode.plans.catalog import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    shown = KP.raw_payloads(t)._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("Scan parquet") == 1 and "hashpartitioning" not in shown and "Join" not in shown and "Generate" not in shown
+    shown = K.tag(t("documents"), spark)._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("Scan parquet") == 1 and "Join" not in shown
