@@ -215,3 +215,5 @@ def test_extractions_read_the_texts_once_and_move_nothing(spark):
     assert shown.count("Scan parquet") == 1 and "hashpartitioning" not in shown and "Join" not in shown and "Generate" not in shown
     shown = K.tag(t("documents"), spark)._jdf.queryExecution().executedPlan().toString()
     assert shown.count("Scan parquet") == 1 and "Join" not in shown
+    shown = K.heuristic(t("documents"), spark)._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("Scan parquet") == 1 and "hashpartitioning" not in shown and "Join" not in shown
