@@ -217,3 +217,11 @@ def test_extractions_read_the_texts_once_and_move_nothing(spark):
     assert shown.count("Scan parquet") == 1 and "Join" not in shown
     shown = K.heuristic(t("documents"), spark)._jdf.queryExecution().executedPlan().toString()
     assert shown.count("Scan parquet") == 1 and "hashpartitioning" not in shown and "Join" not in shown
+
+
+def test_what_is_broken_is_told_from_one_reading(spark):
+    from stratalode.plans import knowledge as KP
+    from stratalode.plans.catalog import Tables
+
+    shown = KP.kg_validate(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("regexp_replace(lower(text") == 1
