@@ -101,3 +101,20 @@ def test_rows_of_one_id_are_measured_by_all_their_words(spark, tmp_path):
     assert got == [(0, False), (1, True), (1, True), (2, False), (3, False)]
     assert all(None not in r.quality_flags for r in QP.enrich_chunk(t).collect())
     assert {r.doc_id for r in QP.validate_chunk(t).collect() if "ocr_noise" in r.reasons} == {3}
+
+
+@pytest.mark.parametrize("name", ["g_score", "g_chains"])
+def test_neighbours_go_to_their_query_once(spark, name):
+    """Lines move to their order once, ends and seeds to their node, what a seed took back to its query; nothing else moves but the orders."""
+    from stratalode.plans import graph as GP
+
+    kept = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        shown = plan(getattr(GP, name)(Tables(spark, SF)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning", shown)) - shown.count("ReusedExchange") == 5
