@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalode.operators.retrieval import terms
+from stratalode.session import shared_path
 
 # fixed values: what a term adds where it is found: at a name's start, in the name, the type, the id, any literal, any excerpt
 PREFIX, NAME, TYPE, ID, LITERAL, EXCERPT = 40, 24, 10, 6, 5, 3
@@ -59,6 +60,13 @@ def found_terms(rows: DataFrame, key: list[str], fields: list[str], wanted: Data
     return out
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows that several steps read, written once."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def search_entities(entities: DataFrame, assertions: DataFrame, evidence: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(query_id, entity_id, relevance, assertions, documents, place): the entities that queries (query_id, q) speak of.
 
@@ -75,14 +83,17 @@ def search_entities(entities: DataFrame, assertions: DataFrame, evidence: DataFr
     """
     asks = queries.select("query_id", F.slice(terms(F.col("q")), 1, MOST_TERMS).alias("ask"))
     asks = asks.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("ask"))).alias("ask")).where(F.size("ask") > 0)
-    asked = asks.select("ask").distinct().select("ask", F.explode("ask").alias("term")).groupBy("ask", "term").agg(F.count("*").alias("times"))
+    # from here on an ask is a number, as it goes along with each row that it meets
+    numbered = _stored(asks.select(F.col("ask").alias("terms")).distinct().withColumn("ask", F.monotonically_increasing_id()), "asks")
+    asks = asks.withColumnRenamed("ask", "terms").join(numbered, "terms").select("query_id", "ask")
+    asked = numbered.select("ask", F.explode(F.array_compact("terms")).alias("term")).groupBy("ask", "term").agg(F.count("*").alias("times"))
     words = asked.select("term").distinct()
     blocks = max(1, -(-words.count() // TERM_BLOCK))
     wanted = words.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)))
 
     sides = F.array_distinct(F.array_compact(F.array("subject_entity_id", "object_entity_id")))
-    fan = assertions.select("assertion_id", "document_id", F.explode(sides).alias("entity_id")).distinct()
-    totals = fan.groupBy("entity_id").agg(F.countDistinct("assertion_id").alias("assertions"), F.countDistinct("document_id").alias("documents"))
+    fan = lambda x: assertions.select(x, F.explode(sides).alias("entity_id")).distinct().groupBy("entity_id")
+    totals = fan("assertion_id").agg(F.count("assertion_id").alias("assertions")).join(fan("document_id").agg(F.count("document_id").alias("documents")), "entity_id")
     known = entities.select("entity_id", "canonical_name").join(totals, "entity_id")
 
     named = entities.select("entity_id", "canonical_name", "entity_type", F.col("entity_id").alias("id_text"))
@@ -90,16 +101,19 @@ def search_entities(entities: DataFrame, assertions: DataFrame, evidence: DataFr
     bit = lambda column, k, worth: F.when(F.col(column).bitwiseAND(F.lit(1 << k)) > 0, worth).otherwise(0)
     own = own.select("entity_id", "term", (bit("prefix", 0, PREFIX) + bit("at", 0, NAME) + bit("at", 1, TYPE) + bit("at", 2, ID)).alias("worth"))
 
-    literals, excerpts = assertions.where("object_literal <> ''"), evidence.where("excerpt <> ''")
-    literal = found_terms(literals, ["assertion_id"], ["object_literal"], wanted, blocks).select("assertion_id", "term", F.lit(LITERAL).alias("literal"), F.lit(0).alias("excerpt"))
-    excerpt = found_terms(excerpts, ["assertion_id"], ["excerpt"], wanted, blocks).select("assertion_id", "term", F.lit(0).alias("literal"), F.lit(EXCERPT).alias("excerpt"))
-    told = literal.unionByName(excerpt).groupBy("assertion_id", "term").agg(F.max("literal").alias("literal"), F.max("excerpt").alias("excerpt"))
-    met = fan.join(told, "assertion_id")
-    by_term = met.groupBy("entity_id", "term").agg((F.max("literal") + F.max("excerpt")).alias("worth"))
+    # what a literal tells stays in its assertion's row; excerpts meet assertions as they are, not one for each side
+    literals, excerpts = assertions.where("object_literal <> ''").select("assertion_id", "document_id", sides.alias("sides"), "object_literal"), evidence.where("excerpt <> ''")
+    literal = found_terms(literals, ["assertion_id", "document_id", "sides"], ["object_literal"], wanted, blocks).select("assertion_id", "document_id", "sides", "term", F.lit(LITERAL).alias("literal"), F.lit(0).alias("excerpt"))
+    shown = found_terms(excerpts, ["assertion_id"], ["excerpt"], wanted, blocks).select("assertion_id", "term")
+    excerpt = assertions.select("assertion_id", "document_id", "subject_entity_id", "object_entity_id").join(shown, "assertion_id").select("assertion_id", "document_id", sides.alias("sides"), "term", F.lit(0).alias("literal"), F.lit(EXCERPT).alias("excerpt"))
+    met = literal.unionByName(excerpt).select("assertion_id", "document_id", "term", "literal", "excerpt", F.explode(F.filter("sides", lambda x: x.isNotNull())).alias("entity_id"))
+    met = _stored(met, "entity-met")
+    by_term = _stored(met.groupBy("entity_id", "term").agg((F.max("literal") + F.max("excerpt")).alias("worth")), "entity-terms")
 
     has = lambda df, name: df.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("term", "worth"))).alias(name))
     none = F.array().cast("array<struct<term:string,worth:int>>")
     members = known.join(has(own, "class"), "entity_id").join(has(by_term, "unit"), "entity_id", "left").withColumn("unit", F.coalesce("unit", none))
+    members = _stored(members, "entity-classes")
     order = [F.desc("assertions"), F.desc("documents"), "canonical_name", "entity_id"]
     # a unit's entities have one relevance and count all they have, so their order is the same in every ask
     inside = Window.partitionBy("class", "unit")
@@ -130,7 +144,11 @@ def search_entities(entities: DataFrame, assertions: DataFrame, evidence: DataFr
     open_ = asked.join(sure, "ask", "left_anti")
     by_told = by_term.join(open_, "term").groupBy("ask", "entity_id").agg(F.sum(F.col("worth") * F.col("times")).alias("relevance"))
     by_told = by_told.join(own.join(open_, "term").select("ask", "entity_id"), ["ask", "entity_id"], "left_anti")
-    counted = met.join(open_, "term").join(by_told, ["ask", "entity_id"]).groupBy("ask", "entity_id", "relevance")
+    # relevance comes first, so what has less than an ask's entity at `limit` needs no counting
+    by_told = by_told.withColumn("nth", F.rank().over(Window.partitionBy("ask").orderBy(F.desc("relevance")))).where(F.col("nth") <= limit).drop("nth")
+    # what an entity met goes to the entity once, where its asks are; each ask's count needs no further move
+    holds = (F.col("told") == F.col("entity_id")) & F.array_contains("terms", F.col("term"))
+    counted = by_told.join(numbered, "ask").repartition("entity_id").join(met.select("assertion_id", "document_id", "term", F.col("entity_id").alias("told")), holds).groupBy("ask", "entity_id", "relevance")
     counted = counted.agg(F.countDistinct("assertion_id").alias("assertions"), F.countDistinct("document_id").alias("documents"))
     alone = counted.join(entities.select("entity_id", "canonical_name"), "entity_id")
 

@@ -50,13 +50,16 @@ def graph_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = t("part").select(F.concat(F.lit("part"), "p_partkey").alias("entity_id"), F.col("p_name").alias("canonical_name"), F.col("p_type").alias("entity_type"))
     makers = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.concat(F.lit("supplier"), "s_suppkey").alias("entity_id"), F.col("s_name").alias("canonical_name"), F.col("n_name").alias("entity_type"))
     placed = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus", "o_orderpriority")
-    lines = t("lineitem").join(placed, "l_orderkey")
+    path = shared_path(t.spark, "graph-lines")  # read by all that follows
+    held = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").join(placed, "l_orderkey")
+    held.where("o_orderstatus <> 'P' OR l_quantity >= 40").distinct().write.parquet(path)
+    lines = t.spark.read.parquet(path)
     assertions = lines.where("o_orderstatus <> 'P'").select(
         line, F.col("l_orderkey").alias("document_id"), F.concat(F.lit("part"), "l_partkey").alias("subject_entity_id"), F.concat(F.lit("supplier"), "l_suppkey").alias("object_entity_id"), F.when(F.col("l_linenumber") == 1, F.col("o_orderpriority")).alias("object_literal")
     )
     buyers = t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("excerpt"))
-    evidence = lines.where("l_quantity >= 40").join(buyers, "o_custkey").select(line, "excerpt").distinct()
-    return parts.unionByName(makers), assertions.distinct(), evidence
+    evidence = lines.where("l_quantity >= 40").join(buyers, "o_custkey").select(line, "excerpt")
+    return parts.unionByName(makers), assertions, evidence
 
 
 _HAS = "contains(lower(coalesce({}, '')), term)"

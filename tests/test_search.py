@@ -75,3 +75,12 @@ def test_many_entities_are_met_as_classes(spark):
     assert {tuple(r) for r in found.collect()} == want and want
     grouped = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
     assert grouped and not any("query_id" in x and ("entity_id" in x or "assertion_id" in x) for x in grouped)
+
+
+def test_texts_are_searched_once(spark):
+    """What literals and excerpts tell is stored once; each later step reads that and not the tables."""
+    tables = [spark.createDataFrame(r, s) for r, s in (([("e1", "red rod", "red"), ("e2", "old gear", None)], "entity_id string, canonical_name string, entity_type string"), ([("a1", 1, "e1", "e2", "urgent"), ("a1", 1, "e1", "e2", "urgent"), ("a2", 1, "e1", "e1", None), ("a3", 2, "e2", None, "low"), ("a3", 3, "e2", "e1", "low")], "assertion_id string, document_id int, subject_entity_id string, object_entity_id string, object_literal string"), ([("a1", "steel"), ("a2", "steel")], "assertion_id string, excerpt string"), ([(1, "steel low"), (2, "red urgent"), (3, "low steel"), (None, "steel")], "query_id int, q string"))]
+    found = E.search_entities(*tables)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 1
+    got = {tuple(r) for r in found.collect()}
+    assert got == {(1, "e1", 8, 3, 2, 1), (1, "e2", 8, 2, 3, 2), (3, "e1", 8, 3, 2, 1), (3, "e2", 8, 2, 3, 2), (2, "e1", 79, 3, 2, 1), (2, "e2", 5, 1, 1, 2), (None, "e1", 3, 2, 1, 1), (None, "e2", 3, 1, 1, 2)}
